@@ -4,10 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import exact_dedup, secrets
+from tidemark.llm import bpe, exact_dedup, language_id, quality, secrets
 from tidemark.llm.common import documents
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.predict_languages(documents(spark, sf_dir))
+
+
+def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(documents(spark, sf_dir))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.predict_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(documents(spark, sf_dir))
 
@@ -27,5 +39,11 @@ SELECT doc_id, first_value(doc_id) OVER w AS keep_id,
 FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY points DESC, doc_id)
 """
 
-QUERIES = {"op5_secret_scan": op5_secret_scan, "op6_exact_dedup": op6_exact_dedup}
+QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op3_bpe_round_trip": op3_bpe_round_trip,
+    "op4_quality": op4_quality,
+    "op5_secret_scan": op5_secret_scan,
+    "op6_exact_dedup": op6_exact_dedup,
+}
 ORACLES = {"op6_exact_dedup": OP6_SQL}
