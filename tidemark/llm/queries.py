@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, exact_dedup, language_id, quality, secrets
-from tidemark.llm.common import documents
+from tidemark.llm import bpe, exact_dedup, language_id, mixing, quality, secrets, token_rollups
+from tidemark.llm.common import documents, shared_folder
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +30,15 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
 
+def op7_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/rollup-{uuid.uuid4().hex}"
+    return token_rollups.feed(spark, documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), path).totals()
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir).select("doc_id", "source"))
+
+
 OP6_SQL = r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS points,
@@ -39,11 +50,33 @@ SELECT doc_id, first_value(doc_id) OVER w AS keep_id,
 FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY points DESC, doc_id)
 """
 
+OP7_SQL = r"""
+WITH c AS (
+  SELECT doc_id, source, lang, coalesce(text, '') AS t,
+         regexp_replace(coalesce(text, ''), '[|%&$#*!]', '', 'g') AS t2
+  FROM documents),
+n AS (
+  SELECT doc_id, source, lang, unnest(['words-v1', 'bytes-v1']) AS version,
+         unnest([len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')), strlen(t)]) AS n1,
+         unnest([len(regexp_extract_all(t2, '[^\x20\x09-\x0D]+')), strlen(t2)]) AS n2
+  FROM c),
+m AS (
+  SELECT doc_id, bool_or(toxic = 1) AS toxic, min(quality) AS quality
+  FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id)
+SELECT source, lang, version, CAST(count(*) AS BIGINT) AS n_docs,
+       CAST(sum(CASE WHEN quality = 0 THEN n2 ELSE n1 END) AS BIGINT) AS n_tokens
+FROM n LEFT JOIN m USING (doc_id)
+WHERE NOT coalesce(toxic, false)
+GROUP BY source, lang, version
+"""
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op3_bpe_round_trip": op3_bpe_round_trip,
     "op4_quality": op4_quality,
     "op5_secret_scan": op5_secret_scan,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_token_rollup": op7_token_rollup,
+    "op9_mixing": op9_mixing,
 }
-ORACLES = {"op6_exact_dedup": OP6_SQL}
+ORACLES = {"op6_exact_dedup": OP6_SQL, "op7_token_rollup": OP7_SQL}
