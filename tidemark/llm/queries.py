@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, exact_dedup, language_id, mixing, quality, secrets, token_rollups
+from tidemark.llm import ann, bpe, exact_dedup, language_id, license_scan, mixing, quality, secrets, token_rollups
 from tidemark.llm.common import documents, shared_folder
 
 
@@ -35,10 +35,19 @@ def op7_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_rollups.feed(spark, documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), path).totals()
 
 
+def op8_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return ann.search(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir).select("doc_id", "source"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_report(documents(spark, sf_dir))
+
+
 OP6_SQL = r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS points,
@@ -77,6 +86,8 @@ QUERIES = {
     "op5_secret_scan": op5_secret_scan,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_token_rollup": op7_token_rollup,
+    "op8_nearest_vectors": op8_nearest_vectors,
     "op9_mixing": op9_mixing,
+    "op10_license_scan": op10_license_scan,
 }
 ORACLES = {"op6_exact_dedup": OP6_SQL, "op7_token_rollup": OP7_SQL}
