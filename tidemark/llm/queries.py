@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import ann, bpe, exact_dedup, language_id, license_scan, mixing, quality, secrets, token_rollups
+from tidemark.llm import ann, bpe, exact_dedup, jaccard_join, language_id, license_scan, mixing, quality, secrets, token_rollups
 from tidemark.llm.common import documents, shared_folder
 
 
@@ -14,6 +14,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict_languages(documents(spark, sf_dir))
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_groups(documents(spark, sf_dir))
+
+
 def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir))
 
@@ -81,6 +85,7 @@ GROUP BY source, lang, version
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_bpe_round_trip": op3_bpe_round_trip,
     "op4_quality": op4_quality,
     "op5_secret_scan": op5_secret_scan,

@@ -70,10 +70,8 @@ def shingle_sets(text: pa.Array, k: int = 5) -> list[np.ndarray]:
             np.not_equal(s[1:], s[:-1], out=keep[1:])
             out.append(s[keep])
         elif b > a:
-            whole = np.uint64(0)
-            for i in range(b - a):
-                whole += hashes[a + i] * _PLACE[i]
-            out.append(mix64(np.array([whole + np.uint64(b - a) * _PLACE[k]], np.uint64)))
+            whole = (hashes[a:b] * _PLACE[: b - a]).sum(keepdims=True) + np.array([b - a], np.uint64) * _PLACE[k]
+            out.append(mix64(whole))
         else:
             out.append(hashes[:0])
     return out
