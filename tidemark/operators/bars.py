@@ -41,12 +41,12 @@ def level1(bars: DataFrame) -> DataFrame:
     out = b.groupBy("symbol").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(any_null).alias("nulls"),
-        F.count_if("high < low").alias("high_below_low"),
-        F.count_if("high < open or high < close").alias("high_below"),
-        F.count_if("low > open or low > close").alias("low_above"),
+        F.count_if(F.expr("high < low")).alias("high_below_low"),
+        F.count_if(F.expr("high < open or high < close")).alias("high_below"),
+        F.count_if(F.expr("low > open or low > close")).alias("low_above"),
         (F.count(F.lit(1)) - F.count_distinct("ts")).alias("duplicate_ts"),
-        F.count_if("volume < 0").alias("negative_volume"),
-        F.count_if("open <= 0 or high <= 0 or low <= 0 or close <= 0").alias("non_positive"),
+        F.count_if(F.expr("volume < 0")).alias("negative_volume"),
+        F.count_if(F.expr("open <= 0 or high <= 0 or low <= 0 or close <= 0")).alias("non_positive"),
         F.count_if("jump").alias("jumps"),
         F.count_if("late").alias("out_of_order"),
     )

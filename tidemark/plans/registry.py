@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple[str, ...] = ("statistics",)
+MODULES: tuple[str, ...] = ("statistics", "market", "risk")
 
 
 def _collect(attribute: str) -> dict:

@@ -38,7 +38,7 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     quantity = F.get_json_object("props", "$.k").cast("double")
     return e.select(
-        F.col("event_type").alias("symbol"), "ts", "event_id", F.col("value").alias("price"), quantity.alias("quantity"), (F.col("event_id") % 2 == 1).alias("is_buyer_maker")
+        F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), "event_id", F.col("value").alias("price"), quantity.alias("quantity"), (F.col("event_id") % 2 == 1).alias("is_buyer_maker")
     ).where("quantity > 0")
 
 
