@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidemark.functions.columns import clip, last, over, ratio
 
@@ -203,7 +203,7 @@ def latest(df: DataFrame, by: str = "symbol", at: str = "ts", ttl_seconds: int |
 
 def newest(df: DataFrame, n: int, by: str = "symbol", at: tuple[str, ...] = ("ts",)) -> DataFrame:
     """The n newest rows of each key with their rank."""
-    w = over(by=(by,)).partitionBy(by).orderBy(*[F.desc(c) for c in at])
+    w = W.partitionBy(by).orderBy(*[F.desc(c) for c in at])
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
