@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple[str, ...] = ("statistics", "market", "risk", "validation", "signals", "recursions")
+MODULES: tuple[str, ...] = ("statistics", "market", "risk", "validation", "signals", "recursions", "live")
 
 
 def _collect(attribute: str) -> dict:
