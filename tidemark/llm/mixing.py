@@ -113,8 +113,8 @@ def _numbered(keyed: DataFrame) -> DataFrame:
     return local.join(before, ["source_key", "range"]).select("row", "source_key", (F.col("start") + F.col("at")).alias("place"))
 
 
-def mix(docs: DataFrame, target: dict[str | None, float] | None = None, key: str = "source", slots: int = SLOTS, block: int = BLOCK) -> DataFrame:
-    """docs with mix_unit, mix_slot and mix_at (place in the block): sorted by these, they are the mix."""
+def _mixed(docs: DataFrame, target: dict[str | None, float] | None, key: str, slots: int, block: int) -> DataFrame:
+    """row (all columns of docs), mix_unit, mix_slot, mix_at."""
     keyed = docs.select(F.struct(*docs.columns).alias("row"), _key(F.col(key)).alias("source_key"))
     weights = source_weights(docs.select(_key(F.col(key)).alias("source_key")), target, slots, block)
     # both tables have a bounded size: one row a source, and sources**2 times the slots of a unit
@@ -123,10 +123,14 @@ def mix(docs: DataFrame, target: dict[str | None, float] | None = None, key: str
     placed = placed.select(
         "row", "source_key", F.floor(number / F.col("a")).alias("mix_unit"), F.pmod(number, F.col("a")).alias("k"), F.pmod("place", F.lit(block)).cast("int").alias("mix_at"), "begins"
     ).withColumn("since_unit", F.array_max(F.filter("begins", lambda b: b <= F.col("mix_unit"))))
-    met = placed.join(F.broadcast(schedules(weights)), ["since_unit", "source_key", "k"])
-    return met.select("row.*", "mix_unit", "mix_slot", "mix_at")
+    return placed.join(F.broadcast(schedules(weights)), ["since_unit", "source_key", "k"]).select("row", "mix_unit", "mix_slot", "mix_at")
+
+
+def mix(docs: DataFrame, target: dict[str | None, float] | None = None, key: str = "source", slots: int = SLOTS, block: int = BLOCK) -> DataFrame:
+    """docs with mix_unit, mix_slot and mix_at (place in the block): sorted by these, they are the mix."""
+    return _mixed(docs, target, key, slots, block).select("row.*", "mix_unit", "mix_slot", "mix_at")
 
 
-def in_mixed_order(docs: DataFrame, target: dict[str | None, float] | None = None) -> DataFrame:
+def in_mixed_order(docs: DataFrame, target: dict[str | None, float] | None = None, key: str = "source") -> DataFrame:
     """The documents, all of them and unchanged, in the order of the mix (files in order hold it)."""
-    return mix(docs, target).orderBy("mix_unit", "mix_slot", "mix_at").select(*docs.columns)
+    return _mixed(docs, target, key, SLOTS, BLOCK).orderBy("mix_unit", "mix_slot", "mix_at").select("row.*")
