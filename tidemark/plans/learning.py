@@ -72,3 +72,20 @@ def _evidence(spark, sf):
     {"learned_ema": "y", "learned_alpha": "al"}))
 def _ema(spark, sf):
     return _out(re_.scan(_b(spark, sf), le.learnable_ema("ret")), "learned_ema", "learned_alpha")
+
+
+@query("feature_vector")
+def _features(spark, sf):
+    """All 60 slots of each bar."""
+    from tidemark.operators import features as fe
+
+    return _out(fe.assemble(bars(spark, sf)), *fe.SLOTS)
+
+
+@query("feature_report")
+def _report(spark, sf):
+    """Summary and faults of the vectors."""
+    from tidemark.operators import features as fe
+
+    r = fe.vector_report(fe.assemble(bars(spark, sf)))
+    return r.select("symbol", AT, "nonzero", *[tidy(c).alias(c) for c in ("mean", "std", "least", "most")], "faults")
