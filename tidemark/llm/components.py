@@ -23,10 +23,11 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def connected(links: DataFrame) -> DataFrame:
     """node and label (the least node of its component) of every node in links(u, v)."""
     edges = write_and_reread(links.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    seen = None
+    digest = lambda e: e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).collect()[0]
+    seen = digest(edges)
     while True:
         edges = write_and_reread(_star(_star(edges, True), False), "edges")
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).collect()[0]
+        state = digest(edges)
         if state == seen:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("label"))).distinct()
         seen = state

@@ -16,10 +16,12 @@ metric between sets. Texts with equal sets form one node.
    fixed order, replicating a set to these regions only is exact. The order puts common
    shingles last. Document pivots cannot do this level: unrelated documents are all at
    distance 1.
-3. Within a region the least node is the pivot. Its exact distances to all others give links
-   within the radius. Members of one component need no more comparisons. For the rest the
-   triangle inequality gives windows: x and y are compared only if their distances to the
-   pivot differ by the radius at most. Those pairs are verified on the whole sets.
+3. Within a region the most central set (of the commonest shingles) is the pivot. Exact
+   distances to it give links within the radius; members of one component need no more
+   comparisons. The rest fall into rings around the pivot as wide as the radius. By the
+   triangle inequality a link joins nodes of one ring or of neighbours, so each ring gets a
+   replica of the ring before it, and is compared exactly, in blocks of bounded size whose
+   overlaps are counted all at once; only links leave a task.
 
 Cases: null, empty and blank texts have no shingle and no link; fewer than k words make one
 shingle of all; equal sets always link; a repeated id keeps one row each time it occurs.
@@ -38,6 +40,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from tidemark.llm.common import column, shared_folder, shuffle_partitions, slices, write_and_reread
 from tidemark.llm.components import connected
 from tidemark.llm.shingles import shingle_sets
+from tidemark.llm.sketch import sketched, without
 
 #: Elements of a prefix that must be shared, as a share of a set: longer prefixes filter better and cost more.
 EXTRA = 0.15
@@ -168,24 +171,30 @@ def _count(lists: pd.DataFrame) -> pd.DataFrame:
 
 
 def _regions(percent: int, hot: np.ndarray, rank: np.ndarray):
-    """A row for each element of a set's prefix in the order (common last, then hash)."""
+    """A row for each element of a set's prefix in the order (common last, then hash), with its place in the set.
+
+    ``central`` is high for sets made of common elements: such a set lies amid its group.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            regions, nodes, sizes = [], [], []
+            regions, nodes, sizes, places, centres = [], [], [], [], []
             for node, s in zip(column(batch, "node").to_pylist(), column(batch, "s")):
                 s = np.asarray(s.values).view(np.uint64)
-                n = len(s)
+                n, central = len(s), 0
                 if len(hot):
                     at = np.minimum(np.searchsorted(hot, s >> _LOW), len(hot) - 1)
                     common = np.where(hot[at] == s >> _LOW, rank[at], 0)
+                    central = int(1000 * np.log1p(common).mean())
                     s = s[np.lexsort((s, common))]
                 s = s[: n - _needed(n, percent) + 1]
                 regions.append(s.view(np.int64))
                 nodes.append(np.full(len(s), node, np.int64))
-                sizes.append(np.full(len(s), n, np.int64))
+                sizes.append(np.full(len(s), n, np.int32))
+                places.append(np.arange(len(s), dtype=np.int32))
+                centres.append(np.full(len(s), central, np.int32))
             if regions:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (regions, nodes, sizes)], names=["region", "node", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (regions, nodes, sizes, places, centres)], names=["region", "node", "n", "at", "central"])
 
     return run
 
@@ -200,30 +209,101 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("u", "v", common.alias("common"), "su", "sv").select("u", "v", (1 - F.col("common") / either).alias("d"), (100 * F.col("common") >= percent * either).alias("linked"))
 
 
+def _open(members: DataFrame, percent: int) -> DataFrame:
+    """Members of regions that more than one component has, without those too late in their sets to link with any other.
+
+    At the first element that two sets share, x holds ``at`` elements before it that y lacks and
+    y holds at least ``first`` that x lacks: the overlap is n - at at most, the union n + first at least.
+    """
+    ends = members.groupBy("region").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.min("at").alias("first")).where("least != most")
+    ends = write_and_reread(ends.select("region", "first"), "ends")
+    near = 100 * (F.col("n") - F.col("at")) >= percent * (F.col("n") + F.col("first"))
+    return members.join(ends, "region").where(near).drop("first")
+
+
+def _overlaps(elements: np.ndarray, whose: np.ndarray, m: int, few: int = 32, wide: int = 4096) -> np.ndarray:
+    """Sizes of the common parts of m sets, all pairs of a block at once.
+
+    Elements of few sets count by shifted comparison of the sorted list, others by products of
+    0/1 matrices of ``wide`` columns, so memory is bounded whatever the sets' sizes.
+    """
+    order = np.argsort(elements, kind="stable")
+    elements, whose = elements[order], whose[order]
+    first = np.flatnonzero(np.concatenate([[True], elements[1:] != elements[:-1]])) if len(elements) else np.zeros(0, np.int64)
+    counts = np.diff(first, append=len(elements))
+    total = np.zeros(m * m, np.int64)
+    rare = np.repeat((counts > 1) & (counts <= few), counts)
+    e, w = elements[rare], whose[rare]
+    for k in range(1, few):
+        same = np.flatnonzero(e[k:] == e[:-k])
+        if not len(same):
+            break
+        x, y = np.minimum(w[same], w[same + k]), np.maximum(w[same], w[same + k])
+        total += np.bincount(x * m + y, minlength=m * m)
+    total = total.reshape(m, m)
+    total = total + total.T
+    common = np.flatnonzero(counts > few)
+    for at in range(0, len(common), wide):
+        part = common[at : at + wide]
+        dense = np.zeros((m, len(part)), np.float32)
+        for i, c in enumerate(part.tolist()):
+            dense[whose[first[c] : first[c] + counts[c]], i] = 1
+        total = total + (dense @ dense.T).astype(np.int64)
+    return total
+
+
+def _compare(percent: int):
+    """Links between the nodes of two blocks of a ring."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.drop_duplicates("node").reset_index(drop=True)
+        sets = [np.asarray(s, np.int64) for s in rows["s"]]
+        n = np.array([len(s) for s in sets], np.int64)
+        m = len(sets)
+        common = _overlaps(np.concatenate(sets), np.repeat(np.arange(m), n), m) if m else np.zeros((0, 0), np.int64)
+        label, d = rows["label"].to_numpy(), rows["d"].to_numpy()
+        near = np.abs(d[:, None] - d[None, :]) <= (100 - percent) / 100 + 1e-9
+        linked = (100 * common >= percent * (n[:, None] + n[None, :] - common)) & (label[:, None] != label[None, :]) & near
+        x, y = np.nonzero(np.triu(linked, 1))
+        node = rows["node"].to_numpy()
+        return pd.DataFrame({"u": node[x], "v": node[y]})
+
+    return run
+
+
+#: Nodes of a ring that are compared in one task.
+BLOCK = 384
+
+
 def _links(sets: DataFrame, hot: list, percent: int) -> DataFrame:
     """Links (u, v) that join all nodes within the radius, directly or through others."""
     hot = sorted(hot)
     keys, rank = np.array([k for k, _ in hot], np.uint64), np.array([n for _, n in hot], np.int64)
-    members = write_and_reread(sets.mapInArrow(_regions(percent, keys, rank), "region long, node long, n long"), "regions")
-    fits = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))  # noqa: E731  sizes alone can rule out
-    pivots = write_and_reread(members.groupBy("region").agg(F.min(F.struct("node", "n")).alias("p"), F.count(F.lit(1)).alias("c")).where("c > 1").select("region", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn")), "pivots")
-    held = members.join(pivots, "region")
-    stars = held.where((F.col("node") != F.col("pivot")) & fits(F.col("n"), F.col("pn"))).select(F.col("pivot").alias("u"), F.col("node").alias("v")).distinct()
-    first = write_and_reread(_verified(stars, sets, percent), "stars")
-    linked = first.where("linked").select("u", "v")
+    members = write_and_reread(sets.mapInArrow(_regions(percent, keys, rank), "region long, node long, n int, at int, central int"), "regions")
+    members = write_and_reread(_open(members.withColumn("label", F.col("node")), percent), "members")
+    best = F.max(F.struct("central", -F.col("at"), "node")).alias("p")
+    pivots = write_and_reread(members.groupBy("region").agg(best).select("region", F.col("p.node").alias("pivot")), "pivots")
+    held = members.join(pivots, "region").where(F.col("node") != F.col("pivot"))
+    stars = held.select(F.col("pivot").alias("u"), F.col("node").alias("v")).distinct()
+    stars = write_and_reread(_verified(stars, sets, percent), "stars")
+    linked = stars.where("linked").select("u", "v")
     label = write_and_reread(connected(linked), "labels")
-    # regions whose members are not yet all in one component
-    marked = held.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    marked = marked.join(first.select(F.col("u").alias("pivot"), F.col("v").alias("node"), "d"), ["pivot", "node"], "left")
-    marked = write_and_reread(marked.where("node != pivot").select("region", "node", "n", "label", "d"), "marked")
-    open_regions = marked.groupBy("region").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least != most").select("region")
-    rest = write_and_reread(marked.join(open_regions, "region", "left_semi"), "rest")
-    x, y = rest.alias("x"), rest.alias("y")
-    near = F.coalesce(F.abs(F.col("x.d") - F.col("y.d")) <= (100 - percent) / 100 + 1e-9, F.lit(True))
-    pairs = x.join(y, F.col("x.region") == F.col("y.region")).where((F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & near & fits(F.col("x.n"), F.col("y.n")))
-    pairs = pairs.select(F.col("x.node").alias("u"), F.col("y.node").alias("v")).distinct()
-    second = _verified(pairs, sets, percent).where("linked").select("u", "v")
-    return write_and_reread(linked.union(second), "links")
+    # what is left: regions whose members are not yet one component, without their pivots
+    left = held.drop("label").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    left = write_and_reread(left, "left")
+    left = _open(left, percent).groupBy("pivot", "node").agg(F.first("label").alias("label"))
+    left = left.join(stars.select(F.col("u").alias("pivot"), F.col("v").alias("node"), "d"), ["pivot", "node"])
+    # rings as wide as the radius around the pivot: a link joins nodes of one ring or of two neighbours
+    ring = F.floor(F.col("d") * 100 / (100 - percent) + 1e-9).cast("int")
+    rings = write_and_reread(left.select("pivot", "node", "label", "d", F.explode(F.array(ring, ring + 1)).alias("ring")), "rings")
+    sizes = rings.groupBy("pivot", "ring").agg(F.count(F.lit(1)).alias("c"), F.min("label").alias("a"), F.max("label").alias("b")).where("c > 1 and a != b")
+    sizes = write_and_reread(sizes.select("pivot", "ring", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "sizes")
+    placed = rings.join(sizes, ["pivot", "ring"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    placed = placed.join(sets, "node").select("pivot", "ring", "node", "label", "d", "s", "block", other)
+    placed = placed.select("pivot", "ring", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "node", "label", "d", "s")
+    last = placed.groupBy("pivot", "ring", "b1", "b2").applyInPandas(_compare(percent), "u long, v long")
+    return write_and_reread(linked.union(last), "links")
 
 
 def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -252,8 +332,10 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "d
                         found[want[at + i]] = s.view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.list_(pa.int64()))], names=["node", "s"])
 
-    picked = rows.join(chosen, rows["row_id"] == chosen["chosen"]).select("node", "text")
-    sets = write_and_reread(picked.mapInArrow(sets_of, "node long, s array<long>").dropDuplicates(["node"]), "sets")
+    # most documents are not chosen: a sketch keeps their texts out of the shuffle, the join decides
+    picked = rows.where(sketched(chosen.select("chosen"))(F.xxhash64("row_id"))).withColumn("h", F.xxhash64("text"))
+    picked = picked.join(chosen, picked["row_id"] == chosen["chosen"]).dropDuplicates(["row_id", "node", "h"]).select("node", "text")
+    sets = write_and_reread(picked.mapInArrow(sets_of, "node long, s array<long>"), "sets")
     hot = counted.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(HOT_KEPT)
     links = _links(sets, [(r["key"], r["n"]) for r in hot.collect()], percent)  # a bounded table that only orders shingles
     label = connected(links)
@@ -268,4 +350,4 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "d
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """The documents that are the least id of their group, with all their columns."""
     gone = near_groups(docs).where("component_id != doc_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    return without(docs, write_and_reread(gone, "gone"))
