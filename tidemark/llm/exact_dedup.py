@@ -27,6 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tidemark.llm.common import SPACES, column, shuffle_partitions, write_and_reread
+from tidemark.llm.sketch import without
 
 _DROP = str.maketrans("", "", SPACES)
 
@@ -175,4 +176,4 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns (of rows that share an id, all stay or go)."""
     gone = exact_groups(docs).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    return without(docs, write_and_reread(gone, "gone"))
