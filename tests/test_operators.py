@@ -188,3 +188,67 @@ def test_core_does_not_import_the_optional_subpackage():
     for source in root.rglob("*.py"):
         if "llm" not in source.parts:
             assert not re.search(r"import .*\bllm\b|tidemark\.llm", source.read_text()), source
+
+
+def test_adaptive_regimes_refit_and_count():
+    from tidemark.operators import learning as le
+
+    rows = [(0.01 if i % 40 < 20 else -0.05,) for i in range(260)]
+    out = run(le.adaptive_regimes(), rows)
+    assert all(abs(sum(y[:3]) - 1) < 1e-9 for y in out)
+    assert out[-1][5] >= 5  # regime changes so far
+    assert out[15][3] == 0.0 and out[35][3] == 1.0
+
+
+def test_learned_regimes_are_distributions():
+    from tidemark.operators import learning as le
+
+    out = run(le.learned_regimes(), [(0.01 * ((i * 7) % 5 - 2),) for i in range(100)])
+    assert all(abs(sum(y[:3]) - 1) < 1e-9 and abs(sum(y[5:]) - 1) < 1e-9 and 0 <= y[4] <= 1 for y in out)
+
+
+def test_kernel_regression_learns_and_prunes():
+    from tidemark.operators import learning as le
+
+    rows = [(i % 10 / 10, math.sin(i % 10)) for i in range(300)]
+    r = le.kernel_regression(("x",), "y", novelty=1e-4, forget=1.0)
+    state, errors = None, []
+    for x in rows:
+        state, y = r.step(state, x)
+        errors.append(abs(y[1]))
+    assert sum(errors[-10:]) < 0.7 * sum(errors[:10]) and len(state[0]) <= 10
+    assert len(le.pruned(state, 3)[0]) == 3
+
+
+def test_centroids_keep_labels_and_move():
+    from tidemark.operators import learning as le
+
+    r = le.moving_centroids(("x",), "label", [[0.0], [1.0]], [0, 1])
+    state, y = r.step(None, (0.2, 1.0))
+    assert y[0] == 0.0 and state[0][0] == [0.2] and state[2] == [0, 1]  # a first visit takes the point; labels round back
+    lorentz = le.moving_centroids(("x",), "label", [[0.0], [1.0]], [0, 1], lorentz=True)
+    state, y = lorentz.step(None, (0.2, 1.0))
+    assert y[0] == 1.0 and state[0][1] == [pytest.approx(0.992)]
+
+
+def test_fading_evidence_keeps_mass():
+    from tidemark.operators import learning as le
+
+    state = None
+    for x in [(0.6, 0.1), (0.0, 0.9), (1.0, 0.0)]:
+        state, _ = le.fading_evidence("a", "b").step(state, x)
+        assert sum(state) == pytest.approx(1)
+
+
+def test_feature_vector_slots(spark):
+    from tidemark.operators import features as fe
+
+    rows = [("A", i, 100.0 + i % 7, 103.0 + i % 7, 98.0 + i % 7, 101.0 + (i * 3) % 7, 50.0 + i % 5) for i in range(60)]
+    bars = spark.createDataFrame(rows, "symbol string, s long, open double, high double, low double, close double, volume double").withColumn("ts", F.timestamp_seconds(F.col("s") * 3600))
+    v = fe.assemble(bars)
+    assert len(fe.SLOTS) == len(set(fe.SLOTS)) == 60 and v.columns == ["symbol", "ts", *fe.SLOTS]
+    last = v.orderBy(F.desc("ts")).first()
+    assert last["flow_aggressive_ratio"] == 0.5 and last["liquidity_score"] == 0.5 and last["hmm_bull_prob"] + last["hmm_bear_prob"] + last["hmm_range_prob"] == pytest.approx(1)
+    flow = v.select("symbol", "ts", F.lit(0.25).alias("flow_vpin")).limit(1)
+    assert fe.with_flow(v, flow).where("flow_vpin = 0.25").count() == 1
+    assert fe.vector_report(v).where("faults like '%nan%' or faults like '%inf%'").count() == 0
