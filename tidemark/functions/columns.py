@@ -18,6 +18,11 @@ def tidy(x: Column | str, digits: int = 4) -> Column:
     return F.round(F.when(~F.isnan(x), x) + NUDGE, digits) + F.lit(0.0)
 
 
+def at() -> Column:
+    """The time as microseconds, under the name that queries give it."""
+    return F.unix_micros("ts").alias("ts_us")
+
+
 def over(*order: str, by: tuple[str, ...] = ("symbol",)) -> WindowSpec:
     return W.partitionBy(*by).orderBy(*(order or ("ts",)))
 

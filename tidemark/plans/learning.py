@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import over, tidy
+from tidemark.functions.columns import at, over, tidy
 from tidemark.operators import learning as le, recursive as re_
 from tidemark.operators.statistics import log_return
 from tidemark.plans.collect import collector
@@ -12,7 +12,6 @@ from tidemark.plans.recursions import RETURNS, recursion
 from tidemark.sources.fixtures import bars
 
 QUERIES, ORACLES, query = collector()
-AT = F.unix_micros("ts").alias("ts_us")
 
 
 def _b(spark, sf):
@@ -23,7 +22,7 @@ def _b(spark, sf):
 
 
 def _out(df, *names):
-    return df.select("symbol", AT, *[tidy(n).alias(n) for n in names])
+    return df.select("symbol", at(), *[tidy(n).alias(n) for n in names])
 
 
 @query("learning_regimes")
@@ -88,4 +87,4 @@ def _report(spark, sf):
     from tidemark.operators import features as fe
 
     r = fe.vector_report(fe.assemble(bars(spark, sf)))
-    return r.select("symbol", AT, "nonzero", *[tidy(c).alias(c) for c in ("mean", "std", "least", "most")], "faults")
+    return r.select("symbol", at(), "nonzero", *[tidy(c).alias(c) for c in ("mean", "std", "least", "most")], "faults")

@@ -6,17 +6,16 @@ import math
 
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import normal_cdf, tidy
+from tidemark.functions.columns import at, normal_cdf, tidy
 from tidemark.operators import indicators as ind, microstructure as ms
 from tidemark.plans.collect import collector
 from tidemark.sources.fixtures import BARS, BOOKS, TICKS, bars, books, ticks
 
 QUERIES, ORACLES, query = collector()
-AT = F.unix_micros("ts").alias("ts_us")
 
 
-def shown(df, *names, first=("symbol", AT)):
-    return df.select(*first, *[tidy(n).alias(n) for n in names])
+def shown(df, *names, first=None):
+    return df.select(*(first or ("symbol", at())), *[tidy(n).alias(n) for n in names])
 
 
 def _wma(x: str, weights: list[float], w: str) -> str:
@@ -78,14 +77,14 @@ SELECT symbol, epoch_us(ts) AS ts_us, round(z, 4) + 0.0 AS rvol_z, abs(z) > 2 AS
 FROM z""")
 def _rvol(spark, sf):
     out = ind.relative_volume(bars(spark, sf))
-    return out.select("symbol", AT, tidy("rvol_z").alias("rvol_z"), "unusual", "rvol_label")
+    return out.select("symbol", at(), tidy("rvol_z").alias("rvol_z"), "unusual", "rvol_label")
 
 
 @query("relative_volume_percentile")
 def _rvol_percentile(spark, sf):
     """The z-score as a share of the normal distribution (DuckDB has no erf: rows only, tested on known values)."""
     out = ind.relative_volume(bars(spark, sf))
-    return out.select("symbol", AT, tidy(100 * normal_cdf(F.col("rvol_z"))).alias("percentile"))
+    return out.select("symbol", at(), tidy(100 * normal_cdf(F.col("rvol_z"))).alias("percentile"))
 
 
 @query("order_book", f"""WITH {BOOKS},

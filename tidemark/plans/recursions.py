@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import tidy
+from tidemark.functions.columns import at, tidy
 from tidemark.operators import indicators as ind, recursive as re_
 from tidemark.operators.statistics import log_return
 from tidemark.plans.collect import collector
@@ -14,7 +14,6 @@ from tidemark.plans.statistics import RETURNS
 from tidemark.sources.fixtures import bars
 
 QUERIES, ORACLES, query = collector()
-AT = F.unix_micros("ts").alias("ts_us")
 
 
 def recursion(source: str, first: dict[str, str], step: dict[str, str], shown: dict[str, str]) -> str:
@@ -36,7 +35,7 @@ def _b(spark, sf):
 
 
 def _out(df, *names):
-    return df.select("symbol", AT, *[tidy(n).alias(n) for n in names])
+    return df.select("symbol", at(), *[tidy(n).alias(n) for n in names])
 
 
 # each value of a step is written with the state before it, so the gain is spelled out

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import tidy
+from tidemark.functions.columns import at, tidy
 from tidemark.operators import risk
 from tidemark.plans.collect import collector
 from tidemark.sources.fixtures import BARS, bars, table
 
 QUERIES, ORACLES, query = collector()
-AT = F.unix_micros("ts").alias("ts_us")
 
 #: Six signals in [0, 1] from each bar, as integers by 100 so that both engines see the same doubles.
 _CENTS = "CAST(round(close * 100) AS BIGINT)"
@@ -42,7 +41,7 @@ SELECT symbol, epoch_us(ts) AS ts_us, seen, regime, CASE regime
   WHEN 'tradfi_contagion' THEN concat_ws(',', CASE WHEN mc > 0.5 THEN 'caci' END)
   WHEN 'leverage_saturation' THEN concat_ws(',', CASE WHEN mf > 0.6 THEN 'fsi' END, CASE WHEN ml > 0.6 THEN 'lci' END) ELSE '' END AS triggers FROM rg""")
 def _regime(spark, sf):
-    return regimes(spark, sf).select("symbol", AT, "seen", "regime", "triggers")
+    return regimes(spark, sf).select("symbol", at(), "seen", "regime", "triggers")
 
 
 _W = lambda i: "CASE regime " + " ".join(f"WHEN '{r}' THEN {w[i]}" for r, w in risk.WEIGHTS.items()) + " END"
@@ -68,7 +67,7 @@ SELECT symbol, epoch_us(ts) AS ts_us, round(score, 4) + 0.0 AS score, factor > 1
 FROM best""")
 def _composite(spark, sf):
     s = scored(spark, sf)
-    return s.select("symbol", AT, tidy("score").alias("score"), "amplified", "elevated", "high", "dominant", "level", risk.gate(F.col("score")).alias("gate"), tidy(risk.gate(F.col("score"), True)).alias("gate_ramp"))
+    return s.select("symbol", at(), tidy("score").alias("score"), "amplified", "elevated", "high", "dominant", "level", risk.gate(F.col("score")).alias("gate"), tidy(risk.gate(F.col("score"), True)).alias("gate_ramp"))
 
 
 @query("risk_velocity", f"""WITH {RISK}, {_REGIME}, {_SCORE},
@@ -77,7 +76,7 @@ v AS (
   FROM ss WINDOW w AS (PARTITION BY symbol ORDER BY ts RANGE BETWEEN INTERVAL 6 HOUR PRECEDING AND CURRENT ROW))
 SELECT symbol, epoch_us(ts) AS ts_us, CASE WHEN n >= 2 AND span >= 5 THEN round((score - s0) / span * 1e4, 4) + 0.0 END AS velocity FROM v""")
 def _velocity(spark, sf):
-    return risk.velocity(scored(spark, sf), 6 * 3600).select("symbol", AT, tidy(F.col("velocity") * 1e4).alias("velocity"))
+    return risk.velocity(scored(spark, sf), 6 * 3600).select("symbol", at(), tidy(F.col("velocity") * 1e4).alias("velocity"))
 
 
 @query("risk_latest", f"""WITH {RISK}, {_REGIME}, {_SCORE}
@@ -87,14 +86,14 @@ def _latest(spark, sf):
     s = scored(spark, sf).select("symbol", "ts", "score", "regime")
     now = s.agg(F.max(F.unix_seconds("ts")).alias("now"))
     out = risk.latest(s.join(F.broadcast(now)), ttl_seconds=6 * 3600, now=F.col("now"))
-    return out.select("symbol", AT, tidy("score").alias("score"), "regime")
+    return out.select("symbol", at(), tidy("score").alias("score"), "regime")
 
 
 @query("risk_alerts", f"""WITH {RISK}, {_REGIME}, {_SCORE}
 SELECT symbol, epoch_us(ts) AS ts_us, rank FROM (
   SELECT symbol, ts, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS rank FROM ss WHERE score >= 0.5) WHERE rank <= 100""")
 def _alerts(spark, sf):
-    return risk.newest(scored(spark, sf).where("score >= 0.5").select("symbol", "ts", "score"), 100).select("symbol", AT, F.col("rank").cast("long").alias("rank"))
+    return risk.newest(scored(spark, sf).where("score >= 0.5").select("symbol", "ts", "score"), 100).select("symbol", at(), F.col("rank").cast("long").alias("rank"))
 
 
 @query("exit_intents", f"""WITH {RISK}, {_REGIME}, {_SCORE},
@@ -126,7 +125,7 @@ def _funding(spark, sf):
     from tidemark.functions.columns import over
 
     r = bars(spark, sf).select("symbol", "ts", (F.ln(F.col("close") / F.lag("close").over(over())) / 1000).alias("rate"), regime.alias("regime")).where("rate is not null")
-    return risk.funding_saturation(r).select("symbol", AT, tidy(F.col("ema_rate") * 1e4).alias("ema_rate"), tidy("fsi").alias("fsi"), "direction")
+    return risk.funding_saturation(r).select("symbol", at(), tidy(F.col("ema_rate") * 1e4).alias("ema_rate"), tidy("fsi").alias("fsi"), "direction")
 
 
 @query("liquidity_evaporation", f"""WITH {BARS},
@@ -139,7 +138,7 @@ SELECT symbol, epoch_us(ts) AS ts_us, CASE WHEN n >= 48 THEN round(least(1.0, CA
   + CASE WHEN speed < -0.05 THEN 0.3 ELSE 0.0 END), 4) + 0.0 ELSE 0.0 END AS lei FROM b""")
 def _evaporation(spark, sf):
     d = bars(spark, sf).select("symbol", F.col("ts").cast("timestamp").alias("ts"), F.col("volume").alias("depth"))
-    return risk.liquidity_evaporation(d, keep=168, least=48).select("symbol", AT, tidy("lei").alias("lei"))
+    return risk.liquidity_evaporation(d, keep=168, least=48).select("symbol", at(), tidy("lei").alias("lei"))
 
 
 _VENUE = """vp AS (SELECT l_partkey AS symbol, l_suppkey AS venue, avg(l_extendedprice / l_quantity) AS price FROM lineitem GROUP BY 1, 2)"""
@@ -197,7 +196,7 @@ def _contagion(spark, sf):
     d = bars(spark, sf).groupBy("symbol", F.date_trunc("day", "ts").alias("ts")).agg(
         (F.round(F.max("volume")).cast("long") % 50).cast("double").alias("vix"), (150 + F.count(F.lit(1)).cast("double") / 4).alias("usdjpy"), (4000 + F.avg("close")).alias("spx")
     )
-    return risk.contagion(d).select("symbol", AT, tidy("caci").alias("caci"))
+    return risk.contagion(d).select("symbol", at(), tidy("caci").alias("caci"))
 
 
 @query("cascade_risk", f"""WITH {BARS},
@@ -214,4 +213,4 @@ def _cascade(spark, sf):
         "symbol", "ts", ((F.col("close") - F.col("open")) / 50000).alias("funding"), (F.col("close") / F.col("open") - 1).alias("oi_change"), (F.col("volume") / 200).alias("vol_ratio"),
         ((F.col("high") - F.col("low")) / 500).alias("netflow"), ((F.col("close") - F.col("low")) / 100).alias("netflow_z"), F.col("trades").alias("large_tx"),
     )
-    return risk.cascade_risk(d).select("symbol", AT, tidy("risk").alias("risk"), "n_alerts")
+    return risk.cascade_risk(d).select("symbol", at(), tidy("risk").alias("risk"), "n_alerts")

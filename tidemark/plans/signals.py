@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import tidy
+from tidemark.functions.columns import at, tidy
 from tidemark.operators import fusion as fu, sentiment as se
 from tidemark.plans.collect import collector
 from tidemark.sources.fixtures import BARS, POSTS, bars, posts, table
 
 QUERIES, ORACLES, query = collector()
-AT = F.unix_micros("ts").alias("ts_us")
 
 
 # ---- fusion ----
@@ -45,7 +44,7 @@ def _dempster(spark, sf):
     a, b = F.col("a"), F.col("b")
     out = fu.dempster_shafer(_probs(spark, sf), [{1: a * 0.6, 2: (1 - a) * 0.3}, {1: b * 0.5, 4: F.lit(0.2), 6: F.lit(0.1)}])
     names = [f"{k}_{n}" for k in ("bel", "pl") for n in fu.NAMES.values()] + ["conflict", "uncertainty", "signal"]
-    return out.select("symbol", AT, *[tidy(n).alias(n) for n in names], "decision", "gate")
+    return out.select("symbol", at(), *[tidy(n).alias(n) for n in names], "decision", "gate")
 
 
 def _member(x: str, p: tuple) -> str:
@@ -72,7 +71,7 @@ def _fuzzy(spark, sf):
     b = bars(spark, sf)
     move = F.col("close") - F.col("open")
     inputs = {"rsi": F.least(F.lit(100.0), F.col("close") / 4), "momentum": move / 200, "volatility": (F.col("high") - F.col("low")) / 5000, "trend": move / 300}
-    return b.select("symbol", AT, tidy(fu.memberships(inputs)[("rsi", "oversold")]).alias("oversold"), tidy(fu.fuzzy_signal(inputs)).alias("signal"))
+    return b.select("symbol", at(), tidy(fu.memberships(inputs)[("rsi", "oversold")]).alias("oversold"), tidy(fu.fuzzy_signal(inputs)).alias("signal"))
 
 
 @query("ensemble_fusion", f"""WITH {BARS}, p AS (SELECT symbol, ts, [{_P['a']}, {_P['b']}, {_P['c']}] AS p FROM bars),
@@ -83,7 +82,7 @@ SELECT symbol, epoch_us(ts) AS ts_us, round(q, 4) + 0.0 AS p, round(greatest(0.0
   round(abs(q - 0.5) * 2, 4) + 0.0 AS strength, round(v, 4) + 0.0 AS votes, round(2 * abs(v - 0.5), 4) + 0.0 AS vote_agreement FROM l""")
 def _ensemble(spark, sf):
     out = _probs(spark, sf).select("symbol", "ts", fu.ensemble(F.array("a", "b", "c")).alias("e")).select("symbol", "ts", "e.*")
-    return out.select("symbol", AT, "direction", *[tidy(c).alias(c) for c in ("p", "agreement", "strength", "votes", "vote_agreement")])
+    return out.select("symbol", at(), "direction", *[tidy(c).alias(c) for c in ("p", "agreement", "strength", "votes", "vote_agreement")])
 
 
 @query("centroid_vote", """WITH v AS (SELECT vec_id, list_transform(embedding[1:15], lambda x: x::DOUBLE) AS x, label FROM embeddings),
@@ -120,7 +119,7 @@ SELECT symbol, epoch_us(ts) AS ts_us, duration, t AS tradable,
   round((greatest(-1.0, least(1.0, mom)) * w1 + greatest(-1.0, least(1.0, rev)) * w2 + greatest(-1.0, least(1.0, vol)) * w3) / (w1 + w2 + w3), 4) + 0.0 AS fused FROM w""")
 def _fusion(spark, sf):
     out = fu.regime_fusion(_regimes(spark, sf), {"mom": ("momentum", 1.2), "rev": ("mean_reversion", 1.0), "vol": ("volume", 0.8)}, least=2)
-    return out.select("symbol", AT, F.col("duration").cast("long").alias("duration"), "tradable", tidy("fused").alias("fused"))
+    return out.select("symbol", at(), F.col("duration").cast("long").alias("duration"), "tradable", tidy("fused").alias("fused"))
 
 
 # ---- sentiment ----
@@ -278,7 +277,7 @@ SELECT symbol, epoch_us(ts) AS ts_us, round(net, 4) + 0.0 AS net, round(greatest
 FROM f WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING)""")
 def _netflow(spark, sf):
     f = bars(spark, sf).select("symbol", "ts", F.col("high").alias("inflow"), F.col("low").alias("outflow"), F.col("close").alias("buys"), F.col("open").alias("sells"))
-    return se.netflow(f).select("symbol", AT, *[tidy(c).alias(c) for c in ("net", "net_z", "whale")])
+    return se.netflow(f).select("symbol", at(), *[tidy(c).alias(c) for c in ("net", "net_z", "whale")])
 
 
 @query("network_health", f"""WITH {BARS},
@@ -290,4 +289,4 @@ SELECT symbol, epoch_us(ts) AS ts_us, round(act, 4) + 0.0 AS activity, round(hr,
   round(0.3 * (act + 1) / 2 + 0.4 * least(1.0, hr) + 0.3 * cv, 4) + 0.0 AS health FROM s""")
 def _health(spark, sf):
     s = bars(spark, sf).select("symbol", "ts", F.col("volume").alias("addresses"), F.col("high").alias("hashrate"), F.col("low").alias("gas"), F.col("trades").alias("turnover"))
-    return se.network_health(s).select("symbol", AT, *[tidy(c).alias(c) for c in ("activity", "hash_ratio", "fee_pressure", "conviction", "health")])
+    return se.network_health(s).select("symbol", at(), *[tidy(c).alias(c) for c in ("activity", "hash_ratio", "fee_pressure", "conviction", "health")])

@@ -7,7 +7,7 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import clip, over, tidy
+from tidemark.functions.columns import at, clip, over, tidy
 from tidemark.operators import validation as va
 from tidemark.operators.statistics import log_return
 from tidemark.plans.collect import collector
@@ -15,7 +15,6 @@ from tidemark.plans.statistics import RETURNS
 from tidemark.sources.fixtures import BARS, bars, table
 
 QUERIES, ORACLES, query = collector()
-AT = F.unix_micros("ts").alias("ts_us")
 
 #: One series: strategy returns of the click symbol, numbered from 0.
 SERIES = f"""{BARS},
@@ -232,7 +231,7 @@ def _shadow(spark, sf):
 SELECT symbol, epoch_us(ts) AS ts_us, round(diff, 4) + 0.0 AS diff, match, round(lr, 4) + 0.0 AS latency_ratio, round(miss, 4) + 0.0 AS mismatch,
   concat_ws(',', CASE WHEN diff > 0.1 THEN 'signal_diff' END, CASE WHEN lr > 2 THEN 'latency' END, CASE WHEN n >= 100 AND miss > 0.05 THEN 'regime_mismatch' END) AS alerts FROM d""")
 def _compare(spark, sf):
-    return _shadow(spark, sf).select("symbol", AT, tidy("diff").alias("diff"), "match", tidy("latency_ratio").alias("latency_ratio"), tidy("mismatch").alias("mismatch"), "alerts")
+    return _shadow(spark, sf).select("symbol", at(), tidy("diff").alias("diff"), "match", tidy("latency_ratio").alias("latency_ratio"), tidy("mismatch").alias("mismatch"), "alerts")
 
 
 @query("shadow_report", f"""WITH {_SHADOW}
@@ -265,4 +264,4 @@ s AS (SELECT *, CASE WHEN n = 14 THEN CASE WHEN dn = 0 THEN 100.0 ELSE 100 - 100
 e AS (SELECT *, CASE WHEN rsi < 30 THEN 1.0 WHEN rsi > 70 THEN -1.0 ELSE 0.0 END AS side FROM s)
 SELECT symbol, epoch_us(ts) AS ts_us, side::DOUBLE AS side, round(side * nx, 4) + 0.0 AS earned FROM e""")
 def _baseline(spark, sf):
-    return va.baseline_strategy(bars(spark, sf)).select("symbol", AT, "side", tidy("earned").alias("earned"))
+    return va.baseline_strategy(bars(spark, sf)).select("symbol", at(), "side", tidy("earned").alias("earned"))
