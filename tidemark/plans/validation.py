@@ -139,15 +139,18 @@ def _deflated(spark, sf):
 
 
 def _excess(spark, sf):
+    """Returns of all symbols over the length that all have, numbered from 0, and that length."""
     r = log_return(bars(spark, sf)).select(F.col("symbol").alias("strategy"), "ts", F.col("ret").alias("x"))
-    r = r.withColumn("i", F.row_number().over(over(by=("strategy",))) - 1).where("i < 640")
-    return r.select("strategy", F.col("i").cast("long").alias("i"), "x")
+    n = r.groupBy("strategy").count().agg(F.min("count")).collect()[0][0]
+    r = r.withColumn("i", F.row_number().over(over(by=("strategy",))) - 1).where(F.col("i") < n)
+    return r.select("strategy", F.col("i").cast("long").alias("i"), "x"), n
 
 
 @query("bootstrap_test", f"""WITH {RETURNS},
-e AS (SELECT * FROM (SELECT symbol AS strategy, ret AS x, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS i FROM rets) WHERE i < 640),
-dr AS (
-  SELECT rep, (rep * 48271 + b * 69621 + 12345 + rep * b * 7919) % (640 - 25 + 1) + k AS i FROM range(200) r(rep), range(25) s(b), range(25) u(k)),
+p AS (SELECT min(c) AS n, CAST(floor(sqrt(min(c))) AS BIGINT) AS blk FROM (SELECT count(*) AS c FROM rets GROUP BY symbol)),
+e AS (SELECT strategy, x, i FROM (SELECT symbol AS strategy, ret AS x, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS i FROM rets), p WHERE i < n),
+g AS (SELECT rep, b, n, blk FROM (SELECT unnest(range(200)) AS rep, n, blk FROM p), LATERAL (SELECT unnest(range(n // blk)) AS b)),
+dr AS (SELECT rep, (rep * 48271 + b * 69621 + 12345 + rep * b * 7919) % (n - blk + 1) + k AS i FROM g, LATERAL (SELECT unnest(range(blk)) AS k)),
 o AS (SELECT strategy, avg(x) AS mean, avg(x) / (stddev_samp(x) / sqrt(count(*))) AS stat FROM e GROUP BY strategy),
 bo AS (SELECT strategy, rep, avg(x) AS m, stddev_samp(x) / sqrt(count(*)) AS se FROM dr JOIN e USING (i) GROUP BY 1, 2),
 t AS (SELECT strategy, rep, stat, m / se AS plain, (m - mean) / se AS cen FROM bo JOIN o USING (strategy)),
@@ -155,8 +158,8 @@ b AS (SELECT avg((top >= (SELECT max(stat) FROM o))::INT) AS p_best FROM (SELECT
 SELECT strategy, round(any_value(stat), 4) + 0.0 AS stat, round(avg((plain >= stat)::INT), 4) + 0.0 AS p_white, round(avg((0.0 >= stat)::INT), 4) + 0.0 AS p_spa,
   round(avg((cen >= stat)::INT), 4) + 0.0 AS p_centred, round(any_value(p_best), 4) + 0.0 AS p_best FROM t, b GROUP BY strategy""")
 def _bootstrap(spark, sf):
-    out = va.bootstrap_test(_excess(spark, sf), 640, 200, 25)
-    return out.select("strategy", *[tidy(c).alias(c) for c in ("stat", "p_white", "p_spa", "p_centred", "p_best")])
+    excess, n = _excess(spark, sf)
+    return va.bootstrap_test(excess, n, 200).select("strategy", *[tidy(c).alias(c) for c in ("stat", "p_white", "p_spa", "p_centred", "p_best")])
 
 
 @query("family_wise_error", """WITH p AS (SELECT n_name AS name, (n_nationkey * n_nationkey * 7 % 500) / 5000.0 AS p FROM nation),
