@@ -34,8 +34,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and the digests of ids and decoded text, in the mixed order."""
-    return bpe.round_trip(docs)
+    """doc_id, mix_at (by which rows sort in the mixed order), n_tokens and the digests of ids and decoded text."""
+    return bpe.round_trip(docs.withColumn("mix_at", mixing.stored_order()), keep=("mix_at",))
 
 
 STAGES = [

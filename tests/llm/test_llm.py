@@ -412,5 +412,23 @@ def test_pipeline_against_brute_force(spark, tmp_path):
         assert got[r[0]]["decoded_sha256"] == hashlib.sha256(r[1].encode()).hexdigest()
 
 
+def test_pipeline_keeps_the_mixed_order(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    # files of unlike sizes: Spark reads the largest first
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(1 + (i % 5 == 0) * 200)), "en", f"s{i % 5 if i % 3 else 0}", 1) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    want = [r["doc_id"] for r in mixing.mix(docs).orderBy("mix_unit", "mix_slot", "mix_at").select("doc_id").collect()]
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(coalesce)
+    try:
+        spark.conf.set(coalesce, "false")
+        corpus_pipeline.mix_sources(spark, docs, "").write.option("maxRecordsPerFile", 150).parquet(str(tmp_path / "mixed"))
+    finally:
+        spark.conf.set(coalesce, before)
+    assert len(list((tmp_path / "mixed").glob("*.parquet"))) > 4
+    got = corpus_pipeline.encode(spark, spark.read.parquet(str(tmp_path / "mixed")), "").collect()
+    assert [r["doc_id"] for r in sorted(got, key=lambda r: r["mix_at"])] == want and [r["doc_id"] for r in got] != want
+
+
 def test_registered_queries():
     assert len([q for q in queries.QUERIES if re.match(r"op\d+_", q)]) == 10 and set(queries.ORACLES) <= set(queries.QUERIES)

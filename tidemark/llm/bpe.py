@@ -176,10 +176,10 @@ def decode(encoded: DataFrame, path: str | None = None, id_col: str = "doc_id")
     return encoded.select(id_col, "ids").mapInArrow(run, schema)
 
 
-def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256: ids are encoded, digested and decoded in one pass."""
-    path = path or vocabulary_path()
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+def round_trip(docs: DataFrame, path: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns of ``keep``, n_tokens, ids_sha256 and decoded_sha256: ids are encoded, digested and decoded in one pass."""
+    path, keep = path or vocabulary_path(), ("doc_id", *keep)
+    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(path)
@@ -189,9 +189,9 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
                 n.append(len(ids))
                 a.append(hashlib.sha256(",".join(map(codec.names.__getitem__, ids)).encode()).hexdigest())
                 b.append(hashlib.sha256(codec.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in keep), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=schema.names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select(*keep, "text").mapInArrow(run, schema)
 
 
 def count_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:

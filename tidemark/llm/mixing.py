@@ -132,5 +132,16 @@ def mix(docs: DataFrame, target: dict[str | None, float] | None = None, key: str
 
 
 def in_mixed_order(docs: DataFrame, target: dict[str | None, float] | None = None, key: str = "source") -> DataFrame:
-    """The documents, all of them and unchanged, in the order of the mix (files in order hold it)."""
+    """The documents, all of them and unchanged, in the order of the mix; ``stored_order`` tells it once they are written."""
     return _mixed(docs, target, key, SLOTS, BLOCK).orderBy("mix_unit", "mix_slot", "mix_at").select("row.*")
+
+
+def stored_order() -> Column:
+    """A long by which the rows of a Parquet table that Spark wrote sort as they were written.
+
+    Reading doesn't keep that order: tasks take files by size and parts of large files. Of the
+    bits 20 hold the number of the task that wrote the file, 10 the file's among its task's, 33
+    the row's.
+    """
+    number = lambda pattern: F.regexp_extract("_metadata.file_name", pattern, 1).cast("long")
+    return F.shiftleft(number(r"part-(\d+)-"), 43) + F.shiftleft(number(r"-c(\d+)\."), 33) + F.col("_metadata.row_index")
