@@ -381,6 +381,25 @@ def test_few_vectors(spark):
     assert ann.search(df.limit(0), df).count() == 0
 
 
+@pytest.mark.parametrize("n, queries, d", [(700, 333, 32), (517, 7, 64), (1024, 50, 16), (300, 40, 5), (900, 3, 100)])
+def test_scan_keeps_hot_copies(n, queries, d):
+    draw = np.random.default_rng(n)
+    x = draw.standard_normal((n, d)).astype(np.float32).astype(float)
+    x[draw.permutation(n)[: n // 3]] = x[0]
+    asked = np.concatenate([np.repeat(x[:1], queries - queries // 2, axis=0), draw.standard_normal((queries // 2, d)) * 0.3 + x[0]])
+    ids = draw.permutation(n)
+    turn = ann.rotation(d)
+    # products of matrices of other shapes differ by about as much as this
+    noise = lambda *shape: 1 + draw.uniform(-1, 1, shape) * 1e-15
+    turned, turned_asked = (x @ turn) * noise(n, d), (asked @ turn) * noise(queries, d)
+    copies = np.sort(ids[(x == x[0]).all(axis=1)])[:10].tolist()
+    for i, q in enumerate(asked):
+        found, score = ann.scan(x, turned, ids, q, turned_asked[i], -1, 10)
+        distance = np.sqrt(((x - q) ** 2).sum(axis=1))
+        if i < queries - queries // 2 or distance.min() == distance[0]:
+            assert found.tolist() == copies and score == pytest.approx(distance[[0] * 10])
+
+
 # ---- pipeline ----
 
 

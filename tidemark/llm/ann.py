@@ -5,7 +5,9 @@ centroid and a query probes the ``PROBED`` share of lists nearest to it (high by
 are rotated by a random orthogonal matrix, so that any first k dimensions hold about k/d of a
 distance, and scanned in blocks of columns: after each block a candidate whose partial
 distance, scaled up, exceeds the tenth best so far by more than the test allows is given up.
-Survivors are measured exactly, in double precision on the original vectors.
+Survivors are measured exactly, in double precision on the original vectors; every test allows
+for the rounding of rotated vectors and for the partial distances of the ten best so far, so
+that copies of the query and of those ten always survive and ties go by id.
 
 Long lists (a hot vector) are cut into blocks of about ``LIST_ROWS`` rows and queries visit
 each block, so no task holds a whole list.
@@ -31,6 +33,8 @@ SAMPLE_ROWS = 16_384
 LIST_ROWS = 1024
 PROBED = 0.7
 COLUMNS = 16
+#: Rounding of a squared distance between rotated vectors, as a share of the square of their norms' sum; far above what doubles lose.
+ROUNDING = 1e-9
 #: Width of the hypothesis test, in standard deviations of a partial distance's estimate.
 SPREAD = 2.1
 
@@ -78,23 +82,30 @@ def rotation(d: int, seed: int = 11) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def scan(base: np.ndarray, turned: np.ndarray, ids: np.ndarray, query: np.ndarray, turned_query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and exact distances of the k nearest rows of a block."""
+def largest_norm(x: np.ndarray) -> float:
+    return float(np.sqrt(np.einsum("ij,ij->i", x, x).max()))
+
+
+def scan(base: np.ndarray, turned: np.ndarray, ids: np.ndarray, query: np.ndarray, turned_query: np.ndarray, own: int, k: int, norm: float | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and exact distances of the k nearest rows of a block; norm: the largest of its rows'."""
     d = turned.shape[1]
     live = np.flatnonzero(ids != own)
     if len(live) > 4 * k:
         # the first rows set the threshold; the others must pass the tests
         head = live[: 4 * k]
         full = ((turned[head] - turned_query) ** 2).sum(axis=1)
-        limit = np.partition(full, k - 1)[k - 1]
+        best = np.argpartition(full, k - 1)[:k]
+        limit, best, reached = full[best].max(), head[best], np.zeros(k)
+        slack = ROUNDING * (np.sqrt(query @ query) + (largest_norm(base) if norm is None else norm)) ** 2
         live, part = live[4 * k :], np.zeros(len(live) - 4 * k)
         for to in range(COLUMNS, d + COLUMNS, COLUMNS):
             cols = slice(to - COLUMNS, min(to, d))
             part = part + ((turned[live, cols] - turned_query[cols]) ** 2).sum(axis=1)
+            reached = reached + ((turned[best, cols] - turned_query[cols]) ** 2).sum(axis=1)
             done = min(to, d)
             # at the last block the test is exact, but for rounding
-            most = limit * (1 + 1e-9) if done == d else limit * done / d * (1 + SPREAD / np.sqrt(done)) ** 2
-            keep = part <= most
+            most = limit * (1 + 1e-9) if done == d else max(limit * done / d * (1 + SPREAD / np.sqrt(done)) ** 2, reached.max())
+            keep = part <= most + slack
             live, part = live[keep], part[keep]
         live = np.concatenate([head, live])
     score = np.sqrt(((base[live] - query) ** 2).sum(axis=1))
@@ -140,8 +151,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
         turn = rotation(d)
         x, ids = np.stack(base["embedding"].to_numpy()), base["vec_id"].to_numpy()
         q = np.stack(query["embedding"].to_numpy())
-        tx, tq = x @ turn, q @ turn
-        found = [(own, *scan(x, tx, ids, q[i], tq[i], own, k)) for i, own in enumerate(query["vec_id"].to_numpy())]
+        tx, tq, norm = x @ turn, q @ turn, largest_norm(x)
+        found = [(own, *scan(x, tx, ids, q[i], tq[i], own, k, norm)) for i, own in enumerate(query["vec_id"].to_numpy())]
         return pd.DataFrame({"query_id": np.concatenate([np.full(len(v), o) for o, v, _ in found]), "vec_id": np.concatenate([v for _, v, _ in found]), "score": np.concatenate([s for _, _, s in found])})
 
     best = indexed.groupBy("list", "block").cogroup(asked.groupBy("list", "block")).applyInPandas(near, out_schema)
