@@ -344,6 +344,45 @@ def test_mix_keeps_rows_and_deviates_by_less_than_a_block(spark):
     assert [r["doc_id"] for r in same] == [r["doc_id"] for r in got]
 
 
+def mixed_blocks(df, target=None) -> list[tuple]:
+    """Source of each block of 20 rows, in the order of the mix."""
+    got = mixing.mix(df, target, block=20).orderBy("mix_unit", "mix_slot", "mix_at").collect()
+    assert len({(r["mix_unit"], r["mix_slot"]) for r in got if r["mix_at"] == 0}) == len({(r["mix_unit"], r["mix_slot"]) for r in got})
+    assert sorted(r["doc_id"] for r in got) == list(range(df.count()))
+    return [r["source"] for r in got if r["mix_at"] == 0]
+
+
+def most_off(blocks: list, shares: dict, until: int) -> float:
+    done, most = Counter(), 0.0
+    for n, source in enumerate(blocks[:until], 1):
+        done[source] += 1
+        most = max(most, max(abs(done[s] - n * w) for s, w in shares.items()))
+    return most
+
+
+@pytest.mark.parametrize("parts", [[1, 2, 4], [1] * 7, [1, 3, 3], [1, 150, 300]])
+def test_mix_keeps_to_weights_that_no_unit_divides(spark, parts):
+    shares = {f"s{i}": p / sum(parts) for i, p in enumerate(parts)}
+    rows = [(i, f"s{i % len(parts)}") for i in range(28_000)]
+    blocks = mixed_blocks(spark.createDataFrame(rows, "doc_id long, source string"), shares)
+    until = int(28_000 / len(parts) / 20 / max(shares.values())) - 2
+    assert most_off(blocks, shares, until) < 1
+
+
+def test_mix_of_a_thousand_sources(spark):
+    rows = [(i, "hot" if i < 20_000 else f"s{i % 1000}") for i in range(60_000)]
+    blocks = mixed_blocks(spark.createDataFrame(rows, "doc_id long, source string"))
+    total = 20_000**0.5 + 1000 * 40**0.5
+    shares = {"hot": 20_000**0.5 / total} | {f"s{i}": 40**0.5 / total for i in range(1000)}
+    assert most_off(blocks, shares, int(1.9 * total / 40**0.5)) < 2
+
+
+def test_sources_without_a_target_come_last(spark):
+    rows = [(i, f"s{i % 4}") for i in range(800)]
+    blocks = mixed_blocks(spark.createDataFrame(rows, "doc_id long, source string"), {"s0": 0.7, "s1": 0.3, "s2": 0.0})
+    assert set(blocks[:20]) == {"s0", "s1"} and Counter(blocks[20:]) == {"s2": 10, "s3": 10}
+
+
 def test_mix_edge_cases(docs, empty):
     assert mixing.in_mixed_order(docs).columns == docs.columns
     assert Counter(r["doc_id"] for r in mixing.in_mixed_order(docs).collect()) == Counter(r[0] for r in corpus())

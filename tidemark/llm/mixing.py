@@ -1,17 +1,21 @@
-"""Mixing sources to target weights by Pfair scheduling, in DataFrame functions only.
-
-Documents of a source are shuffled by hash and dealt into blocks. With integer weights a_s that
-sum to Q, block k (from 0) of a unit of Q slots has release floor(k*Q/a_s) and deadline
-ceil((k+1)*Q/a_s); in each slot the released block with the earliest deadline goes next. Within
-a unit every source then stays less than one block from its target share, and each unit ends
-with exactly a_s blocks of every source, so all units of the same set of sources are alike: one
-unit is scheduled for each set (sources leave in the order in which they run dry, after
-ceil(blocks / a_s) units), by a fold over Q slots of one row a set. Documents find their slot
-by a join with that table, whose size is sources**2 * Q at most whatever the corpus holds.
-
-In the last unit of a source the blocks that it lacks are skipped; the others keep their order.
-No document is dropped or repeated: the weights say how the sources interleave, for as long as
-each lasts.
+"""Mixing sources to target weights by a tree of two-way splits, in DataFrame functions only.
+
+Documents of a source are shuffled by hash and dealt into blocks. Sources lie on a line, each as
+long as its weight, in the order in which they run dry; halving the line again and again until
+each middle is alone makes a binary tree. Of the first j slots of a node its left child, with the
+share r of the node's weight, has floor(j * r + 1/2), the right child the others. So block k of a
+left child sits in its parent's slot ceil((k + 1/2) / r) - 1, of a right child (share r) in slot
+floor((k + 1/2) / r), and a block's slot in the whole mix follows from its number and its source's
+path alone: nothing is scheduled in sequence, and rounding doesn't add up along the run. Against
+its exact target a source deviates by half a block at each split, less those far above it, whose
+share in it is small: by less than a block for three sources or for any number of like ones, and
+by about two at most.
+
+Weights are integers with a sum of about 2 ** 40. Slots go on as if no source ended; those of
+blocks that a source lacks are skipped and the others keep their order, so that the sources that
+last share by their weights. A source whose target is 0 or missing comes after all others. No
+document is dropped or repeated: the weights say how the sources interleave, for as long as each
+lasts.
 
 Cases: a null source is a source of its own; ties of the shuffle are broken by doc_id; rows
 repeated whole keep one place each; an empty table gives an empty result.
@@ -25,14 +29,22 @@ from tidemark.llm.common import shuffle_partitions
 
 #: Temperature of the default weights: a source's share is proportional to rows ** ALPHA.
 ALPHA = 0.5
-#: Slots of a unit, about: the resolution of the weights.
+#: Slots of a unit, in which slots are counted; it has no effect on the order.
 SLOTS = 200
 #: Documents a block.
 BLOCK = 64
+#: Bits of the weights' sum. Middles of sources are apart by half a weight at least, so some halvings more split all.
+BITS, DEPTH = 40, 44
+
+
+#: The slot of a source's block k: from its own number up to the root.
+_SLOT = """aggregate(path, {k}, (k, x) -> if(x.left,
+    ((2 * cast(k AS decimal(20, 0)) + 1) * x.of + 2 * x.w - 1) div (2 * x.w) - 1,
+    ((2 * cast(k AS decimal(20, 0)) + 1) * x.of) div (2 * x.w)))"""
 
 
-def source_weights(keyed: DataFrame, target: dict[str | None, float] | None = None, slots: int = SLOTS, block: int = BLOCK) -> DataFrame:
-    """source_key, a (integer weight, at least 1), units (in which the source has blocks), begins (units in which sets change).
+def source_paths(keyed: DataFrame, target: dict[str | None, float] | None = None, block: int = BLOCK) -> DataFrame:
+    """source_key, path (its splits, from the lowest up) and base (slots before its first).
 
     One row a source: what windows over all of them gather is as small as the list of sources.
     """
@@ -43,11 +55,19 @@ def source_weights(keyed: DataFrame, target: dict[str | None, float] | None = No
         share = F.lit(0.0)
         for source, weight in target.items():
             share = F.when(F.col("source_key") == _key(F.lit(source)), F.lit(float(weight))).otherwise(share)
-    every = W.partitionBy(F.lit(0))
-    blocks = F.ceil(F.col("n") / block).cast("long")
-    weights = counts.select("source_key", blocks.alias("blocks"), F.greatest(F.lit(1), F.round(share / F.sum(share).over(every) * slots)).cast("long").alias("a"))
-    weights = weights.select("source_key", "a", F.ceil(F.col("blocks") / F.col("a")).cast("long").alias("units"))
-    return weights.withColumn("begins", F.sort_array(F.array_union(F.array(F.lit(0).cast("long")), F.collect_set("units").over(every))))
+    group = W.partitionBy("rest")
+    line = group.orderBy(F.col("blocks") / F.col("a"), "source_key").rowsBetween(W.unboundedPreceding, 0)
+    sources = counts.select("source_key", "n", F.ceil(F.col("n") / block).cast("long").alias("blocks"), share.alias("share"))
+    sources = sources.withColumn("rest", F.col("share") <= 0).withColumn("share", F.when(F.col("rest"), F.col("n").cast("double")).otherwise(F.col("share")))
+    sources = sources.withColumn("a", F.greatest(F.lit(1), F.round(F.col("share") / F.sum("share").over(group) * (1 << BITS))).cast("long"))
+    sources = sources.withColumn("middle", (F.sum("a").over(line) - F.col("a") / 2) / F.sum("a").over(group))
+    cells = sources.withColumn("depth", F.explode(F.sequence(F.lit(0), F.lit(DEPTH)))).withColumn("cell", F.floor(F.col("middle") * F.pow(F.lit(2.0), F.col("depth"))))
+    cells = cells.withColumn("w", F.sum("a").over(W.partitionBy("rest", "depth", "cell")).cast("decimal(14,0)"))
+    nodes = F.array_sort(F.collect_list(F.struct("depth", (F.col("cell") % 2 == 0).alias("left"), "w"))).alias("nodes")
+    path = "filter(transform(sequence({0}, 1, -1), d -> struct(nodes[d].left AS left, nodes[d].w AS w, nodes[d - 1].w AS of)), x -> x.w < x.of)".format(DEPTH)
+    paths = cells.groupBy("source_key", "rest", "blocks").agg(nodes).withColumn("path", F.expr(path))
+    last = F.max(F.when(~F.col("rest"), F.expr(_SLOT.format(k="blocks - 1")))).over(W.partitionBy(F.lit(0)))
+    return paths.withColumn("last", last).select("source_key", "path", F.when(F.col("rest"), F.coalesce(F.col("last") + 1, F.lit(0))).otherwise(0).cast("long").alias("base"))
 
 
 def _key(source: Column) -> Column:
@@ -68,9 +88,9 @@ def _earliest(member: Column, done: Column, slot: Column, q: Column) -> Column:
 
 
 def schedules(weights: DataFrame) -> DataFrame:
-    """since_unit, source_key, k, mix_slot: one unit's slots for each set of sources.
+    """since_unit, source_key, k, mix_slot: slots by Pfair scheduling (earliest deadline first) of one unit of small integer weights.
 
-    The set in force from a unit on holds the sources with more units than that.
+    The mix doesn't need it; its deviation of less than a block is what splits are held against. The set in force from a unit on holds the sources with more units than that.
     """
     sets = (
         weights.select(F.explode(F.filter("begins", lambda b: b < F.col("units"))).alias("since_unit"), F.struct("source_key", "a").alias("m"))
@@ -116,14 +136,12 @@ def _numbered(keyed: DataFrame) -> DataFrame:
 def _mixed(docs: DataFrame, target: dict[str | None, float] | None, key: str, slots: int, block: int) -> DataFrame:
     """row (all columns of docs), mix_unit, mix_slot, mix_at."""
     keyed = docs.select(F.struct(*docs.columns).alias("row"), _key(F.col(key)).alias("source_key"))
-    weights = source_weights(docs.select(_key(F.col(key)).alias("source_key")), target, slots, block)
-    # both tables have a bounded size: one row a source, and sources**2 times the slots of a unit
-    placed = _numbered(keyed).join(F.broadcast(weights), "source_key")
-    number = F.floor(F.col("place") / block)
-    placed = placed.select(
-        "row", "source_key", F.floor(number / F.col("a")).alias("mix_unit"), F.pmod(number, F.col("a")).alias("k"), F.pmod("place", F.lit(block)).cast("int").alias("mix_at"), "begins"
-    ).withColumn("since_unit", F.array_max(F.filter("begins", lambda b: b <= F.col("mix_unit"))))
-    return placed.join(F.broadcast(schedules(weights)), ["since_unit", "source_key", "k"]).select("row", "mix_unit", "mix_slot", "mix_at")
+    paths = source_paths(docs.select(_key(F.col(key)).alias("source_key")), target, block)
+    # one row a source
+    placed = _numbered(keyed).join(F.broadcast(paths), "source_key").withColumn("number", F.floor(F.col("place") / block))
+    slot = (F.col("base") + F.expr(_SLOT.format(k="number"))).alias("slot")
+    placed = placed.select("row", slot, F.pmod("place", F.lit(block)).cast("int").alias("mix_at"))
+    return placed.select("row", F.floor(F.col("slot") / slots).alias("mix_unit"), F.pmod("slot", F.lit(slots)).cast("long").alias("mix_slot"), "mix_at")
 
 
 def mix(docs: DataFrame, target: dict[str | None, float] | None = None, key: str = "source", slots: int = SLOTS, block: int = BLOCK) -> DataFrame:
