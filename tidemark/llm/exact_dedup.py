@@ -11,7 +11,7 @@
 
 Cases: null text counts as empty; empty texts equal each other; of equal texts the one with
 most code points in the original stays, ties to the smaller id; a row repeated with the same
-id counts again; a null id counts as an id like others.
+id counts again; ids may be of any type that sorts, and a null id counts as the smallest.
 An empty table gives an empty result; columns besides id and text are ignored.
 """
 
@@ -158,11 +158,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # byte verification: the suspects' texts, grouped by their bytes; copies combine before the shuffle
     bare = F.translate(F.coalesce("text", F.lit("")), SPACES, "")
     texts = rows.join(suspects, rows["row_id"].eqNullSafe(suspects["suspect"])).select(
-        "text_sha256", bare.alias("bytes"), F.struct(F.length(F.coalesce("text", F.lit(""))).alias("points"), (-F.col("row_id")).alias("least")).alias("place")
+        "text_sha256", bare.alias("bytes"), F.struct((-F.length(F.coalesce("text", F.lit("")))).alias("fewer"), F.col("row_id").alias("least")).alias("place")
     )
-    same = texts.groupBy("text_sha256", "bytes").agg(F.max("place").alias("best"), F.count(F.lit(1)).alias("n"))
+    same = texts.groupBy("text_sha256", "bytes").agg(F.min("place").alias("best"), F.count(F.lit(1)).alias("n"))
     same = same.where((F.col("n") > 1) & (F.sha2("bytes", 256) == F.col("text_sha256")))
-    groups = same.select(F.col("text_sha256").alias("same"), (-F.col("best.least")).alias("keep"), F.col("n").alias("size"))
+    groups = same.select(F.col("text_sha256").alias("same"), F.col("best.least").alias("keep"), F.col("n").alias("size"))
     groups = write_and_reread(groups, "groups")
     return prints.join(groups, prints["text_sha256"] == groups["same"], "left").select(
         F.col("row_id").alias(id_col),
