@@ -1,16 +1,20 @@
 """License scans by diagonal voting, in DataFrame functions only.
 
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z. Every rolling 2-gram
-of a document is hashed and joined to the positions of the templates' 2-grams. Hits are
-counted by diagonal (place in the document minus place in the template). A diagonal that holds
-all 2-grams of a phrase is a place where the phrase stands. For longer templates, diagonals
-that lie near each other (words put in or left out move later hits to a neighbour) merge into
-one span, and a span is verified by the share of the template's 2-grams that it holds and by
-its length.
-
-The templates are fixed, few and shorter than 64 words, so their table is broadcast. Each hit is checked against a
-second hash of the same 2-gram. Nothing is grouped across documents, so a passage that many
-documents share makes no large group; repeats within one document count as places of their own.
+of a document is hashed and joined to the positions of the templates' 2-grams. Hits vote for
+their diagonal (place in the document minus place in the template); a diagonal's votes are the
+set of template positions that it holds, so a phrase that repeats votes once. A diagonal that
+holds all 2-grams of a phrase is a place where the phrase stands. For notices each diagonal
+merges with those up to ``NEAR`` words to its right (words put in move later hits there; words
+left out move them to the left, where the merge begins): the union of their positions is a span,
+which is verified by the share of the template's positions that it holds. A span reaches over
+``NEAR`` diagonals and no farther, however many lie side by side, so its hits stand in the
+template's order but for ``NEAR`` words.
+
+The templates are fixed, few and of at most 63 words (a longer notice is several templates), so
+their table is broadcast. Each hit is checked against a second hash of the same 2-gram. Nothing
+is grouped across documents, so a passage that many documents share makes no large group;
+repeats within one document count as places of their own.
 
 Cases: null text counts as empty; a text with fewer than two words has no hit; rows that share
 a doc_id are told apart by a hash of the text, and equal rows by their count.
@@ -24,22 +28,31 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 # ---- fixed values: base phrases and their labels, as the contract states them ----
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
-# ---- fixed values: openings of public license notices ----
+# ---- fixed values: passages of public licenses and their usual notices ----
 NOTICES = (
     ("licensed under the apache license version 2 0", "apache-2.0"),
+    ("you may not use this file except in compliance with the license", "apache-2.0"),
+    ("unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", "apache-2.0"),
     ("released under the mit license", "mit"),
-    ("permission is hereby granted free of charge to any person obtaining a copy of this software", "mit"),
+    ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", "mit"),
+    ("the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "mit"),
+    ("the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement", "mit"),
+    ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "isc"),
     ("redistribution and use in source and binary forms with or without modification are permitted", "bsd"),
+    ("redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", "bsd"),
+    ("neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "bsd"),
     ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "gpl"),
+    ("this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose", "gpl"),
+    ("you should have received a copy of the gnu general public license along with this program", "gpl"),
     ("this work is licensed under the gnu general public license version 3", "gpl-3.0"),
     ("licensed under cc by nc 4 0", "cc-by-nc-4.0"),
     ("this work is licensed under a creative commons attribution 4 0 international license", "cc-by-4.0"),
     ("mozilla public license v 2 0", "mpl-2.0"),
-    ("you may not use this file except in compliance with the license", "apache-2.0"),
+    ("this source code form is subject to the terms of the mozilla public license", "mpl-2.0"),
 )
-#: A notice's span must hold this share of its 2-grams, and be at most this many times its length.
-SHARE, STRETCH = 0.8, 1.5
-#: Diagonals this far apart at most belong to one span.
+#: A notice's span must hold this share of its 2-grams.
+SHARE = 0.8
+#: Diagonals that a span reaches over, besides its first.
 NEAR = 3
 
 _BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -77,32 +90,23 @@ def hits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def spans(found: DataFrame) -> DataFrame:
-    """Verified spans: row_id, row_hash, template, label, base, start, stop (last word), share; own rows pass with template null.
+    """Verified spans: row_id, row_hash, template, label, base, start (of the first diagonal), share; own rows pass with template null.
 
-    ``copies`` is the number of equal rows, which all have the same hits.
+    ``times`` of an own row is the number of equal rows, which all have the same hits.
     """
     key = ["row_id", "row_hash", "n_words"]
-    votes = found.groupBy(*key, "template", "label", "base", "grams", "diagonal").agg(
-        F.bit_count(F.bit_or(F.expr("shiftleft(1L, at)"))).cast("long").alias("votes"), F.min("at").alias("low"), F.max("at").alias("high"), F.count(F.lit(1)).alias("times")
-    )
-    # merge neighbouring diagonals of notices: a gap of more than NEAR begins a new span
-    w = W.partitionBy(*key, "template").orderBy("diagonal")
-    fresh = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(w) > NEAR).cast("int"), F.lit(1))
-    grouped = votes.withColumn("span", F.when(F.coalesce("base", F.lit(True)), F.col("diagonal")).otherwise(F.sum(fresh).over(w)))
-    merged = grouped.groupBy(*key, "template", "label", "base", "grams", "span").agg(
-        F.sum("votes").alias("votes"), F.max("times").alias("times"), F.min(F.col("diagonal") + F.col("low")).alias("start"), F.max(F.col("diagonal") + F.col("high") + 1).alias("stop")
-    )
-    share = F.least(F.lit(1.0), F.col("votes") / F.col("grams"))
-    good = F.when(F.col("template").isNull(), F.lit(True)).when(F.col("base"), F.col("votes") == F.col("grams")).otherwise(
-        (share >= SHARE) & (F.col("stop") - F.col("start") <= STRETCH * F.col("grams") + 1)
-    )
-    return merged.withColumn("share", share).where(good)
+    votes = found.groupBy(*key, "template", "label", "base", "grams", "diagonal").agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("places"), F.count(F.lit(1)).alias("times"))
+    near = W.partitionBy(*key, "template").orderBy("diagonal").rangeBetween(0, NEAR)
+    merged = votes.withColumn("held", F.when(F.coalesce("base", F.lit(True)), F.col("places")).otherwise(F.bit_or("places").over(near)))
+    share = F.bit_count("held") / F.col("grams")
+    least = F.when(F.col("base"), 1.0).otherwise(SHARE)
+    return merged.withColumn("share", share).withColumn("start", F.col("diagonal")).where(F.col("template").isNull() | (F.col("share") >= least))
 
 
 def license_report(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """One row a document: id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    The score is the best share of a template that a span holds (1 where a base phrase stands).
+    The score is the best share of a template that a span holds (1 where a base phrase stands); labels are those of all spans.
     """
     s = spans(hits(docs, id_col))
     base = F.col("base")
