@@ -1,19 +1,20 @@
 """Recursive operators: one pure step function each, shared by the batch and the streaming driver.
 
 A step takes (state, inputs) and returns (state, outputs). State is None before the first row
-and otherwise a JSON-able list, so the same function runs in ``applyInPandas`` over ordered
-groups and in Structured Streaming over keyed state. A null output means "not warmed up".
+and otherwise a JSON-able list, so the same function runs over ordered partitions in batch and
+over keyed state in Structured Streaming. A null output means "not warmed up".
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_right, insort
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import partial
 
-import pandas as pd
-from pyspark.sql import DataFrame, types as T
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F, types as T
 
 Step = Callable[[list | None, tuple], tuple[list, tuple]]
 
@@ -33,24 +34,39 @@ def scan(df: DataFrame, recurrence: Recurrence, by: str = "symbol", order: Seque
 
 
 def scan_all(df: DataFrame, recurrences: Sequence[Recurrence], by: str = "symbol", order: Sequence[str] = ("ts",)) -> DataFrame:
-    """Several recurrences over the same groups in one shuffle."""
+    """Several recurrences over the same groups in one shuffle.
+
+    A key's rows are sorted by Spark, which spills, and stream through its task in Arrow batches
+    with the states carried from batch to batch, so a task's memory doesn't grow with a key's
+    history. Rows of one key are stepped through one after the other, as a recurrence demands.
+    """
     need = list(dict.fromkeys(c for r in recurrences for c in r.inputs))
     keep = [by, *order]
     part = df.select(*keep, *[c for c in need if c not in keep])
-    schema = T.StructType([part.schema[c] for c in keep] + [T.StructField(o, T.DoubleType()) for r in recurrences for o in r.outputs])
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(list(order), kind="stable")
-        out = {c: rows[c] for c in keep}
-        for r in recurrences:
-            state, made = None, []
-            for x in zip(*[rows[c].to_numpy() for c in r.inputs]):
-                state, y = r.step(state, x)
-                made.append(y)
-            out.update({o: [None if v is None else float(v) for v in column] for o, column in zip(r.outputs, zip(*made))})
-        return pd.DataFrame(out)
-
-    return part.groupBy(by).applyInPandas(run, schema)
+    outputs = [o for r in recurrences for o in r.outputs]
+    schema = T.StructType([part.schema[c] for c in keep] + [T.StructField(o, T.DoubleType()) for o in outputs])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, states = None, None
+        for batch in batches:
+            names = batch.column(by).to_pylist()
+            columns = {c: batch.column(c).to_pylist() for c in need}
+            made: list[list] = [[] for _ in recurrences]
+            starts = [i for i in range(len(names)) if i == 0 or names[i] != names[i - 1]]
+            for a, b in zip(starts, [*starts[1:], len(names)]):
+                if states is None or names[a] != key:
+                    key, states = names[a], [None] * len(recurrences)
+                for j, r in enumerate(recurrences):
+                    state, step, out = states[j], r.step, made[j]
+                    for x in zip(*(columns[c][a:b] for c in r.inputs)):
+                        state, y = step(state, x)
+                        out.append(y)
+                    states[j] = state
+            values = [pa.array([None if v is None else float(v) for v in column], pa.float64()) for part in made for column in zip(*part)]
+            if names:
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *values], names=schema.names)
+
+    return part.repartition(F.col(by)).sortWithinPartitions(*keep).mapInArrow(run, schema)
 
 
 # ---- filters ----
@@ -235,6 +251,19 @@ def ema(x: str, alpha: float, name: str) -> Recurrence:
     return Recurrence(partial(_ema, alpha), (x,), (name,))
 
 
+def _decayed(keep: int, s, x):
+    value, leaving, rate = x
+    total, weight = s or [0.0, 0.0]
+    gone = 0.0 if leaving is None or leaving != leaving else rate**keep
+    total, weight = total * rate + value - gone * (leaving if gone else 0.0), weight * rate + 1 - gone
+    return [total, weight], (total / weight,)
+
+
+def decayed_mean(x: str, leaving: str, rate: str, keep: int) -> Recurrence:
+    """Mean of the last ``keep`` values with weights rate ** age; ``leaving`` is the value keep rows back."""
+    return Recurrence(partial(_decayed, keep), (x, leaving, rate), ("decayed",))
+
+
 def _jma_core(n: float, phase: float, power: float, s, z):
     beta = 0.45 * (n - 1) / (0.45 * (n - 1) + 2)
     alpha, ratio = beta**power, min(2.5, max(0.5, phase / 100 + 1.5))

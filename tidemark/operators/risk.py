@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from tidemark.functions.columns import clip, last, over, ratio
+from tidemark.functions.columns import clip, last, over, ratio, running
 
 SIGNALS = ("fsi", "lei", "ods", "scsi", "lci", "caci")
 # ---- fixed values: weights of the six signals by regime, in the order of SIGNALS ----
@@ -47,13 +47,18 @@ def funding_saturation(rates: DataFrame, keep: int = 63, span: int = 6) -> DataF
 
 def liquidity_evaporation(depths: DataFrame, keep: int = 10_080, least: int = 1440, weekend: float = 0.7) -> DataFrame:
     """lei of depth observations (symbol, ts, depth): share gone of the long mean, plus a penalty for a fast fall by the hour."""
-    base = F.avg("depth").over(last(keep)) * F.when(F.weekday("ts") >= 5, weekend).otherwise(1.0)
+    # the long mean is a difference of running sums: its work doesn't grow with ``keep``
+    w = over()
+    depths = depths.select("*", F.sum("depth").over(running()).alias("_sum"), F.count("depth").over(running()).alias("_count"), F.row_number().over(w).alias("_row"))
+    held = lambda c: F.col(c) - F.coalesce(F.lag(c, keep).over(w), F.lit(0))
+    depths = depths.withColumn("_mean", held("_sum") / held("_count")).withColumn("_seen", F.least(F.col("_row"), F.lit(keep)))
+    base = F.col("_mean") * F.when(F.weekday("ts") >= 5, weekend).otherwise(1.0)
     gone = F.when(base > 0, clip(1 - F.col("depth") / base, 0, 1)).otherwise(1.0)
     step = F.col("depth") / F.lag("depth").over(over()) - 1
     d = depths.withColumn("step", step)
     speed = F.avg("step").over(last(5))
-    enough = F.count(F.lit(1)).over(last(keep)) >= least
-    return d.select("*", F.when(enough, F.least(F.lit(1.0), gone + F.when(speed < -0.05, 0.3).otherwise(0.0))).otherwise(0.0).alias("lei")).drop("step")
+    enough = F.col("_seen") >= least
+    return d.select("*", F.when(enough, F.least(F.lit(1.0), gone + F.when(speed < -0.05, 0.3).otherwise(0.0))).otherwise(0.0).alias("lei")).drop("step", "_sum", "_count", "_row", "_mean", "_seen")
 
 
 def venue_divergence(prices: DataFrame, by: str = "symbol") -> DataFrame:

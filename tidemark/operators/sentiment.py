@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidemark.functions.columns import clip, last, over, ratio
+from tidemark.operators.recursive import decayed_mean, scan
 
 # ---- fixed values: lag horizons (rows), half-lives and source weights ----
 LAGS = {"news": (30, 60, 90, 120, 180), "twitter": (15, 30, 45, 60, 120), "reddit": (180, 240, 270, 300, 360)}
@@ -82,15 +83,16 @@ def lag_features(posts: DataFrame, order: tuple[str, ...] = ("ts", "id")) -> Dat
 
 
 def decayed_sentiment(posts: DataFrame, keep: int = 361, order: tuple[str, ...] = ("ts", "id")) -> DataFrame:
-    """Half-life weighted mean of the newest rows of a symbol and source, a row a minute."""
-    by = ("symbol", "source")
+    """id and the half-life weighted mean of the newest ``keep`` rows of a symbol and source, a row a minute.
+
+    A recurrence: each step ages the sums, adds the new value and takes off the one that leaves.
+    """
     rate = F.lit(0.5 ** (1 / 120.0))
     for source, half in HALF_LIVES.items():
         rate = F.when(F.col("source") == source, F.lit(0.5 ** (1 / half))).otherwise(rate)
-    p = posts.select("*", F.collect_list("score").over(last(keep, *order, by=by)).alias("h"), rate.alias("rate"))
-    # oldest first: each step ages what was summed and adds the next value
-    sums = F.aggregate("h", F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("w")), lambda s, v: F.struct((s["x"] * F.col("rate") + v).alias("x"), (s["w"] * F.col("rate") + 1).alias("w")))
-    return p.withColumn("s", sums).withColumn("decayed", F.col("s.x") / F.col("s.w")).drop("h", "s", "rate")
+    leaving = F.lag("score", keep).over(over(*order, by=("symbol", "source")))
+    p = posts.select("symbol", F.concat_ws("\x1f", "symbol", "source").alias("series"), *order, "score", leaving.alias("leaving"), rate.alias("rate"))
+    return scan(p, decayed_mean("score", "leaving", "rate", keep), by="series", order=order)
 
 
 def sentiment_momentum(posts: DataFrame, rows: int = 60, order: tuple[str, ...] = ("ts", "id")) -> DataFrame:
@@ -168,21 +170,37 @@ def volume_divergence(change: Column, volume_ratio: Column, limit: float = 0.3)
 SPILLOVER = ((0, 1.00, 5), (1, 0.75, 10), (2, 0.60, 15), (3, 0.55, 20), (4, 0.50, 20))
 
 
+def as_of(left: DataFrame, right: DataFrame, value: str, by: str = "key", at: str = "at", span: int = 86_400) -> DataFrame:
+    """left with the value of the last row of right at or before ``at`` (seconds), else the oldest of its key.
+
+    Both sides meet in spans of ``span`` seconds, so a key's history is spread over tasks. A
+    row that finds nothing in its span takes what the spans before it ended with; those are one
+    row a key and span. right: by, at, value and sid, which breaks ties.
+    """
+    span_of = F.floor(F.col(at) / span).alias("span")
+    ends = right.groupBy(by, span_of).agg(F.max_by(value, F.struct(at, "sid")).alias("end"), F.min_by(value, F.struct(at, "sid")).alias("begin"))
+    both = ends.select(by, "span", "end", "begin").unionByName(left.select(by, span_of).distinct(), allowMissingColumns=True).groupBy(by, "span").agg(F.first("end", ignorenulls=True).alias("end"), F.first("begin", ignorenulls=True).alias("begin"))
+    w = W.partitionBy(by).orderBy("span")
+    before = F.last("end", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1))
+    oldest = F.first("begin", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    carried = both.select(by, "span", F.coalesce(before, oldest).alias("carried"))
+    rows = left.withColumn("_kind", F.lit(1)).withColumn("span", span_of)
+    u = rows.unionByName(right.select(by, at, value, "sid", F.lit(0).alias("_kind")).withColumn("span", span_of), allowMissingColumns=True)
+    within = W.partitionBy(by, "span").orderBy(at, "_kind", "sid")
+    u = u.withColumn("_seen", F.last(value, ignorenulls=True).over(within.rowsBetween(W.unboundedPreceding, 0))).where("_kind = 1")
+    return u.join(carried, [by, "span"]).select(*[c for c in left.columns], F.coalesce("_seen", "carried").alias(value))
+
+
 def spillover(targets: DataFrame, source: DataFrame) -> DataFrame:
     """As-of join: the source's score ``lag`` minutes before the target's time (else its oldest), times the coefficient; worse if negative.
 
-    targets: id, ts, coef, lag; source: ts, score. Union and a window with the last value seen,
-    so there is no range join; the key spreads the work by target.
+    targets: key, id, ts, coef, lag; source: id, ts, score, given to each key of SPILLOVER.
     """
-    t = targets.select("key", "id", (F.unix_seconds("ts") - F.col("lag") * 60).alias("at"), "coef", F.lit(None).cast("double").alias("score"), F.lit(1).alias("kind"))
-    keys = targets.select("key").distinct()
-    s = keys.join(F.broadcast(source.select(F.unix_seconds("ts").alias("at"), "score", F.col("id").alias("sid")))).select("key", F.lit(None).cast("long").alias("id"), "at", F.lit(None).cast("double").alias("coef"), "score", F.lit(0).alias("kind"), "sid")
-    u = s.unionByName(t, allowMissingColumns=True)
-    w = W.partitionBy("key").orderBy("at", "kind", F.coalesce("sid", "id"))
-    oldest = F.first("score", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-    u = u.withColumn("seen", F.coalesce(F.last("score", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)), oldest)).where("kind = 1")
-    effect = F.col("seen") * F.col("coef")
-    return u.select("key", "id", F.when(effect < 0, effect * 1.3).otherwise(effect).alias("spill"))
+    t = targets.select("key", "id", (F.unix_seconds("ts") - F.col("lag") * 60).alias("at"), "coef")
+    keys = F.explode(F.array(*[F.lit(k) for k, _, _ in SPILLOVER]))
+    s = source.select(keys.alias("key"), F.unix_seconds("ts").alias("at"), "score", F.col("id").alias("sid"))
+    effect = F.col("score") * F.col("coef")
+    return as_of(t, s, "score").select("key", "id", F.when(effect < 0, effect * 1.3).otherwise(effect).alias("spill"))
 
 
 def majority(predictions: DataFrame) -> DataFrame:

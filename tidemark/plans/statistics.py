@@ -81,7 +81,7 @@ SELECT symbol, round(p[1], 4) + 0.0 AS p5, round(p[3], 4) + 0.0 AS p25, round(p[
   round((p[5] - p[3]) / 1.35, 4) + 0.0 AS mad, round(p[4], 4) + 0.0 AS point_of_control, least, most FROM q""")
 def _quantiles(spark, sf):
     e = spark.read.parquet(f"{sf}/events.parquet").select(F.col("event_type").alias("symbol"), "value")
-    out = st.quantile_summary(e, "value")
+    out = st.quantile_summary(e, "value", exact=True)
     names = [c for c in out.columns if c not in ("symbol", "least", "most")]
     return out.select("symbol", *[tidy(c).alias(c) for c in names], "least", "most")
 
