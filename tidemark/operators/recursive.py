@@ -8,13 +8,13 @@ over keyed state in Structured Streaming. A null output means "not warmed up".
 from __future__ import annotations
 
 import math
-from bisect import bisect_right, insort
+from bisect import bisect_right
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import partial
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 Step = Callable[[list | None, tuple], tuple[list, tuple]]
 
@@ -241,6 +241,46 @@ def ultimate_smoother(price: str = "close", n: int = 20) -> Recurrence:
     return Recurrence(partial(_ultimate, n), (price,), ("ultimate_smoother",))
 
 
+def _flex(n: int, s, x):
+    smooth, line = s or [None, []]
+    smooth, (y,) = _super(n, smooth, x)
+    line = [*line, y][-n:]
+    if len(line) < n:
+        return [smooth, line], (0.0, 0.0)
+    away = sum(v - line[0] for v in line) / n
+    return [smooth, line], ((y - line[0]) / n, away / (abs(away) + 0.0001))
+
+
+def reflex_trendflex(price: str = "close", n: int = 20) -> Recurrence:
+    """Slope of the smoothed price over n rows, and its mean distance from the oldest of them by its size; 0 while short."""
+    return Recurrence(partial(_flex, n), (price,), ("reflex", "trendflex"))
+
+
+def _position(most: int, s, x):
+    values, weights = s or [[], []]
+    (z,) = x
+    if z is None or z != z:
+        return [values, weights], (None,)
+    at = bisect_right(values, z)
+    if at and values[at - 1] == z:
+        weights[at - 1] += 1
+        at -= 1
+    else:
+        values.insert(at, z)
+        weights.insert(at, 1)
+    below, total = sum(weights[: at + 1]), sum(weights)
+    if len(values) > 2 * most:  # neighbours merge, so a share is known to about 1 / most
+        pairs = range(0, len(values) - 1, 2)
+        values = [(values[i] * weights[i] + values[i + 1] * weights[i + 1]) / (weights[i] + weights[i + 1]) for i in pairs] + values[len(values) // 2 * 2 :]
+        weights = [weights[i] + weights[i + 1] for i in pairs] + weights[len(weights) // 2 * 2 :]
+    return [values, weights], (below / total,)
+
+
+def relative_position(x: str = "close", most: int = 2048, name: str = "position") -> Recurrence:
+    """Share of the values so far, this one included, that are no greater: exact for the first 2 * ``most`` distinct ones, then by merged neighbours."""
+    return Recurrence(partial(_position, most), (x,), (name,))
+
+
 def _ema(alpha: float, s, x):
     (z,) = x
     y = z if s is None else alpha * z + (1 - alpha) * s[0]
@@ -508,6 +548,23 @@ def regime_forward(ret: str = "ret", trans=TRANSITIONS, means=MEANS, stds=STDS)
     return Recurrence(partial(_forward, trans, means, stds), (ret,), ("p_bull", "p_bear", "p_range", "state", "entropy", "regime_signal"))
 
 
+def _driven(trans, means, stds, weights, s, x):
+    r, *inputs = x
+    moved = [[t * math.exp(sum(w * v for w, v in zip(weights[i][j], inputs))) for j, t in enumerate(row)] for i, row in enumerate(trans)]
+    moved = [[v / sum(row) for v in row] for row in moved]
+    p = s or [1 / 3] * 3
+    prior = [sum(p[i] * moved[i][j] for i in range(3)) for j in range(3)]
+    joint = [q * math.exp(-0.5 * ((r - m) / d) ** 2) / (d * math.sqrt(2 * math.pi)) for q, m, d in zip(prior, means, stds)]
+    total = sum(joint)
+    p = [v / total for v in joint] if total > 1e-10 else [1 / 3] * 3
+    return p, (*p, float(p.index(max(p))), max(p))
+
+
+def driven_regimes(inputs: tuple[str, ...], weights, ret: str = "ret", trans=TRANSITIONS, means=MEANS, stds=STDS) -> Recurrence:
+    """Forward filter whose transitions follow side inputs: each is scaled by exp(weights[i][j] . inputs) and its row set to sum 1."""
+    return Recurrence(partial(_driven, trans, means, stds, weights), (ret, *inputs), ("d_bull", "d_bear", "d_range", "d_state", "d_confidence"))
+
+
 def _guard(confirm: int, s, x):
     score, speed = x
     (count,) = s or [0]
@@ -586,6 +643,39 @@ def moving_hurst(price: str = "close", size: int = 100, every: int = 10) -> Recu
     return Recurrence(partial(_hurst, size, every), (price,), ("hurst", "momentum_weight"))
 
 
+def hurst_regime(h: Column) -> Column:
+    return F.when(h > 0.55, "trending").when(h < 0.45, "mean_reverting").otherwise("random_walk")
+
+
+def momentum_weight(h: Column) -> Column:
+    """0 at a Hurst exponent of 0.5 and below, 1 at 1."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (h - 0.5) * 2))
+
+
+def reversion_weight(h: Column) -> Column:
+    """1 at a Hurst exponent of 0, 0 at 0.5 and above."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (0.5 - h) * 2))
+
+
+def complexity_regime(entropy: Column) -> Column:
+    return F.when(entropy < 0.5, "low_complexity").when(entropy > 1.5, "high_complexity").otherwise("normal_complexity")
+
+
+def entropy_confidence(entropy: Column) -> Column:
+    """1 at entropy 0, falling to 0.3 at 2."""
+    return F.greatest(F.lit(0.3), F.least(F.lit(1.0), 1 - 0.35 * entropy))
+
+
+def garch_regime(ratio: Column) -> Column:
+    """Of the ratio of volatility to the long run's."""
+    return F.when(ratio < 0.7, "low").when(ratio > 1.5, "high").otherwise("normal")
+
+
+def regime_decisions(p_range: Column) -> dict[str, Column]:
+    """Whether momentum and mean reversion should be used, each with its probability."""
+    return {"use_momentum": 1 - p_range > 0.6, "trend_probability": 1 - p_range, "use_mean_reversion": p_range > 0.5, "range_probability": p_range}
+
+
 def sample_entropy(x: Sequence[float], m: int = 2, share: float = 0.2) -> float:
     """-ln(A / B) of matches of length m + 1 and m within share * population deviation."""
     import numpy as np

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tidemark.functions.columns import last, over, ratio, running, z_score
 
@@ -77,11 +77,12 @@ def quantile_summary(df: DataFrame, x: str, by: str = "symbol", exact: bool = Fa
     """Seven percentiles, bands, value area, MAD and point of control by group.
 
     By default from the mergeable sketch of approx_percentile (within 1 / 10,000 of the ranks), whose size
-    doesn't grow with a group; ``exact`` keeps a group's distinct values in one buffer.
+    doesn't grow with a group; ``exact`` takes a second pass over the values that the sketch brackets.
     """
     shares = [0.05, 0.15, 0.25, 0.5, 0.75, 0.85, 0.95]
-    p = F.percentile(x, F.array(*[F.lit(s) for s in shares])) if exact else F.percentile_approx(x, shares, 10_000)
-    out = df.groupBy(by).agg(p.alias("p"), F.min(x).alias("least"), F.max(x).alias("most"))
+    out = df.groupBy(by).agg(F.percentile_approx(x, shares, 10_000).alias("p"), F.min(x).alias("least"), F.max(x).alias("most"))
+    if exact:
+        out = out.drop("p").join(exact_quantiles(df, x, shares, by), by)
     at = lambda i: F.col("p")[i]
     return out.select(
         by, at(0).alias("p5"), at(2).alias("p25"), at(3).alias("median"), at(4).alias("p75"), at(6).alias("p95"), at(1).alias("area_low"), at(5).alias("area_high"),
@@ -89,6 +90,42 @@ def quantile_summary(df: DataFrame, x: str, by: str = "symbol", exact: bool = Fa
     )
 
 
+def exact_quantiles(df: DataFrame, x: str, shares: list[float], by: str = "symbol", width: float = 1e-3) -> DataFrame:
+    """by and p, an array of interpolated quantiles.
+
+    A sketch brackets each quantile between ranks ``width`` apart on either side; the second
+    pass counts the values below each bracket and keeps those inside, a small share of a group,
+    which alone are put in order.
+    """
+    rows = df.select(by, F.col(x).cast("double").alias("x")).where("x is not null")
+    ends = [min(1.0, max(0.0, s + d)) for s in shares for d in (-width, width)]
+    sketch = rows.groupBy(by).agg(F.percentile_approx("x", ends, 10_000).alias("e"), F.count(F.lit(1)).alias("n"), F.min("x").alias("least"), F.max("x").alias("most"))
+    brackets = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(s).alias("share"), (F.col("least") if s <= width else F.col("e")[2 * i]).alias("low"), (F.col("most") if s >= 1 - width else F.col("e")[2 * i + 1]).alias("high")) for i, s in enumerate(shares)])
+    met = rows.join(sketch.select(by, "n", brackets.alias("b")), by)
+    # the values next to each bracket: a rank may lie one row outside of it
+    sides = [f(F.when(test(i), F.col("x"))).alias(f"{name}{i}") for i in range(len(shares)) for name, f, test in (("below", F.max, lambda i: F.col("x") < F.col("b")[i]["low"]), ("above", F.min, lambda i: F.col("x") > F.col("b")[i]["high"]))]
+    beside = met.groupBy(by).agg(*sides)
+    beside = beside.select(by, F.inline(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"below{i}").alias("below"), F.col(f"above{i}").alias("above")) for i in range(len(shares))])))
+    # one row a value and bracket that it lies in, and one for the count of all values below
+    seen = met.select(by, "n", "x", F.explode(F.filter("b", lambda b: F.col("x") <= b["high"])).alias("b"))
+    counted = seen.groupBy(by, "n", "b.i", "b.share", F.when(F.col("x") >= F.col("b.low"), F.col("x")).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    w = over(F.asc_nulls_first("v"), by=(by, "i"))
+    ranked = counted.withColumn("upto", F.sum("c").over(w.rowsBetween(W.unboundedPreceding, 0))).join(beside, [by, "i"])
+    place = (F.col("n") - 1) * F.col("share")
+    under = F.coalesce(F.max(F.when(F.col("v").isNull(), F.col("upto"))), F.lit(0))
+    inside = lambda rank: F.min(F.when((F.col("upto") > rank) & F.col("v").isNotNull(), F.col("v")))
+    at = lambda rank: F.when(F.first(rank) < under, F.first("below")).otherwise(F.coalesce(inside(rank), F.first("above")))
+    found = ranked.groupBy(by, "i").agg(at(F.floor(place)).alias("a"), at(F.ceil(place)).alias("z"), F.first(place - F.floor(place)).alias("part"))
+    return found.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", (F.col("a") + F.col("part") * (F.col("z") - F.col("a"))).alias("q")))), lambda s: s["q"]).alias("p"))
+
+
+def high_volume_nodes(nodes: DataFrame, by: str = "symbol") -> DataFrame:
+    """The three prices where volume is dense and their shares, from ``volume_nodes``: a row a node."""
+    # fixed values: shares of the value area's ends and of the point of control
+    parts = F.array(*[F.struct(F.lit(i).alias("node"), F.col(c).alias("price"), F.lit(share).alias("share")) for i, (c, share) in enumerate((("area_low", 0.15), ("control", 0.35), ("area_high", 0.15)))])
+    return nodes.select(by, F.inline(parts))
+
+
 def volume_nodes(df: DataFrame, price: str, volume: str, by: str = "symbol") -> DataFrame:
     """Volume-weighted percentiles of price: low and high of the value area and the point of control.
 

@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import at, tidy
+from tidemark.functions.columns import at, over, running, tidy, z_score
 from tidemark.operators import indicators as ind, recursive as re_
 from tidemark.operators.statistics import log_return
 from tidemark.plans.collect import collector
@@ -16,7 +16,7 @@ from tidemark.sources.fixtures import bars
 QUERIES, ORACLES, query = collector()
 
 
-def recursion(source: str, first: dict[str, str], step: dict[str, str], shown: dict[str, str]) -> str:
+def recursion(source: str, first: dict[str, str], step: dict[str, str], shown: dict[str, str], *more: str) -> str:
     """SQL that numbers ``source`` (symbol, ts, ...) and steps through it; p is the state before, x the row."""
     return f"""WITH RECURSIVE {source},
 num AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS n FROM src),
@@ -24,7 +24,7 @@ r AS (
   SELECT symbol, ts, n, {', '.join(f'({e})::DOUBLE AS {c}' for c, e in first.items())} FROM num x WHERE n = 1
   UNION ALL
   SELECT x.symbol, x.ts, x.n, {', '.join(f'({e})::DOUBLE' for e in step.values())} FROM r p JOIN num x ON x.symbol = p.symbol AND x.n = p.n + 1)
-SELECT symbol, epoch_us(ts) AS ts_us, {', '.join(f'round({e}, 4) + 0.0 AS {c}' for c, e in shown.items())} FROM r"""
+SELECT symbol, epoch_us(ts) AS ts_us, {', '.join([*(f'round({e}, 4) + 0.0 AS {c}' for c, e in shown.items()), *more])} FROM r"""
 
 
 SRC = f"{RETURNS}, src AS (SELECT symbol, ts, close AS z, ret, volume FROM rets)"
@@ -168,17 +168,89 @@ def _ew(spark, sf):
     return _out(re_.scan(_b(spark, sf), re_.ew_relation("close", "volume")), "ew_cov", "ew_corr")
 
 
-@query("rls_channel")
+def staged(source: str, types: dict[str, str], first: dict[str, str], stages: list[dict[str, str]], shown: str, also: str = "") -> str:
+    """Like ``recursion`` with states of any type, whose step is worked out in stages: each may read the columns of those before it.
+
+    A stage's row has the state before as p_ and the row's values as x_.
+    """
+    row = ", ".join([f"p.{c} AS p_{c}" for c in types] + [f"x.{c} AS x_{c}" for c in also.split()] + ["x.symbol, x.ts, x.n"])
+    inner = f"SELECT {row} FROM r p JOIN num x ON x.symbol = p.symbol AND x.n = p.n + 1"
+    for stage in stages:
+        inner = f"SELECT *, {', '.join(f'{e} AS {c}' for c, e in stage.items())} FROM ({inner})"
+    made = ", ".join(f"CAST({c} AS {t})" for c, t in types.items())
+    return f"""WITH RECURSIVE {source},
+num AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS n FROM src),
+r AS (
+  SELECT symbol, ts, n, {', '.join(f'CAST({first[c]} AS {t}) AS {c}' for c, t in types.items())} FROM num WHERE n = 1
+  UNION ALL
+  SELECT symbol, ts, n, {made} FROM ({inner}))
+SELECT symbol, epoch_us(ts) AS ts_us, {shown} FROM r"""
+
+
+def _r(e: str, name: str) -> str:
+    return f"round({e}, 4) + 0.0 AS {name}"
+
+
+_RLS_COLUMNS = ("rls", "rls_slope", "rls_upper", "rls_lower", "rls_z", "rls_place")
+_RLS_STEP = [
+    {"t": "p_t + 1"}, {"u": "p_paa + p_pab * t", "w": "p_pab + p_pbb * t"}, {"k": "0.99 + u + w * t", "gap": "x_z - (p_a + p_b * t)"},
+    {"a": "p_a + u / k * gap", "b": "p_b + w / k * gap", "paa": "(p_paa - u * u / k) / 0.99", "pab": "(p_pab - u * w / k) / 0.99", "pbb": "(p_pbb - w * w / k) / 0.99"},
+    {"line": "a + b * t"}, {"res": "x_z - line"}, {"mean": "p_mean + (res - p_mean) / t"}, {"m2": "p_m2 + (res - p_mean) * (res - mean)"}, {"sd": "CASE WHEN t > 2 THEN sqrt(m2 / (t - 1)) ELSE 0.01 END"},
+]
+_RLS_TYPES = {c: "DOUBLE" for c in ("t", "a", "b", "paa", "pab", "pbb", "mean", "m2", "line", "res", "sd")}
+
+
+@query("rls_channel", staged(f"""{RETURNS}, src AS (SELECT symbol, ts, close AS z,
+    1.0 AS t, 100.0 / 200.99 * close AS a, 100.0 / 200.99 * close AS b, (100 - 10000 / 200.99) / 0.99 AS paa, -10000 / 200.99 / 0.99 AS pab FROM rets)""", _RLS_TYPES, {
+    "t": "1", "a": "a", "b": "b", "paa": "paa", "pab": "pab", "pbb": "paa", "line": "a + b", "res": "z - a - b", "mean": "z - a - b", "m2": "0", "sd": "0.01"}, _RLS_STEP,
+    ", ".join([_r("line", "rls"), _r("b", "rls_slope"), _r("line + 2 * sd", "rls_upper"), _r("line - 2 * sd", "rls_lower"), _r("CASE WHEN sd > 0 THEN res / sd ELSE 0 END", "rls_z"),
+               _r("CASE WHEN sd > 0 THEN least(1.0, greatest(0.0, (res + 2 * sd) / (4 * sd))) ELSE 0.5 END", "rls_place"), "CASE WHEN b > 0 THEN 'up' WHEN b < 0 THEN 'down' ELSE 'flat' END AS trend"]), "z"))
 def _rls(spark, sf):
-    """Two-parameter recursive least squares: rows only here, tested against a batch weighted fit."""
-    return _out(re_.scan(_b(spark, sf), re_.rls_channel()), "rls", "rls_slope", "rls_upper", "rls_lower", "rls_z", "rls_place")
+    """Two-parameter recursive least squares on time with its channel and the sign of its slope."""
+    out = re_.scan(_b(spark, sf), re_.rls_channel())
+    trend = F.when(F.col("rls_slope") > 0, "up").when(F.col("rls_slope") < 0, "down").otherwise("flat")
+    return out.select("symbol", at(), *[tidy(n).alias(n) for n in _RLS_COLUMNS], trend.alias("trend"))
+
+
+_AK_STEP = [
+    {"pp": "p_v + 0.01", "inn": "x_z - p_k"}, {"seen": "list_concat(p_seen, [inn])[-20:]"},
+    {"ratio": "CASE WHEN len(seen) >= 5 THEN list_var_pop(seen) / (pp + p_noise) END"},
+    {"noise": "CASE WHEN ratio IS NULL THEN p_noise ELSE least(10.0, greatest(0.001, p_noise * CASE WHEN ratio > 1.5 THEN 1.1 WHEN ratio < 0.5 THEN 0.9 ELSE 1.0 END)) END"},
+    {"k": "p_k + pp / (pp + noise) * inn", "v": "(1 - pp / (pp + noise)) * pp"},
+]
 
 
-@query("adaptive_kalman")
+@query("adaptive_kalman", staged(SRC, {"k": "DOUBLE", "v": "DOUBLE", "noise": "DOUBLE", "seen": "DOUBLE[]"}, {"k": "z", "v": "0.1", "noise": "0.1", "seen": "[]"}, _AK_STEP, _r("k", "adaptive_kalman") + ", " + _r("noise", "noise"), "z"))
 def _ak(spark, sf):
     return _out(re_.scan(_b(spark, sf), re_.adaptive_kalman()), "adaptive_kalman", "noise")
 
 
+@query("kalman_band", recursion(SRC, {"k": "z", "v": "0.1"}, {"k": f"p.k + {_K} * (x.z - p.k)", "v": f"(1 - {_K}) * (p.v + 0.01)"}, {"lower": "k - 2 * sqrt(v)", "upper": "k + 2 * sqrt(v)"}))
+def _band(spark, sf):
+    """Two standard deviations of the estimate around it."""
+    out = re_.scan(_b(spark, sf), re_.kalman())
+    margin = 2 * F.sqrt("kalman_var")
+    return _out(out.select("*", (F.col("kalman") - margin).alias("lower"), (F.col("kalman") + margin).alias("upper")), "lower", "upper")
+
+
+_FLEX = [{"f1": f"CASE WHEN n <= 2 THEN x_z ELSE {1 - _c2 - _c3!r} * x_z + {_c2!r} * p_f1 + {_c3!r} * p_f2 END", "f2": "p_f1"}, {"line": "list_concat(p_line, [f1])[-20:]"}]
+_AWAY = "(list_sum(list_transform(line, lambda v: v - line[1])) / 20)"
+
+
+@query("reflex_trendflex", staged(SRC, {"f1": "DOUBLE", "f2": "DOUBLE", "line": "DOUBLE[]"}, {"f1": "z", "f2": "z", "line": "[z]"}, _FLEX,
+    _r("CASE WHEN len(line) = 20 THEN (f1 - line[1]) / 20 ELSE 0.0 END", "reflex") + ", " + _r(f"CASE WHEN len(line) = 20 THEN {_AWAY} / (abs({_AWAY}) + 0.0001) ELSE 0.0 END", "trendflex"), "z"))
+def _flex(spark, sf):
+    return _out(re_.scan(_b(spark, sf), re_.reflex_trendflex()), "reflex", "trendflex")
+
+
+@query("relative_position", f"""WITH {RETURNS}, num AS (SELECT symbol, ts, close, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS n FROM rets)
+SELECT a.symbol, epoch_us(a.ts) AS ts_us, round(count(*) FILTER (b.close <= a.close) / count(*), 4) + 0.0 AS position
+FROM num a JOIN num b ON a.symbol = b.symbol AND b.n <= a.n GROUP BY a.symbol, a.ts""")
+def _pos(spark, sf):
+    """Where each close lies among the closes so far."""
+    return _out(re_.scan(_b(spark, sf), re_.relative_position()), "position")
+
+
 @query("cycle_indicators")
 def _cycles(spark, sf):
     """MESA averages, instantaneous trend line and DEMA CCI."""
@@ -187,7 +259,19 @@ def _cycles(spark, sf):
     return _out(out, "mesa_macd", "mesa_signal", "mesa_histogram", "trendline", "trend_strength", "trend_direction", "dema_cci")
 
 
-@query("keltner")
+_kb = 0.45 * 19 / (0.45 * 19 + 2)
+_ka = _kb * _kb
+_k2, _k3 = re_.two_pole(20)
+_KELT = [
+    {"e0": f"{1 - _ka!r} * x_tp + {_ka!r} * p_e0", "s1": f"CASE WHEN n < 3 THEN 0 ELSE {(1 - _k2 - _k3) / 2!r} * (x_tr + p_t) + {_k2!r} * p_s1 + {_k3!r} * p_s2 END", "s2": "p_s1", "t": "x_tr"},
+    {"e1": f"(x_tp - e0) * {1 - _kb!r} + {_kb!r} * p_e1"}, {"e2": f"(e0 + 1.5 * e1 - p_j) * {(1 - _ka) ** 2!r} + {_ka * _ka!r} * p_e2"}, {"j": "p_j + e2"},
+]
+
+
+@query("keltner", staged(f"""{RETURNS}, d AS (SELECT symbol, ts, high, low, (high + low + close) / 3 AS tp, lag(close) OVER (PARTITION BY symbol ORDER BY ts) AS pc FROM rets),
+  src AS (SELECT symbol, ts, tp, greatest(high - low, coalesce(abs(high - pc), 0), coalesce(abs(low - pc), 0)) AS tr FROM d)""", {c: "DOUBLE" for c in ("e0", "e1", "e2", "j", "s1", "s2", "t")},
+    {"e0": "tp", "e1": "tp", "e2": "tp", "j": "tp", "s1": "0", "s2": "0", "t": "tr"}, _KELT,
+    ", ".join([_r("CASE WHEN n >= 20 THEN j END", "middle"), _r("CASE WHEN n >= 20 THEN j + 2 * s1 END", "upper"), _r("CASE WHEN n >= 20 THEN j - 2 * s1 END", "lower")]), "tp tr"))
 def _keltner(spark, sf):
     """JMA of the typical price with bands of the smoothed true range."""
     b = ind.true_range(bars(spark, sf)).withColumn("typical", (F.col("high") + F.col("low") + F.col("close")) / 3)
@@ -219,9 +303,98 @@ def _forward(spark, sf):
     return _out(re_.scan(b, re_.regime_forward()), "p_bull", "p_bear", "p_range", "state", "regime_signal")
 
 
+_PSUM = "(p0 + p1 + p2)"
+
+
+@query("regime_decisions", recursion(f"{RETURNS}, src AS (SELECT symbol, ts, ret / 100 AS ret FROM rets)", {f"p{j}": _floor(_first(j), _total1) for j in range(3)}, {f"p{j}": _floor(_lik(j), _total) for j in range(3)}, {
+    "entropy": f"-(p0 / {_PSUM} * ln(p0 / {_PSUM}) + p1 / {_PSUM} * ln(p1 / {_PSUM}) + p2 / {_PSUM} * ln(p2 / {_PSUM}))", "trend_probability": f"1 - p2 / {_PSUM}", "range_probability": f"p2 / {_PSUM}"},
+    f"1 - p2 / {_PSUM} > 0.6 AS use_momentum", f"p2 / {_PSUM} > 0.5 AS use_mean_reversion"))
+def _decide(spark, sf):
+    """Which strategies suit the regime, with the entropy of its probabilities."""
+    out = re_.scan(_b(spark, sf).withColumn("ret", F.col("ret") / 100), re_.regime_forward())
+    d = re_.regime_decisions(F.col("p_range"))
+    return out.select("symbol", at(), tidy("entropy").alias("entropy"), *[tidy(d[c]).alias(c) for c in ("trend_probability", "range_probability")], *[d[c].alias(c) for c in ("use_momentum", "use_mean_reversion")])
+
+
+#: Side inputs raise the odds of the bear state: weights[i][j] by input.
+_DRIVES = (((0.0,), (0.5,), (0.1,)),) * 3
+_T2 = lambda i, j: f"{_T[i][j]} * exp({_DRIVES[i][j][0]!r} * x_v)"
+_DR = [
+    {f"m{i}{j}": f"{_T2(i, j)} / ({' + '.join(_T2(i, k) for k in range(3))})" for i in range(3) for j in range(3)},
+    {f"q{j}": f"({' + '.join(f'p_p{i} * m{i}{j}' for i in range(3))}) * exp(-0.5 * pow((x_ret - {_M[j]}) / {_S[j]}, 2)) / {_S[j]}" for j in range(3)},
+    {f"p{j}": f"CASE WHEN (q0 + q1 + q2) / sqrt(2 * pi()) > 1e-10 THEN q{j} / (q0 + q1 + q2) ELSE 1.0 / 3 END" for j in range(3)},
+]
+_D1 = lambda j: f"((p0 * {_T2(0, j)} / ({' + '.join(_T2(0, k) for k in range(3))}) + p1 * {_T2(1, j)} / ({' + '.join(_T2(1, k) for k in range(3))}) + p2 * {_T2(2, j)} / ({' + '.join(_T2(2, k) for k in range(3))})) * exp(-0.5 * pow((x_ret - {_M[j]}) / {_S[j]}, 2)) / {_S[j]})"
+_DRSRC = f"""{RETURNS}, v AS (SELECT symbol, ts, ret / 100 AS ret, CASE WHEN count(*) OVER w >= 2 AND stddev_samp(volume) OVER w > 1e-10 THEN (volume - avg(volume) OVER w) / stddev_samp(volume) OVER w ELSE 0.0 END AS v,
+    1.0 / 3 AS p0, 1.0 / 3 AS p1, 1.0 / 3 AS p2 FROM rets WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
+  f AS (SELECT *, ret AS x_ret, v AS x_v FROM v), g AS (SELECT *, {', '.join(f'{_D1(j)} AS d{j}' for j in range(3))} FROM f),
+  src AS (SELECT symbol, ts, ret, v, {', '.join(f'CASE WHEN (d0 + d1 + d2) / sqrt(2 * pi()) > 1e-10 THEN d{j} / (d0 + d1 + d2) ELSE 1.0 / 3 END AS f{j}' for j in range(3))} FROM g)"""
+
+
+@query("driven_regimes", staged(_DRSRC, {f"p{j}": "DOUBLE" for j in range(3)}, {f"p{j}": f"f{j}" for j in range(3)}, _DR,
+    ", ".join([_r("p0", "d_bull"), _r("p1", "d_bear"), _r("p2", "d_range"), "CASE WHEN p0 >= p1 AND p0 >= p2 THEN 0 WHEN p1 >= p2 THEN 1 ELSE 2 END::DOUBLE AS d_state", _r("greatest(p0, p1, p2)", "d_confidence")]), "ret v"))
+def _driven(spark, sf):
+    """Transitions that follow the volume's z-score: high volume raises the odds of the bear state."""
+    b = _b(spark, sf).select("symbol", "ts", (F.col("ret") / 100).alias("ret"), z_score(F.col("volume"), running()).alias("v"))
+    return _out(re_.scan(b, re_.driven_regimes(("v",), _DRIVES)), "d_bull", "d_bear", "d_range", "d_state", "d_confidence")
+
+
 @query("hurst_and_entropy")
 def _hurst(spark, sf):
-    return _out(re_.scan_all(_b(spark, sf), [re_.moving_hurst(), re_.moving_entropy()]), "hurst", "momentum_weight", "sample_entropy", "confidence")
+    """Exponent and entropy with their regimes, weights and confidence."""
+    out = re_.scan_all(_b(spark, sf), [re_.moving_hurst(), re_.moving_entropy()])
+    h, e = F.col("hurst"), F.col("sample_entropy")
+    return out.select(
+        "symbol", at(), tidy(h).alias("hurst"), re_.hurst_regime(h).alias("hurst_regime"), tidy(re_.momentum_weight(h)).alias("momentum_weight"), tidy(re_.reversion_weight(h)).alias("reversion_weight"),
+        tidy(e).alias("sample_entropy"), re_.complexity_regime(e).alias("complexity_regime"), tidy(re_.entropy_confidence(e)).alias("confidence"),
+    )
+
+
+@query("entropy_of_windows", f"""WITH {RETURNS},
+num AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS n FROM rets),
+h AS (SELECT symbol, ts, n, list(ret) OVER (PARTITION BY symbol ORDER BY ts ROWS 99 PRECEDING) AS v FROM num),
+w AS (SELECT symbol, ts, v, 0.2 * list_stddev_pop(v) AS r FROM h WHERE n >= 100 AND n % 10 = 0),
+ij AS (SELECT symbol, ts, v, r, i, unnest(range(i + 1, 99)) AS j FROM (SELECT symbol, ts, v, r, unnest(range(1, 98)) AS i FROM w)),
+m AS (
+  SELECT symbol, ts, any_value(r) AS r, count(*) FILTER (abs(v[i] - v[j]) < r AND abs(v[i + 1] - v[j + 1]) < r) AS b,
+    count(*) FILTER (abs(v[i] - v[j]) < r AND abs(v[i + 1] - v[j + 1]) < r AND abs(v[i + 2] - v[j + 2]) < r) AS a FROM ij GROUP BY symbol, ts),
+e AS (SELECT symbol, ts, CASE WHEN r > 0 AND a > 0 AND b > 0 THEN -ln(a / b) ELSE 0.0 END AS e FROM m)
+SELECT symbol, epoch_us(ts) AS ts_us, round(e, 4) + 0.0 AS sample_entropy, CASE WHEN e < 0.5 THEN 'low_complexity' WHEN e > 1.5 THEN 'high_complexity' ELSE 'normal_complexity' END AS complexity_regime,
+  round(greatest(0.3, least(1.0, 1 - 0.35 * e)), 4) + 0.0 AS confidence FROM e""")
+def _entropies(spark, sf):
+    """The rows at which the entropy is taken anew, with regime and confidence."""
+    out = re_.scan(_b(spark, sf), re_.moving_entropy()).withColumn("n", F.row_number().over(over()))
+    e = F.col("sample_entropy")
+    return out.where("n >= 100 and n % 10 = 0").select("symbol", at(), tidy(e).alias("sample_entropy"), re_.complexity_regime(e).alias("complexity_regime"), tidy(re_.entropy_confidence(e)).alias("confidence"))
+
+
+_HP = ", ".join(str(n) for n in re_.HURST_PERIODS)
+
+
+@query("hurst_of_windows", f"""WITH {RETURNS},
+num AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS n FROM rets),
+h AS (SELECT symbol, ts, n, list(ln(close)) OVER (PARTITION BY symbol ORDER BY ts ROWS 99 PRECEDING) AS v FROM num),
+c AS (SELECT symbol, ts, v, p, unnest(range(0, 99 // p)) AS k FROM (SELECT *, unnest([{_HP}]) AS p FROM h WHERE n >= 100 AND n % 10 = 0) WHERE p <= 49),
+i AS (SELECT symbol, ts, p, k, j, v[k * p + j + 1] - v[k * p + j] AS r FROM (SELECT *, unnest(range(1, p + 1)) AS j FROM c)),
+m AS (SELECT *, avg(r) OVER g AS mu, stddev_samp(r) OVER g AS sd FROM i WINDOW g AS (PARTITION BY symbol, ts, p, k)),
+l AS (SELECT *, sum(r - mu) OVER (PARTITION BY symbol, ts, p, k ORDER BY j) AS line FROM m),
+rs AS (SELECT symbol, ts, p, k, CASE WHEN any_value(sd) < 1e-10 THEN 0 ELSE (max(line) - min(line)) / any_value(sd) END AS rs FROM l GROUP BY 1, 2, 3, 4),
+pt AS (SELECT symbol, ts, ln(p) AS x, ln(avg(rs)) AS y FROM rs GROUP BY symbol, ts, p HAVING avg(rs) > 0),
+e AS (SELECT symbol, ts, CASE WHEN count(*) < 3 THEN 0.5 ELSE greatest(0.0, least(1.0, regr_slope(y, x))) END AS h FROM pt GROUP BY symbol, ts)
+SELECT symbol, epoch_us(ts) AS ts_us, round(h, 4) + 0.0 AS hurst, CASE WHEN h > 0.55 THEN 'trending' WHEN h < 0.45 THEN 'mean_reverting' ELSE 'random_walk' END AS hurst_regime,
+  round(greatest(0.0, least(1.0, (h - 0.5) * 2)), 4) + 0.0 AS momentum_weight, round(greatest(0.0, least(1.0, (0.5 - h) * 2)), 4) + 0.0 AS reversion_weight FROM e""")
+def _hursts(spark, sf):
+    """The rows at which the exponent is taken anew, with regime and weights."""
+    out = re_.scan(_b(spark, sf), re_.moving_hurst()).withColumn("n", F.row_number().over(over()))
+    h = F.col("hurst")
+    return out.where("n >= 100 and n % 10 = 0").select("symbol", at(), tidy(h).alias("hurst"), re_.hurst_regime(h).alias("hurst_regime"), tidy(re_.momentum_weight(h)).alias("momentum_weight"), tidy(re_.reversion_weight(h)).alias("reversion_weight"))
+
+
+@query("garch_regime", recursion(SRC, {"v": f"{_LR!r}", "r": "ret"}, {"v": "1e-5 + 0.05 * p.r * p.r + 0.94 * p.v", "r": "x.ret"}, {"garch": "sqrt(v)"},
+    f"CASE WHEN sqrt(v / {_LR!r}) < 0.7 THEN 'low' WHEN sqrt(v / {_LR!r}) > 1.5 THEN 'high' ELSE 'normal' END AS regime"))
+def _gregime(spark, sf):
+    out = re_.scan(_b(spark, sf), re_.garch())
+    return out.select("symbol", at(), tidy("garch").alias("garch"), re_.garch_regime(F.col("garch_ratio")).alias("regime"))
 
 
 @query("guardian")
@@ -234,7 +407,11 @@ def _guard(spark, sf):
     return _out(re_.scan(s, re_.guardian()), "critical_count", "multiplier")
 
 
-@query("smoothed_weights")
+_WA, _WB = "(p.a + greatest(-0.15, least(0.15, 0.1 * (x.a - p.a))))", "(p.b + greatest(-0.15, least(0.15, 0.1 * (x.b - p.b))))"
+
+
+@query("smoothed_weights", recursion(f"{RETURNS}, src AS (SELECT symbol, ts, close / (close + open) AS a, open / (close + open) AS b FROM rets)", {"a": "a", "b": "b"}, {
+    "a": f"{_WA} / ({_WA} + {_WB})", "b": f"{_WB} / ({_WA} + {_WB})"}, {"a_smooth": "a", "b_smooth": "b"}))
 def _weights(spark, sf):
     b = bars(spark, sf).select("symbol", "ts", (F.col("close") / (F.col("close") + F.col("open"))).alias("a"), (F.col("open") / (F.col("close") + F.col("open"))).alias("b"))
     return _out(re_.scan(b, re_.smoothed_weights(("a", "b"))), "a_smooth", "b_smooth")

@@ -95,6 +95,15 @@ def _profile(spark, sf):
     return st.volume_nodes(ticks(spark, sf), "price", "quantity")
 
 
+@query("high_volume_nodes", f"""WITH {TICKS},
+l AS (SELECT symbol, price, sum(quantity) AS v FROM ticks GROUP BY 1, 2),
+u AS (SELECT *, sum(v) OVER (PARTITION BY symbol ORDER BY price) AS upto, sum(v) OVER (PARTITION BY symbol) AS total FROM l),
+n(node, place, share) AS (VALUES (0, 0.15, 0.15), (1, 0.5, 0.35), (2, 0.85, 0.15))
+SELECT symbol, node, min(price) FILTER (upto >= place * total) AS price, any_value(share)::DOUBLE AS share FROM u, n GROUP BY symbol, node""")
+def _nodes(spark, sf):
+    return st.high_volume_nodes(st.volume_nodes(ticks(spark, sf), "price", "quantity"))
+
+
 _MOM = ", ".join(f"close / lag(close, {h}) OVER (PARTITION BY symbol ORDER BY ts) - 1 AS m{h}" for h in st.HORIZONS)
 _MOMZ = ", ".join(
     f"CASE WHEN m{h} IS NOT NULL THEN round({_Z.format(x=f'm{h}', n=min(20, h))}, 4) + 0.0 END AS mom_{h}_z, round(m{h}, 4) + 0.0 AS mom_{h}" for h in st.HORIZONS
