@@ -182,7 +182,7 @@ def regime_runs(df: DataFrame, regime: str = "regime") -> DataFrame:
 def regime_fusion(df: DataFrame, signals: dict[str, tuple[str, float]], sure: float = 0.7, least: int = 5) -> DataFrame:
     """Clipped signals weighted by base weight times the regime's multiplier for their category.
 
-    Multipliers count only in a regime of confidence ``sure`` that has lasted ``least`` rows.
+    Multipliers count only in a regime of confidence ``sure`` that has lasted ``least`` rows; a null signal has no weight.
     """
     trusted = (F.col("confidence") >= sure) & (F.col("duration") >= least)
 
@@ -196,6 +196,6 @@ def regime_fusion(df: DataFrame, signals: dict[str, tuple[str, float]], sure: fl
 
     top, under = F.lit(0.0), F.lit(0.0)
     for name, (category, base) in signals.items():
-        w = base * multiplier(category)
-        top, under = top + clip(F.col(name), -1, 1) * w, under + w
+        w = F.when(F.col(name).isNotNull(), base * multiplier(category)).otherwise(0.0)
+        top, under = top + F.coalesce(clip(F.col(name), -1, 1), F.lit(0.0)) * w, under + w
     return df.withColumn("fused", F.when(under > 0, top / under).otherwise(0.0)).withColumn("tradable", trusted)

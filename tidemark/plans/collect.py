@@ -14,7 +14,8 @@ def collector():
         def add(f):
             queries[name] = f
             if sql:
-                oracles[name] = sql.replace(", 4) + 0.0", f" + {NUDGE:.10f}, 4) + 0.0")
+                nudged = f" + {NUDGE:.10f}, 4) + 0.0"
+                oracles[name] = sql.replace(nudged, ", 4) + 0.0").replace(", 4) + 0.0", nudged)  # SQL of other queries within is nudged already
             return f
 
         return add

@@ -251,7 +251,30 @@ def _pos(spark, sf):
     return _out(re_.scan(_b(spark, sf), re_.relative_position()), "position")
 
 
-@query("cycle_indicators")
+_HIL = lambda v: f"(0.0962 * {v}[1] + 0.5769 * {v}[3] - 0.5769 * {v}[5] - 0.0962 * {v}[7])"
+_PUSH = lambda v, e: f"CASE WHEN ready THEN list_concat([{e}], p_{v})[1:7] ELSE p_{v} END"
+_KEEP = lambda c, e: {c: f"CASE WHEN ready THEN {e} ELSE p_{c} END"}
+_CYCLE = [
+    {"prices": "list_concat([x_z], p_prices)[1:7]", "e1": "2.0 / 21 * x_tp + 19.0 / 21 * p_e1", "seen": "list_concat(p_seen, [x_tp])[-20:]"}, {"ready": "len(prices) = 7", "e2": "2.0 / 21 * e1 + 19.0 / 21 * p_e2", "tp": "x_tp"},
+    {"smooth": _PUSH("smooth", "(4 * x_z + 3 * prices[2] + 2 * prices[3] + prices[4]) / 10")}, {"det": _PUSH("det", _HIL("smooth"))}, {"qd": _PUSH("qd", _HIL("det")), "ph": _PUSH("ph", "det[4]")},
+    _KEEP("i2", f"0.2 * (ph[1] - {_HIL('qd')}) + 0.8 * p_i2") | _KEEP("q2", f"0.2 * (qd[1] + {_HIL('ph')}) + 0.8 * p_q2"),
+    _KEEP("re", "0.2 * (i2 * ph[2] + q2 * qd[2]) + 0.8 * p_re") | _KEEP("im", "0.2 * (i2 * qd[2] - q2 * ph[2]) + 0.8 * p_im"),
+    {"raw": "CASE WHEN im <> 0 AND re <> 0 THEN 2 * pi() / atan(im / re) ELSE p_period END"},
+    _KEEP("period", "least(50.0, greatest(6.0, greatest(0.67 * p_sp, least(1.5 * p_sp, raw))))"), _KEEP("sp", "0.33 * period + 0.67 * p_sp") | _KEEP("angle", "CASE WHEN ph[1] <> 0 THEN degrees(atan(qd[1] / ph[1])) ELSE p_angle END"),
+    {"alpha": "greatest(0.05, 0.5 / greatest(1.0, CASE WHEN p_go = 0 THEN 0.0 ELSE angle END))"}, _KEEP("m", "alpha * x_z + (1 - alpha) * p_m"), _KEEP("f", "0.5 * alpha * m + (1 - 0.5 * alpha) * p_f"),
+    _KEEP("sig", "0.5 * (m - f) + 0.5 * (p_m - p_f)") | _KEEP("it", "0.33 * (smooth[1] + 0.5 * (smooth[1] - smooth[2])) + 0.67 * p_it"), _KEEP("line", "0.07 * (2 * it - smooth[2]) + 0.93 * p_line"),
+    {"strength": "least(100.0, abs(line - p_line) / (abs(x_z) * 1e-4 + 1e-10) * 100)", "dir": "CASE WHEN line > p_line THEN 1.0 ELSE -1.0 END", "go": "ready::INT"},
+]
+_CYCLE_TYPES = {c: "DOUBLE[]" for c in ("prices", "smooth", "det", "qd", "ph", "seen")} | {c: "DOUBLE" for c in "i2 q2 re im period sp angle m f sig it line strength dir go e1 e2 tp".split()}
+_CYCLE_FIRST = {c: "[0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0]" for c in ("smooth", "det", "qd", "ph")} | {"prices": "[z]", "seen": "[tp]", "e1": "tp", "e2": "tp", "tp": "tp"} | {c: "0" for c in "i2 q2 re im period sp angle m f sig it line strength dir go".split()}
+_READY = lambda e, name: _r(f"CASE WHEN go = 1 THEN {e} END", name)
+_DEMA = "(2 * e1 - e2)"
+_AWAYS = f"(list_sum(list_transform(seen, lambda v: abs(v - {_DEMA}))) / 20)"
+
+
+@query("cycle_indicators", staged(f"{RETURNS}, src AS (SELECT symbol, ts, close AS z, (high + low + close) / 3 AS tp FROM rets)", _CYCLE_TYPES, _CYCLE_FIRST, _CYCLE,
+    ", ".join([_READY("m - f", "mesa_macd"), _READY("sig", "mesa_signal"), _READY("m - f - sig", "mesa_histogram"), _READY("line", "trendline"), _READY("strength", "trend_strength"), _READY("dir", "trend_direction"),
+               _r(f"CASE WHEN len(seen) = 20 THEN CASE WHEN {_AWAYS} > 0 THEN (tp - {_DEMA}) / (0.015 * {_AWAYS}) ELSE 0.0 END END", "dema_cci")]), "z tp"))
 def _cycles(spark, sf):
     """MESA averages, instantaneous trend line and DEMA CCI."""
     b = _b(spark, sf).withColumn("typical", (F.col("high") + F.col("low") + F.col("close")) / 3)

@@ -94,3 +94,11 @@ POSTS = """posts AS (
          TIMESTAMP '2024-01-01' + to_minutes(CAST(doc_id AS INT)) AS ts,
          (n_chars * 37 % 201) / 100.0 - 1.0 AS score
   FROM documents)"""
+
+
+def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """book_id with the symbol and the hour (ts) that its book is of."""
+    names = F.array(*[F.lit(x) for x in ("click", "error", "purchase", "signup", "view")])
+    line = table(spark, sf_dir, "lineitem").where(F.col("l_linestatus").isin("O", "F")).select(F.col("l_orderkey").alias("book_id")).distinct()
+    hour = F.timestamp_seconds(F.lit(1704067200) + F.floor(F.col("book_id") / 5) % 720 * 3600)
+    return line.select("book_id", F.element_at(names, (F.col("book_id") % 5 + 1).cast("int")).alias("symbol"), hour.alias("ts"))
