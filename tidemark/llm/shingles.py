@@ -1,35 +1,49 @@
 """Word shingles as 64-bit hashes, for many texts at once in numpy.
 
-Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z. Every byte maps to a fixed
-pseudo-random 64-bit value; a word's hash is the polynomial of its bytes' values, taken
-from one running sum over all bytes, and a shingle's hash mixes those of its words.
+Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z. A word is read eight bytes at a time:
+each step mixes them into the word's state (splitmix64's finaliser), so a word's hash has no
+algebraic structure that words could be built against. Words of more than ``LANES`` bytes are
+hashed by blake2b. A shingle's hash mixes those of its words.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
-from tidemark.llm.common import byte_view, mix64
+from tidemark.llm.common import byte_view, eight_bytes, mix64
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_VALUES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-_VALUES[65:91] = _VALUES[97:123]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _PLACE = mix64(np.arange(101, 165, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_LENGTH, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+#: Longest word, in bytes, that is hashed in lockstep with others.
+LANES = 64
+_TAIL = np.array([(1 << 8 * i) - 1 for i in range(8)] + [(1 << 64) - 1], np.uint64)
 
 
-def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(n, 1 << 21)
-        for i, base in enumerate((_BASE, _INVERSE)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[i] = np.cumprod(steps, dtype=np.uint64)
-    return _powers[0][:n], _powers[1][:n]
+def hash_spans(raw: np.ndarray, at: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Hash of the bytes raw[at:to] of each span."""
+    n = to - at
+    out = mix64(n.astype(np.uint64) * _LENGTH)
+    eight = eight_bytes(np.concatenate([raw, np.zeros(8, np.uint8)]))
+    live = np.flatnonzero((n > 0) & (n <= LANES))
+    for done in range(0, LANES, 8):
+        if not len(live):
+            break
+        left = n[live] - done
+        lane = eight[at[live] + done] & _TAIL[np.minimum(left, 8)]
+        out[live] = mix64(out[live] * _STEP ^ lane)
+        live = live[left > 8]
+    data = None
+    for i in np.flatnonzero(n > LANES).tolist():
+        data = memoryview(raw.tobytes()) if data is None else data
+        out[i] = int.from_bytes(hashlib.blake2b(data[at[i] : to[i]], digest_size=8).digest(), "little")
+    return out
 
 
 def words(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -45,12 +59,7 @@ def words(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     closes = inside.copy()
     closes[:-1] &= ~inside[1:] | first[1:-1]
     at, to = np.flatnonzero(begins), np.flatnonzero(closes) + 1
-    powers, inverses = _powers_to(len(raw))
-    total = np.empty(len(raw) + 1, np.uint64)
-    total[0] = 0
-    np.cumsum(_VALUES[raw] * powers, out=total[1:])
-    hashes = mix64((total[to] - total[at]) * inverses[at])
-    return hashes, np.searchsorted(at, ends)
+    return hash_spans(_LOWER[raw], at, to), np.searchsorted(at, ends)
 
 
 def shingle_sets(text: pa.Array, k: int = 5) -> list[np.ndarray]:
