@@ -1,53 +1,127 @@
 """Language identification by word-first backoff.
 
-A word seen in training scores by its log frequency in each language. An unseen word backs
-off to the longest known character n-gram around each of its positions: 5 letters, then 4, 3,
-2 and 1, each step costing a fixed factor. A document's score sums its words'; the probability
-is a softmax over languages of the mean score a word, sharpened by the square root of the
-number of words.
+Words are runs of letters (``[\\p{L}\\p{M}]+``) after lower-casing. A word seen in training scores by its
+log frequency in each language. An unseen word, padded by a space on each side, backs off at each
+of its positions to the longest known character n-gram that starts there: 5 letters, then 4, 3, 2
+and 1. A document's score is the mean of its words'; the probability is a softmax over languages
+of that mean, sharpened by the square root of the number of words.
 
 Learning reads a bounded sample of labelled rows (about ``sample_rows`` a language, taken by
-hash of the id over all rows); every document is predicted from its whole text.
+hash of the id over all rows); of each language the ``max_words`` commonest words and the
+``max_grams`` commonest n-grams of each length are kept, whatever the other languages hold. Every
+document is predicted from its whole text. The model is a sorted array of 64-bit hashes with a row
+of float32 logs for each, so a task looks all distinct words of a slice up at once.
 
 Cases: null text, empty text and text without a letter give ``und`` with score 0; ties go to
-the language first in order; no labelled rows at all give ``und`` for every document.
+the language first in order; no labelled rows at all give ``und`` for every document; a text
+longer than a slice is read in parts that end at spaces.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tidemark.llm.common import column, held_out
+from tidemark.llm.common import SLICE_BYTES, byte_view, column, held_out, mix64, slices
+from tidemark.llm.shingles import hash_spans
 
-_WORD = re.compile(r"[^\W\d_]+")
+_BREAK = r"[^\p{L}\p{M}]+"
 UNKNOWN = "und"
+LONGEST = 5
+SMOOTH = 0.5
+FLOOR = math.log(1e-6)
+_GRAM, _NEXT = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
 
 @dataclass(frozen=True)
-class Model:
-    """Log frequencies by language; its size is bounded by ``max_words`` and ``max_grams``."""
+class Logs:
+    """Log frequencies by language: hashes in order and a row for each."""
 
-    langs: tuple[str, ...]
-    words: dict[str, tuple[float, ...]]
-    grams: dict[str, tuple[float, ...]]
-    floor: tuple[float, ...]
+    keys: np.ndarray
+    rows: np.ndarray
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place of each hash, whether it is there)."""
+        if not len(self.keys):
+            return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        return at, self.keys[at] == hashes
 
 
-def _logs(counts: list[Counter], keep: int, smooth: float = 0.5) -> dict[str, tuple[float, ...]]:
-    total = Counter()
-    for c in counts:
-        total.update(c)
-    sums = [sum(c.values()) + smooth * max(1, len(total)) for c in counts]
-    kept = sorted(total, key=lambda x: (-total[x], x))[:keep]
-    return {x: tuple(math.log((c[x] + smooth) / n) for c, n in zip(counts, sums)) for x in kept}
+@dataclass(frozen=True)
+class Model:
+    langs: tuple[str, ...]
+    words: Logs
+    grams: Logs
+
+
+def word_hashes(words: pa.Array) -> np.ndarray:
+    raw, ends = byte_view(words.cast(pa.large_string()))
+    return hash_spans(raw, ends[:-1], ends[1:])
+
+
+def _letters(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(code points of all words, each between two spaces; where each word ends)."""
+    points = np.frombuffer("".join(f" {w} " for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    return points, np.cumsum([len(w) + 2 for w in words])
+
+
+def _gram_hashes(points: np.ndarray) -> Iterator[np.ndarray]:
+    """For k = 1 to LONGEST the hash of the k letters that start at each place."""
+    h = np.full(len(points), _GRAM)
+    for k in range(LONGEST):
+        h = mix64(h[: len(points) - k] * _NEXT ^ points[k:]) if len(points) > k else h[:0]
+        yield h
+
+
+def gram_counts(words: list[str], times: np.ndarray, most: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each length the hashes and counts of the ``most`` commonest n-grams of words."""
+    points, ends = _letters(words)
+    if not len(points):
+        return [(np.zeros(0, np.uint64), np.zeros(0))] * LONGEST
+    whose = np.repeat(np.arange(len(words)), np.diff(ends, prepend=0))
+    out = []
+    for k, h in enumerate(_gram_hashes(points), 1):
+        inside = np.arange(len(h)) + k <= ends[whose[: len(h)]]
+        keys, group = np.unique(h[inside], return_inverse=True)
+        n = np.bincount(group, weights=times[whose[: len(h)][inside]], minlength=len(keys)) if len(keys) else np.zeros(0)
+        top = np.lexsort((keys, -n))[:most]
+        out.append((keys[top], n[top]))
+    return out
+
+
+def _logs(counts: list[tuple[np.ndarray, np.ndarray]]) -> Logs:
+    """From (hashes, counts) of each language, smoothed over the hashes of all."""
+    keys = np.unique(np.concatenate([k for k, _ in counts])) if counts else np.zeros(0, np.uint64)
+    rows = np.zeros((len(keys), len(counts)))
+    for i, (k, n) in enumerate(counts):
+        rows[np.searchsorted(keys, k), i] = n
+    rows = np.log((rows + SMOOTH) / (rows.sum(axis=0) + SMOOTH * max(1, len(keys))))
+    return Logs(keys, rows.astype(np.float32))
+
+
+def fit(counts: dict[str, Counter], max_words: int, max_grams: int) -> Model:
+    """The model of word counts by language."""
+    langs = tuple(sorted(counts))
+    words, grams = [], []
+    for lang in langs:
+        known = list(counts[lang])
+        times = np.array([counts[lang][w] for w in known], float)
+        grams.append(gram_counts(known, times, max_grams))
+        top = sorted(range(len(known)), key=lambda i: (-times[i], known[i]))[:max_words]
+        words.append((word_hashes(pa.array([known[i] for i in top], pa.string())), times[top]))
+    by_length = [_logs([g[k] for g in grams]) for k in range(LONGEST)] if langs else []
+    keys = np.concatenate([x.keys for x in by_length]) if langs else np.zeros(0, np.uint64)
+    order = np.argsort(keys)
+    rows = np.concatenate([x.rows for x in by_length])[order] if langs else np.zeros((0, 0), np.float32)
+    return Model(langs, _logs(words) if langs else Logs(keys, rows), Logs(keys[order], rows))
 
 
 def bounded_sample(rows: DataFrame, by: str, most: int) -> DataFrame:
@@ -62,96 +136,120 @@ def bounded_sample(rows: DataFrame, by: str, most: int) -> DataFrame:
     return rows.where(F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1 << 30)) < rate * (1 << 30))
 
 
-def learn(docs: DataFrame, sample_rows: int = 2000, max_words: int = 50_000, max_grams: int = 200_000, longest: int = 5) -> Model:
+def _split(text: pa.Array) -> pa.Array:
+    return pc.split_pattern_regex(pc.utf8_lower(text), _BREAK)
+
+
+def learn(docs: DataFrame, sample_rows: int = 2000, max_words: int = 50_000, max_grams: int = 20_000) -> Model:
     """Fit on rows with a language: whole texts of about ``sample_rows`` rows of each.
 
     The counts come back as one row a language and word; what reaches the driver is bounded by the sample.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "doc_id", "text")
-    rows = bounded_sample(rows, "lang", sample_rows)
+    rows = bounded_sample(rows, "lang", sample_rows).select("lang", "text")
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: dict[str, Counter] = {}
         for batch in batches:
-            for lang, text in zip(column(batch, "lang").to_pylist(), column(batch, "text").to_pylist()):
-                words.setdefault(lang, Counter()).update(_WORD.findall(text.lower()))
-        found = [(lang, w, n) for lang, c in words.items() for w, n in c.items()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(x)) for x in zip(*found)] if found else [pa.array([], pa.string()), pa.array([], pa.string()), pa.array([], pa.int64())], names=["lang", "word", "n"])
-
-    seen = rows.select("lang", "text").mapInArrow(counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow().to_pylist()
-    langs = tuple(sorted({r["lang"] for r in seen}))
-    words = [Counter({r["word"]: r["n"] for r in seen if r["lang"] == x}) for x in langs]
-    grams = [Counter() for _ in langs]
-    for c, g in zip(words, grams):
-        for w, n in c.items():
-            padded = f" {w} "
-            for k in range(1, longest + 1):
-                for i in range(len(padded) - k + 1):
-                    g[padded[i : i + k]] += n
-    per_length = [_logs([Counter({x: n for x, n in g.items() if len(x) == k}) for g in grams], max_grams // longest) for k in range(1, longest + 1)]
-    known = [Counter({w: n for w, n in c.items()}) for c in words]
-    often = {w for w, n in sum(known, Counter()).items() if n > 1}
-    return Model(langs, _logs([Counter({w: n for w, n in c.items() if w in often}) for c in known], max_words), {x: v for part in per_length for x, v in part.items()}, (math.log(1e-6),) * len(langs))
-
-
-class Scorer:
-    """Applies a model inside a task; scores of words met before are kept, up to a bound."""
-
-    def __init__(self, model: Model, longest: int = 5, keep: int = 400_000):
-        self.model, self.longest, self.keep = model, longest, keep
-        self.known: dict[str, int] = {}
-        self.table = np.zeros((1024, len(model.langs)))
-
-    def _word(self, word: str) -> np.ndarray:
-        if (own := self.model.words.get(word)) is not None:
-            return np.array(own)
-        grams, padded = self.model.grams, f" {word} "
-        total, steps = np.zeros(len(self.model.langs)), 0
-        for i in range(len(padded)):
-            for k in range(min(self.longest, len(padded) - i), 0, -1):
-                if (got := grams.get(padded[i : i + k])) is not None:
-                    total += got
-                    break
-            else:
-                total += self.model.floor
-            steps += 1
-        return total / steps * 2
-
-    def _index(self, word: str) -> int:
-        at = len(self.known)
-        if at == len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        row = self._word(word)
-        self.table[at] = row - row.max()  # only differences between languages matter
-        self.known[word] = at
-        return at
-
-    def score(self, text: str | None) -> tuple[str, float]:
-        words = _WORD.findall((text or "").lower())
-        if not self.model.langs or not any(c.isalpha() for w in words for c in w):
-            return UNKNOWN, 0.0
-        if len(self.known) > self.keep:
-            self.known.clear()
-        known, index = self.known, self._index
-        at = [known[w] if w in known else index(w) for w in words]
-        mean = self.table[at].mean(axis=0)
-        odds = np.exp((mean - mean.max()) * math.sqrt(len(words)))
-        best = int(np.argmax(odds))
-        return self.model.langs[best], float(odds[best] / odds.sum())
+            langs = column(batch, "lang").to_pylist()
+            for at, part in slices(column(batch, "text")):
+                for i, found in enumerate(_split(part).to_pylist()):
+                    words.setdefault(langs[at + i], Counter()).update(found)
+        found = [(lang, w, n) for lang, c in words.items() for w, n in c.items() if w]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.int64()))], names=["lang", "word", "n"])
+
+    found: dict[str, Counter] = {}
+    for r in rows.mapInArrow(counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow().to_pylist():
+        found.setdefault(r["lang"], Counter())[r["word"]] = r["n"]
+    return fit(found, max_words, max_grams)
+
+
+def _backoff(model: Model, words: list[str]) -> np.ndarray:
+    """Scores of words that the model doesn't know: a row each."""
+    points, ends = _letters(words)
+    whose = np.repeat(np.arange(len(words)), np.diff(ends, prepend=0))
+    hashes = list(_gram_hashes(points))
+    total = np.full((len(words), len(model.langs)), 0.0)
+    left = np.arange(len(points))
+    for k in range(LONGEST, 0, -1):
+        fits = left[left + k <= ends[whose[left]]]
+        at, known = model.grams.find(hashes[k - 1][fits])
+        for i in range(len(model.langs)):
+            total[:, i] += np.bincount(whose[fits[known]], weights=model.grams.rows[at[known], i], minlength=len(words))
+        done = np.zeros(len(points), bool)
+        done[fits[known]] = True
+        left = left[~done[left]]
+    total += (np.bincount(whose[left], minlength=len(words)) * FLOOR)[:, None]
+    return total / np.diff(ends, prepend=0)[:, None] * 2
+
+
+def word_scores(model: Model, words: pa.Array) -> np.ndarray:
+    """A row a word; only differences between languages matter, so the best is 0."""
+    at, known = model.words.find(word_hashes(words))
+    rows = np.zeros((len(words), len(model.langs)))
+    rows[known] = model.words.rows[at[known]]
+    if not known.all():
+        rows[~known] = _backoff(model, words.filter(pa.array(~known)).to_pylist())
+    return rows - rows.max(axis=1, keepdims=True)
+
+
+def _parts(text: str) -> Iterator[str]:
+    """Parts of about SLICE_BYTES letters of a long text, cut at spaces."""
+    at = 0
+    while len(text) - at > SLICE_BYTES:
+        cut = text.find(" ", at + SLICE_BYTES)
+        if cut < 0:
+            break
+        yield text[at:cut]
+        at = cut
+    yield text[at:]
+
+
+def _sums(model: Model, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(sums of word scores, number of words) of each text; a text without a letter has no words."""
+    if len(text) == 1 and text[0].as_buffer() is not None and text[0].as_buffer().size > 2 * SLICE_BYTES:
+        parts = [_sums(model, pa.array([p], pa.large_string())) for p in _parts(text[0].as_py())]
+        return sum(s for s, _ in parts), sum(n for _, n in parts)
+    lists = _split(text)
+    words = lists.flatten()
+    whose = np.repeat(np.arange(len(text)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    real = pc.binary_length(words).to_numpy() > 0
+    words, whose = words.filter(pa.array(real)), whose[real]
+    coded = words.dictionary_encode()
+    scores, index = word_scores(model, coded.dictionary), coded.indices.to_numpy()
+    n = np.bincount(whose, minlength=len(text))
+    sums = np.stack([np.bincount(whose, weights=scores[index, i], minlength=len(text)) for i in range(len(model.langs))], axis=1) if len(words) else np.zeros((len(text), len(model.langs)))
+    n = np.where(pc.match_substring_regex(text, r"\p{L}").to_numpy(zero_copy_only=False), n, 0)
+    return sums, n
+
+
+def predict(model: Model, text: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """(language, score) of each text."""
+    langs, scores = [], []
+    for _, part in slices(text):
+        if not model.langs:
+            langs += [UNKNOWN] * len(part)
+            scores.append(np.zeros(len(part)))
+            continue
+        sums, n = _sums(model, part)
+        mean = sums / np.maximum(n, 1)[:, None]
+        odds = np.exp((mean - mean.max(axis=1, keepdims=True)) * np.sqrt(n)[:, None])
+        best = odds.argmax(axis=1)
+        langs += [model.langs[b] if k else UNKNOWN for b, k in zip(best.tolist(), n.tolist())]
+        scores.append(np.where(n > 0, odds.max(axis=1) / odds.sum(axis=1), 0.0))
+    return pa.array(langs, pa.string()), pa.array(np.concatenate(scores) if scores else [], pa.float64())
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred and score of every whole text."""
     schema = T.StructType([docs.schema["doc_id"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the model's limits
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the limits of each language
 
-    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [scorer.score(x.as_py()) for x in column(batch, "text")]
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), *predict(shared.value, column(batch, "text"))], names=schema.names)
 
-    return docs.select("doc_id", "text").mapInArrow(predict, schema)
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def predict_languages(docs: DataFrame) -> DataFrame:
@@ -161,19 +259,25 @@ def predict_languages(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """Drop the documents that have no letter, and so no language; all columns stay.
+    """Drop the documents whose language can't be told and give those without a ``lang`` the one predicted.
 
-    The prediction is made beside the row in the same task, so nothing is joined. Without a
-    labelled row to learn from, no document is dropped.
+    All columns stay. The prediction is made beside the row in the same task, so nothing is joined.
+    A text without a letter has no language whatever there is to learn from; where no row has a
+    label, the others stay as they are.
     """
     model = learn(docs.where(~held_out(F.col("doc_id"))))
-    if not model.langs:
-        return docs
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
         for batch in batches:
-            yield batch.filter(pa.array([scorer.score(x.as_py())[0] != UNKNOWN for x in column(batch, "text")], pa.bool_()))
+            text, lang = column(batch, "text"), column(batch, "lang")
+            if shared.value.langs:
+                found, _ = predict(shared.value, text)
+                told = pc.not_equal(found, UNKNOWN)
+                lang = pc.coalesce(lang, found)
+            else:
+                told = pc.fill_null(pc.match_substring_regex(text, r"\p{L}"), False)
+            at = batch.schema.get_field_index("lang")
+            yield batch.set_column(at, batch.schema.field(at), lang.cast(batch.schema.field(at).type)).filter(told)
 
     return docs.mapInArrow(keep, docs.schema)
