@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -120,8 +121,13 @@ def test_near_groups_take_empty_tables(empty):
     assert jaccard_join.keep_one_of_each(empty).columns == empty.columns
 
 
-def test_dense_region_of_loose_copies(spark):
-    """A large group of copies of one text whose distances lie around the radius."""
+@pytest.mark.parametrize("block, worth", [(384, 0.6), (30, 0.6), (30, 4.0), (30, 0.0)])
+def test_dense_region_of_loose_copies(spark, monkeypatch, block, worth):
+    """A large group of copies of one text whose distances lie around the radius, cut at several levels and in blocks."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "WORTH", worth)
+    monkeypatch.setattr(jaccard_join, "PIVOTS", 4)
+    monkeypatch.setattr(jaccard_join, "ASSIGNED", 50)
     draw = random.Random(3)
     base = [f"b{i}" for i in range(160)]
     rows = []
@@ -172,13 +178,77 @@ def test_language_edge_cases(docs, empty):
     assert language_id.predict_languages(empty).count() == 0
     unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
     assert {r["lang_pred"] for r in language_id.predict_languages(unlabelled).collect()} == {"und"}
-    assert language_id.keep_identified(unlabelled).count() == len(corpus())
+    lettered = sum(any(c.isalpha() for c in r[1] or "") for r in corpus())
+    assert language_id.keep_identified(unlabelled).count() == lettered and language_id.keep_identified(empty).columns == empty.columns
+    kept = language_id.keep_identified(docs)
+    assert kept.columns == docs.columns and kept.count() == lettered and kept.where("lang is null").count() == 0
 
 
 def test_unseen_words_back_off():
-    model = language_id.Model(("a", "b"), {"known": (-1.0, -5.0)}, {"z": (-4.0, -1.0), "q": (-1.0, -4.0), "zz": (-6.0, -1.0)}, (-10.0, -10.0))
-    score = language_id.Scorer(model).score
-    assert score("known")[0] == "a" and score("zz")[0] == "b" and score("qq")[0] == "a" and score("1 2")[0] == "und"
+    model = language_id.fit({"a": Counter({"known": 9, "qaq": 3}), "b": Counter({"zuz": 4, "nown": 1})}, 10, 100)
+    langs, _ = language_id.predict(model, pa.array(["known", "zz", "qq", "1 2", None, "KNOWN"]))
+    assert langs.to_pylist() == ["a", "b", "a", "und", "und", "a"]
+
+
+def slow_language(counts: dict, text: str, max_words: int, max_grams: int) -> tuple:
+    """Word-first backoff one letter at a time."""
+    import math
+
+    import regex
+
+    langs = sorted(counts)
+
+    def logs(kept: list) -> dict:
+        every = {x for c in kept for x in c}
+        sums = [sum(c.values()) + 0.5 * len(every) for c in kept]
+        return {x: [math.log((c.get(x, 0) + 0.5) / n) for c, n in zip(kept, sums)] for x in every}
+
+    words = logs([dict(sorted(counts[x].items(), key=lambda p: (-p[1], p[0]))[:max_words]) for x in langs])
+    grams = {}
+    for k in range(1, 6):
+        found = [Counter() for _ in langs]
+        for c, x in zip(found, langs):
+            for w, n in counts[x].items():
+                for i in range(len(w) + 3 - k):
+                    c[f" {w} "[i : i + k]] += n
+        assert all(len(c) <= max_grams for c in found)
+        grams |= logs(found)
+    seen = regex.findall(r"[\p{L}\p{M}]+", (text or "").lower())
+    if not regex.search(r"\p{L}", text or ""):
+        return "und", 0.0
+    total = np.zeros(len(langs))
+    for w in seen:
+        if w in words:
+            row = np.array(words[w])
+        else:
+            padded, row = f" {w} ", np.zeros(len(langs))
+            for i in range(len(padded)):
+                row += next((np.array(grams[padded[i : i + k]]) for k in range(min(5, len(padded) - i), 0, -1) if padded[i : i + k] in grams), np.full(len(langs), math.log(1e-6)))
+            row = row / len(padded) * 2
+        total += row - row.max()
+    odds = np.exp((total / len(seen) - (total / len(seen)).max()) * math.sqrt(len(seen)))
+    return langs[int(odds.argmax())], odds.max() / odds.sum()
+
+
+def test_language_against_a_slow_scorer(spark):
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    learned: dict = {}
+    import regex
+
+    for r in d.collect():
+        if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2 and r["lang"]:
+            learned.setdefault(r["lang"], Counter()).update(regex.findall(r"[\p{L}\p{M}]+", (r["text"] or "").lower()))
+    texts = {r["doc_id"]: r["text"] for r in d.collect()}
+    got = {r["doc_id"]: r for r in language_id.predict_languages(d).collect()}
+    for i in sorted(texts)[::9]:
+        lang, score = slow_language(learned, texts[i], 50_000, 20_000)
+        assert got[i]["lang_pred"] == lang and got[i]["score"] == pytest.approx(score, abs=1e-4)
+
+
+def test_languages_of_long_texts():
+    model = language_id.fit({"a": Counter({"known": 9, "word": 3}), "b": Counter({"zuz": 4, "nown": 1})}, 10, 100)
+    texts = pa.array(["known word " * 500_000, "zuzzu" * 600_000, "zuz"])
+    assert language_id.predict(model, texts)[0].to_pylist() == ["a", "b", "b"]
 
 
 # ---- BPE ----
@@ -192,7 +262,7 @@ def test_bpe_equals_the_library():
     draw = random.Random(5)
     texts = [t or "" for _, t, *_ in corpus()] + ["<|endoftext|>", "x<|endoftext|> <|endo", " " * 300, "a" * 3000]
     texts += ["".join(draw.choice(" \n\t'sab1.,é 😀　\x1f-<|>") for _ in range(draw.randint(1, 800))) for _ in range(400)]
-    codec = bpe.Codec(bpe.vocabulary_path())
+    codec = bpe.Codec(open(bpe.vocabulary_path(), "rb").read())
     got = [ids for ids, _ in bpe.encode_texts(pa.array(texts), codec)]
     want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
     assert got == want and codec.reused > 0 and codec.disagreed > 0

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.common import write_and_reread
+from tidemark.llm.common import forget, write_and_reread
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -26,7 +26,8 @@ def connected(links: DataFrame) -> DataFrame:
     digest = lambda e: e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).collect()[0]
     seen = digest(edges)
     while True:
-        edges = write_and_reread(_star(_star(edges, True), False), "edges")
+        before, edges = edges, write_and_reread(_star(_star(edges, True), False), "edges")
+        forget(before)
         state = digest(edges)
         if state == seen:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("label"))).distinct()

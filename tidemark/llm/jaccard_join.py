@@ -10,7 +10,7 @@ metric between sets. Texts with equal sets form one node.
    partner. An element that several nodes of one task have is counted there and sent once, so
    a passage of many documents costs its owner one entry a task. Nothing is lost: the count is
    never below the true one.
-2. Regions. Pivots of the first level are single shingles: every set holding s is nearer to
+2. First regions. Pivots of the first level are single shingles: every set holding s is nearer to
    {s} than to any shingle that it lacks, so a region is the sets that hold its shingle, and
    as two sets within the radius share one of their first (n - ceil(t n) + 1) elements in any
    fixed order, replicating a set to these regions only is exact. The order puts common
@@ -20,8 +20,17 @@ metric between sets. Texts with equal sets form one node.
    distances to it give links within the radius; members of one component need no more
    comparisons. The rest fall into rings around the pivot as wide as the radius. By the
    triangle inequality a link joins nodes of one ring or of neighbours, so each ring gets a
-   replica of the ring before it, and is compared exactly, in blocks of bounded size whose
-   overlaps are counted all at once; only links leave a task.
+   replica of the ring before it.
+4. Recursion. A ring of more than ``BLOCK`` nodes takes ``PIVOTS`` of its nodes as pivots; each
+   node belongs to the Voronoi region of the nearest. If x and y are within the radius r of each
+   other and x's nearest pivot is p, then d(y, p) <= d(y, nearest of y) + 2 r; so a replica of
+   each node within that window goes to the regions of earlier pivots, and every link lies within
+   a region. Regions are cut into rings again and join recursively. Where a cut doesn't lessen the
+   pairs left to compare (all nodes about equally far from each other), the ring is compared in
+   blocks instead. Regions of at most ``BLOCK`` nodes are compared exactly, their overlaps counted
+   all at once; only links leave a task.
+
+A set is known by 128 bits of the digest of its shingles, which are 64-bit hashes.
 
 Cases: null, empty and blank texts have no shingle and no link; fewer than k words make one
 shingle of all; equal sets always link; a repeated id keeps one row each time it occurs.
@@ -35,9 +44,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tidemark.llm.common import column, shared_folder, shuffle_partitions, slices, write_and_reread
+from tidemark.llm.common import column, forget, mix64, shuffle_partitions, slices, write_and_reread
 from tidemark.llm.components import connected
 from tidemark.llm.shingles import shingle_sets
 from tidemark.llm.sketch import sketched, without
@@ -45,14 +55,19 @@ from tidemark.llm.sketch import sketched, without
 #: Elements of a prefix that must be shared, as a share of a set: longer prefixes filter better and cost more.
 EXTRA = 0.15
 #: Elements gathered in a task before they are sent.
-SEND_ELEMENTS = 1 << 20
-#: Shingles that this many nodes share are moved to the end of the order, the most common HOT_KEPT of them.
+SEND_ELEMENTS = 1 << 19
+#: Shingles whose counts one owner gets.
+OWNED = 1 << 20
+#: Shingles that this many nodes share are moved to the end of the order, the most common HOT_KEPT of them; the others
+#: keep their place by hash, which makes some regions larger and changes no result.
 HOT, HOT_KEPT = 24, 200_000
 _LOW = np.uint64(16)  # the filter works on the upper 48 bits of a shingle's hash
 
 
-def _node(s: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+def _digest(s: np.ndarray) -> tuple[int, int]:
+    """A set's node and a second number by which sets of one node are told apart."""
+    d = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
 def _needed(n: np.ndarray | int, percent: int):
@@ -80,8 +95,8 @@ def _nodes(k: int):
             for _, part in slices(column(batch, "text")):
                 for s in shingle_sets(part, k):
                     n.append(len(s))
-                    node.append(_node(s))
-            yield pa.RecordBatch.from_arrays([column(batch, "row_id"), pa.array(n, pa.int64()), pa.array(node, pa.int64())], names=["row_id", "n_shingles", "node"])
+                    node.append(_digest(s))
+            yield pa.RecordBatch.from_arrays([column(batch, "row_id"), pa.array(n, pa.int64()), *(pa.array([x[i] for x in node], pa.int64()) for i in (0, 1))], names=["row_id", "n_shingles", "node", "other"])
 
     return run
 
@@ -120,7 +135,7 @@ def _send(k: int, percent: int, owners: int):
         for batch in batches:
             for _, part in slices(column(batch, "text")):
                 for s in shingle_sets(part, k):
-                    if not len(s) or (node := _node(s)) in sets:
+                    if not len(s) or (node := _digest(s)[0]) in sets:
                         continue
                     n = len(s)
                     prefix = s[: n - _needed(n, percent) + max(1, int(np.ceil(EXTRA * n)))].copy()
@@ -170,13 +185,14 @@ def _count(lists: pd.DataFrame) -> pd.DataFrame:
     )
 
 
-def _regions(percent: int, hot: np.ndarray, rank: np.ndarray):
+def _regions(percent: int, shared: Broadcast):
     """A row for each element of a set's prefix in the order (common last, then hash), with its place in the set.
 
     ``central`` is high for sets made of common elements: such a set lies amid its group.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot, rank = shared.value
         for batch in batches:
             regions, nodes, sizes, places, centres = [], [], [], [], []
             for node, s in zip(column(batch, "node").to_pylist(), column(batch, "s")):
@@ -253,7 +269,7 @@ def _overlaps(elements: np.ndarray, whose: np.ndarray, m: int, few: int = 32, wi
 
 
 def _compare(percent: int):
-    """Links between the nodes of two blocks of a ring."""
+    """Links between the nodes of one region or of two blocks of it."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.drop_duplicates("node").reset_index(drop=True)
@@ -261,9 +277,8 @@ def _compare(percent: int):
         n = np.array([len(s) for s in sets], np.int64)
         m = len(sets)
         common = _overlaps(np.concatenate(sets), np.repeat(np.arange(m), n), m) if m else np.zeros((0, 0), np.int64)
-        label, d = rows["label"].to_numpy(), rows["d"].to_numpy()
-        near = np.abs(d[:, None] - d[None, :]) <= (100 - percent) / 100 + 1e-9
-        linked = (100 * common >= percent * (n[:, None] + n[None, :] - common)) & (label[:, None] != label[None, :]) & near
+        label = rows["label"].to_numpy()
+        linked = (100 * common >= percent * (n[:, None] + n[None, :] - common)) & (label[:, None] != label[None, :])
         x, y = np.nonzero(np.triu(linked, 1))
         node = rows["node"].to_numpy()
         return pd.DataFrame({"u": node[x], "v": node[y]})
@@ -271,16 +286,115 @@ def _compare(percent: int):
     return run
 
 
-#: Nodes of a ring that are compared in one task.
-BLOCK = 384
+#: Nodes of a region that are compared at once; pivots of a larger one; nodes that one task assigns to them.
+BLOCK, PIVOTS, ASSIGNED = 384, 16, 1024
+#: A cut must bring the pairs to compare down to this share, else the region is compared in blocks.
+WORTH = 0.6
+
+
+def _ring(d, percent: int):
+    """Number of the ring, as wide as the radius, that a distance lies in."""
+    return np.floor(d * 100 / (100 - percent) + 1e-9).astype(np.int64)
+
+
+def _assign(percent: int):
+    """Voronoi regions of some nodes: a row each replica (link false), and the links with pivots."""
+
+    def run(rows: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"parent": [], "region": [], "node": [], "label": [], "link": []}).astype({"parent": "int64", "region": "int64", "node": "int64", "label": "int64", "link": "bool"})
+        if not len(rows) or not len(pivots):
+            return none
+        pivots = pivots.sort_values("node")
+        sets = [np.asarray(s, np.int64) for s in rows["s"]]
+        n = np.array([len(s) for s in sets], np.int64)
+        elements, whose = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
+        d, near = np.ones((len(sets), len(pivots))), np.zeros((len(sets), len(pivots)), bool)
+        for j, s in enumerate(pivots["s"]):
+            s = np.asarray(s, np.int64)
+            at = np.minimum(np.searchsorted(s, elements), len(s) - 1)
+            common = np.bincount(whose[s[at] == elements], minlength=len(sets))
+            either = n + len(s) - common
+            d[:, j], near[:, j] = 1 - common / either, 100 * common >= percent * either
+        node, label, pivot = rows["node"].to_numpy(np.int64), rows["label"].to_numpy(np.int64), pivots["node"].to_numpy(np.int64)
+        home = d.argmin(axis=1)
+        window = d <= d[np.arange(len(d)), home][:, None] + 2 * (100 - percent) / 100 + 1e-9
+        x, p = np.nonzero(window & (np.arange(len(pivot))[None, :] <= home[:, None]))
+        ring = _ring(d[x, p], percent)
+        x, p, ring = np.tile(x, 2), np.tile(p, 2), np.concatenate([ring, ring + 1])
+        key = mix64(pivot[p].view(np.uint64) ^ mix64(ring.astype(np.uint64) ^ mix64(rows["parent"].to_numpy(np.int64)[x].view(np.uint64)))).view(np.int64)
+        u, v = np.nonzero(near & (node[:, None] != pivot[None, :]))
+        return pd.DataFrame(
+            {
+                "parent": rows["parent"].iloc[0],
+                "region": np.concatenate([key, node[u]]),
+                "node": np.concatenate([node[x], pivot[v]]),
+                "label": np.concatenate([label[x], np.zeros(len(u), np.int64)]),
+                "link": np.concatenate([np.zeros(len(x), bool), np.ones(len(u), bool)]),
+            }
+        )
+
+    return run
+
+
+def _sizes(regions: DataFrame) -> DataFrame:
+    """region and c of the regions that more than one component has."""
+    return regions.groupBy("region").agg(F.count(F.lit(1)).alias("c"), F.min("label").alias("a"), F.max("label").alias("b")).where("c > 1 and a != b").select("region", "c")
+
+
+def _in_blocks(regions: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links within regions: all at once up to BLOCK nodes, else by pairs of blocks."""
+    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
+    placed = regions.join(sizes, "region").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(sets, "node")
+    placed = placed.select("region", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "node", "label", "s")
+    return placed.groupBy("region", "b1", "b2").applyInPandas(_compare(percent), "u long, v long")
+
+
+def _cut(regions: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int, level: int) -> DataFrame:
+    """Regions of more than BLOCK nodes, cut at pivots: parent, region, node, label, link."""
+    h = F.xxhash64("node", F.lit(level))
+    large = regions.join(sizes, "region").join(sets, "node").withColumn("salts", F.ceil(F.col("c") / ASSIGNED).cast("int"))
+    large = large.select(F.col("region").alias("parent"), "c", "salts", "node", "label", "s", h.alias("h"))
+    # about PIVOTS nodes by hash and, so that there is one, the node of the least
+    some = large.where(F.pmod("h", F.ceil(F.col("c") / PIVOTS)) == 0).select("parent", "salts", "node", "s")
+    least = large.groupBy("parent").agg(F.min(F.struct("h", "node", "salts")).alias("x")).select("parent", "x.salts", "x.node").join(sets, "node").select("parent", "salts", "node", "s")
+    pivots = write_and_reread(some.union(least).dropDuplicates(["parent", "node"]), "pivots").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    members = large.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"))
+    return members.select("parent", "salt", "node", "label", "s").groupBy("parent", "salt").cogroup(pivots.select("parent", "salt", "node", "s").groupBy("parent", "salt")).applyInPandas(
+        _assign(percent), "parent long, region long, node long, label long, link boolean"
+    )
+
+
+def _joined(regions: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) between nodes of different labels within regions (region, node, label)."""
+    links, level = regions.select(F.col("node").alias("u"), F.col("node").alias("v")).limit(0), 0
+    while True:
+        sizes = write_and_reread(_sizes(regions), "sizes")
+        large = sizes.where(F.col("c") > BLOCK)
+        if large.isEmpty():
+            return links.union(_in_blocks(regions, sizes, sets, percent))
+        cut = write_and_reread(_cut(regions, large, sets, percent, level), "cut")
+        links = links.union(cut.where("link").select(F.col("region").alias("u"), F.col("node").alias("v")))
+        cut = cut.where("not link")
+        # the pairs that are left in the regions of each parent
+        child = cut.groupBy("parent", "region").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("a"), F.max("label").alias("b"))
+        pairs = child.where("a != b").groupBy("parent").agg(F.sum(F.col("n") * F.col("n")).alias("pairs"))
+        judged = large.join(pairs, large["region"] == pairs["parent"], "left").select("region", "c", (F.coalesce("pairs", F.lit(0)) <= WORTH * F.col("c") * F.col("c")).alias("worth"))
+        judged = write_and_reread(judged, "judged")
+        rest = sizes.where(F.col("c") <= BLOCK).union(judged.where("not worth").select("region", "c"))
+        links = links.union(write_and_reread(_in_blocks(regions, rest, sets, percent), "links"))
+        regions = cut.join(judged.where("worth").select(F.col("region").alias("parent")), "parent").select("region", "node", "label").distinct()
+        regions, level = write_and_reread(regions, "regions"), level + 1
 
 
 def _links(sets: DataFrame, hot: list, percent: int) -> DataFrame:
     """Links (u, v) that join all nodes within the radius, directly or through others."""
     hot = sorted(hot)
-    keys, rank = np.array([k for k, _ in hot], np.uint64), np.array([n for _, n in hot], np.int64)
-    members = write_and_reread(sets.mapInArrow(_regions(percent, keys, rank), "region long, node long, n int, at int, central int"), "regions")
-    members = write_and_reread(_open(members.withColumn("label", F.col("node")), percent), "members")
+    table = np.array([k for k, _ in hot], np.uint64), np.array([n for _, n in hot], np.int64)
+    shared = sets.sparkSession.sparkContext.broadcast(table)  # HOT_KEPT rows at most
+    members = write_and_reread(sets.mapInArrow(_regions(percent, shared), "region long, node long, n int, at int, central int"), "regions")
+    first, members = members, write_and_reread(_open(members.withColumn("label", F.col("node")), percent), "members")
+    forget(first)
     best = F.max(F.struct("central", -F.col("at"), "node")).alias("p")
     pivots = write_and_reread(members.groupBy("region").agg(best).select("region", F.col("p.node").alias("pivot")), "pivots")
     held = members.join(pivots, "region").where(F.col("node") != F.col("pivot"))
@@ -291,54 +405,57 @@ def _links(sets: DataFrame, hot: list, percent: int) -> DataFrame:
     # what is left: regions whose members are not yet one component, without their pivots
     left = held.drop("label").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     left = write_and_reread(left, "left")
-    left = _open(left, percent).groupBy("pivot", "node").agg(F.first("label").alias("label"))
-    left = left.join(stars.select(F.col("u").alias("pivot"), F.col("v").alias("node"), "d"), ["pivot", "node"])
+    forget(members, pivots)
+    met = _open(left, percent).groupBy("pivot", "node").agg(F.first("label").alias("label"))
+    met = met.join(stars.select(F.col("u").alias("pivot"), F.col("v").alias("node"), "d"), ["pivot", "node"])
     # rings as wide as the radius around the pivot: a link joins nodes of one ring or of two neighbours
     ring = F.floor(F.col("d") * 100 / (100 - percent) + 1e-9).cast("int")
-    rings = write_and_reread(left.select("pivot", "node", "label", "d", F.explode(F.array(ring, ring + 1)).alias("ring")), "rings")
-    sizes = rings.groupBy("pivot", "ring").agg(F.count(F.lit(1)).alias("c"), F.min("label").alias("a"), F.max("label").alias("b")).where("c > 1 and a != b")
-    sizes = write_and_reread(sizes.select("pivot", "ring", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "sizes")
-    placed = rings.join(sizes, ["pivot", "ring"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    placed = placed.join(sets, "node").select("pivot", "ring", "node", "label", "d", "s", "block", other)
-    placed = placed.select("pivot", "ring", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "node", "label", "d", "s")
-    last = placed.groupBy("pivot", "ring", "b1", "b2").applyInPandas(_compare(percent), "u long, v long")
-    return write_and_reread(linked.union(last), "links")
+    rings = met.select("pivot", "node", "label", F.explode(F.array(ring, ring + 1)).alias("ring"))
+    rings = write_and_reread(rings.select(F.xxhash64("pivot", "ring").alias("region"), "node", "label"), "rings")
+    found = write_and_reread(linked.union(_joined(rings, sets, percent)), "links")
+    forget(stars, left, rings)
+    return found
 
 
 def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: id, n_shingles and component_id (least id that links reach)."""
-    spark = docs.sparkSession
-    owners = shuffle_partitions(spark) * 2
     rows = docs.select(F.col(id_col).alias("row_id"), F.col(text_col).alias("text"))
     kind = rows.schema["row_id"].dataType
-    nodes = write_and_reread(rows.mapInArrow(_nodes(k), T.StructType([T.StructField("row_id", kind), T.StructField("n_shingles", T.LongType()), T.StructField("node", T.LongType())])), "nodes")
+    nodes = rows.mapInArrow(_nodes(k), T.StructType([T.StructField("row_id", kind), *(T.StructField(c, T.LongType()) for c in ("n_shingles", "node", "other"))]))
+    nodes = write_and_reread(nodes, "nodes")
+    elements = nodes.agg(F.sum("n_shingles")).collect()[0][0] or 0
+    owners = max(shuffle_partitions(docs.sparkSession) * 2, elements // OWNED)
 
     sent = rows.mapInArrow(_send(k, percent, owners), "owner int, n int, gaps binary, nodes binary, counts binary, own_node binary, own_size binary, own_count binary")
-    counted = write_and_reread(sent.groupBy("owner").applyInPandas(_count, "kind int, key long, size long, n long"), "counted")
+    counted = write_and_reread(sent.repartition(owners, "owner").groupBy("owner").applyInPandas(_count, "kind int, key long, size long, n long"), "counted")
     need = F.greatest(F.lit(1), F.floor(F.col("size") * percent / 100 * EXTRA))
     alive = counted.where("kind = 0").groupBy("key").agg(F.max("size").alias("size"), F.sum("n").alias("n")).where(F.col("n") >= need)
     # one document of each node that is left gives its set
-    chosen = nodes.where("n_shingles > 0").groupBy("node").agg(F.min("row_id").alias("chosen")).join(alive.select(F.col("key").alias("node")), "node")
+    chosen = nodes.where("n_shingles > 0").groupBy("node", "other").agg(F.min("row_id").alias("chosen")).join(alive.select(F.col("key").alias("node")), "node")
     chosen = write_and_reread(chosen, "chosen")
+    # different sets of one node, if there are any, get nodes of their own
+    twins = write_and_reread(chosen.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node", F.lit(True).alias("twin")), "twins")
+    if not twins.isEmpty():
+        apart = F.when(F.col("twin"), F.xxhash64("node", "other")).otherwise(F.col("node"))
+        nodes, chosen = (x.join(twins, "node", "left").withColumn("first", F.col("node")).withColumn("node", apart).drop("twin") for x in (nodes, chosen))
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            want = column(batch, "node").to_pylist()
-            found = {}
+            node, first, other = (column(batch, c).to_pylist() for c in ("node", "first", "other"))
             for at, part in slices(column(batch, "text")):
-                for i, s in enumerate(shingle_sets(part, k)):
-                    if _node(s) == want[at + i]:
-                        found[want[at + i]] = s.view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.list_(pa.int64()))], names=["node", "s"])
+                found = {node[at + i]: s.view(np.int64) for i, s in enumerate(shingle_sets(part, k)) if _digest(s) == (first[at + i], other[at + i])}
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.list_(pa.int64()))], names=["node", "s"])
 
     # most documents are not chosen: a sketch keeps their texts out of the shuffle, the join decides
-    picked = rows.where(sketched(chosen.select("chosen"))(F.xxhash64("row_id"))).withColumn("h", F.xxhash64("text"))
-    picked = picked.join(chosen, picked["row_id"] == chosen["chosen"]).dropDuplicates(["row_id", "node", "h"]).select("node", "text")
+    may = sketched(chosen.select("chosen"))
+    picked = (rows if may is None else rows.where(may(F.xxhash64("row_id")))).withColumn("h", F.xxhash64("text"))
+    chosen = chosen if "first" in chosen.columns else chosen.withColumn("first", F.col("node"))
+    picked = picked.join(chosen, picked["row_id"] == chosen["chosen"]).dropDuplicates(["row_id", "node", "h"]).select("node", "first", "other", "text")
     sets = write_and_reread(picked.mapInArrow(sets_of, "node long, s array<long>"), "sets")
     hot = counted.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(HOT_KEPT)
     links = _links(sets, [(r["key"], r["n"]) for r in hot.collect()], percent)  # a bounded table that only orders shingles
     label = connected(links)
+    forget(counted, sets, links)
 
     ids = nodes.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = write_and_reread(ids.where("n_shingles > 0").groupBy("label").agg(F.min("row_id").alias("component_id")), "least")

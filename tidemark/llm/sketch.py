@@ -1,4 +1,4 @@
-"""A sketch of a set of ids of fixed size, to keep rows out of joins that can't concern them."""
+"""A sketch of a set of ids, to keep rows out of joins that can't concern them."""
 
 from __future__ import annotations
 
@@ -6,13 +6,17 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-#: Bits of the sketch: 4 MB whatever the table's size. Beyond some ten million ids it lets more and more pass,
-#: which costs shuffle and never changes a result.
-SKETCH_BITS = 1 << 25
+#: Bits of the sketch for each id, and the most bits in all (32 MB): some thirty million ids on, rows are no
+#: longer cleared by the sketch and all meet the table in the join, which costs shuffle and changes no result.
+BITS_EACH, LEAST_BITS, MOST_BITS = 8, 1 << 20, 1 << 28
 
 
-def sketched(ids: DataFrame, bits: int = SKETCH_BITS):
-    """A function of xxhash64(id): false only for ids that ``ids`` (one column) lacks."""
+def sketched(ids: DataFrame):
+    """A function of xxhash64(id): false only for ids that ``ids`` (one column) lacks; None where no sketch would clear enough."""
+    n = ids.count()
+    bits = max(LEAST_BITS, 1 << max(1, n * BITS_EACH).bit_length())
+    if bits > MOST_BITS:
+        return None
     bit = F.pmod(F.xxhash64(F.col(ids.columns[0])), F.lit(bits))
     words = ids.select(bit.alias("bit")).groupBy(F.floor(F.col("bit") / 64).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits"))
     found = words.toArrow()  # bits / 64 rows at most
@@ -33,7 +37,10 @@ def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFra
 
     Rows that the sketch clears stay where they lie; only the others meet ``gone`` in a join.
     """
-    may = sketched(gone)(F.xxhash64(F.col(id_col)))
+    may = sketched(gone)
+    if may is None:
+        return docs.join(gone, docs[id_col] == gone[gone.columns[0]], "left_anti")
+    may = may(F.xxhash64(F.col(id_col)))
     doubtful = docs.where(may)
     rest = doubtful.join(gone, doubtful[id_col] == gone[gone.columns[0]], "left_anti")
     return docs.where(~may).unionByName(rest)
