@@ -137,8 +137,8 @@ def _mixed(docs: DataFrame, target: dict[str | None, float] | None, key: str, sl
     """row (all columns of docs), mix_unit, mix_slot, mix_at."""
     keyed = docs.select(F.struct(*docs.columns).alias("row"), _key(F.col(key)).alias("source_key"))
     paths = source_paths(docs.select(_key(F.col(key)).alias("source_key")), target, block)
-    # one row a source
-    placed = _numbered(keyed).join(F.broadcast(paths), "source_key").withColumn("number", F.floor(F.col("place") / block))
+    # one row a source; Spark broadcasts it while it is small
+    placed = _numbered(keyed).join(paths, "source_key").withColumn("number", F.floor(F.col("place") / block))
     slot = (F.col("base") + F.expr(_SLOT.format(k="number"))).alias("slot")
     placed = placed.select("row", slot, F.pmod("place", F.lit(block)).cast("int").alias("mix_at"))
     return placed.select("row", F.floor(F.col("slot") / slots).alias("mix_unit"), F.pmod("slot", F.lit(slots)).cast("long").alias("mix_slot"), "mix_at")
