@@ -86,3 +86,10 @@ def normal_quantile(p: float) -> float:
     t = math.sqrt(-2 * math.log(min(p, 1 - p)))
     z = t - (c[0] + c[1] * t + c[2] * t * t) / (1 + d[0] * t + d[1] * t * t + d[2] * t**3)
     return z if p > 0.5 else -z
+
+
+def normal_sql(x: str) -> str:
+    """The distribution function in SQL that has no erf: its integral by Simpson's rule in 400 steps from 0, 0 or 1 beyond 8 deviations."""
+    step = f"(least(8.0, abs({x})) / 400)"
+    terms = f"list_sum(list_transform(range(401), lambda i: (CASE WHEN i = 0 OR i = 400 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-0.5 * pow(i * {step}, 2))))"
+    return f"(0.5 + sign({x}) * {terms} * {step} / 3 / sqrt(2 * pi()))"

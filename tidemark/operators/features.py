@@ -7,9 +7,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.functions.columns import clip, over
+from tidemark.functions.columns import clip, running, z_score
 from tidemark.operators import indicators as ind, recursive as rec
-from tidemark.operators.statistics import log_return
+from tidemark.operators.fusion import dempster_shafer
+from tidemark.operators.microstructure import book_features, order_flow
+from tidemark.operators.statistics import log_return, running_relation
 
 # ---- fixed values: the slots' names, in order ----
 SLOTS = (
@@ -29,18 +31,49 @@ def relative(v: Column, price: Column) -> Column:
     return F.when(price != 0, F.tanh((v - price) / price * 10)).otherwise(0.0)
 
 
-def assemble(bars: DataFrame) -> DataFrame:
-    """symbol, ts and the 60 slots of each bar; order-flow slots hold their defaults until joined by ``with_flow``."""
+def base_relation(bars: DataFrame, base: str) -> DataFrame:
+    """symbol, ts and the running correlation (corr) of each symbol's returns with those of ``base`` at the same times."""
+    r = log_return(bars).select("symbol", "ts", "ret")
+    met = r.join(r.where(F.col("symbol") == base).select("ts", F.col("ret").alias("base_ret")), "ts")
+    return running_relation(met, "base_ret", "ret").select("symbol", "ts", "corr")
+
+
+def flow_slots(trades: DataFrame, books: DataFrame, unit: str = "hour") -> DataFrame:
+    """symbol, ts (begin of the bar) and the order-flow slots as they stand at the bar's end.
+
+    trades are those of ``order_flow``; books have symbol, ts, book_id, bids and asks.
+    """
+    ts = F.date_trunc(unit, "ts").alias("bar")
+    t = order_flow(trades).select("symbol", ts, F.struct("ts", "event_id").alias("at"), *[F.col(c).alias(f"flow_{s}") for c, s in (("cvd_z", "cvd_normalized"), ("divergence", "cvd_divergence"), ("vpin", "vpin"), ("intensity_z", "trade_intensity"), ("aggressive", "aggressive_ratio"))])
+    b = book_features(books).withColumn("spread_z", clip(z_score(F.col("spread"), running("ts", "book_id")), -5, 5))
+    smooth = rec.scan(b.select("symbol", "ts", "book_id", "obi"), rec.ema("obi", 2 / 21, "obi_ema"), order=("ts", "book_id"))
+    b = b.join(smooth, ["symbol", "ts", "book_id"]).select("symbol", ts, F.struct("ts", "book_id").alias("at"), *[F.col(c).alias(f"flow_{s}") for c, s in (("obi", "obi_current"), ("obi_ema", "obi_ema"), ("micro_dev", "microprice_dev"), ("spread_z", "spread_zscore"), ("lob_imbalance", "lob_imbalance"))])
+    last = lambda df: df.groupBy("symbol", "bar").agg(*[F.max_by(c, "at").alias(c) for c in df.columns if c.startswith("flow_")])
+    return last(t).join(last(b), ["symbol", "bar"], "full").withColumnRenamed("bar", "ts")
+
+
+def assemble(bars: DataFrame, base: str | None = None) -> DataFrame:
+    """symbol, ts and the 60 slots of each bar, none of which reads a later bar.
+
+    Order-flow slots hold their defaults until joined by ``with_flow``; the correlation slots
+    are 0 without a ``base`` symbol or where it has no bar. Slots that stand for measures not
+    defined here (volatility trend, CVD divergence of bars, volume momentum, skewness, kurtosis,
+    autocorrelation, drawdown forecast, spread, impact, execution) are 0 by definition.
+    """
     b = log_return(bars).withColumn("typical", (F.col("high") + F.col("low") + F.col("close")) / 3)
     b = ind.relative_volume(ind.volume_delta(ind.true_range(ind.simple_rsi(ind.raw_stochastic(ind.williams_r(b))))))
-    b = ind.alma(ind.hull(b, "close", 21, "hma_21"), "close").withColumn("rank", F.percent_rank().over(over("close")))
+    b = ind.alma(ind.hull(b, "close", 21, "hma_21"), "close")
     steps = [
         rec.jma(n=21, name="jma_21"), rec.jma(n=5, name="jma_5"), rec.jma(n=10, name="jma_10"), rec.jma("pressure", 10, warm=False, name="pressure_jma"), rec.kama(), rec.kalman(),
         rec.trendline(), rec.moving_hurst(), rec.fisher(), rec.mesa_macd(), rec.stochastic(), rec.roofing(), rec.dema_cci(), rec.garch(), rec.regime_forward(), rec.smoothed_tr(),
-        rec.jma("typical", 20, name="keltner_mid"),
+        rec.jma("typical", 20, name="keltner_mid"), rec.relative_position(name="rank"),
     ]
     r = rec.scan_all(b, steps)
     x = b.join(r, ["symbol", "ts"])
+    x = x.join(base_relation(bars, base), ["symbol", "ts"], "left") if base is not None else x.withColumn("corr", F.lit(None).cast("double"))
+    # evidence of the momentum slot alone, combined with a vacuous frame
+    fisher = F.coalesce(F.tanh("fisher_rsi"), 2 * F.col("p_bull") - 1)
+    x = dempster_shafer(x.withColumn("_fisher", fisher), [{1: F.col("_fisher") / 2 + 0.5, 2: (1 - F.col("_fisher")) / 2}])
     p, c = F.col("close"), F.col
     or_ = lambda v, other: F.coalesce(v, other if isinstance(other, Column) else F.lit(float(other)))
     band = 2 * c("smoothed_tr")
@@ -79,7 +112,10 @@ def assemble(bars: DataFrame) -> DataFrame:
         "selling_pressure": F.greatest(F.lit(0.0), -c("pressure")),
         "price_percentile": 2 * c("rank") - 1,
         "mean_reversion_score": -or_(c("trend_direction"), F.signum(c("ret"))),
-        "dempster_shafer_confidence": F.abs(or_(F.tanh(c("fisher_rsi")), bullish)),
+        "correlation_btc": or_(c("corr"), 0),
+        "correlation_strength": or_(F.abs(c("corr")), 0),
+        "dempster_shafer_confidence": 1 - c("uncertainty"),
+        "signal_conflict_level": c("conflict"),
         "regime_stability": F.abs(c("p_bull") - c("p_bear")),
         "liquidity_score": F.lit(0.5),
         "flow_aggressive_ratio": F.lit(0.5),

@@ -13,59 +13,72 @@ from tidemark.functions.columns import last, normal_cdf, normal_quantile, over,
 # ---- folds: ranges joined to numbered rows, so a split is a table and never an index list ----
 
 
-def fold_bounds(n: int, folds: int) -> list[tuple[int, int]]:
-    """Half-open ranges of equal size; the last runs to the end."""
-    size = n // folds
-    return [(i * size, n if i == folds - 1 else (i + 1) * size) for i in range(folds)]
+def numbered(rows: DataFrame, by: str = "symbol") -> DataFrame:
+    """rows with i, the place (from 0) in its series' order of time, and n, the series' length."""
+    n = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
+    return rows.withColumn("i", (F.row_number().over(over(by=(by,))) - 1).cast("long")).join(n, by)
 
 
-def combinatorial_paths(spark: SparkSession, n: int, folds: int = 6, tests: int = 2, purge: int = 5, embargo: float = 0.02) -> DataFrame:
-    """One row a path and test fold: path, start, stop, purge_from, embargo_to."""
-    bounds, hold = fold_bounds(n, folds), int(n * embargo)
-    rows = [(p, *bounds[f], max(0, bounds[f][0] - purge), min(n, bounds[f][1] + hold)) for p, chosen in enumerate(combinations(range(folds), tests)) for f in chosen]
-    return spark.createDataFrame(rows, "path int, start long, stop long, purge_from long, embargo_to long")
+def _fold(n: Column, folds: int, fold: int) -> tuple[Column, Column]:
+    """Half-open range of a fold; all are of equal size and the last runs to the end."""
+    size = F.floor(n / folds)
+    return size * fold, n if fold == folds - 1 else size * (fold + 1)
 
 
-def assign_paths(rows: DataFrame, paths: DataFrame, index: str = "i") -> DataFrame:
-    """Every row with its role on each path: test, held (purged or embargoed) or train.
+def _paths(lengths: DataFrame, by: str, rows: list[list[Column]]) -> DataFrame:
+    """One row a series and path, with the structs of its test folds."""
+    tests = F.array(*[F.struct(F.lit(p).alias("path"), F.array(*folds).alias("tests")) for p, folds in enumerate(rows)])
+    return lengths.select(by, F.inline(tests))
 
-    The fold table has a few dozen rows whatever the series' length and is broadcast.
-    """
-    one = paths.groupBy("path").agg(F.collect_list(F.struct("start", "stop", "purge_from", "embargo_to")).alias("tests"))
-    met = rows.join(F.broadcast(one))
-    i = F.col(index)
-    is_test = F.exists("tests", lambda t: (i >= t["start"]) & (i < t["stop"]))
-    is_held = F.exists("tests", lambda t: ((i >= t["purge_from"]) & (i < t["start"])) | ((i >= t["stop"]) & (i < t["embargo_to"])))
-    return met.withColumn("role", F.when(is_test, "test").when(is_held, "held").otherwise("train")).drop("tests")
 
+def _test(start: Column, stop: Column, purge_from: Column, embargo_to: Column) -> Column:
+    return F.struct(*[c.cast("long").alias(name) for c, name in ((start, "start"), (stop, "stop"), (purge_from, "purge_from"), (embargo_to, "embargo_to"))])
 
-def span_paths(spark: SparkSession, n: int, folds: int = 5, tests: int = 2, purge: float = 0.01, embargo: float = 0.01) -> DataFrame:
+
+def combinatorial_paths(lengths: DataFrame, folds: int = 6, tests: int = 2, purge: int = 5, embargo: float = 0.02, by: str = "symbol") -> DataFrame:
+    """Paths of series lengths (by, n): each combination of folds is tested, with rows purged before and embargoed behind each."""
+    n = F.col("n")
+    bounds, hold = [_fold(n, folds, f) for f in range(folds)], F.floor(n * embargo)
+    one = lambda a, b: _test(a, b, F.greatest(F.lit(0), a - purge), F.least(n, b + hold))
+    return _paths(lengths, by, [[one(*bounds[f]) for f in chosen] for chosen in combinations(range(folds), tests)])
+
+
+def span_paths(lengths: DataFrame, folds: int = 5, tests: int = 2, purge: float = 0.01, embargo: float = 0.01, by: str = "symbol") -> DataFrame:
     """Paths whose purge and embargo lie around the whole span of their test folds."""
-    bounds, before, after = fold_bounds(n, folds), int(n * purge), int(n * embargo)
+    n = F.col("n")
+    bounds, before, after = [_fold(n, folds, f) for f in range(folds)], F.floor(n * purge), F.floor(n * embargo)
     rows = []
-    for p, chosen in enumerate(combinations(range(folds), tests)):
-        low, high = bounds[chosen[0]][0], bounds[chosen[-1]][1]
-        rows += [(p, *bounds[f], max(0, low - before) if f == chosen[0] else bounds[f][0], min(n, high + after) if f == chosen[-1] else bounds[f][1]) for f in chosen]
-    return spark.createDataFrame(rows, "path int, start long, stop long, purge_from long, embargo_to long")
+    for chosen in combinations(range(folds), tests):
+        low, high = F.greatest(F.lit(0), bounds[chosen[0]][0] - before), F.least(n, bounds[chosen[-1]][1] + after)
+        rows.append([_test(*bounds[f], low if f == chosen[0] else bounds[f][0], high if f == chosen[-1] else bounds[f][1]) for f in chosen])
+    return _paths(lengths, by, rows)
 
 
-def adjacent_folds(spark: SparkSession, n: int, folds: int = 5, purge: int = 10, embargo: int = 5) -> DataFrame:
+def adjacent_folds(lengths: DataFrame, folds: int = 5, purge: int = 10, embargo: int = 5, by: str = "symbol") -> DataFrame:
     """Plain k-fold: each path tests one fold, the rows next to it are held."""
-    rows = [(p, a, b, max(0, a - purge), min(n, b + embargo)) for p, (a, b) in enumerate(fold_bounds(n, folds))]
-    return spark.createDataFrame(rows, "path int, start long, stop long, purge_from long, embargo_to long")
+    n = F.col("n")
+    bounds = [_fold(n, folds, f) for f in range(folds)]
+    return _paths(lengths, by, [[_test(a, b, F.greatest(F.lit(0), a - purge), F.least(n, b + embargo))] for a, b in bounds])
+
+
+def assign_paths(rows: DataFrame, paths: DataFrame, index: str = "i", by: str = "symbol") -> DataFrame:
+    """Every row with its role on each path of its series: test, held (purged or embargoed) or train."""
+    met = rows.join(paths, by)
+    i = F.col(index)
+    is_test = F.exists("tests", lambda t: (i >= t["start"]) & (i < t["stop"]))
+    is_held = F.exists("tests", lambda t: ((i >= t["purge_from"]) & (i < t["start"])) | ((i >= t["stop"]) & (i < t["embargo_to"])))
+    return met.withColumn("role", F.when(is_test, "test").when(is_held, "held").otherwise("train")).drop("tests")
 
 
-def walk_forward(n: int, periods: int = 5, train: float = 0.7, gap: int = 5) -> list[tuple[int, int, int, int, int]]:
-    """(period, train start, train stop, test start, test stop)."""
-    size = n // periods
-    out = []
-    for p in range(periods):
-        a = p * size
-        b = n if p == periods - 1 else a + size
-        cut = a + int((b - a) * train)
-        if cut + gap < b:
-            out.append((p, a, cut, cut + gap, b))
-    return out
+def walk_forward(rows: DataFrame, periods: int = 5, train: float = 0.7, gap: int = 5) -> DataFrame:
+    """Rows (i, n) with their period and role: train, gap or test; a period too short for a test has none."""
+    size = F.floor(F.col("n") / periods)
+    p = F.least(F.floor(F.col("i") / F.greatest(size, F.lit(1))), F.lit(periods - 1))
+    x = rows.withColumn("period", p.cast("long")).withColumn("_a", F.col("period") * size)
+    x = x.withColumn("_b", F.when(F.col("period") == periods - 1, F.col("n")).otherwise(F.col("_a") + size))
+    cut = F.col("_a") + F.floor((F.col("_b") - F.col("_a")) * train + 1e-9)
+    i = F.col("i")
+    return x.where(cut + gap < F.col("_b")).withColumn("role", F.when(i < cut, "train").when(i < cut + gap, "gap").otherwise("test")).drop("_a", "_b")
 
 
 def sharpe(x: Column, year: float, sample: bool = True) -> Column:
@@ -73,19 +86,19 @@ def sharpe(x: Column, year: float, sample: bool = True) -> Column:
     return F.when(std > 1e-10, F.avg(x) / std * math.sqrt(year)).otherwise(0.0)
 
 
-def path_summary(scores: DataFrame, least: float = 0.5, most_spread: float = 0.5) -> DataFrame:
-    """Mean, spread, extremes and pass rule of the paths' Sharpe ratios (column sharpe)."""
+def path_summary(scores: DataFrame, least: float = 0.5, most_spread: float = 0.5, by: str = "symbol") -> DataFrame:
+    """Mean, spread, extremes and pass rule of the Sharpe ratios (column sharpe) of each series' paths."""
     s = F.col("sharpe")
-    out = scores.agg(F.count(s).alias("n_paths"), F.avg(s).alias("mean"), F.stddev_samp(s).alias("std"), F.min(s).alias("least"), F.max(s).alias("most"), (F.avg((s > 0).cast("double")) * 100).alias("pct_positive"))
+    out = scores.groupBy(by).agg(F.count(s).alias("n_paths"), F.avg(s).alias("mean"), F.stddev_samp(s).alias("std"), F.min(s).alias("least"), F.max(s).alias("most"), (F.avg((s > 0).cast("double")) * 100).alias("pct_positive"))
     spread = F.when(F.abs("mean") > 0.01, F.col("std") / F.abs("mean"))
     return out.withColumn("consistency", spread).withColumn("passed", (F.col("mean") >= least) & F.coalesce(F.col("consistency") <= most_spread, F.lit(False)))
 
 
-def overfitting_probability(pairs: DataFrame) -> DataFrame:
-    """Share of paths whose rank out of sample is above (worse than) that in sample; ranks from 0 in ascending order."""
-    rank = lambda c: F.row_number().over(over(c, "path", by=("group",)))
-    ranked = pairs.withColumn("group", F.lit(0)).select("path", rank("in_sample").alias("a"), rank("out_sample").alias("b"))
-    return ranked.agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("b") > F.col("a")).cast("double")).alias("pbo"))
+def overfitting_probability(pairs: DataFrame, by: str = "symbol") -> DataFrame:
+    """Share of a series' paths whose rank out of sample is above (worse than) that in sample; ranks from 0 in ascending order."""
+    rank = lambda c: F.row_number().over(over(c, "path", by=(by,)))
+    ranked = pairs.select(by, "path", rank("in_sample").alias("a"), rank("out_sample").alias("b"))
+    return ranked.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("b") > F.col("a")).cast("double")).alias("pbo"))
 
 
 def equity_curve(returns: DataFrame, x: str = "ret", year: float = 252) -> DataFrame:
@@ -155,31 +168,42 @@ def deflated_sharpe(df: DataFrame, trials: int, hurdle: float = 3.0, sure: float
 # ---- bootstrap: draws come from integer arithmetic on (replicate, block), the same everywhere ----
 
 
-def block_draws(spark: SparkSession, n: int, replicates: int, block: int) -> DataFrame:
-    """rep, offset in the sample, and the row drawn; blocks of consecutive rows."""
-    blocks = n // block
-    grid = spark.range(replicates * blocks).select((F.col("id") / blocks).cast("long").alias("rep"), (F.col("id") % blocks).alias("b"))
-    start = (F.col("rep") * 48271 + F.col("b") * 69621 + 12345 + F.col("rep") * F.col("b") * 7919) % (n - block + 1)
-    return grid.select("rep", (start).alias("start"), F.explode(F.sequence(F.lit(0), F.lit(block - 1))).alias("k")).select("rep", (F.col("start") + F.col("k")).alias("i"))
+def block_draws(lengths: DataFrame, replicates: int, by: str = "strategy") -> DataFrame:
+    """by, rep and the row drawn (i): blocks of about sqrt(n) consecutive rows, n // block of them a replicate, from (by, n)."""
+    d = lengths.withColumn("block", F.greatest(F.lit(1), F.floor(F.sqrt("n"))))
+    d = d.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)).cast("array<long>"))).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n") / F.col("block")) - 1)))
+    start = (F.col("rep") * 48271 + F.col("b") * 69621 + 12345 + F.col("rep") * F.col("b") * 7919) % (F.col("n") - F.col("block") + 1)
+    return d.select(by, "rep", start.alias("start"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("block") - 1)).alias("k")).select(by, "rep", (F.col("start") + F.col("k")).alias("i"))
+
+
+def geometric_draws(lengths: DataFrame, replicates: int, mean_block: int = 10, by: str = "strategy") -> DataFrame:
+    """by, rep and the row drawn (i): the stationary bootstrap, whose blocks begin anew with chance 1 / mean_block and wrap around.
+
+    A place begins a block where a hash of (rep, place) says so; its rows follow the block's
+    first one, which the same hash names.
+    """
+    d = lengths.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)).cast("array<long>"))).withColumn("place", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    h = (F.col("rep") * 48271 + F.col("place") * 69621 + F.col("rep") * F.col("place") * 7919 + 12345) % 1_000_003
+    d = d.withColumn("first", F.when((F.col("place") == 0) | (h % mean_block == 0), F.struct("place", (h % F.col("n")).alias("row"))))
+    begun = F.last("first", ignorenulls=True).over(W.partitionBy(by, "rep").orderBy("place").rowsBetween(W.unboundedPreceding, 0))
+    return d.withColumn("begun", begun).select(by, "rep", F.pmod(F.col("begun.row") + F.col("place") - F.col("begun.place"), F.col("n")).alias("i"))
 
 
-def bootstrap_test(excess: DataFrame, n: int, replicates: int = 200, block: int | None = None) -> DataFrame:
+def bootstrap_test(excess: DataFrame, draws: DataFrame) -> DataFrame:
     """p-values of the best mean excess return: plain, recentred on each sample, and recentred on the observed mean.
 
-    excess has strategy, i (from 0) and x. The draws are shared by all strategies.
+    excess has strategy, i (from 0) and x, draws strategy, rep and i; each strategy is drawn from
+    the whole of its own rows.
     """
-    block = block or max(1, int(math.sqrt(n)))
-    draws = block_draws(excess.sparkSession, n, replicates, block)
     t = lambda m, s, k: F.when(s > 0, m / (s / F.sqrt(k))).otherwise(0.0)
     seen = excess.groupBy("strategy").agg(F.avg("x").alias("m"), F.stddev_samp("x").alias("s"), F.count("x").alias("k"))
     seen = seen.select("strategy", F.col("m").alias("mean"), t(F.col("m"), F.col("s"), F.col("k")).alias("stat"))
-    # one strategy has n rows; draws join on the row number
-    boot = draws.join(excess, "i").groupBy("strategy", "rep").agg(F.avg("x").alias("m"), F.stddev_samp("x").alias("s"), F.count("x").alias("k"))
-    boot = boot.join(F.broadcast(seen), "strategy").select("strategy", "rep", "stat", "mean", t(F.col("m"), F.col("s"), F.col("k")).alias("plain"), t(F.col("m") - F.col("mean"), F.col("s"), F.col("k")).alias("centred"))
+    boot = draws.join(excess, ["strategy", "i"]).groupBy("strategy", "rep").agg(F.avg("x").alias("m"), F.stddev_samp("x").alias("s"), F.count("x").alias("k"))
+    boot = boot.join(seen, "strategy").select("strategy", "rep", "stat", "mean", t(F.col("m"), F.col("s"), F.col("k")).alias("plain"), t(F.col("m") - F.col("mean"), F.col("s"), F.col("k")).alias("centred"))
     own = boot.groupBy("strategy").agg(F.first("stat").alias("stat"), F.avg((F.col("plain") >= F.col("stat")).cast("double")).alias("p_white"), F.avg((F.lit(0.0) >= F.col("stat")).cast("double")).alias("p_spa"), F.avg((F.col("centred") >= F.col("stat")).cast("double")).alias("p_centred"))
     top = boot.groupBy("rep").agg(F.max("centred").alias("top"))
     every = own.agg(F.max("stat").alias("best")).join(top).agg(F.avg((F.col("top") >= F.col("best")).cast("double")).alias("p_best"))
-    return own.join(F.broadcast(every))
+    return own.join(every)
 
 
 def family_wise(p_values: DataFrame, alpha: float = 0.05) -> DataFrame:

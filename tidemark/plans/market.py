@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import at, normal_cdf, tidy
+from tidemark.functions.columns import at, normal_cdf, normal_sql, tidy
 from tidemark.operators import indicators as ind, microstructure as ms
 from tidemark.plans.collect import collector
 from tidemark.sources.fixtures import BARS, BOOKS, TICKS, bars, books, ticks
@@ -80,9 +80,14 @@ def _rvol(spark, sf):
     return out.select("symbol", at(), tidy("rvol_z").alias("rvol_z"), "unusual", "rvol_label")
 
 
-@query("relative_volume_percentile")
+@query("relative_volume_percentile", f"""WITH {BARS},
+z AS (
+  SELECT symbol, ts, CASE WHEN count(*) OVER w >= 2 AND stddev_samp(volume) OVER w > 1e-10
+    THEN (volume - avg(volume) OVER w) / stddev_samp(volume) OVER w ELSE 0.0 END AS z
+  FROM bars WINDOW w AS (PARTITION BY symbol, hour(ts) * 60 + minute(ts) ORDER BY ts ROWS UNBOUNDED PRECEDING))
+SELECT symbol, epoch_us(ts) AS ts_us, round(100 * {normal_sql('z')}, 4) + 0.0 AS percentile FROM z""")
 def _rvol_percentile(spark, sf):
-    """The z-score as a share of the normal distribution (DuckDB has no erf: rows only, tested on known values)."""
+    """The z-score as a share of the normal distribution."""
     out = ind.relative_volume(bars(spark, sf))
     return out.select("symbol", at(), tidy(100 * normal_cdf(F.col("rvol_z"))).alias("percentile"))
 

@@ -7,103 +7,127 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import at, clip, over, tidy
+from tidemark.functions.columns import at, clip, normal_sql, over, tidy
 from tidemark.operators import validation as va
 from tidemark.operators.statistics import log_return
 from tidemark.plans.collect import collector
+from tidemark.plans.layer import ORACLES as LAYER, QUERIES as LAYER_QUERIES
 from tidemark.plans.statistics import RETURNS
 from tidemark.sources.fixtures import BARS, bars, table
 
 QUERIES, ORACLES, query = collector()
 
-#: One series: strategy returns of the click symbol, numbered from 0.
+#: Strategy returns of each symbol, numbered from 0.
 SERIES = f"""{BARS},
 st AS (
-  SELECT row_number() OVER (ORDER BY ts) - 1 AS i, ts, x FROM (
-    SELECT ts, greatest(-0.5, least(0.5, lead(close) OVER w / close - 1)) * sign(close - lag(close) OVER w) * 0.1 AS x FROM bars WHERE symbol = 'click' WINDOW w AS (ORDER BY ts)) WHERE x IS NOT NULL)"""
+  SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM (
+    SELECT symbol, ts, greatest(-0.5, least(0.5, lead(close) OVER w / close - 1)) * sign(close - lag(close) OVER w) * 0.1 AS x FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts)) WHERE x IS NOT NULL),
+ln AS (SELECT DISTINCT symbol, n FROM st)"""
 
 
 def series(spark, sf):
     w = over()
-    b = bars(spark, sf).where("symbol = 'click'")
     x = clip(F.lead("close").over(w) / F.col("close") - 1, -0.5, 0.5) * F.signum(F.col("close") - F.lag("close").over(w)) * 0.1
-    st = b.select("symbol", "ts", x.alias("x")).where("x is not null")
-    return st.withColumn("i", (F.row_number().over(w) - 1).cast("long"))
+    return va.numbered(bars(spark, sf).select("symbol", "ts", x.alias("x")).where("x is not null"))
 
 
-def _paths_sql(n: str, folds: int, chosen, purge: str, embargo: str) -> str:
-    """Rows (path, start, stop, purge_from, embargo_to) for a given n expression."""
-    fold = lambda f: (f"({f} * ({n} // {folds}))", f"{n}" if f == folds - 1 else f"({f + 1} * ({n} // {folds}))")
-    rows = [f"SELECT {p} AS path, {fold(f)[0]} AS a, {fold(f)[1]} AS b, greatest(0, {fold(f)[0]} - {purge}) AS pa, least({n}, {fold(f)[1]} + {embargo}) AS eb" for p, fs in enumerate(chosen) for f in fs]
+def _lengths(s):
+    return s.groupBy("symbol").agg(F.first("n").alias("n"))
+
+
+def _paths_sql(folds: int, chosen, purge: str, embargo: str) -> str:
+    """Rows (symbol, path, a, b, pa, eb) for each symbol's n."""
+    fold = lambda f: (f"({f} * (n // {folds}))", "n" if f == folds - 1 else f"({f + 1} * (n // {folds}))")
+    rows = [f"SELECT symbol, {p} AS path, {fold(f)[0]} AS a, {fold(f)[1]} AS b, greatest(0, {fold(f)[0]} - {purge}) AS pa, least(n, {fold(f)[1]} + {embargo}) AS eb FROM ln" for p, fs in enumerate(chosen) for f in fs]
     return " UNION ALL ".join(rows)
 
 
-_CP = _paths_sql("(SELECT count(*) FROM st)", 6, list(combinations(range(6), 2)), "5", "CAST(floor((SELECT count(*) FROM st) * 0.02) AS BIGINT)")
-_KF = _paths_sql("(SELECT count(*) FROM st)", 5, [(f,) for f in range(5)], "10", "5")
+_CP = _paths_sql(6, list(combinations(range(6), 2)), "5", "CAST(floor(n * 0.02) AS BIGINT)")
+_KF = _paths_sql(5, [(f,) for f in range(5)], "10", "5")
 _ROLE = """role AS (
-  SELECT path, i, ts, x, CASE WHEN bool_or(i >= a AND i < b) THEN 'test' WHEN bool_or((i >= pa AND i < a) OR (i >= b AND i < eb)) THEN 'held' ELSE 'train' END AS role
-  FROM st, p GROUP BY path, i, ts, x)"""
+  SELECT symbol, path, i, ts, x, CASE WHEN bool_or(i >= a AND i < b) THEN 'test' WHEN bool_or((i >= pa AND i < a) OR (i >= b AND i < eb)) THEN 'held' ELSE 'train' END AS role
+  FROM st JOIN p USING (symbol) GROUP BY symbol, path, i, ts, x)"""
 
 
-@query("cpcv_split", f"WITH {SERIES}, p AS ({_CP}), {_ROLE} SELECT path, role, count(*) AS n, sum(i)::BIGINT AS sum_i FROM role GROUP BY 1, 2")
-def _split(spark, sf):
+def _roles(spark, sf, paths=va.combinatorial_paths):
     s = series(spark, sf)
-    roles = va.assign_paths(s, va.combinatorial_paths(spark, s.count()))
-    return roles.groupBy("path", "role").agg(F.count(F.lit(1)).alias("n"), F.sum("i").alias("sum_i"))
+    return va.assign_paths(s, paths(_lengths(s)))
+
+
+@query("cpcv_split", f"WITH {SERIES}, p AS ({_CP}), {_ROLE} SELECT symbol, path, role, count(*) AS n, sum(i)::BIGINT AS sum_i FROM role GROUP BY 1, 2, 3")
+def _split(spark, sf):
+    return _roles(spark, sf).groupBy("symbol", "path", "role").agg(F.count(F.lit(1)).alias("n"), F.sum("i").alias("sum_i"))
+
+
+_SP = " UNION ALL ".join(
+    f"SELECT symbol, {p} AS path, {a} AS a, {b} AS b, {f'greatest(0, {a} - CAST(floor(n * 0.01) AS BIGINT))' if k == 0 else a} AS pa, {f'least(n, {b} + CAST(floor(n * 0.01) AS BIGINT))' if k == 1 else b} AS eb FROM ln"
+    for p, fs in enumerate(combinations(range(5), 2)) for k, f in enumerate(fs) for a, b in [(f"({f} * (n // 5))", "n" if f == 4 else f"({f + 1} * (n // 5))")]
+)
+
+
+@query("span_split", f"WITH {SERIES}, p AS ({_SP}), {_ROLE} SELECT symbol, path, role, count(*) AS n, sum(i)::BIGINT AS sum_i FROM role GROUP BY 1, 2, 3")
+def _span(spark, sf):
+    """Paths whose purge and embargo lie around the span of their test folds."""
+    return _roles(spark, sf, va.span_paths).groupBy("symbol", "path", "role").agg(F.count(F.lit(1)).alias("n"), F.sum("i").alias("sum_i"))
 
 
 _SH = "CASE WHEN stddev_samp(x) > 1e-10 THEN avg(x) / stddev_samp(x) * sqrt(252) ELSE 0.0 END"
 
 
 @query("cpcv_validate", f"""WITH {SERIES}, p AS ({_CP}), {_ROLE},
-s AS (SELECT path, {_SH} AS sh FROM role WHERE role = 'test' GROUP BY path),
-a AS (SELECT count(*) AS n_paths, avg(sh) AS mean, stddev_samp(sh) AS std, min(sh) AS least, max(sh) AS most, avg((sh > 0)::INT) * 100 AS pos FROM s)
-SELECT n_paths, round(mean, 4) + 0.0 AS mean, round(std, 4) + 0.0 AS std, round(least, 4) + 0.0 AS least, round(most, 4) + 0.0 AS most,
+s AS (SELECT symbol, path, {_SH} AS sh FROM role WHERE role = 'test' GROUP BY symbol, path),
+a AS (SELECT symbol, count(*) AS n_paths, avg(sh) AS mean, stddev_samp(sh) AS std, min(sh) AS least, max(sh) AS most, avg((sh > 0)::INT) * 100 AS pos FROM s GROUP BY symbol)
+SELECT symbol, n_paths, round(mean, 4) + 0.0 AS mean, round(std, 4) + 0.0 AS std, round(least, 4) + 0.0 AS least, round(most, 4) + 0.0 AS most,
   round(pos, 4) + 0.0 AS pct_positive, CASE WHEN abs(mean) > 0.01 THEN round(std / abs(mean), 4) + 0.0 END AS consistency,
   mean >= 0.5 AND coalesce(CASE WHEN abs(mean) > 0.01 THEN std / abs(mean) END <= 0.5, false) AS passed FROM a""")
 def _validate(spark, sf):
-    s = series(spark, sf)
-    scores = va.assign_paths(s, va.combinatorial_paths(spark, s.count())).where("role = 'test'").groupBy("path").agg(va.sharpe(F.col("x"), 252).alias("sharpe"))
+    scores = _roles(spark, sf).where("role = 'test'").groupBy("symbol", "path").agg(va.sharpe(F.col("x"), 252).alias("sharpe"))
     out = va.path_summary(scores)
-    return out.select("n_paths", *[tidy(c).alias(c) for c in ("mean", "std", "least", "most", "pct_positive", "consistency")], "passed")
+    return out.select("symbol", "n_paths", *[tidy(c).alias(c) for c in ("mean", "std", "least", "most", "pct_positive", "consistency")], "passed")
 
 
 @query("overfitting_probability", f"""WITH {SERIES}, p AS ({_CP}), {_ROLE},
 s AS (
-  SELECT path, avg(x) FILTER (role = 'train') / stddev_samp(x) FILTER (role = 'train') AS ins, avg(x) FILTER (role = 'test') / stddev_samp(x) FILTER (role = 'test') AS outs
-  FROM role GROUP BY path),
-r AS (SELECT row_number() OVER (ORDER BY ins, path) AS a, row_number() OVER (ORDER BY outs, path) AS b FROM s)
-SELECT count(*) AS n, round(avg((b > a)::INT), 4) + 0.0 AS pbo FROM r""")
+  SELECT symbol, path, avg(x) FILTER (role = 'train') / stddev_samp(x) FILTER (role = 'train') AS ins, avg(x) FILTER (role = 'test') / stddev_samp(x) FILTER (role = 'test') AS outs
+  FROM role GROUP BY symbol, path),
+r AS (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY ins, path) AS a, row_number() OVER (PARTITION BY symbol ORDER BY outs, path) AS b FROM s)
+SELECT symbol, count(*) AS n, round(avg((b > a)::INT), 4) + 0.0 AS pbo FROM r GROUP BY symbol""")
 def _pbo(spark, sf):
-    s = series(spark, sf)
     by = lambda role: F.when(F.col("role") == role, F.col("x"))
-    score = va.assign_paths(s, va.combinatorial_paths(spark, s.count())).groupBy("path").agg((F.avg(by("train")) / F.stddev_samp(by("train"))).alias("in_sample"), (F.avg(by("test")) / F.stddev_samp(by("test"))).alias("out_sample"))
-    return va.overfitting_probability(score).select("n", tidy("pbo").alias("pbo"))
+    score = _roles(spark, sf).groupBy("symbol", "path").agg((F.avg(by("train")) / F.stddev_samp(by("train"))).alias("in_sample"), (F.avg(by("test")) / F.stddev_samp(by("test"))).alias("out_sample"))
+    return va.overfitting_probability(score).select("symbol", "n", tidy("pbo").alias("pbo"))
 
 
 @query("kfold_metrics", f"""WITH {SERIES}, p AS ({_KF}), {_ROLE},
-e AS (SELECT *, exp(sum(ln(1 + x)) OVER (PARTITION BY path ORDER BY ts)) AS eq FROM role WHERE role = 'test'),
-d AS (SELECT *, 1 - eq / max(eq) OVER (PARTITION BY path ORDER BY ts) AS dd FROM e)
-SELECT path, count(*) AS n, round(CASE WHEN stddev_pop(x) > 1e-10 THEN avg(x) / stddev_pop(x) * sqrt(6048) ELSE 0.0 END, 4) + 0.0 AS sharpe,
+e AS (SELECT *, exp(sum(ln(1 + x)) OVER (PARTITION BY symbol, path ORDER BY ts)) AS eq FROM role WHERE role = 'test'),
+d AS (SELECT *, 1 - eq / max(eq) OVER (PARTITION BY symbol, path ORDER BY ts) AS dd FROM e)
+SELECT symbol, path, count(*) AS n, round(CASE WHEN stddev_pop(x) > 1e-10 THEN avg(x) / stddev_pop(x) * sqrt(6048) ELSE 0.0 END, 4) + 0.0 AS sharpe,
   round(avg((x > 0)::INT), 4) + 0.0 AS win_rate, round(max(dd), 4) + 0.0 AS max_drawdown, round(arg_max(eq, ts) - 1, 4) + 0.0 AS total_return,
-  round(sum(greatest(x, 0)) / sum(greatest(-x, 0)), 4) + 0.0 AS profit_factor FROM d GROUP BY path""")
+  round(sum(greatest(x, 0)) / sum(greatest(-x, 0)), 4) + 0.0 AS profit_factor FROM d GROUP BY symbol, path""")
 def _kfold(spark, sf):
-    s = series(spark, sf)
-    test = va.assign_paths(s, va.adjacent_folds(spark, s.count())).where("role = 'test'")
-    out = va.fold_metrics(test, "x", ("path",))
-    return out.select("path", "n", *[tidy(c).alias(c) for c in ("sharpe", "win_rate", "max_drawdown", "total_return", "profit_factor")])
+    test = _roles(spark, sf, va.adjacent_folds).where("role = 'test'")
+    out = va.fold_metrics(test, "x", ("symbol", "path"))
+    return out.select("symbol", "path", "n", *[tidy(c).alias(c) for c in ("sharpe", "win_rate", "max_drawdown", "total_return", "profit_factor")])
 
 
-@query("walk_forward", f"""WITH {SERIES}, n AS (SELECT count(*) AS n FROM st),
-w AS (
-  SELECT k AS period, k * (n // 5) AS a, CASE WHEN k = 4 THEN n ELSE (k + 1) * (n // 5) END AS b FROM n, range(5) t(k)),
-c AS (SELECT *, a + CAST(floor((b - a) * 0.7) AS BIGINT) AS cut FROM w)
-SELECT period, count(*) FILTER (i >= a AND i < cut) AS train, count(*) FILTER (i >= cut + 5 AND i < b) AS test FROM c, st WHERE i >= a AND i < b GROUP BY period""")
+@query("walk_forward", f"""WITH {SERIES},
+w AS (SELECT symbol, k AS period, k * (n // 5) AS a, CASE WHEN k = 4 THEN n ELSE (k + 1) * (n // 5) END AS b FROM ln, range(5) t(k)),
+c AS (SELECT *, a + CAST(floor((b - a) * 0.7 + 1e-9) AS BIGINT) AS cut FROM w)
+SELECT symbol, period, count(*) FILTER (i >= a AND i < cut) AS train, count(*) FILTER (i >= cut + 5 AND i < b) AS test FROM c JOIN st USING (symbol) WHERE i >= a AND i < b AND cut + 5 < b GROUP BY symbol, period""")
 def _walk(spark, sf):
-    s = series(spark, sf)
-    parts = spark.createDataFrame(va.walk_forward(s.count()), "period long, a long, cut long, t long, b long")
-    met = s.join(F.broadcast(parts), (F.col("i") >= F.col("a")) & (F.col("i") < F.col("b")))
-    return met.groupBy("period").agg(F.count_if(F.col("i") < F.col("cut")).alias("train"), F.count_if(F.col("i") >= F.col("t")).alias("test"))
+    return va.walk_forward(series(spark, sf)).groupBy("symbol", "period").agg(F.count_if(F.col("role") == "train").alias("train"), F.count_if(F.col("role") == "test").alias("test"))
+
+
+@query("enhanced_strategy", f"""WITH i AS (SELECT * FROM ({LAYER['integrated_signal']})), {BARS},
+s AS (SELECT symbol, ts, composite, lead(close) OVER (PARTITION BY symbol ORDER BY ts) / close - 1 AS r FROM bars JOIN i USING (symbol) WHERE i.ts_us = epoch_us(ts)),
+x AS (SELECT symbol, composite * greatest(-0.5, least(0.5, coalesce(r, 0))) AS x FROM s)
+SELECT symbol, count(*) AS n, round(avg(x), 3) AS mean, round(avg((x > 0)::INT), 4) + 0.0 AS win_rate FROM x GROUP BY symbol""")
+def _enhanced(spark, sf):
+    """Returns of a position that follows the integrated signal, clipped at a half; the last bar's is 0."""
+    signal = LAYER_QUERIES["integrated_signal"](spark, sf).select("symbol", "ts_us", "composite")
+    b = bars(spark, sf).select("symbol", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), (F.lead("close").over(over()) / F.col("close") - 1).alias("r"))
+    x = b.join(signal, ["symbol", "ts_us"]).select("symbol", (F.col("composite") * clip(F.coalesce("r", F.lit(0.0)), -0.5, 0.5)).alias("x"))
+    return x.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("x"), 3).alias("mean"), tidy(F.avg((F.col("x") > 0).cast("double"))).alias("win_rate"))
 
 
 @query("equity_curve", f"""WITH {RETURNS}, q AS (SELECT symbol, ts, ret * 0.01 AS ret FROM rets),
@@ -131,35 +155,55 @@ def _moments(spark, sf):
     return out.select("symbol", "n", *[tidy(c).alias(c) for c in ("sharpe", "skew", "kurtosis", "deflated")])
 
 
-@query("deflated_sharpe")
+_TOP = va.normal_quantile(min(1 - 1 / 20, 0.9999))
+
+
+@query("deflated_sharpe", f"""WITH {RETURNS}, m AS (SELECT symbol, avg(ret) AS mu, stddev_samp(ret) AS sd FROM rets GROUP BY symbol),
+v AS (SELECT symbol, count(*) AS n, any_value(mu / sd) * sqrt(252) AS sr, avg(((ret - mu) / sd) ** 3) AS sk, avg(((ret - mu) / sd) ** 4) AS ku FROM rets JOIN m USING (symbol) GROUP BY symbol),
+z AS (SELECT symbol, sr, {_TOP!r} / sqrt(n) AS top, (sr - {_TOP!r} / sqrt(n)) / sqrt(greatest(0.0, (1 + 0.5 * sk * sr - (ku - 3) / 4 * sr * sr) / n)) AS z1,
+  (sr - {va.expected_max_by_gumbel(20)!r} / sqrt(n)) / sqrt(greatest(1e-12, (1 - sk * sr + (ku - 1) / 4 * sr * sr) / (n - 1))) AS z2 FROM v),
+q AS (SELECT symbol, sr, top, {normal_sql('z1')} AS p1, {normal_sql('z2')} AS p2 FROM z)
+SELECT symbol, round(top, 4) + 0.0 AS expected_max, round(p1, 4) + 0.0 AS probability, round(p2, 4) + 0.0 AS probability_gumbel, sr >= 3 AND p1 >= 0.95 AS passed FROM q""")
 def _deflated(spark, sf):
-    """Probabilities need the normal distribution function, which DuckDB lacks: rows only, tested on known values."""
     out = va.deflated_sharpe(va.return_moments(log_return(bars(spark, sf))), 20)
     return out.select("symbol", *[tidy(c).alias(c) for c in ("expected_max", "probability", "probability_gumbel")], "passed")
 
 
 def _excess(spark, sf):
-    """Returns of all symbols over the length that all have, numbered from 0, and that length."""
-    r = log_return(bars(spark, sf)).select(F.col("symbol").alias("strategy"), "ts", F.col("ret").alias("x"))
-    n = r.groupBy("strategy").count().agg(F.min("count")).collect()[0][0]
-    r = r.withColumn("i", F.row_number().over(over(by=("strategy",))) - 1).where(F.col("i") < n)
-    return r.select("strategy", F.col("i").cast("long").alias("i"), "x"), n
-
-
-@query("bootstrap_test", f"""WITH {RETURNS},
-p AS (SELECT min(c) AS n, CAST(floor(sqrt(min(c))) AS BIGINT) AS blk FROM (SELECT count(*) AS c FROM rets GROUP BY symbol)),
-e AS (SELECT strategy, x, i FROM (SELECT symbol AS strategy, ret AS x, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS i FROM rets), p WHERE i < n),
-g AS (SELECT rep, b, n, blk FROM (SELECT unnest(range(200)) AS rep, n, blk FROM p), LATERAL (SELECT unnest(range(n // blk)) AS b)),
-dr AS (SELECT rep, (rep * 48271 + b * 69621 + 12345 + rep * b * 7919) % (n - blk + 1) + k AS i FROM g, LATERAL (SELECT unnest(range(blk)) AS k)),
-o AS (SELECT strategy, avg(x) AS mean, avg(x) / (stddev_samp(x) / sqrt(count(*))) AS stat FROM e GROUP BY strategy),
-bo AS (SELECT strategy, rep, avg(x) AS m, stddev_samp(x) / sqrt(count(*)) AS se FROM dr JOIN e USING (i) GROUP BY 1, 2),
+    """Returns of all symbols, each numbered from 0 over its own length, and the lengths."""
+    r = va.numbered(log_return(bars(spark, sf)).select(F.col("symbol").alias("strategy"), "ts", F.col("ret").alias("x")), "strategy")
+    return r.select("strategy", "i", "x"), r.groupBy("strategy").agg(F.first("n").alias("n"))
+
+
+_BOOT = """o AS (SELECT strategy, avg(x) AS mean, avg(x) / (stddev_samp(x) / sqrt(count(*))) AS stat FROM e GROUP BY strategy),
+bo AS (SELECT strategy, rep, avg(x) AS m, stddev_samp(x) / sqrt(count(*)) AS se FROM dr JOIN e USING (strategy, i) GROUP BY 1, 2),
 t AS (SELECT strategy, rep, stat, m / se AS plain, (m - mean) / se AS cen FROM bo JOIN o USING (strategy)),
 b AS (SELECT avg((top >= (SELECT max(stat) FROM o))::INT) AS p_best FROM (SELECT rep, max(cen) AS top FROM t GROUP BY rep))
 SELECT strategy, round(any_value(stat), 4) + 0.0 AS stat, round(avg((plain >= stat)::INT), 4) + 0.0 AS p_white, round(avg((0.0 >= stat)::INT), 4) + 0.0 AS p_spa,
-  round(avg((cen >= stat)::INT), 4) + 0.0 AS p_centred, round(any_value(p_best), 4) + 0.0 AS p_best FROM t, b GROUP BY strategy""")
+  round(avg((cen >= stat)::INT), 4) + 0.0 AS p_centred, round(any_value(p_best), 4) + 0.0 AS p_best FROM t, b GROUP BY strategy"""
+_EX = "e AS (SELECT symbol AS strategy, ret AS x, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS i FROM rets), p AS (SELECT strategy, count(*) AS n, CAST(floor(sqrt(count(*))) AS BIGINT) AS blk FROM e GROUP BY strategy)"
+_P_COLUMNS = ("stat", "p_white", "p_spa", "p_centred", "p_best")
+
+
+@query("bootstrap_test", f"""WITH {RETURNS}, {_EX},
+g AS (SELECT strategy, rep, b, n, blk FROM (SELECT strategy, unnest(range(200)) AS rep, n, blk FROM p), LATERAL (SELECT unnest(range(n // blk)) AS b)),
+dr AS (SELECT strategy, rep, (rep * 48271 + b * 69621 + 12345 + rep * b * 7919) % (n - blk + 1) + k AS i FROM g, LATERAL (SELECT unnest(range(blk)) AS k)),
+{_BOOT}""")
 def _bootstrap(spark, sf):
-    excess, n = _excess(spark, sf)
-    return va.bootstrap_test(excess, n, 200).select("strategy", *[tidy(c).alias(c) for c in ("stat", "p_white", "p_spa", "p_centred", "p_best")])
+    excess, lengths = _excess(spark, sf)
+    return va.bootstrap_test(excess, va.block_draws(lengths, 200)).select("strategy", *[tidy(c).alias(c) for c in _P_COLUMNS])
+
+
+@query("stationary_bootstrap", f"""WITH {RETURNS}, {_EX},
+g AS (SELECT strategy, rep, n, unnest(range(n)) AS place FROM (SELECT strategy, n, unnest(range(100)) AS rep FROM p)),
+h AS (SELECT *, (rep * 48271 + place * 69621 + rep * place * 7919 + 12345) % 1000003 AS h FROM g),
+f AS (SELECT *, max(CASE WHEN place = 0 OR h % 10 = 0 THEN place END) OVER (PARTITION BY strategy, rep ORDER BY place) AS begun FROM h),
+dr AS (SELECT f.strategy, f.rep, (z.h % f.n + f.place - f.begun) % f.n AS i FROM f JOIN h z ON z.strategy = f.strategy AND z.rep = f.rep AND z.place = f.begun),
+{_BOOT}""")
+def _stationary(spark, sf):
+    """The same test on blocks of geometric length that wrap around."""
+    excess, lengths = _excess(spark, sf)
+    return va.bootstrap_test(excess, va.geometric_draws(lengths, 100)).select("strategy", *[tidy(c).alias(c) for c in _P_COLUMNS])
 
 
 @query("family_wise_error", """WITH p AS (SELECT n_name AS name, (n_nationkey * n_nationkey * 7 % 500) / 5000.0 AS p FROM nation),
