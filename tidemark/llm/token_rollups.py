@@ -1,10 +1,12 @@
 """Token counts as delta-maintained rollups.
 
-A change feed of inserts, deletes and revised counts becomes signed rows; each batch's rows are
-pre-aggregated by source, language and tokenizer version and committed as one folder named by
-the batch. A batch that is committed again replaces its own folder with the same rows, so a
-retry changes nothing, and an unfinished write stays invisible. Totals are the sum over
-committed batches; ``compact`` replaces old batches by one without changing them.
+A change feed of inserts, deletes and revised counts becomes signed rows, pre-aggregated by
+source, language and tokenizer version. A commit adds a batch's deltas to the totals so far and
+writes the new totals to a folder of its own, then publishes it by one row in the folder of the
+next version. Nothing that was published is ever changed or deleted: a crash before that row
+leaves the old version in force, a batch that was committed before changes nothing, and of two
+writers that make the same version the second fails and may commit again. Totals are read from
+the last version alone, so their cost doesn't grow with the number of batches.
 
 Change rows: op ('insert', 'delete' or 'revise'), source, lang, version, n_tokens, old_tokens
 (of a revise: the count it replaces; null counts as 0). A null source or lang is a group of its
@@ -14,7 +16,12 @@ a change repeated within a batch counts each time.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import uuid
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
+
+from tidemark.llm.common import write_and_reread
 
 KEYS = ("source", "lang", "version")
 
@@ -24,8 +31,7 @@ WORDS, BYTES = "words-v1", "bytes-v1"
 
 def word_count(text: Column) -> Column:
     """Number of ``[^\\x20\\x09-\\x0D]+`` in a text; null counts as empty."""
-    joined = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " "))
-    return F.when(joined == "", F.lit(0)).otherwise(F.length(joined) - F.length(F.translate(joined, " ", "")) + 1).cast("long")
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
 def byte_count(text: Column) -> Column:
@@ -48,27 +54,54 @@ def signed(changes: DataFrame) -> DataFrame:
 
 
 class Rollup:
-    """The committed batches below one folder of the shared file system."""
+    """Totals below one folder of the shared file system, version by version."""
 
-    SCHEMA = "source string, lang string, version string, d_docs long, d_tokens long, batch_id long"
+    VERSION = "version long, batch_id long, totals string"
+    TOTALS = "source string, lang string, version string, n_docs long, n_tokens long"
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def commit(self, batch_id: int, changes: DataFrame) -> None:
-        signed(changes).write.mode("overwrite").parquet(f"{self.path}/batch_id={batch_id}")
+    def versions(self) -> DataFrame:
+        """version, batch_id and totals folder of each commit; batch_id is null where ``compact`` began anew."""
+        none = self.spark.createDataFrame([], self.VERSION)
+        try:
+            return none.union(self.spark.read.schema(self.VERSION).option("recursiveFileLookup", "true").parquet(f"{self.path}/versions"))
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return none
+
+    def _last(self) -> Row | None:
+        return next(iter(self.versions().orderBy(F.desc("version")).limit(1).collect()), None)
+
+    def _at(self, last: Row | None) -> DataFrame:
+        if last is None:
+            return self.spark.createDataFrame([], self.TOTALS)
+        return self.spark.read.schema(self.TOTALS).parquet(f"{self.path}/totals/{last['totals']}")
+
+    def _publish(self, last: Row | None, batch_id: int | None, totals: DataFrame) -> None:
+        folder, version = uuid.uuid4().hex, 1 if last is None else last["version"] + 1
+        totals.write.parquet(f"{self.path}/totals/{folder}")
+        row = self.spark.createDataFrame([(version, batch_id, folder)], self.VERSION)
+        row.coalesce(1).write.mode("error").parquet(f"{self.path}/versions/{version:012d}")
 
-    def deltas(self) -> DataFrame:
-        return self.spark.read.schema(self.SCHEMA).parquet(self.path)
+    def commit(self, batch_id: int, changes: DataFrame) -> None:
+        """Add a batch, once."""
+        if not self.versions().where(F.col("batch_id") == batch_id).isEmpty():
+            return
+        last = self._last()
+        deltas = signed(changes).select(*KEYS, F.col("d_docs").alias("n_docs"), F.col("d_tokens").alias("n_tokens"))
+        sums = self._at(last).union(deltas).groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+        self._publish(last, batch_id, sums)
 
     def totals(self) -> DataFrame:
-        """source, lang, version, n_docs, n_tokens; groups without documents left go."""
-        sums = self.deltas().groupBy(*KEYS).agg(F.sum("d_docs").alias("n_docs"), F.sum("d_tokens").alias("n_tokens"))
-        return sums.where((F.col("n_docs") != 0) | (F.col("n_tokens") != 0))
+        """source, lang, version, n_docs, n_tokens of the last version; groups without documents left go."""
+        return self._at(self._last()).where((F.col("n_docs") != 0) | (F.col("n_tokens") != 0))
 
     def compact(self, into: "Rollup") -> None:
-        """Write the totals as batch 0 of a fresh folder; batches committed there later add to it."""
-        self.totals().select(*KEYS, F.col("n_docs").alias("d_docs"), F.col("n_tokens").alias("d_tokens")).write.mode("overwrite").parquet(f"{into.path}/batch_id=0")
+        """Begin a fresh folder with the totals as its first version; batches committed there later add to it."""
+        into._publish(None, None, self.totals())
 
 
 def feed(spark: SparkSession, docs: DataFrame, labels: DataFrame, path: str) -> Rollup:
@@ -76,15 +109,9 @@ def feed(spark: SparkSession, docs: DataFrame, labels: DataFrame, path: str) ->
 
     A revised text has lost the characters ``|%&$#*!``.
     """
-    from tidemark.llm.common import write_and_reread
-
-    clean = F.regexp_replace(F.coalesce("text", F.lit("")), r"[|%&$#*!]", "")
-    counted = write_and_reread(
-        docs.select(
-            "doc_id", "source", "lang", word_count(F.col("text")).alias("w"), byte_count(F.col("text")).alias("b"), word_count(clean).alias("w2"), byte_count(clean).alias("b2")
-        ),
-        "counted",
-    )
+    clean = F.translate(F.coalesce("text", F.lit("")), "|%&$#*!", "")
+    counted = docs.select("doc_id", "source", "lang", word_count(F.col("text")).alias("w"), byte_count(F.col("text")).alias("b"), word_count(clean).alias("w2"), byte_count(clean).alias("b2"))
+    counted = write_and_reread(counted, "counted")
     marked = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic") == 1).alias("toxic"), F.min(F.col("quality")).alias("quality"))
     both = counted.join(marked, "doc_id")
     none = F.lit(None).cast("long").alias("old_tokens")
