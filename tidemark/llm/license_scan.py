@@ -64,13 +64,18 @@ def words(text: Column) -> Column:
     return F.filter(F.split(low, _BREAK), lambda w: w != "")
 
 
-def templates(spark: SparkSession) -> DataFrame:
-    """One row a 2-gram of each template: first_word, next_word, template, at (place in it), grams (its number), base, label."""
+def template_grams() -> list[tuple]:
+    """One row a 2-gram of each template: both words, template, at (place in it), grams (its number), base, label."""
     rows = []
     for number, (phrase, label) in enumerate((*BASE, *NOTICES)):
         w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", phrase)
         rows += [(a, b, number, i, len(w) - 1, number < len(BASE), label) for i, (a, b) in enumerate(zip(w, w[1:]))]
-    table = spark.createDataFrame(rows, "a string, b string, template int, at int, grams int, base boolean, label string")
+    return rows
+
+
+def templates(spark: SparkSession) -> DataFrame:
+    """The 2-grams by their two hashes."""
+    table = spark.createDataFrame(template_grams(), "a string, b string, template int, at int, grams int, base boolean, label string")
     return table.select(F.xxhash64("a", "b").alias("h"), F.hash("a", "b").alias("again"), "template", "at", "grams", "base", "label")
 
 

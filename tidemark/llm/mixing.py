@@ -125,7 +125,7 @@ def _numbered(keyed: DataFrame) -> DataFrame:
     the counts of the ranges before it end, so a hot source is no single task's work.
     """
     ranges = shuffle_partitions(keyed.sparkSession) * 16
-    h = F.pmod(F.xxhash64(F.col("row.doc_id"), F.lit(9)), F.lit(1 << 40))
+    h = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("row.doc_id").cast("string"), F.lit("")), F.lit(":9"))), 1, 10), 16, 10).cast("long")  # 40 bits
     rows = keyed.withColumn("h", h).withColumn("range", F.floor(F.col("h") * ranges / (1 << 40)).cast("int"))
     counts = rows.groupBy("source_key", "range").agg(F.count(F.lit(1)).alias("n"))
     before = counts.select("source_key", "range", (F.sum("n").over(W.partitionBy("source_key").orderBy("range")) - F.col("n")).alias("start"))

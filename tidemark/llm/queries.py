@@ -83,6 +83,71 @@ WHERE NOT coalesce(toxic, false)
 GROUP BY source, lang, version
 """
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+OP2_SQL = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS c FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM c WHERE 100 * c >= 80 * (n + m - c)),
+r AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x)
+SELECT s.doc_id, CAST(len(any_value(s.s)) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(min(r.y), s.doc_id)) AS component_id FROM s LEFT JOIN r ON r.x = s.doc_id GROUP BY s.doc_id
+"""
+
+
+def _secrets_sql() -> str:
+    """Matches of each rule are what lies between the pieces of the text split by it; places are sums of lengths."""
+    quoted = lambda p: p.replace("'", "''")
+    parts = [f"SELECT doc_id, {k} AS k, '{name}' AS name, {least} AS least, {value} AS value, string_split_regex(t, '{quoted(p)}') AS p, regexp_extract_all(t, '{quoted(p)}') AS m FROM d" for k, (name, p, least, value, _) in enumerate(secrets.RULES)]
+    base = len(secrets.BASE_RULES)
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+f AS ({' UNION ALL '.join(parts)}),
+e AS (SELECT *, unnest(range(1, len(m) + 1)) AS j FROM f WHERE len(m) > 0),
+s AS (
+  SELECT doc_id, k, name, least, value, m[j] AS s, CAST(list_sum(list_transform(p[1:j], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:j - 1], lambda x: length(x))), 0) AS BIGINT) AS a FROM e),
+g AS (SELECT *, a + length(s) AS b, concat(name, ':', a, ':', a + length(s)) AS span FROM s
+  WHERE length(CASE WHEN value > 0 THEN regexp_extract(s, '[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)$', 1) ELSE s END) >= greatest(least, value))
+SELECT d.doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+  sha256(coalesce(string_agg(span, ',' ORDER BY a, k) FILTER (k < {base}), '')) AS base_sha256, coalesce(string_agg(span, ',' ORDER BY a, k), '') AS spans
+FROM d LEFT JOIN g USING (doc_id) GROUP BY d.doc_id
+"""
+
+
+def _licenses_sql() -> str:
+    grams = [f"('{a}', '{b}', {t}, {at}, {n}, {base}, '{label}')" for a, b, t, at, n, base, label in license_scan.template_grams()]
+    return rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+g AS (SELECT doc_id, w[i] AS a, w[i + 1] AS b, i - 1 AS place FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM w)),
+t(a, b, template, spot, grams, base, label) AS (VALUES {', '.join(grams)}),
+h AS (SELECT doc_id, template, any_value(label) AS label, any_value(base) AS base, any_value(grams) AS grams, place - spot AS diagonal, bit_or(1::BIGINT << spot) AS places FROM g JOIN t USING (a, b) GROUP BY doc_id, template, place - spot),
+m AS (SELECT *, CASE WHEN base THEN places ELSE bit_or(places) OVER (PARTITION BY doc_id, template ORDER BY diagonal RANGE BETWEEN CURRENT ROW AND {license_scan.NEAR} FOLLOWING) END AS held FROM h),
+s AS (SELECT *, bit_count(held)::DOUBLE / grams AS share FROM m WHERE bit_count(held)::DOUBLE / grams >= CASE WHEN base THEN 1.0 ELSE {license_scan.SHARE} END)
+SELECT w.doc_id, CAST(len(any_value(w.w)) AS BIGINT) AS n_words, count(*) FILTER (base) AS n_base, CAST(min(diagonal) FILTER (base) AS BIGINT) AS first_word, CAST(max(diagonal) FILTER (base) AS BIGINT) AS last_word,
+  coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base), '') AS base_labels, coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS labels, coalesce(max(share), 0.0)::DOUBLE AS score
+FROM w LEFT JOIN s USING (doc_id) GROUP BY w.doc_id
+"""
+
+
+OP9_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, source, coalesce(source, chr(0)) AS source_key, substr(md5(concat(doc_id, ':9')), 1, 10) AS h FROM documents),
+q AS (SELECT *, row_number() OVER (PARTITION BY source_key ORDER BY h, doc_id) - 1 AS place FROM d),
+c AS (SELECT source_key, count(*) AS n, ceil(count(*) / {mixing.BLOCK})::BIGINT AS blocks, pow(count(*), {mixing.ALPHA}) AS share FROM d GROUP BY 1),
+a AS (SELECT *, greatest(1, round(share / sum(share) OVER () * {1 << mixing.BITS}))::BIGINT AS a FROM c),
+m AS (SELECT *, (sum(a) OVER (ORDER BY blocks / a, source_key) - a / 2) / sum(a) OVER () AS middle FROM a),
+l AS (SELECT source_key, a, depth, floor(middle * pow(2.0, depth))::BIGINT AS cell FROM m, range({mixing.DEPTH + 1}) t(depth)),
+n AS (SELECT source_key, depth, cell, sum(a) OVER (PARTITION BY depth, cell)::HUGEINT AS w FROM l),
+p AS (SELECT x.source_key, row_number() OVER (PARTITION BY x.source_key ORDER BY x.depth DESC) AS step, x.cell % 2 = 0 AS lft, x.w, y.w AS whole FROM n x JOIN n y ON y.source_key = x.source_key AND y.depth = x.depth - 1 WHERE x.w < y.w),
+r AS (
+  SELECT source_key, b, b::HUGEINT AS k, 0::BIGINT AS step FROM (SELECT source_key, unnest(range(blocks)) AS b FROM c)
+  UNION ALL
+  SELECT r.source_key, r.b, CASE WHEN lft THEN ((2 * k + 1) * whole + 2 * w - 1) // (2 * w) - 1 ELSE ((2 * k + 1) * whole) // (2 * w) END, p.step FROM r JOIN p ON p.source_key = r.source_key AND p.step = r.step + 1),
+e AS (SELECT source_key, b, arg_max(k, step)::BIGINT AS slot FROM r GROUP BY 1, 2)
+SELECT doc_id, source, slot // {mixing.SLOTS} AS mix_unit, slot % {mixing.SLOTS} AS mix_slot, CAST(place % {mixing.BLOCK} AS INT) AS mix_at FROM q JOIN e ON e.source_key = q.source_key AND e.b = place // {mixing.BLOCK}
+"""
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -95,4 +160,11 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_license_scan": op10_license_scan,
 }
-ORACLES = {"op6_exact_dedup": OP6_SQL, "op7_token_rollup": OP7_SQL}
+ORACLES = {
+    "op2_ngram_jaccard": OP2_SQL,
+    "op5_secret_scan": _secrets_sql(),
+    "op6_exact_dedup": OP6_SQL,
+    "op7_token_rollup": OP7_SQL,
+    "op9_mixing": OP9_SQL,
+    "op10_license_scan": _licenses_sql(),
+}
