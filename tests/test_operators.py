@@ -139,10 +139,121 @@ def test_scan_keeps_rows_and_ties(spark):
 
 
 def test_folds_cover_all_rows(spark):
-    s = series(spark, range(103)).withColumn("i", F.col("ts"))
-    roles = validation.assign_paths(s, validation.combinatorial_paths(spark, 103, purge=2)).groupBy("path").agg(F.count_if(F.col("role") == "test").alias("t"), F.count(F.lit(1)).alias("n")).collect()
-    assert len(roles) == 15 and all(r["n"] == 103 and r["t"] in (34, 37 - 0, 17 + 18, 17 * 2, 35) for r in roles)
-    assert validation.walk_forward(100)[0] == (0, 0, 14, 19, 20)
+    s = validation.numbered(series(spark, range(103)).union(series(spark, range(60), "B")))
+    lengths = s.groupBy("symbol").agg(F.first("n").alias("n"))
+    roles = validation.assign_paths(s, validation.combinatorial_paths(lengths, purge=2)).groupBy("symbol", "path").agg(F.count_if(F.col("role") == "test").alias("t"), F.count(F.lit(1)).alias("n")).collect()
+    assert len(roles) == 30 and all((r["n"], r["t"]) in ((103, 34), (103, 35), (60, 20)) for r in roles)
+    walked = {(r["symbol"], r["period"], r["role"]): r["c"] for r in validation.walk_forward(s).groupBy("symbol", "period", "role").agg(F.count(F.lit(1)).alias("c")).collect()}
+    assert walked["A", 0, "train"] == 14 and walked["A", 0, "gap"] == 5 and walked["A", 0, "test"] == 1 and ("B", 0, "train") not in walked
+
+
+def test_exact_quantiles_of_ties_and_few_rows(spark):
+    import numpy as np
+    from tidemark.operators import statistics as st
+
+    draw = np.random.default_rng(2)
+    groups = {"a": [1.0], "b": [2.0, 1.0], "c": [3.0] * 50 + [4.0], "d": draw.integers(0, 9, 400).astype(float).tolist(), "e": draw.standard_normal(5000).tolist()}
+    shares = [0.0, 0.05, 0.5, 0.77, 0.99, 1.0]
+    rows = [(k, x) for k, v in groups.items() for x in v]
+    got = {r["symbol"]: r["p"] for r in st.exact_quantiles(spark.createDataFrame(rows, "symbol string, x double"), "x", shares).collect()}
+    for k, v in groups.items():
+        assert got[k] == pytest.approx(np.quantile(v, shares).tolist())
+
+
+def test_relative_position_merges_neighbours():
+    import numpy as np
+
+    x = np.random.default_rng(4).standard_normal(3000).tolist()
+    found = [y for (y,) in run(rec.relative_position(most=100), [(v,) for v in x])]
+    for i in (0, 1, 50, 199, 999, 2999):
+        exact = sum(v <= x[i] for v in x[: i + 1]) / (i + 1)
+        assert found[i] == pytest.approx(exact, abs=0 if i < 200 else 0.03)
+
+
+def test_scan_carries_state_over_batches_and_keys(spark):
+    rows = [(s, i, float(i % 5)) for s in ("a", None, "b") for i in range(500)]
+    df = spark.createDataFrame(rows, "symbol string, ts long, x double").repartition(7)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 37)
+        got = {(r["symbol"], r["ts"]): r["e"] for r in rec.scan(df, rec.ema("x", 0.5, "e")).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    y = None
+    for i in range(500):
+        y = float(i % 5) if y is None else 0.5 * (i % 5) + 0.5 * y
+        assert all(got[s, i] == pytest.approx(y) for s in ("a", None, "b"))
+
+
+def test_dynamic_weights_hold_and_follow():
+    from tidemark.operators import weights as we
+
+    step = we.followed_weights("key", ("a", "b", "c"))
+    rows = [(4.0, 0.2, 0.5, 0.3)] * 7 + [(8.0, 0.5, 0.5, 0.0)] * 3
+    found = run(step, rows)
+    assert all(y[:3] == (0.35, 0.65, 0.0) for y in found[:5]) and all(abs(sum(y[:3]) - 1) < 1e-12 for y in found)
+    assert found[5][:3] == pytest.approx((0.335, 0.635, 0.03)) and found[7][:3] == found[6][:3] and [y[3] for y in found[-3:]] == [0, 1, 2]
+
+
+def test_feature_vector_reads_no_later_bar(spark):
+    from tidemark.operators import features as fe
+
+    rows = [(s, i, 100.0 + (i * 7) % 11, 106.0 + (i * 7) % 11, 95.0 + (i * 5) % 7, 100.0 + (i * 13 + (i * i if s == "B" else 0)) % 9, 50.0 + (i * 3) % 17) for s in ("A", "B") for i in range(60)]
+    bars = spark.createDataFrame(rows, "symbol string, s long, open double, high double, low double, close double, volume double").withColumn("ts", F.timestamp_seconds(F.col("s") * 3600))
+    early = {(r["symbol"], r["ts"]): r for r in fe.assemble(bars.where("s < 40"), "A").collect()}
+    late = {(r["symbol"], r["ts"]): r for r in fe.assemble(bars, "A").collect()}
+    assert len(early) == 80 and len(late) == 120 and all(late[k] == early[k] for k in early)
+    assert len({late["B", k[1]]["correlation_btc"] for k in late if k[0] == "B"}) > 10
+
+
+def test_latest_sink_folds_batches_and_runs_again(spark, tmp_path):
+    from tidemark.streaming import live
+
+    make = lambda rows: spark.createDataFrame(rows, "symbol string, ts long, x double")
+    write = live.latest_sink(str(tmp_path / "latest"))
+    write(make([("a", 1, 1.0), ("a", 3, 3.0), ("b", 1, 1.0)]), 0)
+    write(make([("a", 2, 2.0), ("c", 5, 5.0)]), 1)
+    for _ in range(2):  # a batch that is run again changes nothing
+        write(make([("b", 9, 9.0)]), 2)
+        assert {tuple(r) for r in live.read_latest(spark, str(tmp_path / "latest")).collect()} == {("a", 3, 3.0), ("b", 9, 9.0), ("c", 5, 5.0)}
+    assert len(list((tmp_path / "latest").glob("batch=*"))) == 2
+
+
+def test_messages_round_trip(spark):
+    from tidemark.streaming import live
+
+    rows = [("a", 1.5, True), ("b", None, False)]
+    df = spark.createDataFrame(rows, "symbol string, x double, up boolean")
+    messages = live.to_messages(df, kind="signal")
+    assert {r["key"] for r in messages.collect()} == {"a", "b"} and '"type":"signal"' in messages.first()["value"]
+    bad = messages.union(spark.createDataFrame([("c", "{")], "key string, value string"))
+    assert {tuple(r) for r in live.from_messages(bad, "symbol string, x double, up boolean").where("symbol is not null").collect()} == set(rows)
+
+
+def test_late_rows_of_a_stream_are_left_out(spark, tmp_path):
+    from tidemark.streaming import live
+
+    make = lambda rows, n: spark.createDataFrame(rows, "symbol string, ts long, x double").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    out, at = str(tmp_path / "out"), str(tmp_path / "checkpoint")
+    go = lambda: live.drain(live.scan_stream(live.read_files(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema), [rec.ema("x", 0.5, "e")]), out, at)
+    make([("a", 1, 4.0), ("a", 3, 8.0)], 0)
+    go()
+    make([("a", 2, 100.0), ("a", 4, 10.0)], 1)
+    go()
+    assert {r["ts"]: r["e"] for r in spark.read.parquet(out).collect()} == {1: 4.0, 3: 6.0, 4: 8.0}
+
+
+def test_polled_source_replays_the_same_rows():
+    rows = [f"r{i}" for i in range(10)]
+    from tidemark.sources import polling
+
+    have = 4
+    cls = polling.polled_source("p", lambda after: (rows[after:have], have))
+    reader = cls({}).simpleStreamReader(None)
+    first, end = reader.read({"after": 0})
+    first = list(first)
+    have = 9  # more has come since
+    assert list(reader.readBetweenOffsets({"after": 0}, end)) == first
 
 
 def test_polling_waits_and_gives_up():

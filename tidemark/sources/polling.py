@@ -1,7 +1,9 @@
 """A polled source as a Spark data source: batch and stream, with retries and an id cursor.
 
 ``fetch(after)`` is any picklable function that returns (rows of JSON text, new cursor); the
-network code stays outside, so tests and replays pass a function over files.
+network code stays outside, so tests and replays pass a function over files. Rows after a cursor
+must keep their order: a batch that is read again after a failure asks for the rows after its
+begin and keeps as many as it had, so it holds the same rows whatever has come since.
 """
 
 from __future__ import annotations
@@ -38,15 +40,17 @@ def polled_source(name: str, fetch: Fetch) -> type[DataSource]:
 
     class StreamReader(SimpleDataSourceStreamReader):
         def initialOffset(self) -> dict:
-            return {"after": 0}
+            return {"after": 0, "rows": 0}
 
         def read(self, start: dict):
             rows, after = with_backoff(fetch, start["after"])
-            return iter([(r,) for r in rows]), {"after": after}
+            return iter([(r,) for r in rows]), {"after": after, "rows": len(rows)}
 
         def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
             rows, _ = with_backoff(fetch, start["after"])
-            return iter([(r,) for r in rows])
+            if len(rows) < end["rows"]:
+                raise OSError(f"{end['rows']} rows were read after {start['after']}, {len(rows)} are there now")
+            return iter([(r,) for r in rows[: end["rows"]]])
 
         def commit(self, end: dict) -> None:
             """Nothing to acknowledge: the cursor is in Spark's checkpoint."""

@@ -89,6 +89,21 @@ def _reddit(p: Column) -> dict[str, Column]:
     return {"id": p["id"], "title": p["title"], "text": F.substring(p["selftext"], 1, 500), "score": p["score"], "ratio": p["upvote_ratio"], "engagement": p["score"] + p["num_comments"]}
 
 
+def _headline(p: Column) -> dict[str, Column]:
+    return {"id": p["id"], "title": p["headline"], "summary": p["summary"], "source": p["source"], "category": p["category"], "related": p["related"], "published": F.timestamp_seconds(p["datetime"])}
+
+
+def _balance(p: Column) -> dict[str, Column]:
+    """Positive less negative mentions by their sum, with the volume."""
+    up, down = F.coalesce(p["positive"], F.lit(0.0)), F.coalesce(p["negative"], F.lit(0.0))
+    return {"slug": p["slug"], "ts": p["datetime"].try_cast("timestamp"), "balance": F.when(up + down > 0, (up - down) / (up + down)).otherwise(0.0), "volume": p["volume"]}
+
+
+def _tweet(p: Column) -> dict[str, Column]:
+    m = p["public_metrics"]
+    return {"id": p["id"], "text": p["text"], "ts": p["created_at"].try_cast("timestamp"), "engagement": m["like_count"] + m["retweet_count"] + m["reply_count"]}
+
+
 #: kind: (schema of the payload, projection)
 PAYLOADS: dict[str, tuple[str, Projection]] = {
     "binance_kline": ("s string, k struct<t:long,o:string,h:string,l:string,c:string,v:string,x:boolean>", _binance_kline),
@@ -103,6 +118,9 @@ PAYLOADS: dict[str, tuple[str, Projection]] = {
     "votes": ("id long, title string, votes struct<positive:long,negative:long,liked:long,disliked:long>", _votes),
     "message": ("id long, body string, user struct<followers:long>, entities struct<sentiment:struct<basic:string>>", _message),
     "channel": ("text string, views string", _channel),
+    "headline": ("id long, headline string, summary string, source string, category string, related string, datetime long", _headline),
+    "social_balance": ("slug string, datetime string, positive double, negative double, volume long", _balance),
+    "tweet": ("id string, text string, created_at string, public_metrics struct<like_count:long,retweet_count:long,reply_count:long>", _tweet),
     "reddit": ("id string, title string, selftext string, score long, upvote_ratio double, num_comments long", _reddit),
 }
 
@@ -134,6 +152,26 @@ def large_transfers(transfers: DataFrame, least: float = 100.0, n: int = 10) ->
     return transfers.where(F.col("value") >= least).orderBy(F.desc("ts"), "hash").limit(n)
 
 
+def social_balance(points: DataFrame, limit: float = 0.1) -> DataFrame:
+    """Per slug: mean and latest balance, volumes and the signal, from points (slug, ts, balance, volume)."""
+    out = points.groupBy("slug").agg(F.count(F.lit(1)).alias("points"), F.avg("balance").alias("score"), F.max_by("balance", "ts").alias("latest"), F.avg("volume").alias("mean_volume"))
+    return out.withColumn("signal", F.when(F.col("score") > limit, "BULLISH").when(F.col("score") < -limit, "BEARISH").otherwise("NEUTRAL"))
+
+
+def hot_posts(posts: DataFrame, n: int = 10, by: str = "subreddit") -> DataFrame:
+    """The n posts of highest score of each ``by`` (ties by id), with their rank there."""
+    from tidemark.functions.columns import over
+
+    return posts.withColumn("rank", F.row_number().over(over(F.desc("score"), "id", by=(by,)))).where(F.col("rank") <= n)
+
+
+def coin_mentions(posts: DataFrame, coins: list[str]) -> DataFrame:
+    """Per coin the posts whose title or text names it (as a word, with or without $): mentions, sums and the mean score."""
+    words = F.array_distinct(F.split(F.upper(F.concat_ws(" ", "title", "text")), r"[^A-Z0-9]+"))
+    hit = posts.withColumn("coin", F.explode(F.array_intersect(words, F.array(*[F.lit(c.upper()) for c in coins]))))
+    return hit.groupBy("coin").agg(F.count(F.lit(1)).alias("mentions"), F.sum("score").alias("total_score"), F.sum("comments").alias("total_comments"), F.avg("score").alias("mean_score"))
+
+
 def watched_balances(wallets: DataFrame, balances: DataFrame) -> DataFrame:
     """Named wallets with their balances, 0 where none is known."""
     return wallets.join(balances, "address", "left").withColumn("balance", F.coalesce("balance", F.lit(0.0)))

@@ -35,10 +35,14 @@ def route(messages: DataFrame, text: str = "value") -> dict[str, DataFrame]:
     return {k: good.where(kind == k) for k in ("ohlcv", "orderbook", "trade")}
 
 
-def scan_stream(df: DataFrame, recurrences: Sequence[Recurrence], by: str = "symbol", order: Sequence[str] = ("ts",)) -> DataFrame:
+def scan_stream(df: DataFrame, recurrences: Sequence[Recurrence], by: str = "symbol", order: Sequence[str] = ("ts",), idle: int | None = None) -> DataFrame:
     """The recurrences of ``scan_all`` over a stream: the same step functions on keyed state.
 
-    Rows of a micro-batch are put in order by key; state survives restarts in the checkpoint.
+    Rows of a micro-batch are put in order by key; state survives restarts in the checkpoint. A
+    row that comes before one that was already stepped through (by ``order``) is late: a
+    recurrence can't take it back, so it is left out. With ``idle`` a key
+    that has had no row for so many seconds of processing time forgets its state and begins anew; such a stream
+    waits for its clocks and so never drains.
     """
     need = list(dict.fromkeys(c for r in recurrences for c in r.inputs))
     keep = [by, *order]
@@ -46,8 +50,19 @@ def scan_stream(df: DataFrame, recurrences: Sequence[Recurrence], by: str = "sym
     schema = T.StructType([part.schema[c] for c in keep] + [T.StructField(o, T.DoubleType()) for r in recurrences for o in r.outputs])
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = json.loads(state.get[0]) if state.exists else [None] * len(recurrences)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held, last = json.loads(state.get[0]) if state.exists else ([None] * len(recurrences), None)
         rows = pd.concat(list(batches)).sort_values(list(order), kind="stable")
+        places = [[v.value if isinstance(v, pd.Timestamp) else v for v in row] for row in rows[list(order)].itertuples(index=False)]
+        if last is not None:
+            fresh = [p > last for p in places]
+            rows, places = rows[fresh], [p for p, ok in zip(places, fresh) if ok]
+        if idle is not None:
+            state.setTimeoutDuration(idle * 1000)
+        if not len(rows):
+            return
         out = {c: rows[c] for c in keep}
         for i, r in enumerate(recurrences):
             made = []
@@ -55,10 +70,11 @@ def scan_stream(df: DataFrame, recurrences: Sequence[Recurrence], by: str = "sym
                 held[i], y = r.step(held[i], x)
                 made.append(y)
             out.update({o: [None if v is None else float(v) for v in column] for o, column in zip(r.outputs, zip(*made))})
-        state.update((json.dumps(held),))
+        state.update((json.dumps([held, places[-1]]),))
         yield pd.DataFrame(out)
 
-    return part.groupBy(by).applyInPandasWithState(step, schema, "state string", "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.NoTimeout if idle is None else GroupStateTimeout.ProcessingTimeTimeout
+    return part.groupBy(by).applyInPandasWithState(step, schema, "state string", "append", timeout)
 
 
 def unseen(posts: DataFrame, late: str = "1 hour", key: str = "id") -> DataFrame:
@@ -81,19 +97,61 @@ def bars_stream(ticks: DataFrame, length: str = "1 hour", late: str = "10 minute
 
 
 def latest_sink(path: str, by: str = "symbol", at: str = "ts") -> Callable[[DataFrame, int], None]:
-    """foreachBatch: keep the newest row of each key. Each batch writes its own folder, so a retry rewrites the same one."""
+    """foreachBatch: keep the newest row of each key.
+
+    A batch is folded into the table of the batch before it and written as a table of its own,
+    so the last one alone is read; the one before stays for a batch that is run again.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        before = [n for n in _versions(spark, path) if n < batch_id]
+        rows = batch.unionByName(spark.read.parquet(f"{path}/batch={max(before):012d}")) if before else batch
         row = F.struct(at, *[c for c in batch.columns if c not in (by, at)])
-        batch.groupBy(by).agg(F.max_by(row, F.col(at)).alias("r")).select(by, "r.*").write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        rows.groupBy(by).agg(F.max_by(row, F.col(at)).alias("r")).select(by, "r.*").write.mode("overwrite").parquet(f"{path}/batch={batch_id:012d}")
+        for n in before[:-1]:
+            _folder(spark, f"{path}/batch={n:012d}", delete=True)
 
     return write
 
 
-def read_latest(spark: SparkSession, path: str, by: str = "symbol", at: str = "ts") -> DataFrame:
-    rows = spark.read.parquet(path).drop("batch")
-    row = F.struct(at, *[c for c in rows.columns if c not in (by, at)])
-    return rows.groupBy(by).agg(F.max_by(row, F.col(at)).alias("r")).select(by, "r.*")
+def _folder(spark: SparkSession, path: str, delete: bool = False):
+    """The names in a folder of the shared file system; or the folder deleted."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if delete:
+        return files.delete(place, True)
+    return [x.getPath().getName() for x in files.listStatus(place)] if files.exists(place) else []
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Batches whose table is complete."""
+    return sorted(int(n.removeprefix("batch=")) for n in _folder(spark, path) if n.startswith("batch=") and "_SUCCESS" in _folder(spark, f"{path}/{n}"))
+
+
+def read_latest(spark: SparkSession, path: str) -> DataFrame:
+    """The newest row of each key as of the last complete batch."""
+    return spark.read.parquet(f"{path}/batch={_versions(spark, path)[-1]:012d}")
+
+
+def to_messages(signals: DataFrame, key: str = "symbol", kind: str | None = None) -> DataFrame:
+    """key and value (JSON of all columns, with the kind of signal) as a Kafka sink takes them."""
+    columns = ([F.lit(kind).alias("type")] if kind else []) + [F.col(c) for c in signals.columns]
+    return signals.select(F.col(key).cast("string").alias("key"), F.to_json(F.struct(*columns)).alias("value"))
+
+
+def publish(signals: DataFrame, servers: str, topic: str, checkpoint: str | None = None, key: str = "symbol", kind: str | None = None):
+    """Write signals to a topic: a batch at once, a stream until it is stopped; needs Spark's Kafka package on the cluster."""
+    out = to_messages(signals, key, kind)
+    options = {"kafka.bootstrap.servers": servers, "topic": topic, "kafka.acks": "all"}
+    if signals.isStreaming:
+        return out.writeStream.format("kafka").options(**options).option("checkpointLocation", checkpoint).start()
+    return out.write.format("kafka").options(**options).save()
+
+
+def from_messages(messages: DataFrame, schema: str) -> DataFrame:
+    """Columns of JSON messages; rows that don't parse are null throughout and dropped."""
+    return messages.select(F.from_json("value", schema).alias("m")).where("m is not null").select("m.*")
 
 
 def drain(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") -> None:
