@@ -83,12 +83,14 @@ def hits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """row_id, row_hash, n_words, and per hit: template, diagonal, at, grams, base, label (null for a document's own row)."""
     text = F.col(text_col)
     tokenised = docs.select(F.col(id_col).alias("row_id"), F.xxhash64(text).alias("row_hash"), words(text).alias("w"))
+    # the number of words is taken here: asked for behind the generator, it would make every hit carry the whole array
+    tokenised = tokenised.withColumn("n_words", F.size("w").cast("long"))
     grams = F.transform(
         F.sequence(F.lit(1), F.greatest(F.size("w") - 1, F.lit(1))),
         lambda i: F.struct((i - 1).alias("place"), F.xxhash64(F.get("w", i - 1), F.get("w", i)).alias("h"), F.hash(F.get("w", i - 1), F.get("w", i)).alias("again2")),
     )
     own = F.array(F.struct(F.lit(-1).alias("place"), F.lit(None).cast("long").alias("h"), F.lit(None).cast("int").alias("again2")))
-    rolled = tokenised.select("row_id", "row_hash", F.size("w").cast("long").alias("n_words"), F.inline(F.concat(own, grams)))
+    rolled = tokenised.select("row_id", "row_hash", "n_words", F.inline(F.concat(own, grams)))
     found = rolled.join(F.broadcast(templates(docs.sparkSession)), "h", "left")
     found = found.where((F.col("place") == -1) | (F.col("again") == F.col("again2")))
     return found.select("row_id", "row_hash", "n_words", "template", (F.col("place") - F.col("at")).alias("diagonal"), "at", "grams", "base", "label")
