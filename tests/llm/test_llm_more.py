@@ -281,3 +281,31 @@ def test_loose_copies_in_many_rings_match_brute_force(spark, monkeypatch):
             rows.append((k * 1000 + i, " ".join(w)))
     got = {r["doc_id"]: r["component_id"] for r in jaccard_join.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute_groups(rows)
+
+
+def test_recall_on_the_table(spark):
+    """Against brute force on ``embeddings`` itself, by the query's own result."""
+    from tidemark.llm import ann
+
+    v = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    got: dict = {}
+    for r in ann.search(v, v.where("vec_id % 100 = 0")).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    rows = v.orderBy("vec_id").collect()
+    ids, x = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], float)
+    hit = 0
+    for q in got:
+        d = ((x - x[ids == q][0]) ** 2).sum(axis=1)
+        d[ids == q] = np.inf
+        hit += len(set(ids[np.argsort(d)[:10]].tolist()) & got[q])
+    assert hit / (10 * len(got)) >= 0.93 and all(len(found) == 10 for found in got.values())
+
+
+def test_lists_of_few_vectors_still_give_ten(spark):
+    from tidemark.llm import ann
+
+    draw = np.random.default_rng(6)
+    far = [(i, [float(100 + i), *draw.standard_normal(7)]) for i in range(2)]
+    rows = far + [(i, [0.0, *draw.standard_normal(7)]) for i in range(2, 4000)]
+    df = spark.createDataFrame([(int(i), [float(c) for c in v]) for i, v in rows], "vec_id long, embedding array<double>")
+    assert ann.search(df, df.where("vec_id < 2")).groupBy("query_id").count().where("count = 10").count() == 2

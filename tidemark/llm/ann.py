@@ -1,10 +1,15 @@
 """Approximate nearest neighbours by adaptive dimension scan within inverted lists.
 
 Centroids are fitted on a bounded sample; every vector goes to the list of its nearest
-centroid and a query probes the ``PROBED`` share of lists nearest to it (high by default: recall on vectors without cluster structure needs it). Within a list vectors
-are rotated by a random orthogonal matrix, so that any first k dimensions hold about k/d of a
+centroid. A query probes its nearest lists first, the ``FIRST`` share of them and as many as hold
+four times the vectors asked for; the tenth best distance found there is carried on. Of the
+other lists it then probes those where, by the distance of the centroid and the spread of the
+list around it, most vectors within the carried distance are to be expected, until the lists that
+are left hold less than the ``MISSED`` share of the vectors asked for. Clustered vectors need few
+lists, vectors without any structure most of them. Within a list vectors are rotated by a random orthogonal matrix, so that any first k dimensions hold about k/d of a
 distance, and scanned in blocks of columns: after each block a candidate whose partial
 distance, scaled up, exceeds the tenth best so far by more than the test allows is given up.
+The tenth best is that carried on, or in the nearest lists that of a block's first rows.
 Survivors are measured exactly, in double precision on the original vectors; every test allows
 for the rounding of rotated vectors and for the partial distances of the ten best so far, so
 that copies of the query and of those ten always survive and ties go by id.
@@ -14,12 +19,13 @@ each block, so no task holds a whole list.
 
 Cases: vectors that are null, zero, of another length than most, or hold null or non-finite
 components take no part, as queries or candidates; equal distances rank by id; fewer
-candidates than asked for give all of them (all lists are probed then); repeated ids count as
+candidates than asked for give all of them (all lists are nearest lists then); repeated ids count as
 rows of their own but a query never meets its own id.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,11 +33,11 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from tidemark.llm.common import column
+from tidemark.llm.common import column, write_and_reread
 
 SAMPLE_ROWS = 16_384
 LIST_ROWS = 1024
-PROBED = 0.7
+FIRST, MISSED = 0.1, 0.08
 COLUMNS = 16
 #: Rounding of a squared distance between rotated vectors, as a share of the square of their norms' sum; far above what doubles lose.
 ROUNDING = 1e-9
@@ -77,6 +83,13 @@ def _nearest(x: np.ndarray, c: np.ndarray, n: int) -> np.ndarray:
     return np.argsort(d, axis=1, kind="stable")[:, :n]
 
 
+def _chance(away: np.ndarray, spread: np.ndarray, limit: float, d: int) -> np.ndarray:
+    """Chance that a vector of a list lies within a squared distance: its direction from the centroid is taken to be random."""
+    std = 2 * np.sqrt(np.maximum(away * spread, 1e-300) / d)
+    z = (away + spread - limit) / std
+    return np.array([0.5 * math.erfc(v / math.sqrt(2)) for v in z])
+
+
 def rotation(d: int, seed: int = 11) -> np.ndarray:
     q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((d, d)))
     return q * np.sign(np.diag(r))
@@ -86,11 +99,20 @@ def largest_norm(x: np.ndarray) -> float:
     return float(np.sqrt(np.einsum("ij,ij->i", x, x).max()))
 
 
-def scan(base: np.ndarray, turned: np.ndarray, ids: np.ndarray, query: np.ndarray, turned_query: np.ndarray, own: int, k: int, norm: float | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and exact distances of the k nearest rows of a block; norm: the largest of its rows'."""
+def scan(base: np.ndarray, turned: np.ndarray, ids: np.ndarray, query: np.ndarray, turned_query: np.ndarray, own: int, k: int, norm: float | None = None, carried: float | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and exact distances of the k nearest rows of a block; norm: the largest of its rows', carried: a distance that k rows elsewhere don't exceed."""
     d = turned.shape[1]
     live = np.flatnonzero(ids != own)
-    if len(live) > 4 * k:
+    if carried is not None and len(live):
+        slack = ROUNDING * (np.sqrt(query @ query) + (largest_norm(base) if norm is None else norm)) ** 2
+        part, limit = np.zeros(len(live)), carried * carried
+        for to in range(COLUMNS, d + COLUMNS, COLUMNS):
+            cols, done = slice(to - COLUMNS, min(to, d)), min(to, d)
+            part = part + ((turned[live, cols] - turned_query[cols]) ** 2).sum(axis=1)
+            most = limit * (1 + 1e-9) if done == d else limit * done / d * (1 + SPREAD / np.sqrt(done)) ** 2
+            keep = part <= most + slack
+            live, part = live[keep], part[keep]
+    elif len(live) > 4 * k:
         # the first rows set the threshold; the others must pass the tests
         head = live[: 4 * k]
         full = ((turned[head] - turned_query) ** 2).sum(axis=1)
@@ -122,28 +144,48 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
     if c is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     d, lists = c.shape[1], len(c)
-    probed = min(lists, max(3, int(np.ceil(lists * PROBED))))
     shared = spark.sparkContext.broadcast(c)  # at most 1024 centroids
 
-    def assign(n: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
                 x = np.array(column(batch, "embedding").flatten()).reshape(-1, d)
-                near = _nearest(x, shared.value, n)
-                yield pa.RecordBatch.from_arrays([column(batch, "vec_id"), column(batch, "embedding"), pa.array(near.tolist(), pa.list_(pa.int32()))], names=["vec_id", "embedding", "lists"])
-
-        return run
-
-    assigned = "vec_id long, embedding array<double>, lists array<int>"
-    indexed = rows.mapInArrow(assign(1), assigned).select("vec_id", "embedding", F.col("lists")[0].alias("list"))
-    sizes = {r["list"]: r["n"] for r in indexed.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a list
-    blocks = F.array(*[F.lit(-(-sizes.get(i, 0) // LIST_ROWS) or 1) for i in range(lists)])
+                near = _nearest(x, shared.value, 1)[:, 0]
+                away = ((x - shared.value[near]) ** 2).sum(axis=1)
+                yield pa.RecordBatch.from_arrays([column(batch, "vec_id"), column(batch, "embedding"), pa.array(near.astype(np.int32)), pa.array(away)], names=["vec_id", "embedding", "list", "away"])
+
+    indexed = rows.mapInArrow(assign, "vec_id long, embedding array<double>, list int, away double")
+    held, spread = np.zeros(lists, np.int64), np.zeros(lists)
+    for r in indexed.groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.avg("away").alias("away")).collect():  # a row a list
+        held[r["list"]], spread[r["list"]] = r["n"], r["away"]
+    blocks = F.array(*[F.lit(max(1, -(-int(n) // LIST_ROWS))) for n in held])
     indexed = indexed.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.get(blocks, F.col("list"))).cast("int"))
-    few = sum(sizes.values()) <= 4 * k
-    asked = valid(queries, id_col, vec_col).mapInArrow(assign(lists if few else probed), assigned)
-    asked = asked.select("vec_id", "embedding", F.explode("lists").alias("list")).withColumn("block", F.explode(F.sequence(F.lit(0), F.get(blocks, F.col("list")) - 1)))
+
+    def first_lists(x: np.ndarray) -> list[np.ndarray]:
+        order = _nearest(x, shared.value, lists)
+        enough = (np.cumsum(held[order], axis=1) <= 4 * k).sum(axis=1) + 1
+        return [o[:n] for o, n in zip(order, np.minimum(lists, np.maximum(int(np.ceil(lists * FIRST)), enough)))]
+
+    def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The lists that each query probes: first ones where no distance is carried, else the others that are worth it."""
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = np.array(column(batch, "embedding").flatten()).reshape(-1, d)
+            probed = first_lists(x)
+            for i, limit in enumerate(column(batch, "carried").to_pylist()):
+                if limit is not None:
+                    others = np.setdiff1d(np.arange(lists), probed[i])
+                    expected = held[others] * _chance(((shared.value[others] - x[i]) ** 2).sum(axis=1), spread[others], limit * limit, d)
+                    order = np.argsort(-expected, kind="stable")
+                    left = expected[order].sum() - np.cumsum(expected[order])
+                    probed[i] = others[order][: int((left > MISSED * k).sum()) + 1]
+            yield pa.RecordBatch.from_arrays([column(batch, "vec_id"), column(batch, "embedding"), column(batch, "carried"), pa.array([p.astype(np.int32) for p in probed], pa.list_(pa.int32()))], names=["vec_id", "embedding", "carried", "lists"])
+
+    def probe(asked: DataFrame) -> DataFrame:
+        planned = asked.mapInArrow(plan, "vec_id long, embedding array<double>, carried double, lists array<int>").withColumn("list", F.explode("lists"))
+        planned = planned.withColumn("block", F.explode(F.sequence(F.lit(0), F.get(blocks, F.col("list")) - 1)))
+        return indexed.drop("away").groupBy("list", "block").cogroup(planned.drop("lists").groupBy("list", "block")).applyInPandas(near, out_schema)
 
     def near(base: pd.DataFrame, query: pd.DataFrame) -> pd.DataFrame:
         if not len(base) or not len(query):
@@ -152,9 +194,14 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
         x, ids = np.stack(base["embedding"].to_numpy()), base["vec_id"].to_numpy()
         q = np.stack(query["embedding"].to_numpy())
         tx, tq, norm = x @ turn, q @ turn, largest_norm(x)
-        found = [(own, *scan(x, tx, ids, q[i], tq[i], own, k, norm)) for i, own in enumerate(query["vec_id"].to_numpy())]
+        limits = [None if np.isnan(v) else v for v in query["carried"].to_numpy(float)]
+        found = [(own, *scan(x, tx, ids, q[i], tq[i], own, k, norm, limits[i])) for i, own in enumerate(query["vec_id"].to_numpy())]
         return pd.DataFrame({"query_id": np.concatenate([np.full(len(v), o) for o, v, _ in found]), "vec_id": np.concatenate([v for _, v, _ in found]), "score": np.concatenate([s for _, _, s in found])})
 
-    best = indexed.groupBy("list", "block").cogroup(asked.groupBy("list", "block")).applyInPandas(near, out_schema)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
+    asked = valid(queries, id_col, vec_col)
+    close = probe(asked.withColumn("carried", F.lit(None).cast("double")))
+    close = write_and_reread(close.withColumn("rank", rank).where(F.col("rank") <= k), "close")
+    limits = close.where(F.col("rank") == k).select("query_id", F.col("score").alias("carried"))
+    best = close.drop("rank").union(probe(asked.join(limits, asked["vec_id"] == limits["query_id"]).select("vec_id", "embedding", "carried")))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
