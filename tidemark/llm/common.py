@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 SPACES = " \t\n\x0b\x0c\r"
 
 #: Text bytes handled at once inside a task; bounds the numpy arrays made from them.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
