@@ -26,7 +26,48 @@ def _out(df, *names):
     return df.select("symbol", at(), *[tidy(n).alias(n) for n in names])
 
 
-@query("learning_regimes")
+def _dens(x: str, m: str, d: str) -> str:
+    return f"(exp(-0.5 * pow(({x} - {m}) / {d}, 2)) / ({d} * sqrt(2 * pi())))"
+
+
+_LN, _AD = le.LEARNING, le.STICKY
+_LR = [
+    {f"j{j}": f"({' + '.join(f'p_a{i} * {_AD[i][j]}' for i in range(3))}) * greatest({_dens('x_ret', f'p_am{j}', f'p_as{j}')}, 1e-10)" for j in range(3)}
+    | {f"t{i}{j}": f"(p_l{i} + ln({_LN[i][j]}))" for i in range(3) for j in range(3)} | {"seen": "list_concat(p_seen, [x_ret])[-200:]", "cnt": "p_cnt + 1"},
+    {f"a{j}": f"CASE WHEN j0 + j1 + j2 > 1e-10 THEN j{j} / (j0 + j1 + j2) ELSE 1.0 / 3 END" for j in range(3)} | {f"g{j}": f"greatest(t0{j}, t1{j}, t2{j})" for j in range(3)}
+    | {"refit": "cnt % 50 = 0 AND len(seen) >= 200", "sorted": "CASE WHEN cnt % 50 = 0 AND len(seen) >= 200 THEN list_sort(seen) END"},
+    {"st": "CASE WHEN a0 >= a1 AND a0 >= a2 THEN 0 WHEN a1 >= a2 THEN 1 ELSE 2 END"} | {f"u{j}": f"g{j} + ln(exp(t0{j} - g{j}) + exp(t1{j} - g{j}) + exp(t2{j} - g{j})) - 0.5 * pow((x_ret - p_lm{j}) / p_ls{j}, 2) - ln(p_ls{j}) - 0.5 * ln(2 * pi())" for j in range(3)}
+    | {f"part{j}": ("sorted[121:200]", "sorted[1:80]", "sorted[81:120]")[j] for j in range(3)},
+    {"changes": "p_changes + (st <> p_st)::INT", "top": "greatest(u0, u1, u2)"} | {f"am{j}": f"CASE WHEN refit THEN list_avg(part{j}) ELSE p_am{j} END" for j in range(3)} | {f"as{j}": f"CASE WHEN refit THEN greatest(list_stddev_pop(part{j}), 0.001) ELSE p_as{j} END" for j in range(3)},
+    {f"l{j}": f"u{j} - (top + ln(exp(u0 - top) + exp(u1 - top) + exp(u2 - top)))" for j in range(3)},
+    {f"q{j}": f"exp(l{j}) / (exp(l0) + exp(l1) + exp(l2))" for j in range(3)},
+    {f"lm{j}": f"(1 - 0.01 * q{j}) * p_lm{j} + 0.01 * q{j} * x_ret" for j in range(3)},
+    {f"ls{j}": f"sqrt(greatest((1 - 0.01 * q{j}) * p_ls{j} * p_ls{j} + 0.01 * q{j} * (x_ret - lm{j}) * (x_ret - lm{j}), 1e-6))" for j in range(3)},
+]
+_LTYPES = {f"{c}{j}": "DOUBLE" for c in ("a", "am", "as", "l", "lm", "ls", "q") for j in range(3)} | {"st": "DOUBLE", "changes": "DOUBLE", "cnt": "BIGINT", "seen": "DOUBLE[]"}
+
+
+def _from_before(expression: str) -> str:
+    """A step's expression on the constants that hold before the first row."""
+    before = {f"p_a{i}": "(1.0 / 3)" for i in range(3)} | {f"p_l{i}": "ln(1.0 / 3)" for i in range(3)}
+    for j in range(3):
+        before |= {f"p_am{j}": str(le.FIRST[0][j]), f"p_as{j}": str(le.FIRST[1][j]), f"p_lm{j}": str(le.LEARNING_FIRST[0][j]), f"p_ls{j}": str(le.LEARNING_FIRST[1][j])}
+    before |= {"p_seen": "CAST([] AS DOUBLE[])", "p_cnt": "0", "p_changes": "0", "p_st": "st"}
+    for name in sorted(before, key=len, reverse=True):
+        expression = expression.replace(name, before[name])
+    return expression
+
+
+_LINNER = "SELECT symbol, ts, ret, ret AS x_ret FROM (SELECT symbol, ts, ret / 100 AS ret FROM rets)"
+for _stage in _LR:
+    _LINNER = f"SELECT *, {', '.join(f'{_from_before(e)} AS {c}' for c, e in _stage.items())} FROM ({_LINNER})"
+_LSRC = f"{RETURNS}, src AS (SELECT symbol, ts, ret, {', '.join(f'{c} AS f_{c}' for c in _LTYPES)} FROM ({_LINNER}))"
+_LSHOWN = [_r(f"a{j}", n) for j, n in enumerate(("a_bull", "a_bear", "a_range"))] + [_r("st", "a_state"), _r("greatest(a0, a1, a2)", "a_confidence"), _r("changes", "a_changes")]
+_LSHOWN += [_r(f"q{j}", n) for j, n in enumerate(("l_bull", "l_bear", "l_range"))] + [_r("CASE WHEN q0 >= q1 AND q0 >= q2 THEN 0 WHEN q1 >= q2 THEN 1 ELSE 2 END", "l_state"), _r("(greatest(q0, q1, q2) - 1.0 / 3) / (2.0 / 3)", "l_stability")]
+_LSHOWN += [_r(" + ".join(f"q{i} * {_LN[i][j]}" for i in range(3)), n) for j, n in enumerate(("l_next_bull", "l_next_bear", "l_next_range"))]
+
+
+@query("learning_regimes", staged(_LSRC, _LTYPES, {c: f"f_{c}" for c in _LTYPES}, _LR, ", ".join(_LSHOWN), "ret"))
 def _regimes(spark, sf):
     r = [le.adaptive_regimes(), le.learned_regimes()]
     return _out(re_.scan_all(_b(spark, sf), r), *[o for x in r for o in x.outputs])

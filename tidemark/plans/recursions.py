@@ -10,6 +10,7 @@ from tidemark.functions.columns import at, over, running, tidy, z_score
 from tidemark.operators import indicators as ind, recursive as re_
 from tidemark.operators.statistics import log_return
 from tidemark.plans.collect import collector
+from tidemark.plans.risk import RISK, _REGIME as RISK_REGIME, _SCORE as RISK_SCORE
 from tidemark.plans.statistics import RETURNS
 from tidemark.sources.fixtures import bars
 
@@ -362,17 +363,6 @@ def _driven(spark, sf):
     return _out(re_.scan(b, re_.driven_regimes(("v",), _DRIVES)), "d_bull", "d_bear", "d_range", "d_state", "d_confidence")
 
 
-@query("hurst_and_entropy")
-def _hurst(spark, sf):
-    """Exponent and entropy with their regimes, weights and confidence."""
-    out = re_.scan_all(_b(spark, sf), [re_.moving_hurst(), re_.moving_entropy()])
-    h, e = F.col("hurst"), F.col("sample_entropy")
-    return out.select(
-        "symbol", at(), tidy(h).alias("hurst"), re_.hurst_regime(h).alias("hurst_regime"), tidy(re_.momentum_weight(h)).alias("momentum_weight"), tidy(re_.reversion_weight(h)).alias("reversion_weight"),
-        tidy(e).alias("sample_entropy"), re_.complexity_regime(e).alias("complexity_regime"), tidy(re_.entropy_confidence(e)).alias("confidence"),
-    )
-
-
 @query("entropy_of_windows", f"""WITH {RETURNS},
 num AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS n FROM rets),
 h AS (SELECT symbol, ts, n, list(ret) OVER (PARTITION BY symbol ORDER BY ts ROWS 99 PRECEDING) AS v FROM num),
@@ -413,6 +403,26 @@ def _hursts(spark, sf):
     return out.where("n >= 100 and n % 10 = 0").select("symbol", at(), tidy(h).alias("hurst"), re_.hurst_regime(h).alias("hurst_regime"), tidy(re_.momentum_weight(h)).alias("momentum_weight"), tidy(re_.reversion_weight(h)).alias("reversion_weight"))
 
 
+_HE = f"""WITH {RETURNS}, b AS (SELECT symbol, epoch_us(ts) AS ts_us FROM rets),
+j AS (SELECT symbol, ts_us, last_value(hurst IGNORE NULLS) OVER w AS h, last_value(sample_entropy IGNORE NULLS) OVER w AS e
+  FROM b LEFT JOIN ({ORACLES['hurst_of_windows']}) USING (symbol, ts_us) LEFT JOIN (SELECT symbol, ts_us, sample_entropy FROM ({ORACLES['entropy_of_windows']})) USING (symbol, ts_us) WINDOW w AS (PARTITION BY symbol ORDER BY ts_us)),
+v AS (SELECT symbol, ts_us, coalesce(h, 0.5) AS h, coalesce(e, 0) AS e FROM j)
+SELECT symbol, ts_us, round(h, 3) AS hurst, CASE WHEN h > 0.55 THEN 'trending' WHEN h < 0.45 THEN 'mean_reverting' ELSE 'random_walk' END AS hurst_regime, round(greatest(0.0, least(1.0, (h - 0.5) * 2)), 3) AS momentum_weight,
+  round(greatest(0.0, least(1.0, (0.5 - h) * 2)), 3) AS reversion_weight, round(e, 3) AS sample_entropy, CASE WHEN e < 0.5 THEN 'low_complexity' WHEN e > 1.5 THEN 'high_complexity' ELSE 'normal_complexity' END AS complexity_regime, round(greatest(0.3, least(1.0, 1 - 0.35 * e)), 3) AS confidence FROM v"""
+
+
+@query("hurst_and_entropy", _HE)
+def _hurst(spark, sf):
+    """Exponent and entropy with their regimes, weights and confidence."""
+    out = re_.scan_all(_b(spark, sf), [re_.moving_hurst(), re_.moving_entropy()])
+    out = out.select("symbol", at(), tidy("hurst").alias("h"), tidy("sample_entropy").alias("e"))
+    h, e = F.col("h"), F.col("e")
+    return out.select(
+        "symbol", "ts_us", F.round(h, 3).alias("hurst"), re_.hurst_regime(h).alias("hurst_regime"), F.round(re_.momentum_weight(h), 3).alias("momentum_weight"), F.round(re_.reversion_weight(h), 3).alias("reversion_weight"),
+        F.round(e, 3).alias("sample_entropy"), re_.complexity_regime(e).alias("complexity_regime"), F.round(re_.entropy_confidence(e), 3).alias("confidence"),
+    )
+
+
 @query("garch_regime", recursion(SRC, {"v": f"{_LR!r}", "r": "ret"}, {"v": "1e-5 + 0.05 * p.r * p.r + 0.94 * p.v", "r": "x.ret"}, {"garch": "sqrt(v)"},
     f"CASE WHEN sqrt(v / {_LR!r}) < 0.7 THEN 'low' WHEN sqrt(v / {_LR!r}) > 1.5 THEN 'high' ELSE 'normal' END AS regime"))
 def _gregime(spark, sf):
@@ -420,7 +430,15 @@ def _gregime(spark, sf):
     return out.select("symbol", at(), tidy("garch").alias("garch"), re_.garch_regime(F.col("garch_ratio")).alias("regime"))
 
 
-@query("guardian")
+_CRIT = "(x.s > 0.9 OR coalesce(x.v > 0.001, false))"
+_CRIT1 = "(s > 0.9 OR coalesce(v > 0.001, false))"
+_MUL = "CASE WHEN {c} THEN 0.0 WHEN {s} > 0.7 THEN 0.0 WHEN {s} > 0.5 THEN 0.5 ELSE 1.0 END"
+
+
+@query("guardian", recursion(f"""{RISK}, {RISK_REGIME}, {RISK_SCORE},
+  vv AS (SELECT symbol, ts, score, first(score) OVER w AS s0, epoch(ts) - epoch(first(ts) OVER w) AS span, count(*) OVER w AS k FROM ss WINDOW w AS (PARTITION BY symbol ORDER BY ts RANGE BETWEEN INTERVAL 6 HOUR PRECEDING AND CURRENT ROW)),
+  src AS (SELECT symbol, ts, score * 1.6 AS s, CASE WHEN k >= 2 AND span >= 5 THEN (score - s0) / span END AS v FROM vv)""",
+    {"c": f"{_CRIT1}::INT", "m": _MUL.format(c=_CRIT1, s="s")}, {"c": f"CASE WHEN {_CRIT} THEN p.c + 1 ELSE greatest(0, p.c - 1) END", "m": _MUL.format(c=_CRIT, s="x.s")}, {"critical_count": "c", "multiplier": "m"}))
 def _guard(spark, sf):
     """Confirmed halts: counts of critical rows and position multipliers."""
     from tidemark.operators.risk import velocity

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple[str, ...] = ("statistics", "market", "risk", "validation", "signals", "recursions", "learning", "live", "weights", "monitoring", "adaptive", "layer", "feeds")
+MODULES: tuple[str, ...] = ("statistics", "market", "risk", "validation", "signals", "recursions", "learning", "live", "weights", "monitoring", "adaptive", "layer", "feeds", "models")
 
 
 def _collect(attribute: str) -> dict:
