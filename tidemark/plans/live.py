@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tidemark.functions.columns import tidy
 from tidemark.operators import recursive as re_
 from tidemark.plans.collect import collector
+from tidemark.session import shared_folder
 from tidemark.sources import venues
 from tidemark.sources.fixtures import TICKS, table
 from tidemark.streaming import live
@@ -18,8 +19,7 @@ QUERIES, ORACLES, query = collector()
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder on the storage that the session names as shared."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/tidemark"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def _events(spark, sf, kind: str):

@@ -1,4 +1,4 @@
-"""Session factory used by tests, the bench and examples (never by operators)."""
+"""Session factory for tests, the bench and examples, and the folder that a session's executors share."""
 
 from __future__ import annotations
 
@@ -23,3 +23,16 @@ def get_session(app: str = "tidemark", cores: int | str = "*", **conf: str) -> S
     spark = SparkSession.builder.master(f"local[{cores}]").appName(app).config(map=settings).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, as the cluster names it in ``spark.checkpoint.dir``.
+
+    Only a local session may leave it unset; it then uses a folder beside its warehouse.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = f"{spark.conf.get('spark.sql.warehouse.dir', 'spark-warehouse')}/tidemark-checkpoints"
+    return base.rstrip("/")
