@@ -407,8 +407,8 @@ _HE = f"""WITH {RETURNS}, b AS (SELECT symbol, epoch_us(ts) AS ts_us FROM rets),
 j AS (SELECT symbol, ts_us, last_value(hurst IGNORE NULLS) OVER w AS h, last_value(sample_entropy IGNORE NULLS) OVER w AS e
   FROM b LEFT JOIN ({ORACLES['hurst_of_windows']}) USING (symbol, ts_us) LEFT JOIN (SELECT symbol, ts_us, sample_entropy FROM ({ORACLES['entropy_of_windows']})) USING (symbol, ts_us) WINDOW w AS (PARTITION BY symbol ORDER BY ts_us)),
 v AS (SELECT symbol, ts_us, coalesce(h, 0.5) AS h, coalesce(e, 0) AS e FROM j)
-SELECT symbol, ts_us, round(h, 3) AS hurst, CASE WHEN h > 0.55 THEN 'trending' WHEN h < 0.45 THEN 'mean_reverting' ELSE 'random_walk' END AS hurst_regime, round(greatest(0.0, least(1.0, (h - 0.5) * 2)), 3) AS momentum_weight,
-  round(greatest(0.0, least(1.0, (0.5 - h) * 2)), 3) AS reversion_weight, round(e, 3) AS sample_entropy, CASE WHEN e < 0.5 THEN 'low_complexity' WHEN e > 1.5 THEN 'high_complexity' ELSE 'normal_complexity' END AS complexity_regime, round(greatest(0.3, least(1.0, 1 - 0.35 * e)), 3) AS confidence FROM v"""
+SELECT symbol, ts_us, h AS hurst, CASE WHEN h > 0.55 THEN 'trending' WHEN h < 0.45 THEN 'mean_reverting' ELSE 'random_walk' END AS hurst_regime, round(greatest(0.0, least(1.0, (h - 0.5) * 2)), 4) + 0.0 AS momentum_weight,
+  round(greatest(0.0, least(1.0, (0.5 - h) * 2)), 4) + 0.0 AS reversion_weight, e AS sample_entropy, CASE WHEN e < 0.5 THEN 'low_complexity' WHEN e > 1.5 THEN 'high_complexity' ELSE 'normal_complexity' END AS complexity_regime, round(greatest(0.3, least(1.0, 1 - 0.35 * e)), 4) + 0.0 AS confidence FROM v"""
 
 
 @query("hurst_and_entropy", _HE)
@@ -418,8 +418,8 @@ def _hurst(spark, sf):
     out = out.select("symbol", at(), tidy("hurst").alias("h"), tidy("sample_entropy").alias("e"))
     h, e = F.col("h"), F.col("e")
     return out.select(
-        "symbol", "ts_us", F.round(h, 3).alias("hurst"), re_.hurst_regime(h).alias("hurst_regime"), F.round(re_.momentum_weight(h), 3).alias("momentum_weight"), F.round(re_.reversion_weight(h), 3).alias("reversion_weight"),
-        F.round(e, 3).alias("sample_entropy"), re_.complexity_regime(e).alias("complexity_regime"), F.round(re_.entropy_confidence(e), 3).alias("confidence"),
+        "symbol", "ts_us", h.alias("hurst"), re_.hurst_regime(h).alias("hurst_regime"), tidy(re_.momentum_weight(h)).alias("momentum_weight"), tidy(re_.reversion_weight(h)).alias("reversion_weight"),
+        e.alias("sample_entropy"), re_.complexity_regime(e).alias("complexity_regime"), tidy(re_.entropy_confidence(e)).alias("confidence"),
     )
 
 
