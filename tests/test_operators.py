@@ -363,3 +363,43 @@ def test_feature_vector_slots(spark):
     flow = v.select("symbol", "ts", F.lit(0.25).alias("flow_vpin")).limit(1)
     assert fe.with_flow(v, flow).where("flow_vpin = 0.25").count() == 1
     assert fe.vector_report(v).where("faults like '%nan%' or faults like '%inf%'").count() == 0
+
+
+def test_model_paths_and_classes(spark):
+    from tidemark.operators import models as mo
+
+    fast = lambda texts: [(0.1, 0.2, 0.7) if t else (0.5, 0.4, 0.1) for t in texts]
+    accurate = lambda texts: [(0.2, 0.8)] * len(texts)
+    posts = spark.createDataFrame([(1, "A", "Twitter", "up"), (2, "A", "reddit", None), (3, "B", "bloomberg", "x"), (4, None, None, "x")], "id long, symbol string, source string, text string")
+    got = {r["id"]: r for r in mo.analyze(posts, fast, accurate).collect()}
+    assert (got[1]["path"], got[1]["label"], got[1]["signal"]) == ("fast", "bullish", "ALERT") and got[1]["model_score"] == pytest.approx(0.6)
+    assert (got[2]["label"], got[2]["signal"]) == ("bearish", "INFO")
+    assert (got[3]["path"], got[3]["signal"]) == ("accurate", "TRADE") and got[4]["path"] == "accurate"
+    dual = {r["id"]: r for r in mo.analyze_dual(posts, fast, accurate).collect()}
+    assert dual[1]["disagreement"] == "ALIGNED" and dual[2]["disagreement"] == "DIVERGENCE" and dual[2]["recommended_confidence"] == pytest.approx(0.64)
+    by = {r["id"]: r["model_score"] for r in mo.analyze_by_asset(posts, {"B": accurate}, fast).collect()}
+    assert by[3] == pytest.approx(0.6) and by[4] == pytest.approx(0.6) and len(by) == 4
+    odd = spark.createDataFrame([([0.9, 0.1, 0.0, 0.0],), (None,)], "p array<double>").select(mo.score(F.col("p")).alias("s"), mo.confidence(F.col("p")).alias("c")).collect()
+    assert [tuple(r) for r in odd] == [(0.0, 0.5), (0.0, 0.5)]
+    none = spark.createDataFrame([], "word string, valence double")
+    assert [r["score"] for r in mo.lexicon_join(posts, none).collect()] == [0.0] * 4
+
+
+def test_as_of_join_carries_over_spans(spark):
+    from tidemark.operators.sentiment import as_of
+
+    right = spark.createDataFrame([("a", 10, 1.0, 1), ("a", 10, 2.0, 2), ("a", 250_000, 3.0, 3), ("b", 5, 9.0, 4)], "key string, at long, score double, sid long")
+    left = spark.createDataFrame([("a", t, i) for i, t in enumerate([0, 10, 11, 200_000, 249_999, 250_000, 900_000])] + [("b", 4, 7), ("c", 1, 8)], "key string, at long, id long")
+    got = {r["id"]: r["score"] for r in as_of(left, right, "score").collect()}
+    assert got == {0: 1.0, 1: 2.0, 2: 2.0, 3: 2.0, 4: 2.0, 5: 3.0, 6: 3.0, 7: 9.0, 8: None}
+
+
+def test_rollout_and_health(spark):
+    from tidemark.operators import monitoring as mo
+
+    ok = spark.createDataFrame([("phase_4", 30.0, 2000, 0.1, 0.9, 5.0, 0.0, 0.0), ("phase_1", 30.0, 2000, 0.1, 0.9, 50.0, 0.5, 0.0)], "phase string, hours double, comparisons long, mean_diff double, match_rate double, mean_latency_ms double, error_rate double, discrepancy_rate double")
+    got = {r["phase"]: (r["issues"], r["passed"], r["next"]) for r in mo.check_criteria(ok).select("*", mo.next_phase(F.col("phase"), F.col("passed")).alias("next")).collect()}
+    assert got == {"phase_4": ("", True, "completed"), "phase_1": ("latency,error_rate", False, "phase_1")}
+    few = spark.createDataFrame([("a", i, 1.0, 2.0, 3.0) for i in range(5)], "symbol string, ts long, signal double, ret double, sentiment double")
+    assert mo.accuracy_proxies(few).first()["signal_return_corr"] is None
+    assert mo.accuracy_proxies(few, least=2).first()["signal_return_corr"] == 0.0

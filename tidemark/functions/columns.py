@@ -88,6 +88,15 @@ def normal_quantile(p: float) -> float:
     return z if p > 0.5 else -z
 
 
+def correlation(x: Column | str, y: Column | str, w: WindowSpec | None = None) -> Column:
+    """Correlation as an aggregate (or over a window): null where either side is flat, which Spark's own ends in a division by 0."""
+    each = (lambda c: c.over(w)) if w is not None else (lambda c: c)
+    x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))
+    x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)  # rows that have both
+    under = each(F.stddev_pop(x)) * each(F.stddev_pop(y))
+    return F.when(under > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), each(F.covar_pop(x, y)) / under)))
+
+
 def normal_sql(x: str) -> str:
     """The distribution function in SQL that has no erf: its integral by Simpson's rule in 400 steps from 0, 0 or 1 beyond 8 deviations."""
     step = f"(least(8.0, abs({x})) / 400)"

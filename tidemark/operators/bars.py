@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.functions.columns import over
+from tidemark.functions.columns import correlation, over
 
 # ---- fixed values: prefix aliases of exchange symbols, applied in this order ----
 ALIASES = (("XBT", "BTC"), ("XXBT", "BTC"), ("XETH", "ETH"))
@@ -66,8 +66,8 @@ def level2(bars: DataFrame) -> DataFrame:
             F.count(F.lit(1)).alias("n"),
             F.skewness("ret").alias("skew"),
             F.kurtosis("ret").alias("kurtosis"),
-            F.corr("ret", "r1").alias("auto1"),
-            F.corr("ret", "r5").alias("auto5"),
+            correlation("ret", "r1").alias("auto1"),
+            correlation("ret", "r5").alias("auto5"),
             (F.count_if(F.col("gap") > F.col("step")) / F.count("gap")).alias("gap_ratio"),
             (F.avg("ret") / F.stddev_samp("ret") * F.sqrt(F.lit(525600.0))).alias("sharpe"),
         )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.functions.columns import normal_quantile, over
+from tidemark.functions.columns import correlation, normal_quantile, over
 
 # ---- fixed values: what a rollout phase must reach ----
 CRITERIA = (
@@ -24,8 +24,7 @@ def accuracy_proxies(rows: DataFrame, by: str = "symbol", keep: int = 1000, leas
     """Per ``by`` over its newest ``keep`` rows of (ts, signal, ret, sentiment): signal-return correlation and sentiment skew, null below ``least`` rows, 0 where flat."""
     newest = rows.withColumn("_back", F.row_number().over(over(F.desc("ts"), by=(by,)))).where(F.col("_back") <= keep)
     n = F.count(F.lit(1))
-    flat = (F.stddev_pop("signal") == 0) | (F.stddev_pop("ret") == 0)
-    out = newest.groupBy(by).agg(n.alias("n"), F.when(n >= least, F.when(flat, 0.0).otherwise(F.corr("signal", "ret"))).alias("signal_return_corr"), F.when(n >= least, F.skewness("sentiment")).alias("sentiment_skew"))
+    out = newest.groupBy(by).agg(n.alias("n"), F.when(n >= least, F.coalesce(correlation("signal", "ret"), F.lit(0.0))).alias("signal_return_corr"), F.when(n >= least, F.skewness("sentiment")).alias("sentiment_skew"))
     return out
 
 

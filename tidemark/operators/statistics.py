@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from tidemark.functions.columns import last, over, ratio, running, z_score
+from tidemark.functions.columns import correlation, last, over, ratio, running, z_score
 
 #: Horizons of momentum in bars.
 HORIZONS = (5, 10, 21, 63)
@@ -42,7 +42,7 @@ def running_relation(df: DataFrame, x: str, y: str) -> DataFrame:
     """Running covariances, correlation (clamped), regression of y on x and the correlation's regime."""
     w = running()
     beta = ratio(F.covar_pop(x, y).over(w), F.var_pop(x).over(w))
-    corr = F.when((F.stddev_pop(x).over(w) > 1e-12) & (F.stddev_pop(y).over(w) > 1e-12), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.corr(x, y).over(w)))).otherwise(0.0)
+    corr = F.when((F.stddev_pop(x).over(w) > 1e-12) & (F.stddev_pop(y).over(w) > 1e-12), correlation(x, y, w)).otherwise(0.0)
     out = df.select(
         "*",
         F.coalesce(F.covar_samp(x, y).over(w), F.lit(0.0)).alias("cov_samp"),
@@ -67,7 +67,7 @@ def correlation_matrix(df: DataFrame, value: str, on: str = "ts", by: str = "sym
     """
     a = df.select(F.col(by).alias("a"), on, F.col(value).alias("x"))
     b = df.select(F.col(by).alias("b"), on, F.col(value).alias("y"))
-    pairs = a.join(b, on).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.corr("x", "y").alias("corr"))
+    pairs = a.join(b, on).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), correlation("x", "y").alias("corr"))
     flipped = pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "n", "corr")
     own = df.groupBy(F.col(by).alias("a")).agg(F.count(F.lit(1)).alias("n")).select("a", F.col("a").alias("b"), "n", F.lit(1.0).alias("corr"))
     return pairs.unionByName(flipped).unionByName(own)
