@@ -166,6 +166,14 @@ def prediction_volatility(df: DataFrame, x: str, order: tuple[str, ...], n: int
     return df.withColumn("volatility", F.stddev_pop(x).over(last(n, *order)))
 
 
+def agreement_score(own: Column, others: Column) -> Column:
+    """1 where a prediction and an array of others agree, less twice their deviation, 0 at least."""
+    every = F.concat(F.array(own), others)
+    mean = F.aggregate(every, F.lit(0.0), lambda t, x: t + x) / F.size(every)
+    std = F.sqrt(F.aggregate(every, F.lit(0.0), lambda t, x: t + (x - mean) * (x - mean)) / F.size(every))
+    return F.greatest(F.lit(0.0), 1 - 2 * std)
+
+
 # ---- regime-aware weights ----
 # fixed values: multipliers by regime, in the order of CATEGORIES
 CATEGORIES = ("momentum", "mean_reversion", "trend_following", "breakout", "volume")

@@ -134,6 +134,19 @@ def discussion_score(posts: DataFrame) -> DataFrame:
     return posts.groupBy("symbol").agg(clip(F.avg(s), -1, 1).alias("score"), F.count(F.lit(1)).alias("mentions"), F.sum("engagement").alias("engagement"), F.avg("ratio").alias("mean_ratio"))
 
 
+def summary(posts: DataFrame, limit: float = 0.3, move: float = 0.1, by: str = "symbol") -> DataFrame:
+    """Mean score of ``by``'s posts, how many are bullish, bearish and neutral, and the signal."""
+    s = F.col("score")
+    out = posts.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.avg(s).alias("score"), F.count_if(s > limit).alias("bullish"), F.count_if(s < -limit).alias("bearish"), F.count_if((s >= -limit) & (s <= limit)).alias("neutral"))
+    return out.withColumn("signal", F.when(F.col("score") > move, "BULLISH").when(F.col("score") < -move, "BEARISH").otherwise("NEUTRAL"))
+
+
+def recent(posts: DataFrame, hours: float) -> DataFrame:
+    """The posts of the last hours before the newest one."""
+    newest = posts.agg(F.max("ts").alias("_now"))  # one row
+    return posts.join(newest).where(F.unix_micros("ts") >= F.unix_micros("_now") - F.lit(int(hours * 3_600_000_000))).drop("_now")
+
+
 def vote_score(up: Column, liked: Column, down: Column, disliked: Column) -> Column:
     return ratio(up + liked - down - disliked, up + liked + down + disliked)
 

@@ -284,7 +284,7 @@ def shadow_report(compared: DataFrame) -> DataFrame:
 def rollback_tier(error_rate: Column, latency_ms: Column, divergence: Column) -> Column:
     """critical, warning or none from three health measures."""
     return (
-        F.when((error_rate > 0.05) | (latency_ms > 200) | (divergence > 0.5), "critical").when((error_rate > 0.02) | (latency_ms > 100) | (divergence > 0.3), "warning").otherwise("none")
+        F.when((error_rate > 0.05) | (latency_ms > 50) | (divergence > 0.5), "critical").when((error_rate > 0.01) | (latency_ms > 25) | (divergence > 0.2), "warning").otherwise("none")
     )
 
 

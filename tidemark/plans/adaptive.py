@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import at, over, tidy
-from tidemark.operators import adaptive as ad, indicators as ind, learning as le, recursive as re_
+from tidemark.operators import adaptive as ad, fusion as fu, indicators as ind, learning as le, recursive as re_
 from tidemark.plans.collect import collector
 from tidemark.plans.recursions import ORACLES as RECURSIONS, _r, staged
 from tidemark.plans.statistics import RETURNS
@@ -75,3 +75,16 @@ def _stacking(spark, sf):
     raw = F.array(F.col("open") / (F.col("open") + F.col("close")), F.lit(0.25))
     out = b.select("symbol", "ts", ad.stacked(base, raw, list(_W), 0.1).alias("s"))
     return out.select("symbol", at(), tidy("s.p").alias("p"), tidy("s.agreement").alias("agreement"))
+
+
+_P = "(close - low) / (high - low + 1)"
+
+
+@query("prediction_stability", f"""WITH {BARS}, x AS (SELECT symbol, ts, {_P} AS p, [least(1.0, trades / 20.0), open / (open + close)] AS o FROM bars)
+SELECT symbol, epoch_us(ts) AS ts_us, round(stddev_pop(p) OVER (PARTITION BY symbol ORDER BY ts ROWS 99 PRECEDING), 4) + 0.0 AS volatility, round(greatest(0.0, 1 - 2 * list_stddev_pop(list_concat([p], o))), 4) + 0.0 AS agreement FROM x""")
+def _stability(spark, sf):
+    """Deviation of a prediction over 100 bars, and its agreement with two others."""
+    b = bars(spark, sf)
+    x = b.select("symbol", "ts", ((F.col("close") - F.col("low")) / (F.col("high") - F.col("low") + 1)).alias("p"), F.array(F.least(F.lit(1.0), F.col("trades") / 20), F.col("open") / (F.col("open") + F.col("close"))).alias("o"))
+    out = fu.prediction_volatility(x, "p", ("ts",))
+    return out.select("symbol", at(), tidy("volatility").alias("volatility"), tidy(fu.agreement_score(F.col("p"), F.col("o"))).alias("agreement"))

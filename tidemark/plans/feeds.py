@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from tidemark.functions.columns import tidy
+from tidemark.operators import sentiment
 from tidemark.plans.collect import collector
-from tidemark.sources import venues
+from tidemark.sources import health, venues
 from tidemark.sources.fixtures import POSTS, posts, table
+from tidemark.streaming import live
 
 QUERIES, ORACLES, query = collector()
 
@@ -160,3 +162,49 @@ def _history(spark, sf):
     made = F.struct(F.array(pair(F.col("c_acctbal"))).alias("prices"), F.array(pair(F.col("c_acctbal") * 2)).alias("market_caps"), F.when(F.col("c_custkey") % 2 == 0, F.array(pair(F.lit(1.0)))).otherwise(F.array().cast("array<array<double>>")).alias("total_volumes"))
     out = venues.parallel_series(c.select(F.to_json(made).alias("value")))
     return out.select(F.unix_millis("ts").alias("ts_ms"), "price", "market_cap", "volume")
+
+
+@query("connector_health", """WITH m AS (SELECT event_type || event_id % 7 AS source, ts, event_id % 29 = 0 AS error FROM events), n AS (SELECT max(ts) AS now FROM m),
+h AS (SELECT source, count(*) FILTER (NOT error) AS messages, count(*) FILTER (error) AS errors, epoch(any_value(now)) - epoch(max(ts)) AS age, arg_max(error, ts) AS failing FROM m, n GROUP BY source)
+SELECT source, messages, errors, round(age, 3) AS age, age > 60 AS stale, CASE WHEN failing THEN 'error' WHEN age <= 60 THEN 'connected' WHEN age <= 300 THEN 'reconnecting' ELSE 'disconnected' END AS state FROM h""")
+def _health(spark, sf):
+    e = table(spark, sf, "events").select(F.concat("event_type", F.col("event_id") % 7).alias("source"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_id") % 29 == 0).alias("error"))
+    return health.connector_health(e).select("source", "messages", "errors", F.round("age", 3).alias("age"), "stale", "state")
+
+
+@query("published_signals", "SELECT event_id, event_type AS symbol, value AS signal, event_id % 3 = 0 AS tradable, epoch_us(ts) // 1000 AS ts_ms FROM events")
+def _published(spark, sf):
+    """Signals as the messages that a topic takes, read back from them."""
+    e = table(spark, sf, "events").select("event_id", F.col("event_type").alias("symbol"), F.col("value").alias("signal"), (F.col("event_id") % 3 == 0).alias("tradable"), _ms().alias("ts_ms"))
+    return live.from_messages(live.to_messages(e, kind="signal"), "event_id long, symbol string, signal double, tradable boolean, ts_ms long")
+
+
+@query("published_onchain", "SELECT o_orderkey, 'S' || o_custkey % 5 AS symbol, round(o_totalprice / 1000, 4) + 0.0 AS netflow FROM orders")
+def _published_onchain(spark, sf):
+    """On-chain signals by the same way."""
+    o = table(spark, sf, "orders").select("o_orderkey", F.concat(F.lit("S"), (F.col("o_custkey") % 5).cast("string")).alias("symbol"), tidy(F.col("o_totalprice") / 1000).alias("netflow"))
+    return live.from_messages(live.to_messages(o, kind="onchain"), "o_orderkey long, symbol string, netflow double")
+
+
+@query("routed_messages", """WITH m AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'ohlcv' WHEN 1 THEN 'orderbook' WHEN 2 THEN 'trade' END AS type, CASE WHEN event_id % 11 > 0 THEN event_type END AS symbol, event_id % 10 / 10.0 AS q FROM events)
+SELECT event_id, coalesce(type, 'ohlcv') AS kind FROM m WHERE symbol IS NOT NULL AND q >= 0.5""")
+def _routed(spark, sf):
+    """Messages by type; those without a symbol or of poor quality are dropped."""
+    kind = F.when(F.col("event_id") % 4 == 0, "ohlcv").when(F.col("event_id") % 4 == 1, "orderbook").when(F.col("event_id") % 4 == 2, "trade")
+    made = _payloads(spark, sf, "events", "event_id", type=kind, symbol=F.when(F.col("event_id") % 11 > 0, F.col("event_type")), quality_score=F.col("event_id") % 10 / 10)
+    parts = [rows.select("event_id", F.lit(name).alias("kind")) for name, rows in live.route(made).items()]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+@query("symbol_sentiment", f"""WITH {POSTS}
+SELECT symbol, count(*) AS n, round(avg(score), 4) + 0.0 AS score, count(*) FILTER (score > 0.3) AS bullish, count(*) FILTER (score < -0.3) AS bearish, count(*) FILTER (score BETWEEN -0.3 AND 0.3) AS neutral,
+  CASE WHEN avg(score) > 0.1 THEN 'BULLISH' WHEN avg(score) < -0.1 THEN 'BEARISH' ELSE 'NEUTRAL' END AS signal FROM posts GROUP BY symbol""")
+def _symbol_sentiment(spark, sf):
+    """A symbol's posts in one row."""
+    return sentiment.summary(posts(spark, sf)).select("symbol", "n", tidy("score").alias("score"), "bullish", "bearish", "neutral", "signal")
+
+
+@query("recent_posts", f"WITH {POSTS}, n AS (SELECT max(ts) AS now FROM posts) SELECT id, symbol FROM posts, n WHERE ts >= now - INTERVAL 6 HOUR")
+def _recent(spark, sf):
+    """Posts of the last six hours."""
+    return sentiment.recent(posts(spark, sf), 6).select("id", "symbol")

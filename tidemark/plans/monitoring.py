@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import normal_quantile, over, tidy
-from tidemark.operators import monitoring as mo
+from tidemark.operators import monitoring as mo, validation as va
 from tidemark.operators.statistics import log_return
 from tidemark.plans.collect import collector
 from tidemark.plans.statistics import RETURNS
@@ -100,3 +100,16 @@ def _shuffled(spark, sf):
     rows = _health(spark, sf).where("ret is not null").select("symbol", "ts", "signal", "sentiment", (F.col("ret") > 0).cast("int").alias("y"))
     out = mo.shuffle_test(rows, ["signal", "sentiment"], "y")
     return out.select("symbol", tidy("real_accuracy").alias("real_accuracy"), tidy("shuffled_accuracy").alias("shuffled_accuracy"), "leakage_suspected")
+
+
+@query("rollback_tiers", """SELECT o_orderkey, CASE WHEN e > 0.05 OR l > 50 OR d > 0.50 THEN 'critical' WHEN e > 0.01 OR l > 25 OR d > 0.20 THEN 'warning' ELSE 'none' END AS tier
+FROM (SELECT o_orderkey, o_orderkey % 9 / 100.0 AS e, o_custkey % 70 AS l, o_orderkey % 61 / 100.0 AS d FROM orders)""")
+def _rollback(spark, sf):
+    o = table(spark, sf, "orders")
+    return o.select("o_orderkey", va.rollback_tier(F.col("o_orderkey") % 9 / 100, F.col("o_custkey") % 70, F.col("o_orderkey") % 61 / 100).alias("tier"))
+
+
+@query("maker_breakeven", "SELECT l_orderkey, l_linenumber, round(l_quantity / 5 / 0.5 * 60, 4) + 0.0 AS seconds FROM lineitem")
+def _breakeven(spark, sf):
+    """Seconds that a resting order may wait before crossing the spread (in points) is as good."""
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", tidy(va.breakeven_seconds(F.col("l_quantity").cast("double"))).alias("seconds"))
