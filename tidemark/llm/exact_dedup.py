@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tidemark.llm.common import SPACES, column, shuffle_partitions, write_and_reread
-from tidemark.llm.sketch import without
+from tidemark.llm.common import SPACES, column, forget, give_back, shuffle_partitions, write_and_reread
+from tidemark.llm.sketch import sketched, without
 
 _DROP = str.maketrans("", "", SPACES)
 
@@ -66,6 +66,9 @@ def rice_decode(data: bytes, n: int, r: int) -> np.ndarray:
 
 # ---- the exchange ----
 
+#: Fingerprints that one owner marks.
+OWNED = 1 << 20
+
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part = TaskContext.get().partitionId()
@@ -81,6 +84,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             [column(batch, "row_id"), pa.array([part] * len(digests), pa.int32()), pa.array(hashes, pa.int64()), pa.array(points, pa.int32()), pa.array(digests, pa.string())],
             names=["row_id", "sender", "h", "points", "text_sha256"],
         )
+    give_back()
 
 
 def _owned(h: np.ndarray, owners: int) -> np.ndarray:
@@ -138,11 +142,11 @@ def _suspects(owners: int):
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: id, keep_id, group_size, kept, text_sha256 (of the text without white space)."""
-    owners = max(1, shuffle_partitions(docs.sparkSession) * 2)
     rows = docs.select(F.col(id_col).alias("row_id"), F.col(text_col).alias("text"))
     kind = rows.schema["row_id"].dataType
     schema = T.StructType([T.StructField("row_id", kind), T.StructField("sender", T.IntegerType()), T.StructField("h", T.LongType()), T.StructField("points", T.IntegerType()), T.StructField("text_sha256", T.StringType())])
     prints = write_and_reread(rows.mapInArrow(_fingerprints, schema), "fingerprints")
+    owners = max(1, shuffle_partitions(docs.sparkSession) * 2, prints.count() // OWNED)
 
     sent = prints.select("sender", "h").groupBy("sender").applyInPandas(_send(owners), "owner int, sender int, n int, r int, gaps binary, many binary")
     bitmaps = sent.groupBy("owner").applyInPandas(_mark(owners), "sender int, owner int, bits binary")
@@ -155,7 +159,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .select(F.col("row_id").alias("suspect"), "text_sha256")
     )
 
-    # byte verification: the suspects' texts, grouped by their bytes; copies combine before the shuffle
+    # byte verification: the suspects' texts, grouped by their bytes; copies combine before the shuffle. A sketch of
+    # the suspects' ids keeps the other texts out of it, the join decides
+    suspects = write_and_reread(suspects, "suspects")
+    may = sketched(suspects.select("suspect"))
+    rows = rows if may is None else rows.where(may(F.xxhash64("row_id")))
     bare = F.translate(F.coalesce("text", F.lit("")), SPACES, "")
     texts = rows.join(suspects, rows["row_id"].eqNullSafe(suspects["suspect"])).select(
         "text_sha256", bare.alias("bytes"), F.struct((-F.length(F.coalesce("text", F.lit("")))).alias("fewer"), F.col("row_id").alias("least")).alias("place")
@@ -164,6 +172,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     same = same.where((F.col("n") > 1) & (F.sha2("bytes", 256) == F.col("text_sha256")))
     groups = same.select(F.col("text_sha256").alias("same"), F.col("best.least").alias("keep"), F.col("n").alias("size"))
     groups = write_and_reread(groups, "groups")
+    forget(suspects)
     return prints.join(groups, prints["text_sha256"] == groups["same"], "left").select(
         F.col("row_id").alias(id_col),
         F.when(F.col("same").isNotNull(), F.col("keep")).otherwise(F.col("row_id")).cast(kind).alias("keep_id"),
