@@ -185,7 +185,7 @@ def test_language_edge_cases(docs, empty):
 
 
 def test_unseen_words_back_off():
-    model = language_id.fit({"a": Counter({"known": 9, "qaq": 3}), "b": Counter({"zuz": 4, "nown": 1})}, 10, 100)
+    model = language_id.fit({"a": (["known", "qaq"], np.array([9.0, 3.0])), "b": (["zuz", "nown"], np.array([4.0, 1.0]))}, 10, 100)
     langs, _ = language_id.predict(model, pa.array(["known", "zz", "qq", "1 2", None, "KNOWN"]))
     assert langs.to_pylist() == ["a", "b", "a", "und", "und", "a"]
 
@@ -246,7 +246,7 @@ def test_language_against_a_slow_scorer(spark):
 
 
 def test_languages_of_long_texts():
-    model = language_id.fit({"a": Counter({"known": 9, "word": 3}), "b": Counter({"zuz": 4, "nown": 1})}, 10, 100)
+    model = language_id.fit({"a": (["known", "word"], np.array([9.0, 3.0])), "b": (["zuz", "nown"], np.array([4.0, 1.0]))}, 10, 100)
     texts = pa.array(["known word " * 500_000, "zuzzu" * 600_000, "zuz"])
     assert language_id.predict(model, texts)[0].to_pylist() == ["a", "b", "b"]
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tidemark.llm.common import SLICE_BYTES, byte_view, column, held_out, mix64, slices
+from tidemark.llm.common import SLICE_BYTES, byte_view, column, give_back, held_out, mix64, slices, small_batches
 from tidemark.llm.shingles import hash_spans
 
 _BREAK = r"[^\p{L}\p{M}]+"
@@ -81,17 +81,27 @@ def _gram_hashes(points: np.ndarray) -> Iterator[np.ndarray]:
         yield h
 
 
+#: Words whose n-grams are hashed at once while learning.
+AT_ONCE = 20_000
+
+
+def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    distinct, group = np.unique(keys, return_inverse=True)
+    return distinct, np.bincount(group, weights=n, minlength=len(distinct))
+
+
 def gram_counts(words: list[str], times: np.ndarray, most: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each length the hashes and counts of the ``most`` commonest n-grams of words."""
-    points, ends = _letters(words)
-    if not len(points):
-        return [(np.zeros(0, np.uint64), np.zeros(0))] * LONGEST
-    whose = np.repeat(np.arange(len(words)), np.diff(ends, prepend=0))
+    found: list[list[tuple]] = [[(np.zeros(0, np.uint64), np.zeros(0))] for _ in range(LONGEST)]
+    for begin in range(0, len(words), AT_ONCE):
+        points, ends = _letters(words[begin : begin + AT_ONCE])
+        whose = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+        for k, h in enumerate(_gram_hashes(points), 1):
+            inside = np.arange(len(h)) + k <= ends[whose[: len(h)]]
+            found[k - 1].append(_summed(h[inside], times[begin + whose[: len(h)][inside]]))
     out = []
-    for k, h in enumerate(_gram_hashes(points), 1):
-        inside = np.arange(len(h)) + k <= ends[whose[: len(h)]]
-        keys, group = np.unique(h[inside], return_inverse=True)
-        n = np.bincount(group, weights=times[whose[: len(h)][inside]], minlength=len(keys)) if len(keys) else np.zeros(0)
+    for parts in found:
+        keys, n = _summed(*(np.concatenate([p[i] for p in parts]) for i in (0, 1)))
         top = np.lexsort((keys, -n))[:most]
         out.append((keys[top], n[top]))
     return out
@@ -107,13 +117,12 @@ def _logs(counts: list[tuple[np.ndarray, np.ndarray]]) -> Logs:
     return Logs(keys, rows.astype(np.float32))
 
 
-def fit(counts: dict[str, Counter], max_words: int, max_grams: int) -> Model:
-    """The model of word counts by language."""
+def fit(counts: dict[str, tuple[list[str], np.ndarray]], max_words: int, max_grams: int) -> Model:
+    """The model of the words and their counts of each language."""
     langs = tuple(sorted(counts))
     words, grams = [], []
     for lang in langs:
-        known = list(counts[lang])
-        times = np.array([counts[lang][w] for w in known], float)
+        known, times = counts[lang]
         grams.append(gram_counts(known, times, max_grams))
         top = sorted(range(len(known)), key=lambda i: (-times[i], known[i]))[:max_words]
         words.append((word_hashes(pa.array([known[i] for i in top], pa.string())), times[top]))
@@ -145,6 +154,7 @@ def learn(docs: DataFrame, sample_rows: int = 2000, max_words: int = 50_000, max
 
     The counts come back as one row a language and word; what reaches the driver is bounded by the sample.
     """
+    small_batches(docs.sparkSession)
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "doc_id", "text")
     rows = bounded_sample(rows, "lang", sample_rows).select("lang", "text")
 
@@ -158,9 +168,11 @@ def learn(docs: DataFrame, sample_rows: int = 2000, max_words: int = 50_000, max
         found = [(lang, w, n) for lang, c in words.items() for w, n in c.items() if w]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.int64()))], names=["lang", "word", "n"])
 
-    found: dict[str, Counter] = {}
-    for r in rows.mapInArrow(counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow().to_pylist():
-        found.setdefault(r["lang"], Counter())[r["word"]] = r["n"]
+    seen = rows.mapInArrow(counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow()
+    found = {}
+    for lang in pc.unique(seen["lang"]).to_pylist():
+        part = seen.filter(pc.equal(seen["lang"], lang))
+        found[lang] = part["word"].to_pylist(), part["n"].to_numpy().astype(float)
     return fit(found, max_words, max_grams)
 
 
@@ -248,6 +260,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), *predict(shared.value, column(batch, "text"))], names=schema.names)
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
@@ -279,5 +292,6 @@ def keep_identified(docs: DataFrame) -> DataFrame:
                 told = pc.fill_null(pc.match_substring_regex(text, r"\p{L}"), False)
             at = batch.schema.get_field_index("lang")
             yield batch.set_column(at, batch.schema.field(at), lang.cast(batch.schema.field(at).type)).filter(told)
+        give_back()
 
     return docs.mapInArrow(keep, docs.schema)
