@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and
 read again as the next stage's docs. All but the last return the columns of ``documents``.
+
+Cases: an empty table gives an empty result; null and empty texts have no letter and go in the first
+stage; equal texts, ties and long texts are as the operators have them; columns besides those of
+``documents``, whatever their names, pass through all stages but the last.
 """
 
 from __future__ import annotations
@@ -9,12 +13,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import bpe, exact_dedup, jaccard_join, language_id, mixing
-from tidemark.llm.common import documents, write_and_reread
+from tidemark.llm.common import documents, forget, write_and_reread
 from tidemark.shipping import ensure_shipped
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can't be told (no letter) go."""
+    """Documents whose language can't be told (no letter) go; those without a ``lang`` get the one predicted."""
     return language_id.keep_identified(docs)
 
 
@@ -54,6 +58,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``."""
     ensure_shipped(spark)
     docs = documents(spark, sf_dir)
+    before = None
     for name, stage in STAGES[:-1]:
-        docs = write_and_reread(stage(spark, docs, sf_dir), f"stage-{name}")
+        made = write_and_reread(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            forget(before)  # a stage reads its predecessor's table alone
+        docs = before = made
     return STAGES[-1][1](spark, docs, sf_dir)

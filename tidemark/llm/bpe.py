@@ -31,7 +31,7 @@ import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from tidemark.llm.common import byte_view, column, eight_bytes, slices
+from tidemark.llm.common import byte_view, column, eight_bytes, give_back, slices, small_batches
 
 #: Bytes that a cut looks back on, and the hashes that cut: one in 512.
 WINDOW, LIMIT = 16, np.uint64(1 << 55)
@@ -197,6 +197,7 @@ def _codec_of(ranks_file: bytes) -> Codec:
 
 def _shared(spark: SparkSession, path: str | None) -> Broadcast:
     """The vocabulary file, a fixed file of about half a megabyte, as the driver reads it."""
+    small_batches(spark)
     with open(path or vocabulary_path(), "rb") as f:
         return spark.sparkContext.broadcast(f.read())
 
@@ -241,6 +242,7 @@ def round_trip(docs: DataFrame, path: str | None = None, keep: tuple[str, ...] =
                 a.append(hashlib.sha256(",".join(map(codec.names.__getitem__, ids)).encode()).hexdigest())
                 b.append(hashlib.sha256(codec.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in keep), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=schema.names)
+        give_back()
 
     return docs.select(*keep, "text").mapInArrow(run, schema)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -9,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidemark.session import shared_folder
+
 #: Characters deleted or split on by the contracts: space and \x09-\x0D.
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -16,26 +19,30 @@ SPACES = " \t\n\x0b\x0c\r"
 SLICE_BYTES = 1 << 20
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+#: Bytes of an Arrow batch between Spark and a Python worker.
+BATCH_BYTES = 8 << 20
+
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches by bytes: ten thousand whole texts may be any size, on both sides."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only a local session may leave it unset; it then uses a folder beside its warehouse.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = f"{spark.conf.get('spark.sql.warehouse.dir', 'spark-warehouse')}/tidemark-checkpoints"
-    return base.rstrip("/")
+def give_back() -> None:
+    """Return memory that Arrow and the allocator keep after large arrays to the system, so that idle workers are small."""
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+        trim(0)
+
+
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def write_and_reread(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage by a Parquet table in the shared folder."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

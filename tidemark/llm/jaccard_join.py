@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tidemark.llm.common import column, forget, mix64, shuffle_partitions, slices, write_and_reread
+from tidemark.llm.common import column, forget, give_back, mix64, shuffle_partitions, slices, write_and_reread
 from tidemark.llm.components import connected
 from tidemark.llm.shingles import shingle_sets
 from tidemark.llm.sketch import sketched, without
@@ -55,9 +55,9 @@ from tidemark.llm.sketch import sketched, without
 #: Elements of a prefix that must be shared, as a share of a set: longer prefixes filter better and cost more.
 EXTRA = 0.15
 #: Elements gathered in a task before they are sent.
-SEND_ELEMENTS = 1 << 19
+SEND_ELEMENTS = 1 << 18
 #: Shingles whose counts one owner gets.
-OWNED = 1 << 20
+OWNED = 1 << 19
 #: Shingles that this many nodes share are moved to the end of the order, the most common HOT_KEPT of them; the others
 #: keep their place by hash, which makes some regions larger and changes no result.
 HOT, HOT_KEPT = 24, 200_000
@@ -97,6 +97,7 @@ def _nodes(k: int):
                     n.append(len(s))
                     node.append(_digest(s))
             yield pa.RecordBatch.from_arrays([column(batch, "row_id"), pa.array(n, pa.int64()), *(pa.array([x[i] for x in node], pa.int64()) for i in (0, 1))], names=["row_id", "n_shingles", "node", "other"])
+        give_back()
 
     return run
 
@@ -146,6 +147,7 @@ def _send(k: int, percent: int, owners: int):
                         sets, held = {}, 0
         if sets:
             yield flush(sets)
+        give_back()
 
     return run
 
@@ -387,11 +389,9 @@ def _joined(regions: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         regions, level = write_and_reread(regions, "regions"), level + 1
 
 
-def _links(sets: DataFrame, hot: list, percent: int) -> DataFrame:
-    """Links (u, v) that join all nodes within the radius, directly or through others."""
-    hot = sorted(hot)
-    table = np.array([k for k, _ in hot], np.uint64), np.array([n for _, n in hot], np.int64)
-    shared = sets.sparkSession.sparkContext.broadcast(table)  # HOT_KEPT rows at most
+def _links(sets: DataFrame, hot: np.ndarray, rank: np.ndarray, percent: int) -> DataFrame:
+    """Links (u, v) that join all nodes within the radius, directly or through others; hot: common shingles in order, rank: their nodes."""
+    shared = sets.sparkSession.sparkContext.broadcast((hot, rank))  # HOT_KEPT rows at most
     members = write_and_reread(sets.mapInArrow(_regions(percent, shared), "region long, node long, n int, at int, central int"), "regions")
     first, members = members, write_and_reread(_open(members.withColumn("label", F.col("node")), percent), "members")
     forget(first)
@@ -445,6 +445,7 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "d
             for at, part in slices(column(batch, "text")):
                 found = {node[at + i]: s.view(np.int64) for i, s in enumerate(shingle_sets(part, k)) if _digest(s) == (first[at + i], other[at + i])}
                 yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.list_(pa.int64()))], names=["node", "s"])
+        give_back()
 
     # most documents are not chosen: a sketch keeps their texts out of the shuffle, the join decides
     may = sketched(chosen.select("chosen"))
@@ -453,7 +454,8 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "d
     picked = picked.join(chosen, picked["row_id"] == chosen["chosen"]).dropDuplicates(["row_id", "node", "h"]).select("node", "first", "other", "text")
     sets = write_and_reread(picked.mapInArrow(sets_of, "node long, s array<long>"), "sets")
     hot = counted.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(HOT_KEPT)
-    links = _links(sets, [(r["key"], r["n"]) for r in hot.collect()], percent)  # a bounded table that only orders shingles
+    hot = hot.toArrow().sort_by("key")  # a bounded table that only orders shingles
+    links = _links(sets, hot["key"].to_numpy().view(np.uint64), hot["n"].to_numpy(), percent)
     label = connected(links)
     forget(counted, sets, links)
 

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tidemark.llm.common import byte_view, column, held_out, slices
+from tidemark.llm.common import byte_view, column, held_out, slices, small_batches
 from tidemark.llm.language_id import bounded_sample
 from tidemark.llm.shingles import words
 
@@ -94,6 +94,7 @@ def fit(x: np.ndarray, y: np.ndarray, pairs: int = 60_000, ridge: float = 1e-3,
 
 def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000) -> Ranking | None:
     """Fit on a bounded sample of labelled documents; only its features come to the driver."""
+    small_batches(docs.sparkSession)
     marked = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "quality")
     sample = bounded_sample(marked, "quality", sample_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # a few thousand ids and labels

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tidemark.llm.common import byte_view, column, slices
+from tidemark.llm.common import byte_view, column, slices, small_batches
 
 # ---- fixed values: the rules, as the contract and public key formats state them ----
 #: (name, pattern, least length in all, least length of the value at the match's end, value's class)
@@ -308,6 +308,7 @@ def _digest(spans: dict[str, list[tuple[int, int]]], names: list[str]) -> str:
 
 def find_secrets(docs: DataFrame, rules: tuple = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: id and ``found``, an array of (kind, start, stop) in order of start, then of rule."""
+    small_batches(docs.sparkSession)
     names = [r[0] for r in rules]
     kind = docs.schema[id_col].dataType
     span = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())])
