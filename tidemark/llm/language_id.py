@@ -218,10 +218,15 @@ def _parts(text: str) -> Iterator[str]:
 
 
 def _sums(model: Model, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(sums of word scores, number of words) of each text; a text without a letter has no words."""
+    """Sums of word scores and number of words of each text; a long text is read in parts."""
     if len(text) == 1 and text[0].as_buffer() is not None and text[0].as_buffer().size > 2 * SLICE_BYTES:
-        parts = [_sums(model, pa.array([p], pa.large_string())) for p in _parts(text[0].as_py())]
+        parts = [_slice_sums(model, pa.array([p], pa.large_string())) for p in _parts(text[0].as_py())]
         return sum(s for s, _ in parts), sum(n for _, n in parts)
+    return _slice_sums(model, text)
+
+
+def _slice_sums(model: Model, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(sums of word scores, number of words) of each text; a text without a letter has no words."""
     lists = _split(text)
     words = lists.flatten()
     whose = np.repeat(np.arange(len(text)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
