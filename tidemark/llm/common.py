@@ -102,5 +102,18 @@ def eight_bytes(raw: np.ndarray) -> np.ndarray:
     return np.ndarray(max(0, len(raw) - 7), "<u8", raw.tobytes(), strides=(1,))
 
 
+def zip_planes(numbers: np.ndarray) -> bytes:
+    """Byte planes of unsigned integers, compressed."""
+    size = numbers.dtype.itemsize
+    planes = numbers.view(np.uint8).reshape(-1, size).T.copy()
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def unzip_planes(data: bytes, n: int, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(data, decompressed_size=n * size, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(size, n).T).view(kind).ravel()
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))

@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tidemark.llm.common import column, forget, give_back, mix64, shuffle_partitions, slices, write_and_reread
+from tidemark.llm.common import column, forget, give_back, mix64, shuffle_partitions, slices, unzip_planes, write_and_reread, zip_planes
 from tidemark.llm.components import connected
 from tidemark.llm.shingles import shingle_sets
 from tidemark.llm.sketch import sketched, without
@@ -75,19 +75,6 @@ def _needed(n: np.ndarray | int, percent: int):
     return -(-n * percent // 100)
 
 
-def _zip(values: np.ndarray) -> bytes:
-    """Byte planes of unsigned integers, compressed."""
-    size = values.dtype.itemsize
-    planes = values.view(np.uint8).reshape(-1, size).T.copy()
-    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
-
-
-def _unzip(data: bytes, n: int, kind) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    planes = np.frombuffer(pa.decompress(data, decompressed_size=n * size, codec="zstd", asbytes=True), np.uint8)
-    return np.ascontiguousarray(planes.reshape(size, n).T).view(kind).ravel()
-
-
 def _nodes(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,7 +113,7 @@ def _send(k: int, percent: int, owners: int):
             part, who = slice(cut[o], cut[o + 1]), np.flatnonzero(mine == o)
             if cut[o] < cut[o + 1] or len(who):
                 gaps = np.diff(h[part], prepend=np.uint64(0))
-                rows.append((o, cut[o + 1] - cut[o], _zip(gaps), sent[part].tobytes(), _zip(counts[part].astype(np.uint32)), node[who].tobytes(), size[who].tobytes(), local[who].tobytes()))
+                rows.append((o, cut[o + 1] - cut[o], zip_planes(gaps), sent[part].tobytes(), zip_planes(counts[part].astype(np.uint32)), node[who].tobytes(), size[who].tobytes(), local[who].tobytes()))
         kinds = [pa.int32(), pa.int32()] + [pa.binary()] * 6
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=names)
 
@@ -159,9 +146,9 @@ def _count(lists: pd.DataFrame) -> pd.DataFrame:
     at = 0
     for n, gaps, nodes, counts in zip(lists["n"], lists["gaps"], lists["nodes"], lists["counts"]):
         if n:
-            h[at : at + n] = np.cumsum(_unzip(gaps, n, np.uint64), dtype=np.uint64)
+            h[at : at + n] = np.cumsum(unzip_planes(gaps, n, np.uint64), dtype=np.uint64)
             node[at : at + n] = np.frombuffer(nodes, np.int64)
-            many[at : at + n] = _unzip(counts, n, np.uint32)
+            many[at : at + n] = unzip_planes(counts, n, np.uint32)
             at += n
     order = np.lexsort((node, h)) if total else np.zeros(0, np.int64)
     h, node, many = h[order], node[order], many[order]

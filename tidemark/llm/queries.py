@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import ann, bpe, exact_dedup, jaccard_join, language_id, license_scan, mixing, quality, secrets, token_rollups
+from tidemark.llm import ann, bpe, divergence, exact_dedup, jaccard_join, language_id, license_scan, manifest, mixing, quality, secrets, token_rollups
 from tidemark.llm.common import documents, shared_folder
 
 
@@ -52,6 +52,14 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_report(documents(spark, sf_dir))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(documents(spark, sf_dir))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(documents(spark, sf_dir), F.crc32(F.col("doc_id").cast("string")) % 3 == 0)
+
+
 OP6_SQL = r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS points,
@@ -148,6 +156,60 @@ e AS (SELECT source_key, b, arg_max(k, step)::BIGINT AS slot FROM r GROUP BY 1,
 SELECT doc_id, source, slot // {mixing.SLOTS} AS mix_unit, slot % {mixing.SLOTS} AS mix_slot, CAST(place % {mixing.BLOCK} AS INT) AS mix_at FROM q JOIN e ON e.source_key = q.source_key AND e.b = place // {mixing.BLOCK}
 """
 
+OP12_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+e AS (SELECT i, lang, source, unnest(t) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS n FROM e GROUP BY 1, 2 HAVING count(DISTINCT i) >= {divergence.LEAST_DOCS}),
+v AS (SELECT lang, count(*) AS v, sum(n) AS held FROM k GROUP BY 1),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM e GROUP BY 1, 2, 3),
+f AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, k.n AS whole FROM g JOIN k ON k.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+p AS (
+  SELECT f.lang, f.source, term, n, (1 + (1000000000::HUGEINT * (n + 2)) // (sum(n) OVER (PARTITION BY f.lang, f.source) + 2 * v.v))::BIGINT AS p, (1 + (1000000000::HUGEINT * (whole + 2)) // (v.held + 2 * v.v))::BIGINT AS q
+  FROM f JOIN v ON v.lang = f.lang),
+t AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q)) // (p + q) AS value FROM p WHERE n > 0 AND p > q),
+b AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+a AS (
+  SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(b.value, 0)::BIGINT AS value FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN b ON b.lang = x.lang AND b.source = x.source AND b.item = y.source
+  UNION ALL SELECT lang, source, part, item, value::BIGINT FROM t),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM a)
+SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= {divergence.TOP}
+"""
+
+
+
+def _tree_sql(name: str, leaves: str) -> str:
+    """Levels (tree, pos, h, n, k) over leaves(tree, pos, h, n), and the siblings before and after each node."""
+    run = f"PARTITION BY tree, k, pos // {manifest.FAN} ORDER BY pos ROWS BETWEEN"
+    return f"""
+{name} AS (SELECT tree, pos, h, n, 0 AS k FROM {leaves} UNION ALL
+  SELECT tree, pos // {manifest.FAN}, sha256(string_agg(h, '' ORDER BY pos)), (n + {manifest.FAN - 1}) // {manifest.FAN}, k + 1 FROM {name} WHERE n > 1 GROUP BY tree, pos // {manifest.FAN}, n, k),
+{name}s AS (SELECT tree, pos, k, coalesce(string_agg(h, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS b, coalesce(string_agg(h, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS a FROM {name} WHERE n > 1)"""
+
+
+def _manifest_sql() -> str:
+    field = lambda c: f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')"
+    whole = " || ".join(map(field, ("doc_id", "source", "lang", "n_chars", "text")))
+    changed = " || ".join(map(field, ("doc_id", "source", "lang", "n_chars", f"translate(text, '{_UPPER}', '{_LOWER}')")))
+    # crc32 by the table of its polynomial
+    crc = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda x, y: xor(x >> 8, crc.t[(xor(x, y) & 255) + 1])), 4294967295::BIGINT)"
+    fold = lambda name, first, tree: f"{name} AS (SELECT i, tree, pos, 0 AS k, h, proof FROM {first} UNION ALL SELECT f.i, f.tree, f.pos // {manifest.FAN}, f.k + 1, sha256(s.b || f.h || s.a), f.proof || s.b || s.a FROM {name} f JOIN {tree}s s USING (tree, pos, k))"
+    return f"""
+WITH RECURSIVE bits AS (SELECT i, i AS c, 0 AS k FROM range(256) t(i) UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+d AS (SELECT row_number() OVER () AS i, doc_id, coalesce('+' || lang, '') AS tree, sha256({whole}) AS h, CASE WHEN {crc} % 3 = 0 THEN sha256({changed}) ELSE sha256({whole}) END AS shown FROM documents, crc),
+o AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, h) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM d),
+{_tree_sql('t', 'o')},
+r AS (SELECT '' AS tree, tree AS lang_tree, h, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n FROM t WHERE n = 1),
+{_tree_sql('u', 'r')},
+w AS (SELECT i, tree, pos, shown AS h, '' AS proof FROM o), {fold('f', 'w', 't')},
+x AS (SELECT i, '' AS tree, r.pos, arg_max(f.h, f.k) AS h, arg_max(f.proof, f.k) AS proof FROM f JOIN r ON r.lang_tree = f.tree GROUP BY i, r.pos), {fold('g', 'x', 'u')},
+e AS (SELECT i, arg_max(h, k) AS folded_root, sha256(arg_max(proof, k)) AS proof_sha256 FROM g GROUP BY i),
+root AS (SELECT h AS root FROM u WHERE n = 1)
+SELECT o.doc_id, o.h AS leaf, r.h AS subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM o JOIN e USING (i) JOIN r ON r.lang_tree = o.tree CROSS JOIN root
+"""
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -159,6 +221,8 @@ QUERIES = {
     "op8_nearest_vectors": op8_nearest_vectors,
     "op9_mixing": op9_mixing,
     "op10_license_scan": op10_license_scan,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 ORACLES = {
     "op2_ngram_jaccard": OP2_SQL,
@@ -167,4 +231,6 @@ ORACLES = {
     "op7_token_rollup": OP7_SQL,
     "op9_mixing": OP9_SQL,
     "op10_license_scan": _licenses_sql(),
+    "op12_source_divergence": OP12_SQL,
+    "op13_merkle_manifest": _manifest_sql(),
 }
