@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.test_llm import brute_groups, lower
+from tidemark.llm.common import row_keys
 from tidemark.llm import bpe, exact_dedup, jaccard_join, language_id, license_scan, mixing, quality, queries, secrets, shingles, sketch, token_rollups
 
 
@@ -34,7 +35,7 @@ def test_exact_groups_take_ids_of_any_type(spark, kind, ids):
     ids = [Decimal(i) if kind.startswith("decimal") and i is not None else i for i in ids]
     rows = list(zip(ids, ["x y", "xy", "x  y", "z", "z"]))
     got = {r["text"]: (r["keep_id"], r["group_size"]) for r in exact_dedup.exact_groups(spark.createDataFrame(rows, f"doc_id {kind}, text string")).join(spark.createDataFrame(rows, f"d {kind}, text string"), F.col("doc_id").eqNullSafe(F.col("d"))).collect()}
-    assert got["x y"] == got["xy"] == got["x  y"] == (None, 3)  # the longest original stays, whatever its id
+    assert got["x y"] == got["xy"] == got["x  y"] == (None, 3)  # the longest original stays, even without an id
     least = min((i for i in ids[3:]), key=lambda i: i)
     assert got["z"] == (least, 2)
 
@@ -77,13 +78,15 @@ def test_digests_have_two_halves():
     assert jaccard_join._digest(a) == jaccard_join._digest(a.copy()) and set(jaccard_join._digest(a)).isdisjoint(jaccard_join._digest(b))
 
 
-def test_sketch_clears_and_gives_up(spark, monkeypatch):
-    docs = spark.range(1000).withColumnRenamed("id", "doc_id")
-    gone = spark.range(0, 1000, 7).withColumnRenamed("id", "gone_id")
-    want = {i for i in range(1000) if i % 7}
-    assert {r[0] for r in sketch.without(docs, gone).collect()} == want
-    monkeypatch.setattr(sketch, "MOST_BITS", 1)
-    assert {r[0] for r in sketch.without(docs, gone).collect()} == want
+@pytest.mark.parametrize("most", [sketch.MOST_BITS, 1 << 6])
+def test_sketch_clears_and_leaves_the_rest_to_the_join(spark, monkeypatch, most):
+    monkeypatch.setattr(sketch, "LEAST_BITS", 1 << 6)
+    monkeypatch.setattr(sketch, "MOST_BITS", most)
+    docs = spark.range(1000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.lit(1).alias("k1"), F.lit(2).alias("row"))
+    docs = docs.union(docs.where("doc_id % 14 = 0"))
+    marks = docs.select(*(k.alias(name) for name, k in row_keys(F.col("doc_id"), F.col("text")).items()), F.expr("doc_id % 7 = 0").alias("marked"), F.expr("doc_id % 14 = 0").alias("stay")).where("marked").drop("marked").distinct()
+    kept = sketch.without(docs, marks)
+    assert kept.columns == docs.columns and sorted(r[0] for r in kept.collect()) == [i for i in range(1000) if i % 7 or i % 14 == 0]
 
 
 # ---- BPE ----

@@ -62,6 +62,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def row_keys(row_id, text) -> dict[str, "F.Column"]:
+    """k1 and k2: 128 bits by which rows are told apart; rows of equal id (also null) and equal text have equal keys."""
+    return {"k1": F.xxhash64(row_id, text), "k2": F.xxhash64(F.lit(1), text, row_id)}
+
+
 def held_out(doc_id) -> "F.Column":
     """True for the rows that learning never sees: crc32 of the id as text, mod 4, is 2."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))

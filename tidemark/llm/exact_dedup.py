@@ -10,9 +10,11 @@
    grouped by their bytes (copies combine map-side), which decides.
 
 Cases: null text counts as empty; empty texts equal each other; of equal texts the one with
-most code points in the original stays, ties to the smaller id; a row repeated with the same
-id counts again; ids may be of any type that sorts, and a null id counts as the smallest.
-An empty table gives an empty result; columns besides id and text are ignored.
+most code points in the original stays, ties to the smaller id, a null id after all others;
+of rows that tie in both, one stays. A row repeated with the same id counts again. Rows are told
+apart by keys of id and text, never by the id alone: ids may repeat or be null and be of any type
+that sorts. Texts of any length are read whole. An empty table gives an empty result; columns
+besides id and text are ignored, and pass through ``drop_copies`` whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tidemark.llm.common import SPACES, column, forget, give_back, shuffle_partitions, write_and_reread
+from tidemark.llm.common import SPACES, column, forget, give_back, row_keys, shuffle_partitions, write_and_reread
 from tidemark.llm.sketch import sketched, without
 
 _DROP = str.maketrans("", "", SPACES)
@@ -72,6 +74,7 @@ OWNED = 1 << 20
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part = TaskContext.get().partitionId()
+    seen = part << 40
     for batch in batches:
         digests, hashes, points = [], [], []
         for text in column(batch, "text"):
@@ -81,9 +84,11 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             hashes.append(int.from_bytes(digest[:8], "little", signed=True))
             points.append(len(text))
         yield pa.RecordBatch.from_arrays(
-            [column(batch, "row_id"), pa.array([part] * len(digests), pa.int32()), pa.array(hashes, pa.int64()), pa.array(points, pa.int32()), pa.array(digests, pa.string())],
-            names=["row_id", "sender", "h", "points", "text_sha256"],
+            [column(batch, "row_id"), column(batch, "k1"), column(batch, "k2"), pa.array(range(seen, seen + len(digests)), pa.int64()), pa.array([part] * len(digests), pa.int32())]
+            + [pa.array(hashes, pa.int64()), pa.array(points, pa.int32()), pa.array(digests, pa.string())],
+            names=["row_id", "k1", "k2", "at", "sender", "h", "points", "text_sha256"],
         )
+        seen += len(digests)
     give_back()
 
 
@@ -135,54 +140,59 @@ def _suspects(owners: int):
         for owner, bits in zip(bitmaps["owner"], bitmaps["bits"]):
             a, b = cut[owner], cut[owner + 1]
             flag[a:b] = np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a)
-        return rows.loc[flag[at], ["row_id", "text_sha256"]]
+        return rows.loc[flag[at], ["row_id", "k1", "k2", "at", "points", "text_sha256"]]
 
     return suspects
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: id, keep_id, group_size, kept, text_sha256 (of the text without white space)."""
-    rows = docs.select(F.col(id_col).alias("row_id"), F.col(text_col).alias("text"))
-    kind = rows.schema["row_id"].dataType
-    schema = T.StructType([T.StructField("row_id", kind), T.StructField("sender", T.IntegerType()), T.StructField("h", T.LongType()), T.StructField("points", T.IntegerType()), T.StructField("text_sha256", T.StringType())])
+def _exchanged(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """prints (a row each document), suspects (rows whose fingerprint occurs again) and groups (a row each text that repeats)."""
+    rows = docs.select(F.col(id_col).alias("row_id"), F.col(text_col).alias("text")).withColumns(row_keys(F.col("row_id"), F.col("text")))
+    row_id = T.StructField("row_id", rows.schema["row_id"].dataType)
+    long, digest = T.LongType(), T.StructField("text_sha256", T.StringType())
+    known = [row_id, *(T.StructField(c, long) for c in ("k1", "k2", "at"))]
+    schema = T.StructType([*known, T.StructField("sender", T.IntegerType()), T.StructField("h", long), T.StructField("points", T.IntegerType()), digest])
     prints = write_and_reread(rows.mapInArrow(_fingerprints, schema), "fingerprints")
     owners = max(1, shuffle_partitions(docs.sparkSession) * 2, prints.count() // OWNED)
 
     sent = prints.select("sender", "h").groupBy("sender").applyInPandas(_send(owners), "owner int, sender int, n int, r int, gaps binary, many binary")
     bitmaps = sent.groupBy("owner").applyInPandas(_mark(owners), "sender int, owner int, bits binary")
-    suspects = (
-        prints.select("sender", "row_id", "h", "text_sha256")
-        .groupBy("sender")
-        .cogroup(bitmaps.groupBy("sender"))
-        .applyInPandas(_suspects(owners), T.StructType([schema["row_id"], schema["text_sha256"]]))
-        .distinct()
-        .select(F.col("row_id").alias("suspect"), "text_sha256")
-    )
+    suspects = prints.groupBy("sender").cogroup(bitmaps.groupBy("sender")).applyInPandas(_suspects(owners), T.StructType([*known, T.StructField("points", T.IntegerType()), digest]))
+    suspects = write_and_reread(suspects, "suspects")
+    # who stays: rows that tie combine first, so that a text that many rows share is one row a class
+    classes = suspects.groupBy("text_sha256", "points", "row_id").agg(F.min(F.struct("at", "k1", "k2")).alias("first"), F.count(F.lit(1)).alias("n"))
+    best = F.min(F.struct((-F.col("points")).alias("fewer"), F.col("row_id").isNull().alias("unnamed"), "row_id", "first")).alias("best")
+    best = classes.groupBy("text_sha256").agg(best, F.sum("n").alias("size"))
 
     # byte verification: the suspects' texts, grouped by their bytes; copies combine before the shuffle. A sketch of
-    # the suspects' ids keeps the other texts out of it, the join decides
-    suspects = write_and_reread(suspects, "suspects")
-    may = sketched(suspects.select("suspect"))
-    rows = rows if may is None else rows.where(may(F.xxhash64("row_id")))
+    # the suspects' keys keeps the other texts out of it, the join decides
+    doubted = suspects.select("k1", "k2", "text_sha256").distinct()
+    may = sketched(doubted.select("k1"))
     bare = F.translate(F.coalesce("text", F.lit("")), SPACES, "")
-    texts = rows.join(suspects, rows["row_id"].eqNullSafe(suspects["suspect"])).select(
-        "text_sha256", bare.alias("bytes"), F.struct((-F.length(F.coalesce("text", F.lit("")))).alias("fewer"), F.col("row_id").alias("least")).alias("place")
-    )
-    same = texts.groupBy("text_sha256", "bytes").agg(F.min("place").alias("best"), F.count(F.lit(1)).alias("n"))
-    same = same.where((F.col("n") > 1) & (F.sha2("bytes", 256) == F.col("text_sha256")))
-    groups = same.select(F.col("text_sha256").alias("same"), F.col("best.least").alias("keep"), F.col("n").alias("size"))
-    groups = write_and_reread(groups, "groups")
+    texts = rows.where(may(F.col("k1"))).join(doubted, ["k1", "k2"]).select("text_sha256", bare.alias("bytes"))
+    same = texts.groupBy("text_sha256", "bytes").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) & (F.sha2("bytes", 256) == F.col("text_sha256")))
+    groups = same.select("text_sha256").join(best, "text_sha256").select(F.col("text_sha256").alias("same"), F.col("best.row_id").alias("keep"), F.col("best.first.at").alias("keep_at"), "size")
+    return prints, suspects, write_and_reread(groups, "groups")
+
+
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row a document: id, keep_id, group_size, kept, text_sha256 (of the text without white space)."""
+    prints, suspects, groups = _exchanged(docs, id_col, text_col)
     forget(suspects)
     return prints.join(groups, prints["text_sha256"] == groups["same"], "left").select(
         F.col("row_id").alias(id_col),
-        F.when(F.col("same").isNotNull(), F.col("keep")).otherwise(F.col("row_id")).cast(kind).alias("keep_id"),
+        F.when(F.col("same").isNotNull(), F.col("keep")).otherwise(F.col("row_id")).alias("keep_id"),
         F.coalesce("size", F.lit(1)).cast("long").alias("group_size"),
-        F.coalesce(F.col("keep").eqNullSafe(F.col("row_id")) | F.col("same").isNull(), F.lit(True)).alias("kept"),
+        F.coalesce(F.col("at") == F.col("keep_at"), F.lit(True)).alias("kept"),
         "text_sha256",
     )
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns (of rows that share an id, all stay or go)."""
-    gone = exact_groups(docs).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
-    return without(docs, write_and_reread(gone, "gone"))
+    """The rows that stay, one of each text, with all their columns."""
+    prints, suspects, groups = _exchanged(docs, "doc_id", "text")
+    met = suspects.join(groups, suspects["text_sha256"] == groups["same"])
+    marks = met.groupBy("k1", "k2").agg(F.bool_or(F.col("at") == F.col("keep_at")).alias("stay"), F.count(F.lit(1)).alias("n"))
+    marks = write_and_reread(marks.where("not stay or n > 1").select("k1", "k2", "stay"), "marks")
+    forget(prints, suspects, groups)
+    return without(docs, marks)

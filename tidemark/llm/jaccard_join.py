@@ -33,7 +33,11 @@ metric between sets. Texts with equal sets form one node.
 A set is known by 128 bits of the digest of its shingles, which are 64-bit hashes.
 
 Cases: null, empty and blank texts have no shingle and no link; fewer than k words make one
-shingle of all; equal sets always link; a repeated id keeps one row each time it occurs.
+shingle of all; equal sets always link. Rows are told apart by keys of id and text, never by the
+id alone: a repeated id has a row each time it occurs, and a null id counts as the largest (a
+group of null ids alone has a null component_id). Texts of any length are read whole. An empty
+table gives an empty result; other columns are ignored, and pass through ``keep_one_of_each``
+whatever their names.
 """
 
 from __future__ import annotations
@@ -47,7 +51,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tidemark.llm.common import column, forget, give_back, mix64, shuffle_partitions, slices, unzip_planes, write_and_reread, zip_planes
+from tidemark.llm.common import column, forget, give_back, mix64, row_keys, shuffle_partitions, slices, unzip_planes, write_and_reread, zip_planes
 from tidemark.llm.components import connected
 from tidemark.llm.shingles import shingle_sets
 from tidemark.llm.sketch import sketched, without
@@ -61,6 +65,8 @@ OWNED = 1 << 19
 #: Shingles that this many nodes share are moved to the end of the order, the most common HOT_KEPT of them; the others
 #: keep their place by hash, which makes some regions larger and changes no result.
 HOT, HOT_KEPT = 24, 200_000
+#: Columns that tell rows apart.
+KNOWN = ("row_id", "k1", "k2")
 _LOW = np.uint64(16)  # the filter works on the upper 48 bits of a shingle's hash
 
 
@@ -83,7 +89,7 @@ def _nodes(k: int):
                 for s in shingle_sets(part, k):
                     n.append(len(s))
                     node.append(_digest(s))
-            yield pa.RecordBatch.from_arrays([column(batch, "row_id"), pa.array(n, pa.int64()), *(pa.array([x[i] for x in node], pa.int64()) for i in (0, 1))], names=["row_id", "n_shingles", "node", "other"])
+            yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in KNOWN), pa.array(n, pa.int64()), *(pa.array([x[i] for x in node], pa.int64()) for i in (0, 1))], names=[*KNOWN, "n_shingles", "node", "other"])
         give_back()
 
     return run
@@ -404,29 +410,30 @@ def _links(sets: DataFrame, hot: np.ndarray, rank: np.ndarray, percent: int) ->
     return found
 
 
-def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: id, n_shingles and component_id (least id that links reach)."""
+def keyed_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col).alias("row_id"), F.col(text_col).alias("text"))
-    kind = rows.schema["row_id"].dataType
-    nodes = rows.mapInArrow(_nodes(k), T.StructType([T.StructField("row_id", kind), *(T.StructField(c, T.LongType()) for c in ("n_shingles", "node", "other"))]))
-    nodes = write_and_reread(nodes, "nodes")
-    elements = nodes.agg(F.sum("n_shingles")).collect()[0][0] or 0
-    owners = max(shuffle_partitions(docs.sparkSession) * 2, elements // OWNED)
+    return rows.withColumns(row_keys(F.col("row_id"), F.col("text")))
 
-    sent = rows.mapInArrow(_send(k, percent, owners), "owner int, n int, gaps binary, nodes binary, counts binary, own_node binary, own_size binary, own_count binary")
-    counted = write_and_reread(sent.repartition(owners, "owner").groupBy("owner").applyInPandas(_count, "kind int, key long, size long, n long"), "counted")
-    need = F.greatest(F.lit(1), F.floor(F.col("size") * percent / 100 * EXTRA))
-    alive = counted.where("kind = 0").groupBy("key").agg(F.max("size").alias("size"), F.sum("n").alias("n")).where(F.col("n") >= need)
-    # one document of each node that is left gives its set
-    chosen = nodes.where("n_shingles > 0").groupBy("node", "other").agg(F.min("row_id").alias("chosen")).join(alive.select(F.col("key").alias("node")), "node")
-    chosen = write_and_reread(chosen, "chosen")
-    # different sets of one node, if there are any, get nodes of their own
+
+def known_schema(rows: DataFrame, *more: T.StructField) -> T.StructType:
+    """KNOWN, n_shingles, node and other, then ``more``."""
+    return T.StructType([rows.schema["row_id"], *(T.StructField(c, T.LongType()) for c in (*KNOWN[1:], "n_shingles", "node", "other")), *more])
+
+
+def told_apart(nodes: DataFrame, chosen: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """nodes and chosen, where different sets of one node, if there are any, have nodes of their own; chosen with ``first``, the old node."""
+    chosen = chosen.withColumn("first", F.col("node"))
     twins = write_and_reread(chosen.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node", F.lit(True).alias("twin")), "twins")
-    if not twins.isEmpty():
-        apart = F.when(F.col("twin"), F.xxhash64("node", "other")).otherwise(F.col("node"))
-        nodes, chosen = (x.join(twins, "node", "left").withColumn("first", F.col("node")).withColumn("node", apart).drop("twin") for x in (nodes, chosen))
+    if twins.isEmpty():
+        return nodes, chosen
+    apart = F.when(F.col("twin"), F.xxhash64("node", "other")).otherwise(F.col("node"))
+    return tuple(x.join(twins, "node", "left").withColumn("node", apart).drop("twin") for x in (nodes, chosen))
+
 
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def sets_of(rows: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
+    """node and s, the sorted shingles, of each of chosen(node, first, other, key: k1 and k2 of a row that has the set)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node, first, other = (column(batch, c).to_pylist() for c in ("node", "first", "other"))
             for at, part in slices(column(batch, "text")):
@@ -434,26 +441,64 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "d
                 yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.list_(pa.int64()))], names=["node", "s"])
         give_back()
 
-    # most documents are not chosen: a sketch keeps their texts out of the shuffle, the join decides
-    may = sketched(chosen.select("chosen"))
-    picked = (rows if may is None else rows.where(may(F.xxhash64("row_id")))).withColumn("h", F.xxhash64("text"))
-    chosen = chosen if "first" in chosen.columns else chosen.withColumn("first", F.col("node"))
-    picked = picked.join(chosen, picked["row_id"] == chosen["chosen"]).dropDuplicates(["row_id", "node", "h"]).select("node", "first", "other", "text")
-    sets = write_and_reread(picked.mapInArrow(sets_of, "node long, s array<long>"), "sets")
+    # most documents are not chosen: a sketch keeps their texts out of the shuffle, the join decides; equal rows combine first
+    keys = chosen.select("node", "first", "other", "key.*")
+    may = sketched(keys.select("k1"))
+    picked = rows.where(may(F.col("k1"))).groupBy("k1", "k2").agg(F.first("text").alias("text")).join(keys, ["k1", "k2"])
+    return write_and_reread(picked.select("node", "first", "other", "text").mapInArrow(run, "node long, s array<long>"), "sets")
+
+
+def labelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """nodes with the label of their component; rows without shingles have none."""
+    label = connected(links)
+    return nodes.join(label, "node", "left").withColumn("label", F.when(F.col("n_shingles") > 0, F.coalesce("label", "node")))
+
+
+def with_components(rows: DataFrame, id_col: str) -> DataFrame:
+    """id, n_shingles and component_id of labelled rows."""
+    least = write_and_reread(rows.where("label is not null").groupBy("label").agg(F.min("row_id").alias("component_id")), "least")
+    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("row_id"))
+    return rows.join(least, "label", "left").select(F.col("row_id").alias(id_col), "n_shingles", component.alias("component_id"))
+
+
+def marked(rows: DataFrame) -> DataFrame:
+    """Marks for ``sketch.without``: of labelled rows, the least id (null last) of each label stays, ties by the keys."""
+    best = F.min(F.struct(F.col("row_id").isNull().alias("unnamed"), "row_id", "k1", "k2")).alias("best")
+    kept = write_and_reread(rows.where("label is not null").groupBy("label").agg(best).select("label", F.struct("best.k1", "best.k2").alias("kept")), "kept")
+    met = rows.join(kept, "label").groupBy("k1", "k2").agg(F.bool_or(F.struct("k1", "k2") == F.col("kept")).alias("stay"), F.count(F.lit(1)).alias("n"))
+    marks = write_and_reread(met.where("not stay or n > 1").select("k1", "k2", "stay"), "marks")
+    forget(kept)
+    return marks
+
+
+def _grouped(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """The rows of docs by their keys, with n_shingles and the label of their group."""
+    rows = keyed_rows(docs, id_col, text_col)
+    nodes = write_and_reread(rows.mapInArrow(_nodes(k), known_schema(rows)), "nodes")
+    elements = nodes.agg(F.sum("n_shingles")).collect()[0][0] or 0
+    owners = max(shuffle_partitions(docs.sparkSession) * 2, elements // OWNED)
+
+    sent = rows.select("text").mapInArrow(_send(k, percent, owners), "owner int, n int, gaps binary, nodes binary, counts binary, own_node binary, own_size binary, own_count binary")
+    counted = write_and_reread(sent.repartition(owners, "owner").groupBy("owner").applyInPandas(_count, "kind int, key long, size long, n long"), "counted")
+    need = F.greatest(F.lit(1), F.floor(F.col("size") * percent / 100 * EXTRA))
+    alive = counted.where("kind = 0").groupBy("key").agg(F.max("size").alias("size"), F.sum("n").alias("n")).where(F.col("n") >= need)
+    # one row of each node that is left gives its set
+    chosen = nodes.where("n_shingles > 0").groupBy("node", "other").agg(F.min(F.struct("k1", "k2")).alias("key")).join(alive.select(F.col("key").alias("node")), "node")
+    nodes, chosen = told_apart(nodes, write_and_reread(chosen, "chosen"))
+    sets = sets_of(rows, chosen, k)
     hot = counted.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(HOT_KEPT)
     hot = hot.toArrow().sort_by("key")  # a bounded table that only orders shingles
     links = _links(sets, hot["key"].to_numpy().view(np.uint64), hot["n"].to_numpy(), percent)
-    label = connected(links)
+    made = labelled(nodes, links)
     forget(counted, sets, links)
+    return made
 
-    ids = nodes.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = write_and_reread(ids.where("n_shingles > 0").groupBy("label").agg(F.min("row_id").alias("component_id")), "least")
-    return ids.join(least, "label", "left").select(
-        F.col("row_id").alias(id_col), "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("row_id")).alias("component_id")
-    )
+
+def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row a document: id, n_shingles and component_id (least id that links reach)."""
+    return with_components(_grouped(docs, k, percent, id_col, text_col), id_col)
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents that are the least id of their group, with all their columns."""
-    gone = near_groups(docs).where("component_id != doc_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    return without(docs, write_and_reread(gone, "gone"))
+    """One row of each group, that of the least id, and all rows without words, with all their columns."""
+    return without(docs, marked(_grouped(docs, 5, 80, "doc_id", "text")))

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import ann, bpe, divergence, exact_dedup, jaccard_join, language_id, license_scan, manifest, mixing, quality, secrets, token_rollups
+from tidemark.llm import ann, bpe, divergence, exact_dedup, jaccard_join, language_id, license_scan, manifest, minhash, mixing, quality, secrets, token_rollups
 from tidemark.llm.common import documents, shared_folder
 
 
@@ -52,6 +52,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_report(documents(spark, sf_dir))
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_copies(documents(spark, sf_dir))
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(documents(spark, sf_dir))
 
@@ -67,7 +71,7 @@ WITH d AS (
   FROM documents)
 SELECT doc_id, first_value(doc_id) OVER w AS keep_id,
        count(*) OVER (PARTITION BY text_sha256) AS group_size,
-       doc_id = first_value(doc_id) OVER w AS kept, text_sha256
+       row_number() OVER w = 1 AS kept, text_sha256
 FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY points DESC, doc_id)
 """
 
@@ -93,13 +97,15 @@ GROUP BY source, lang, version
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-OP2_SQL = rf"""
+
+def _near_sql(k: int, percent: int) -> str:
+    return rf"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (
-  SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w),
+  SELECT doc_id, CASE WHEN len(w) >= {k} THEN list_distinct(list_transform(range(1, len(w) - {k - 2}), lambda i: array_to_string(w[i:i + {k - 1}], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w),
 e AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
 c AS (SELECT a.doc_id AS x, b.doc_id AS y, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS c FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
-l AS (SELECT x, y FROM c WHERE 100 * c >= 80 * (n + m - c)),
+l AS (SELECT x, y FROM c WHERE 100 * c >= {percent} * (n + m - c)),
 r AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x)
 SELECT s.doc_id, CAST(len(any_value(s.s)) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(min(r.y), s.doc_id)) AS component_id FROM s LEFT JOIN r ON r.x = s.doc_id GROUP BY s.doc_id
 """
@@ -221,16 +227,18 @@ QUERIES = {
     "op8_nearest_vectors": op8_nearest_vectors,
     "op9_mixing": op9_mixing,
     "op10_license_scan": op10_license_scan,
+    "op11_minhash": op11_minhash,
     "op12_source_divergence": op12_source_divergence,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 ORACLES = {
-    "op2_ngram_jaccard": OP2_SQL,
+    "op2_ngram_jaccard": _near_sql(5, 80),
     "op5_secret_scan": _secrets_sql(),
     "op6_exact_dedup": OP6_SQL,
     "op7_token_rollup": OP7_SQL,
     "op9_mixing": OP9_SQL,
     "op10_license_scan": _licenses_sql(),
+    "op11_minhash": f"SELECT *, doc_id = component_id AS kept FROM ({_near_sql(3, 85)})",
     "op12_source_divergence": OP12_SQL,
     "op13_merkle_manifest": _manifest_sql(),
 }
