@@ -33,7 +33,7 @@ from tidemark.llm.common import column, forget, give_back, shuffle_partitions, s
 #: Documents of its lang that a kept term is in, at least; the scale of shares; terms ranked a group.
 LEAST_DOCS, SCALE, TOP = 10, 1_000_000_000, 10
 #: Terms of a shard, groups of a seat, and terms that a task gathers before it sends their counts.
-SHARD, SEATED, GATHERED = 1 << 17, 8, 1 << 18
+SHARD, SEATED, GATHERED = 1 << 13, 8, 1 << 18
 
 #: Bytes of terms: letters, lower-cased, and all that are not ASCII; any other byte parts terms.
 _TERM = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
