@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.columns import correlation, over
+from tidemark.operators import chunked, stationarity
 
 # ---- fixed values: prefix aliases of exchange symbols, applied in this order ----
 ALIASES = (("XBT", "BTC"), ("XXBT", "BTC"), ("XETH", "ETH"))
@@ -72,3 +73,38 @@ def level2(bars: DataFrame) -> DataFrame:
             (F.avg("ret") / F.stddev_samp("ret") * F.sqrt(F.lit(525600.0))).alias("sharpe"),
         )
     )
+
+
+def level2_tests(bars: DataFrame, span: float = chunked.SPAN) -> DataFrame:
+    """Dickey-Fuller and ARCH-LM of the log returns, by symbol; the first bar has no return."""
+    r = chunked.with_lags(bars, {"before_it": ("close", 1)}, span=span).select("symbol", "ts", F.ln(F.col("close") / F.col("before_it")).alias("r"))
+    return stationarity.dickey_fuller(r, "r", span=span).join(stationarity.arch_lm(r, "r", span=span), "symbol")
+
+
+def full(bars: DataFrame, span: float = chunked.SPAN) -> DataFrame:
+    """Both levels by symbol; the second only where the first passes. Issues and warnings as comma-joined names.
+
+    ``bars`` has seq, the order of arrival, and ret.
+    """
+    first = level1(bars)
+    names = [c for c in first.columns if c not in ("symbol", "n", "passed")]
+    faults = F.array_compact(F.array(*[F.when(F.col(c) > 0, F.lit(c)) for c in names]))
+    first = first.select("symbol", "n", F.col("passed").alias("level1_passed"), faults.alias("faults"))
+    sound = bars.join(first.where("level1_passed").select("symbol"), "symbol", "left_semi")
+    second = level2(sound).drop("n").join(level2_tests(sound, span), "symbol")
+    met = first.join(second, "symbol", "left")
+    few, c = F.col("n") < 100, F.col
+    enough = ~few & F.col("level1_passed")
+    issues = F.array_compact(F.array(F.when(~c("level1_passed"), F.lit("level1_failed")), F.when(few & c("level1_passed"), F.lit("insufficient_data")), F.when(enough & (c("gap_ratio") > 0.05), F.lit("excessive_gaps"))))
+    warnings = F.array_compact(
+        F.array(
+            F.when(F.abs("skew") > 5, F.lit("extreme_skew")),
+            F.when(c("kurtosis") > 20, F.lit("heavy_tails")).when(c("kurtosis") < 0, F.lit("light_tails")),
+            F.when((F.abs("auto1") < 0.01) & (c("n") > 1001), F.lit("no_autocorrelation")),
+            F.when(c("adf_p") > 0.05, F.lit("not_stationary")),
+            F.when(c("arch_p") > 0.10, F.lit("no_arch_effects")),
+            F.when(c("gap_ratio") > 0.01, F.lit("gaps")),
+        )
+    )
+    met = met.select("symbol", "n", "level1_passed", F.array_join("faults", ",").alias("faults"), F.array_join(issues, ",").alias("issues"), F.when(enough, F.array_join(warnings, ",")).otherwise("").alias("warnings"))
+    return met.withColumn("overall_passed", F.col("issues") == "")

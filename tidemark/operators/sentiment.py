@@ -11,16 +11,6 @@ from tidemark.operators.recursive import decayed_mean, scan
 LAGS = {"news": (30, 60, 90, 120, 180), "twitter": (15, 30, 45, 60, 120), "reddit": (180, 240, 270, 300, 360)}
 HALF_LIVES = {"news": 120.0, "twitter": 60.0, "reddit": 240.0}
 SOURCE_WEIGHTS = {"news": 1.0, "twitter": 0.7, "reddit": 0.5}
-#: Small valence lexicon of this package's own choice; callers pass theirs.
-LEXICON = {"bullish": 2.5, "rally": 2.0, "surge": 2.0, "gain": 1.5, "strong": 1.2, "bearish": -2.5, "crash": -3.0, "dump": -2.0, "loss": -1.5, "weak": -1.2, "the": 0.1, "der": -0.1, "de": 0.05}
-
-
-def lexicon_score(text: Column, lexicon: dict[str, float] | None = None) -> Column:
-    """Sum of word valences, squashed to (-1, 1) by x / sqrt(x^2 + 15)."""
-    words = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z]+")
-    table = F.create_map(*[F.lit(x) for kv in (lexicon or LEXICON).items() for x in kv])
-    total = F.aggregate(F.filter(words, lambda w: w != ""), F.lit(0.0), lambda t, w: t + F.coalesce(F.try_element_at(table, w), F.lit(0.0)))
-    return total / F.sqrt(total * total + 15)
 
 
 def label(score: Column, limit: float = 0.3) -> Column:
@@ -179,8 +169,9 @@ def volume_divergence(change: Column, volume_ratio: Column, limit: float = 0.3)
     )
 
 
-# fixed values: spill-over coefficients and lags (minutes) by place of the target
-SPILLOVER = ((0, 1.00, 5), (1, 0.75, 10), (2, 0.60, 15), (3, 0.55, 20), (4, 0.50, 20))
+# fixed values: spill-over coefficients and lags (minutes) of the targets; any other target has the default
+SPILLOVER = {"BTCUSDT": (1.0, 15), "ETHUSDT": (0.75, 5), "SOLUSDT": (0.60, 10), "BNBUSDT": (0.55, 15), "XRPUSDT": (0.50, 20), "ADAUSDT": (0.45, 20), "DOGEUSDT": (0.70, 8)}
+SPILLOVER_DEFAULT = (0.5, 15)
 
 
 def as_of(left: DataFrame, right: DataFrame, value: str, by: str = "key", at: str = "at", span: int = 86_400) -> DataFrame:
@@ -204,16 +195,20 @@ def as_of(left: DataFrame, right: DataFrame, value: str, by: str = "key", at: st
     return u.join(carried, [by, "span"]).select(*[c for c in left.columns], F.coalesce("_seen", "carried").alias(value))
 
 
-def spillover(targets: DataFrame, source: DataFrame) -> DataFrame:
+def spillover(targets: DataFrame, source: DataFrame, table: DataFrame | None = None) -> DataFrame:
     """As-of join: the source's score ``lag`` minutes before the target's time (else its oldest), times the coefficient; worse if negative.
 
-    targets: key, id, ts, coef, lag; source: id, ts, score, given to each key of SPILLOVER.
+    targets: target, id, ts; source: id, ts, score. table (target, coef, lag) stands for SPILLOVER; targets that it
+    lacks have the default. Gives target, id, coef, lag, source_score and spill.
     """
-    t = targets.select("key", "id", (F.unix_seconds("ts") - F.col("lag") * 60).alias("at"), "coef")
-    keys = F.explode(F.array(*[F.lit(k) for k, _, _ in SPILLOVER]))
-    s = source.select(keys.alias("key"), F.unix_seconds("ts").alias("at"), "score", F.col("id").alias("sid"))
+    if table is None:
+        table = targets.sparkSession.createDataFrame([(k, c, m) for k, (c, m) in SPILLOVER.items()], "target string, coef double, lag int")
+    coef, lag = SPILLOVER_DEFAULT
+    t = targets.join(table, "target", "left").fillna({"coef": coef, "lag": lag})
+    t = t.select("target", "id", "coef", "lag", F.lit(0).alias("key"), (F.unix_seconds("ts") - F.col("lag") * 60).alias("at"))
+    s = source.select(F.lit(0).alias("key"), F.unix_seconds("ts").alias("at"), "score", F.col("id").alias("sid"))
     effect = F.col("score") * F.col("coef")
-    return as_of(t, s, "score").select("key", "id", F.when(effect < 0, effect * 1.3).otherwise(effect).alias("spill"))
+    return as_of(t, s, "score").select("target", "id", "coef", "lag", F.col("score").alias("source_score"), F.when(effect < 0, effect * 1.3).otherwise(effect).alias("spill"))
 
 
 def majority(predictions: DataFrame) -> DataFrame:

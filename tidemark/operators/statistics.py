@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tidemark.functions.columns import correlation, last, over, ratio, running, z_score
+from tidemark.operators import chunked
 
 #: Horizons of momentum in bars.
 HORIZONS = (5, 10, 21, 63)
@@ -15,18 +16,19 @@ def log_return(df: DataFrame, price: str = "close") -> DataFrame:
     return df.withColumn("ret", F.coalesce(F.ln(F.col(price) / F.lag(price).over(over())), F.lit(0.0)))
 
 
-def running_moments(df: DataFrame, x: str, least: int = 1) -> DataFrame:
-    """Count, mean, sample and population variance so far; null before ``least`` rows, variance 0 of one row."""
-    w, v = running(), F.col(x)
-    n = F.count(v).over(w)
+def running_moments(df: DataFrame, x: str, least: int = 1, span: float = chunked.SPAN) -> DataFrame:
+    """Count, mean, sample and population variance so far; null before ``least`` rows, variance 0 of one row. Chunks of time side by side."""
+    m = chunked.running_moments(df, [(x, x)], span=span)
+    n, mean, about = (F.col(f"{x}_{x}_{c}") for c in ("n", "mean_x", "mxx"))
+    var_samp = F.when(n > 1, about / (n - 1)).otherwise(0.0)
     ready = n >= least
-    return df.select(
-        "*",
+    return m.select(
+        *df.columns,
         n.alias("n"),
-        F.when(ready, F.avg(v).over(w)).alias("mean"),
-        F.when(ready, F.coalesce(F.var_samp(v).over(w), F.lit(0.0))).alias("var_samp"),
-        F.when(ready, F.var_pop(v).over(w)).alias("var_pop"),
-        F.when(ready, z_score(v, w)).alias("z"),
+        F.when(ready, mean).alias("mean"),
+        F.when(ready, var_samp).alias("var_samp"),
+        F.when(ready, about / n).alias("var_pop"),
+        F.when(ready, F.when((n >= 2) & (F.sqrt(var_samp) > 1e-10), (F.col(x) - mean) / F.sqrt(var_samp)).otherwise(0.0)).alias("z"),
     )
 
 
@@ -38,18 +40,20 @@ def sliding_moments(df: DataFrame, x: str, size: int) -> DataFrame:
     )
 
 
-def running_relation(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Running covariances, correlation (clamped), regression of y on x and the correlation's regime."""
-    w = running()
-    beta = ratio(F.covar_pop(x, y).over(w), F.var_pop(x).over(w))
-    corr = F.when((F.stddev_pop(x).over(w) > 1e-12) & (F.stddev_pop(y).over(w) > 1e-12), correlation(x, y, w)).otherwise(0.0)
-    out = df.select(
-        "*",
-        F.coalesce(F.covar_samp(x, y).over(w), F.lit(0.0)).alias("cov_samp"),
-        F.covar_pop(x, y).over(w).alias("cov_pop"),
+def running_relation(df: DataFrame, x: str, y: str, span: float = chunked.SPAN) -> DataFrame:
+    """Running covariances, correlation (clamped), regression of y on x and the correlation's regime. Chunks of time side by side."""
+    m = chunked.running_moments(df, [(x, y)], span=span)
+    n, mx, my, xx, yy, xy = (F.col(f"{x}_{y}_{c}") for c in ("n", "mean_x", "mean_y", "mxx", "myy", "mxy"))
+    beta = ratio(xy, xx)
+    spread = (F.sqrt(xx / n) > 1e-12) & (F.sqrt(yy / n) > 1e-12)
+    corr = F.when(spread, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), xy / F.sqrt(xx * yy)))).otherwise(0.0)
+    out = m.select(
+        *df.columns,
+        F.when(n > 1, xy / (n - 1)).otherwise(0.0).alias("cov_samp"),
+        (xy / n).alias("cov_pop"),
         corr.alias("corr"),
         beta.alias("beta"),
-        (F.avg(y).over(w) - beta * F.avg(x).over(w)).alias("alpha"),
+        (my - beta * mx).alias("alpha"),
     )
     return out.withColumn("r2", F.col("corr") * F.col("corr")).withColumn("regime", correlation_regime(F.col("corr")))
 

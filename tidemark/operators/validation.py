@@ -7,6 +7,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
+from tidemark.operators import chunked
 from tidemark.functions.columns import last, normal_cdf, normal_quantile, over, ratio, running
 
 
@@ -166,40 +167,76 @@ def deflated_sharpe(df: DataFrame, trials: int, hurdle: float = 3.0, sure: float
 
 
 # ---- bootstrap: draws come from integer arithmetic on (replicate, block), the same everywhere ----
-
-
-def block_draws(lengths: DataFrame, replicates: int, by: str = "strategy") -> DataFrame:
-    """by, rep and the row drawn (i): blocks of about sqrt(n) consecutive rows, n // block of them a replicate, from (by, n)."""
-    d = lengths.withColumn("block", F.greatest(F.lit(1), F.floor(F.sqrt("n"))))
+# All strategies share one time line and the same blocks of it, so the greatest statistic of a replicate is that of one
+# history. A block's sums are differences of running sums at its two ends: what is joined is the ends, not the rows.
+
+
+def time_line(excess: DataFrame, span: float = chunked.SPAN) -> DataFrame:
+    """ts and i, the number of times up to it, from 1."""
+    times = excess.select("ts").distinct().withColumn("chunk", chunked.chunk_of(span)).repartition("chunk")
+    sizes = times.groupBy("chunk").agg(F.count(F.lit(1)).alias("c"))  # a row a chunk
+    sizes = sizes.select(F.col("chunk").alias("of"), F.coalesce(F.sum("c").over(W.orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    met = times.join(sizes, times["chunk"].eqNullSafe(sizes["of"]))
+    return met.select("ts", (F.col("before") + F.row_number().over(W.partitionBy("chunk").orderBy("ts"))).alias("i"))
+
+
+def running_sums(excess: DataFrame, span: float = chunked.SPAN) -> DataFrame:
+    """strategy, i and k, s, q: count, sum and sum of squares of x over the first i times of the time line."""
+    each = excess.agg(F.array_sort(F.collect_set("strategy")).alias("names"))  # the strategies under test
+    line = time_line(excess, span).join(each).select("ts", "i", F.explode("names").alias("strategy"))
+    rows = line.join(excess.select("ts", "strategy", "x"), ["ts", "strategy"], "left").withColumn("chunk", chunked.chunk_of(span))
+    parts = {"k": F.count("x"), "s": F.coalesce(F.sum("x"), F.lit(0.0)), "q": F.coalesce(F.sum(F.col("x") * F.col("x")), F.lit(0.0))}
+    earlier = W.partitionBy("strategy").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
+    totals = rows.groupBy("strategy", "chunk").agg(*[e.alias(c) for c, e in parts.items()])
+    totals = totals.select(F.col("strategy").alias("of"), F.col("chunk").alias("at"), *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}0") for c in parts])
+    w = W.partitionBy("strategy", "chunk").orderBy("ts").rowsBetween(W.unboundedPreceding, 0)
+    met = rows.join(totals, (F.col("strategy") == F.col("of")) & F.col("chunk").eqNullSafe(F.col("at")))
+    upto = {"k": F.count("x").over(w), "s": F.coalesce(F.sum("x").over(w), F.lit(0.0)), "q": F.coalesce(F.sum(F.col("x") * F.col("x")).over(w), F.lit(0.0))}
+    return met.select("strategy", "i", *[(F.col(f"{c}0") + e).alias(c) for c, e in upto.items()])
+
+
+def shared_blocks(length: DataFrame, replicates: int) -> DataFrame:
+    """rep, start and stop of blocks of about sqrt(n) times, n // block of them a replicate, from one row (n)."""
+    d = length.where("n > 0").withColumn("block", F.greatest(F.lit(1), F.floor(F.sqrt("n"))))
     d = d.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)).cast("array<long>"))).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n") / F.col("block")) - 1)))
     start = (F.col("rep") * 48271 + F.col("b") * 69621 + 12345 + F.col("rep") * F.col("b") * 7919) % (F.col("n") - F.col("block") + 1)
-    return d.select(by, "rep", start.alias("start"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("block") - 1)).alias("k")).select(by, "rep", (F.col("start") + F.col("k")).alias("i"))
+    return d.select("rep", start.alias("start"), (start + F.col("block")).alias("stop"))
 
 
-def geometric_draws(lengths: DataFrame, replicates: int, mean_block: int = 10, by: str = "strategy") -> DataFrame:
-    """by, rep and the row drawn (i): the stationary bootstrap, whose blocks begin anew with chance 1 / mean_block and wrap around.
+def geometric_blocks(length: DataFrame, replicates: int, mean_block: int = 10) -> DataFrame:
+    """rep, start and stop: the stationary bootstrap, whose blocks begin anew with chance 1 / mean_block and wrap around.
 
-    A place begins a block where a hash of (rep, place) says so; its rows follow the block's
-    first one, which the same hash names.
+    A place begins a block where a hash of (rep, place) says so; the same hash names the block's first time. Only
+    places that begin a block leave their task. A block that wraps is two.
     """
-    d = lengths.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)).cast("array<long>"))).withColumn("place", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    span = 1 << 13
+    d = length.where("n > 0").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)).cast("array<long>")))
+    d = d.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / span))))
+    d = d.withColumn("place", F.explode(F.sequence(F.col("part") * span, F.least(F.col("n"), (F.col("part") + 1) * span) - 1)))
     h = (F.col("rep") * 48271 + F.col("place") * 69621 + F.col("rep") * F.col("place") * 7919 + 12345) % 1_000_003
-    d = d.withColumn("first", F.when((F.col("place") == 0) | (h % mean_block == 0), F.struct("place", (h % F.col("n")).alias("row"))))
-    begun = F.last("first", ignorenulls=True).over(W.partitionBy(by, "rep").orderBy("place").rowsBetween(W.unboundedPreceding, 0))
-    return d.withColumn("begun", begun).select(by, "rep", F.pmod(F.col("begun.row") + F.col("place") - F.col("begun.place"), F.col("n")).alias("i"))
+    d = d.withColumn("h", h).where((F.col("place") == 0) | (F.col("h") % mean_block == 0))
+    size = F.coalesce(F.lead("place").over(W.partitionBy("rep").orderBy("place")), F.col("n")) - F.col("place")
+    d = d.select("rep", "n", (F.col("h") % F.col("n")).alias("start"), size.alias("size"))
+    # a block of more than n times can't be: places are n in all
+    end = F.col("start") + F.col("size")
+    pieces = F.array(F.struct(F.col("start").alias("start"), F.least("n", end).alias("stop")), F.struct(F.lit(0).cast("long").alias("start"), (end - F.col("n")).alias("stop")))
+    return d.select("rep", F.inline(F.filter(pieces, lambda p: p["stop"] > p["start"])))
 
 
-def bootstrap_test(excess: DataFrame, draws: DataFrame) -> DataFrame:
+def bootstrap_test(sums: DataFrame, blocks: DataFrame) -> DataFrame:
     """p-values of the best mean excess return: plain, recentred on each sample, and recentred on the observed mean.
 
-    excess has strategy, i (from 0) and x, draws strategy, rep and i; each strategy is drawn from
-    the whole of its own rows.
+    sums are ``running_sums`` of returns in excess of a benchmark, blocks rep, start and stop on their time line.
     """
     t = lambda m, s, k: F.when(s > 0, m / (s / F.sqrt(k))).otherwise(0.0)
-    seen = excess.groupBy("strategy").agg(F.avg("x").alias("m"), F.stddev_samp("x").alias("s"), F.count("x").alias("k"))
-    seen = seen.select("strategy", F.col("m").alias("mean"), t(F.col("m"), F.col("s"), F.col("k")).alias("stat"))
-    boot = draws.join(excess, ["strategy", "i"]).groupBy("strategy", "rep").agg(F.avg("x").alias("m"), F.stddev_samp("x").alias("s"), F.count("x").alias("k"))
-    boot = boot.join(seen, "strategy").select("strategy", "rep", "stat", "mean", t(F.col("m"), F.col("s"), F.col("k")).alias("plain"), t(F.col("m") - F.col("mean"), F.col("s"), F.col("k")).alias("centred"))
+    moments = lambda k, s, q: (s / k, F.when(k > 1, F.sqrt(F.greatest(F.lit(0.0), (q - s * s / k) / (k - 1)))).otherwise(0.0))
+    k, s, q = (F.col(c) for c in "ksq")
+    mean, std = moments(k, s, q)
+    seen = sums.groupBy("strategy").agg(F.max_by(F.struct("k", "s", "q"), "i").alias("whole")).select("strategy", "whole.*").where("k > 0").select("strategy", mean.alias("mean"), t(mean, std, k).alias("stat"))
+    ends = blocks.select("rep", F.inline(F.array(F.struct(F.col("start").alias("i"), F.lit(-1).alias("sign")), F.struct(F.col("stop").alias("i"), F.lit(1).alias("sign")))))
+    ends = ends.groupBy("rep", "i").agg(F.sum("sign").alias("times")).where("i > 0 and times != 0")
+    boot = ends.join(sums, "i").groupBy("strategy", "rep").agg(*[F.sum(F.col("times") * F.col(c)).alias(c) for c in "ksq"]).where("k > 0")
+    boot = boot.join(seen, "strategy").select("strategy", "rep", "stat", "mean", t(mean, std, k).alias("plain"), t(mean - F.col("mean"), std, k).alias("centred"))
     own = boot.groupBy("strategy").agg(F.first("stat").alias("stat"), F.avg((F.col("plain") >= F.col("stat")).cast("double")).alias("p_white"), F.avg((F.lit(0.0) >= F.col("stat")).cast("double")).alias("p_spa"), F.avg((F.col("centred") >= F.col("stat")).cast("double")).alias("p_centred"))
     top = boot.groupBy("rep").agg(F.max("centred").alias("top"))
     every = own.agg(F.max("stat").alias("best")).join(top).agg(F.avg((F.col("top") >= F.col("best")).cast("double")).alias("p_best"))

@@ -8,7 +8,7 @@ from tidemark.functions.columns import tidy
 from tidemark.operators import sentiment
 from tidemark.plans.collect import collector
 from tidemark.sources import health, venues
-from tidemark.sources.fixtures import POSTS, posts, table
+from tidemark.sources.fixtures import POSTS, SCORED, posts, scored_posts, table
 from tidemark.streaming import live
 
 QUERIES, ORACLES, query = collector()
@@ -196,12 +196,12 @@ def _routed(spark, sf):
     return parts[0].union(parts[1]).union(parts[2])
 
 
-@query("symbol_sentiment", f"""WITH {POSTS}
+@query("symbol_sentiment", f"""WITH {SCORED}
 SELECT symbol, count(*) AS n, round(avg(score), 4) + 0.0 AS score, count(*) FILTER (score > 0.3) AS bullish, count(*) FILTER (score < -0.3) AS bearish, count(*) FILTER (score BETWEEN -0.3 AND 0.3) AS neutral,
   CASE WHEN avg(score) > 0.1 THEN 'BULLISH' WHEN avg(score) < -0.1 THEN 'BEARISH' ELSE 'NEUTRAL' END AS signal FROM posts GROUP BY symbol""")
 def _symbol_sentiment(spark, sf):
     """A symbol's posts in one row."""
-    return sentiment.summary(posts(spark, sf)).select("symbol", "n", tidy("score").alias("score"), "bullish", "bearish", "neutral", "signal")
+    return sentiment.summary(scored_posts(spark, sf)).select("symbol", "n", tidy("score").alias("score"), "bullish", "bearish", "neutral", "signal")
 
 
 @query("recent_posts", f"WITH {POSTS}, n AS (SELECT max(ts) AS now FROM posts) SELECT id, symbol FROM posts, n WHERE ts >= now - INTERVAL 6 HOUR")

@@ -7,8 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import at, over, running, tidy, z_score
-from tidemark.operators import indicators as ind, recursive as re_
-from tidemark.operators.statistics import log_return
+from tidemark.operators import chunked as ch, indicators as ind, recursive as re_
 from tidemark.plans.collect import collector
 from tidemark.plans.risk import RISK, _REGIME as RISK_REGIME, _SCORE as RISK_SCORE
 from tidemark.plans.statistics import RETURNS
@@ -32,7 +31,7 @@ SRC = f"{RETURNS}, src AS (SELECT symbol, ts, close AS z, ret, volume FROM rets)
 
 
 def _b(spark, sf):
-    return log_return(bars(spark, sf))
+    return ch.log_return(bars(spark, sf))
 
 
 def _out(df, *names):
@@ -45,7 +44,7 @@ _K = "((p.v + 0.01) / (p.v + 0.01 + 0.1))"
 
 @query("kalman", recursion(SRC, {"k": "z", "v": "0.1", "i": "0"}, {"k": f"p.k + {_K} * (x.z - p.k)", "v": f"(1 - {_K}) * (p.v + 0.01)", "i": "x.z - p.k"}, {"kalman": "k", "kalman_var": "v", "innovation": "i"}))
 def _kalman(spark, sf):
-    return _out(re_.scan(_b(spark, sf), re_.kalman()), "kalman", "kalman_var", "innovation")
+    return _out(ch.scan_chunks(_b(spark, sf), [ch.kalman()]), "kalman", "kalman_var", "innovation")
 
 
 _A, _B, _C = "(p.a + 2 * p.b + p.c + 0.01)", "(p.b + p.c)", "(p.c + 0.001)"
@@ -55,7 +54,7 @@ _G1, _G2 = f"({_A} / ({_A} + 0.1))", f"({_B} / ({_A} + 0.1))"
 @query("velocity_kalman", recursion(SRC, {"k": "z", "s": "0", "a": "1", "b": "0", "c": "1"}, {
     "k": f"p.k + p.s + {_G1} * (x.z - p.k - p.s)", "s": f"p.s + {_G2} * (x.z - p.k - p.s)", "a": f"(1 - {_G1}) * {_A}", "b": f"(1 - {_G1}) * {_B}", "c": f"{_C} - {_G2} * {_B}"}, {"velocity_kalman": "k", "speed": "s", "ahead_5": "k + 5 * s"}))
 def _velocity(spark, sf):
-    out = re_.scan(_b(spark, sf), re_.velocity_kalman()).withColumn("ahead_5", F.col("velocity_kalman") + 5 * F.col("speed"))
+    out = ch.scan_chunks(_b(spark, sf), [ch.velocity_kalman()]).withColumn("ahead_5", F.col("velocity_kalman") + 5 * F.col("speed"))
     return _out(out, "velocity_kalman", "speed", "ahead_5")
 
 
@@ -66,7 +65,7 @@ _LR = 1e-5 / (1 - 0.05 - 0.94)
     "garch": "sqrt(v)", "garch_ratio": f"sqrt(v / {_LR!r})", "scalar": "least(3.0, 0.01 / sqrt(v))", "value_at_risk": "2.326348 * sqrt(v)", "forecast_10": f"sqrt({_LR!r} + pow(0.99, 10) * (v - {_LR!r}))"}))
 def _garch(spark, sf):
     """Volatility with regime ratio, position scalar, 99 % value at risk and the 10-step forecast as expressions on it."""
-    g = re_.scan(_b(spark, sf), re_.garch())
+    g = ch.scan_chunks(_b(spark, sf), [ch.garch()])
     v = F.col("garch")
     g = g.select("*", F.least(F.lit(3.0), 0.01 / v).alias("scalar"), (2.326348 * v).alias("value_at_risk"), F.sqrt(_LR + math.pow(0.99, 10) * (v * v - _LR)).alias("forecast_10"))
     return _out(g, "garch", "garch_ratio", "scalar", "value_at_risk", "forecast_10")
@@ -95,7 +94,7 @@ _c2, _c3 = re_.two_pole(20)
     "h1": f"CASE WHEN x.n <= 2 THEN x.z ELSE {(1 + _c2 - _c3) / 4!r} * (x.z - 2 * p.p1 + p.p2) + {_c2!r} * p.h1 + {_c3!r} * p.h2 END", "h2": "p.h1"},
     {"super_smoother": "f1", "ultimate_smoother": "CASE WHEN n <= 2 THEN p1 ELSE p1 - h1 END"}))
 def _smooth(spark, sf):
-    return _out(re_.scan_all(_b(spark, sf), [re_.super_smoother(), re_.ultimate_smoother()]), "super_smoother", "ultimate_smoother")
+    return _out(ch.scan_chunks(_b(spark, sf), [ch.super_smoother(), ch.ultimate_smoother()]), "super_smoother", "ultimate_smoother")
 
 
 _be = 0.45 * 9 / (0.45 * 9 + 2)
@@ -107,12 +106,12 @@ _e2 = f"(({_e0} + 1.5 * {_e1} - p.j) * {(1 - _al) ** 2!r} + {_al * _al!r} * p.e2
 
 @query("jurik", recursion(SRC, {"e0": "z", "e1": "z", "e2": "z", "j": "z"}, {"e0": _e0, "e1": _e1, "e2": _e2, "j": f"p.j + {_e2}"}, {"jma": "CASE WHEN n >= 10 THEN j END", "jma_raw": "j"}))
 def _jma(spark, sf):
-    return _out(re_.scan_all(_b(spark, sf), [re_.jma(), re_.jma(warm=False, name="jma_raw")]), "jma", "jma_raw")
+    return _out(ch.scan_chunks(_b(spark, sf), [ch.jma(), ch.jma(warm=False, name="jma_raw")]), "jma", "jma_raw")
 
 
 @query("exponential_means", recursion(SRC, {"f": "z", "s": "z"}, {"f": "2.0 / 13 * x.z + (1 - 2.0 / 13) * p.f", "s": "2.0 / 27 * x.z + (1 - 2.0 / 27) * p.s"}, {"ema_12": "f", "ema_26": "s", "macd": "f - s"}))
 def _ema(spark, sf):
-    out = re_.scan_all(_b(spark, sf), [re_.ema("close", 2 / 13, "ema_12"), re_.ema("close", 2 / 27, "ema_26")])
+    out = ch.scan_chunks(_b(spark, sf), [ch.ema("close", 2 / 13, "ema_12"), ch.ema("close", 2 / 27, "ema_26")])
     return _out(out.withColumn("macd", F.col("ema_12") - F.col("ema_26")), "ema_12", "ema_26", "macd")
 
 
@@ -135,7 +134,7 @@ _h = f"({(1 - _ra / 2) ** 2!r} * (x.z - 2 * p.p1 + p.p2) + {2 * (1 - _ra)!r} * p
     "p1": "x.z", "p2": "p.p1", "h1": _h, "h2": "p.h1", "f1": f"{(1 - _r2 - _r3) / 2!r} * ({_h} + p.h1) + {_r2!r} * p.f1 + {_r3!r} * p.f2", "f2": "p.f1"},
     {"roofing": "f1", "roofing_acceleration": "f1 - f2", "roofing_momentum": "sign(f1) * sqrt(abs(f1))"}))
 def _roof(spark, sf):
-    return _out(re_.scan(_b(spark, sf), re_.roofing()), "roofing", "roofing_acceleration", "roofing_momentum")
+    return _out(ch.scan_chunks(_b(spark, sf), [ch.roofing()]), "roofing", "roofing_acceleration", "roofing_momentum")
 
 
 _OSRC = f"""{RETURNS}, d AS (SELECT *, lag(close) OVER w AS pc, close - lag(close) OVER w AS d FROM rets WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
@@ -155,7 +154,7 @@ _s2, _s3 = re_.two_pole(14)
     {"fisher_rsi": "CASE WHEN okf = 1 THEN fi END", "fisher_signal": "CASE WHEN okf = 1 THEN fp END", "stoch_k": "CASE WHEN ok = 1 THEN 100 * k1 END", "stoch_d": "CASE WHEN ok = 1 THEN 50 * (k1 + k2) END", "smoothed_tr": "CASE WHEN n >= 14 THEN s1 END"}))
 def _osc(spark, sf):
     b = ind.true_range(ind.raw_stochastic(ind.simple_rsi(bars(spark, sf))))
-    return _out(re_.scan_all(b, [re_.fisher(), re_.stochastic(), re_.smoothed_tr()]), "fisher_rsi", "fisher_signal", "stoch_k", "stoch_d", "smoothed_tr")
+    return _out(ch.scan_chunks(b, [ch.fisher(), ch.stochastic(), ch.smoothed_tr()]), "fisher_rsi", "fisher_signal", "stoch_k", "stoch_d", "smoothed_tr")
 
 
 _k = 1 - math.exp(-math.log(2) / 20)
@@ -166,7 +165,7 @@ _ma, _mb = f"(p.a + {_k!r} * (x.z - p.a))", f"(p.b + {_k!r} * (x.volume - p.b))"
     "a": _ma, "b": _mb, "va": f"{1 - _k!r} * p.va + {_k!r} * (x.z - p.a) * (x.z - {_ma})", "vb": f"{1 - _k!r} * p.vb + {_k!r} * (x.volume - p.b) * (x.volume - {_mb})",
     "c": f"{1 - _k!r} * p.c + {_k!r} * (x.z - p.a) * (x.volume - {_mb})"}, {"ew_cov": "c", "ew_corr": "CASE WHEN sqrt(va * vb) >= 1e-10 THEN greatest(-1.0, least(1.0, c / sqrt(va * vb))) ELSE 0.0 END"}))
 def _ew(spark, sf):
-    return _out(re_.scan(_b(spark, sf), re_.ew_relation("close", "volume")), "ew_cov", "ew_corr")
+    return _out(ch.scan_chunks(_b(spark, sf), [ch.ew_relation("close", "volume")]), "ew_cov", "ew_corr")
 
 
 def staged(source: str, types: dict[str, str], first: dict[str, str], stages: list[dict[str, str]], shown: str, also: str = "") -> str:
@@ -229,7 +228,7 @@ def _ak(spark, sf):
 @query("kalman_band", recursion(SRC, {"k": "z", "v": "0.1"}, {"k": f"p.k + {_K} * (x.z - p.k)", "v": f"(1 - {_K}) * (p.v + 0.01)"}, {"lower": "k - 2 * sqrt(v)", "upper": "k + 2 * sqrt(v)"}))
 def _band(spark, sf):
     """Two standard deviations of the estimate around it."""
-    out = re_.scan(_b(spark, sf), re_.kalman())
+    out = ch.scan_chunks(_b(spark, sf), [ch.kalman()])
     margin = 2 * F.sqrt("kalman_var")
     return _out(out.select("*", (F.col("kalman") - margin).alias("lower"), (F.col("kalman") + margin).alias("upper")), "lower", "upper")
 
@@ -249,7 +248,7 @@ SELECT a.symbol, epoch_us(a.ts) AS ts_us, round(count(*) FILTER (b.close <= a.cl
 FROM num a JOIN num b ON a.symbol = b.symbol AND b.n <= a.n GROUP BY a.symbol, a.ts""")
 def _pos(spark, sf):
     """Where each close lies among the closes so far."""
-    return _out(re_.scan(_b(spark, sf), re_.relative_position()), "position")
+    return _out(ch.running_rank(bars(spark, sf), "close"), "position")
 
 
 _HIL = lambda v: f"(0.0962 * {v}[1] + 0.5769 * {v}[3] - 0.5769 * {v}[5] - 0.0962 * {v}[7])"
@@ -299,7 +298,7 @@ _KELT = [
 def _keltner(spark, sf):
     """JMA of the typical price with bands of the smoothed true range."""
     b = ind.true_range(bars(spark, sf)).withColumn("typical", (F.col("high") + F.col("low") + F.col("close")) / 3)
-    out = re_.scan_all(b, [re_.jma("typical", 20, name="middle"), re_.smoothed_tr(n=20)])
+    out = ch.scan_chunks(b, [ch.jma("typical", 20, name="middle"), ch.smoothed_tr(n=20)])
     band = 2.0 * F.col("smoothed_tr")
     return _out(out.select("*", (F.col("middle") + band).alias("upper"), (F.col("middle") - band).alias("lower")), "middle", "upper", "lower")
 
@@ -324,7 +323,7 @@ _floor = lambda e, t: f"greatest({e} / ({t}), 1e-10)"
     "p_bull": "p0 / (p0 + p1 + p2)", "p_bear": "p1 / (p0 + p1 + p2)", "p_range": "p2 / (p0 + p1 + p2)", "state": "CASE WHEN p0 >= p1 AND p0 >= p2 THEN 0 WHEN p1 >= p2 THEN 1 ELSE 2 END", "regime_signal": "(p0 - p1) / (p0 + p1 + p2)"}))
 def _forward(spark, sf):
     b = _b(spark, sf).withColumn("ret", F.col("ret") / 100)
-    return _out(re_.scan(b, re_.regime_forward()), "p_bull", "p_bear", "p_range", "state", "regime_signal")
+    return _out(ch.scan_chunks(b, [ch.regime_forward()]), "p_bull", "p_bear", "p_range", "state", "regime_signal")
 
 
 _PSUM = "(p0 + p1 + p2)"
@@ -335,7 +334,7 @@ _PSUM = "(p0 + p1 + p2)"
     f"1 - p2 / {_PSUM} > 0.6 AS use_momentum", f"p2 / {_PSUM} > 0.5 AS use_mean_reversion"))
 def _decide(spark, sf):
     """Which strategies suit the regime, with the entropy of its probabilities."""
-    out = re_.scan(_b(spark, sf).withColumn("ret", F.col("ret") / 100), re_.regime_forward())
+    out = ch.scan_chunks(_b(spark, sf).withColumn("ret", F.col("ret") / 100), [ch.regime_forward()])
     d = re_.regime_decisions(F.col("p_range"))
     return out.select("symbol", at(), tidy("entropy").alias("entropy"), *[tidy(d[c]).alias(c) for c in ("trend_probability", "range_probability")], *[d[c].alias(c) for c in ("use_momentum", "use_mean_reversion")])
 
@@ -426,7 +425,7 @@ def _hurst(spark, sf):
 @query("garch_regime", recursion(SRC, {"v": f"{_LR!r}", "r": "ret"}, {"v": "1e-5 + 0.05 * p.r * p.r + 0.94 * p.v", "r": "x.ret"}, {"garch": "sqrt(v)"},
     f"CASE WHEN sqrt(v / {_LR!r}) < 0.7 THEN 'low' WHEN sqrt(v / {_LR!r}) > 1.5 THEN 'high' ELSE 'normal' END AS regime"))
 def _gregime(spark, sf):
-    out = re_.scan(_b(spark, sf), re_.garch())
+    out = ch.scan_chunks(_b(spark, sf), [ch.garch()])
     return out.select("symbol", at(), tidy("garch").alias("garch"), re_.garch_regime(F.col("garch_ratio")).alias("regime"))
 
 

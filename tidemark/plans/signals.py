@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import at, tidy
-from tidemark.operators import fusion as fu, sentiment as se
+from tidemark.operators import fusion as fu, sentiment as se, valence as va_
 from tidemark.plans.collect import collector
-from tidemark.sources.fixtures import BARS, POSTS, bars, posts, table
+from tidemark.sources.fixtures import BARS, POSTS, SCORED, VALENCE, bars, lexicon, posts, scored_posts, table
 
 QUERIES, ORACLES, query = collector()
 
@@ -126,27 +126,25 @@ def _fusion(spark, sf):
 
 
 def _p(spark, sf):
-    return posts(spark, sf)
+    return scored_posts(spark, sf)
 
 
-@query("lexicon_sentiment", f"""WITH {POSTS},
-w AS (SELECT id, unnest(string_split_regex(lower(coalesce(text, '')), '[^a-z]+')) AS w FROM posts),
-l(w, v) AS (VALUES {', '.join(f"('{k}', {v})" for k, v in se.LEXICON.items())}),
-s AS (SELECT id, sum(coalesce(v, 0.0))::DOUBLE AS t FROM w LEFT JOIN l USING (w) GROUP BY id)
-SELECT id, round(t / sqrt(t * t + 15), 4) + 0.0 AS score, CASE WHEN t / sqrt(t * t + 15) > 0.3 THEN 'bullish' WHEN t / sqrt(t * t + 15) < -0.3 THEN 'bearish' ELSE 'neutral' END AS label FROM s""")
+@query("lexicon_sentiment", f"""WITH {VALENCE}
+SELECT id, round(compound, 4) + 0.0 AS score, round(pos, 4) + 0.0 AS pos, round(neg, 4) + 0.0 AS neg, round(neu, 4) + 0.0 AS neu, CASE WHEN compound > 0.3 THEN 'bullish' WHEN compound < -0.3 THEN 'bearish' ELSE 'neutral' END AS label FROM valence""")
 def _lexicon(spark, sf):
-    s = _p(spark, sf).select("id", se.lexicon_score(F.col("text")).alias("score"))
-    return s.select("id", tidy("score").alias("score"), se.label(F.col("score")).alias("label"))
+    """Rule-based valence of whole texts by a lexicon that is a table, induced from the labelled ones."""
+    s = va_.scored(posts(spark, sf), lexicon(spark, sf))
+    return s.select("id", tidy("compound").alias("score"), *[tidy(c).alias(c) for c in ("pos", "neg", "neu")], se.label(F.col("compound")).alias("label"))
 
 
 @query("spam_filter", f"""WITH {POSTS}
 SELECT id FROM posts WHERE length(text) >= 10 AND engagement >= CASE source WHEN 'twitter' THEN 5 WHEN 'reddit' THEN 3 ELSE 0 END
   AND len(regexp_extract_all(text, '[\\x{{1F300}}-\\x{{1FAFF}}\\x{{2600}}-\\x{{27BF}}]')) / greatest(1, len(regexp_extract_all(text, '\\S+'))) <= 0.3""")
 def _spam(spark, sf):
-    return _p(spark, sf).where(se.passes_spam_filter()).select("id")
+    return posts(spark, sf).where(se.passes_spam_filter()).select("id")
 
 
-@query("trailing_sentiment", f"""WITH {POSTS}
+@query("trailing_sentiment", f"""WITH {SCORED}
 SELECT id, round(CASE WHEN sum(engagement) OVER w > 0 THEN sum(score * engagement) OVER w / sum(engagement) OVER w ELSE avg(score) OVER w END, 4) + 0.0 AS mean_score,
   count(*) OVER w AS volume, round((sum((score > 0.3)::INT) OVER w - sum((score < -0.3)::INT) OVER w) / count(*) OVER w, 4) + 0.0 AS net_share
 FROM posts WINDOW w AS (PARTITION BY symbol, source ORDER BY ts RANGE BETWEEN INTERVAL 120 MINUTE PRECEDING AND CURRENT ROW)""")
@@ -154,7 +152,7 @@ def _trailing(spark, sf):
     return se.trailing_sentiment(_p(spark, sf), 120).select("id", tidy("mean_score").alias("mean_score"), "volume", tidy("net_share").alias("net_share"))
 
 
-@query("windowed_sentiment", f"""WITH {POSTS}
+@query("windowed_sentiment", f"""WITH {SCORED}
 SELECT symbol, source, epoch_us(time_bucket(INTERVAL 60 MINUTE, ts)) AS start_us, round(CASE WHEN sum(engagement) > 0 THEN sum(score * engagement) / sum(engagement) ELSE avg(score) END, 4) + 0.0 AS mean_score,
   round(median(score), 4) + 0.0 AS median_score, count(*) AS volume, round((count(*) FILTER (score > 0.3) - count(*) FILTER (score < -0.3)) / count(*), 4) + 0.0 AS net_share
 FROM posts GROUP BY 1, 2, 3""")
@@ -167,7 +165,7 @@ _LAG = lambda k: f"coalesce(lag(score, {k - 1}) OVER w, 0.0)"
 _LAGS = ", ".join(f"round(CASE source {' '.join(f'WHEN {chr(39)}{s}{chr(39)} THEN {_LAG(ks[i])}' for s, ks in se.LAGS.items())} ELSE 0.0 END, 4) + 0.0 AS lag_{i + 1}" for i in range(5))
 
 
-@query("sentiment_lags", f"""WITH {POSTS},
+@query("sentiment_lags", f"""WITH {SCORED},
 f AS (SELECT *, CASE WHEN sign(score) * sign(lag(score) OVER (PARTITION BY symbol, source ORDER BY ts, id)) < 0 THEN 1 ELSE 0 END AS fl FROM posts)
 SELECT id, {_LAGS}, round(coalesce((score - lag(score, 30) OVER w) / 30, 0.0), 4) + 0.0 AS acceleration,
   round(sum(score) OVER (PARTITION BY symbol, source ORDER BY ts, id ROWS 179 PRECEDING), 4) + 0.0 AS momentum,
@@ -178,7 +176,7 @@ def _lags(spark, sf):
     return out.select("id", *[tidy(f"lag_{i}").alias(f"lag_{i}") for i in range(1, 6)], tidy("acceleration").alias("acceleration"), tidy("momentum").alias("momentum"), "flips")
 
 
-@query("decayed_sentiment", f"""WITH {POSTS},
+@query("decayed_sentiment", f"""WITH {SCORED},
 h AS (SELECT id, source, list_reverse(list(score) OVER (PARTITION BY symbol, source ORDER BY ts, id ROWS 360 PRECEDING)) AS h FROM posts),
 r AS (SELECT *, pow(0.5, 1.0 / CASE source {' '.join(f"WHEN '{s}' THEN {v}" for s, v in se.HALF_LIVES.items())} ELSE 120.0 END) AS r FROM h)
 SELECT id, round(list_sum(list_transform(h, lambda x, i: x * pow(r, i - 1))) / list_sum(list_transform(h, lambda x, i: pow(r, i - 1))), 4) + 0.0 AS decayed FROM r""")
@@ -186,21 +184,21 @@ def _decayed(spark, sf):
     return se.decayed_sentiment(_p(spark, sf)).select("id", tidy("decayed").alias("decayed"))
 
 
-@query("sentiment_momentum", f"""WITH {POSTS},
+@query("sentiment_momentum", f"""WITH {SCORED},
 v AS (SELECT id, score AS s, lag(score, 30) OVER w AS m, lag(score, 59) OVER w AS o FROM posts WINDOW w AS (PARTITION BY symbol, source ORDER BY ts, id))
 SELECT id, round(coalesce(s - o, 0.0), 4) + 0.0 AS velocity, round(coalesce((s - o) / 60, 0.0), 4) + 0.0 AS rate, round(coalesce((s - m) - (m - o), 0.0), 4) + 0.0 AS turn FROM v""")
 def _smom(spark, sf):
     return se.sentiment_momentum(_p(spark, sf)).select("id", *[tidy(c).alias(c) for c in ("velocity", "rate", "turn")])
 
 
-@query("cross_source_sentiment", f"""WITH {POSTS}, n AS (SELECT symbol, source, arg_max(score, (ts, id)) AS s FROM posts GROUP BY 1, 2),
+@query("cross_source_sentiment", f"""WITH {SCORED}, n AS (SELECT symbol, source, arg_max(score, (ts, id)) AS s FROM posts GROUP BY 1, 2),
 w AS (SELECT *, CASE source WHEN 'news' THEN 1.0 WHEN 'twitter' THEN 0.7 ELSE 0.5 END AS w FROM n)
 SELECT symbol, round(sum(s * w) / sum(w), 4) + 0.0 AS weighted, count(*) AS sources FROM w GROUP BY symbol""")
 def _cross(spark, sf):
     return se.cross_source(_p(spark, sf)).select("symbol", tidy("weighted").alias("weighted"), "sources")
 
 
-@query("producer_signal", f"""WITH {POSTS}, n AS (SELECT symbol, source, avg(score) AS s, count(*) AS n FROM posts GROUP BY 1, 2),
+@query("producer_signal", f"""WITH {SCORED}, n AS (SELECT symbol, source, avg(score) AS s, count(*) AS n FROM posts GROUP BY 1, 2),
 w AS (SELECT *, CASE source WHEN 'news' THEN 0.6 * least(n, 5) WHEN 'telegram' THEN 0.4 * least(n / 10, 1.0) ELSE 0.5 END AS w FROM n),
 a AS (SELECT symbol, sum(s * w) / sum(w) AS s, CAST(sum(n) AS BIGINT) AS n FROM w GROUP BY symbol)
 SELECT symbol, round(s, 4) + 0.0 AS score, n, CASE WHEN s > 0.3 THEN 'bullish' WHEN s < -0.3 THEN 'bearish' ELSE 'neutral' END AS signal FROM a""")
@@ -208,20 +206,20 @@ def _producer(spark, sf):
     return se.producer_signal(_p(spark, sf)).select("symbol", tidy("score").alias("score"), "n", "signal")
 
 
-@query("follower_weighted", f"""WITH {POSTS}, w AS (SELECT *, 1 + least(engagement * 50 / 1000, 10.0) AS w FROM posts)
+@query("follower_weighted", f"""WITH {SCORED}, w AS (SELECT *, 1 + least(engagement * 50 / 1000, 10.0) AS w FROM posts)
 SELECT symbol, round(sum(score * w) / sum(w), 4) + 0.0 AS score, count(*) AS n, CASE WHEN sum(score * w) / sum(w) > 0.3 THEN 'bullish' WHEN sum(score * w) / sum(w) < -0.3 THEN 'bearish' ELSE 'neutral' END AS signal FROM w GROUP BY symbol""")
 def _followers(spark, sf):
     return se.follower_weighted(_p(spark, sf), F.col("engagement") * 50).select("symbol", tidy("score").alias("score"), "n", "signal")
 
 
-@query("discussion_score", f"""WITH {POSTS}, r AS (SELECT *, (score + 1) / 2 AS ratio FROM posts)
+@query("discussion_score", f"""WITH {SCORED}, r AS (SELECT *, (score + 1) / 2 AS ratio FROM posts)
 SELECT symbol, round(greatest(-1.0, least(1.0, avg((2 * ratio - 1) * (1 + engagement / 100)))), 4) + 0.0 AS score, count(*) AS mentions, sum(engagement) AS engagement,
   round(avg(ratio), 4) + 0.0 AS mean_ratio FROM r GROUP BY symbol""")
 def _discussion(spark, sf):
     return se.discussion_score(_p(spark, sf).withColumn("ratio", (F.col("score") + 1) / 2)).select("symbol", tidy("score").alias("score"), "mentions", "engagement", tidy("mean_ratio").alias("mean_ratio"))
 
 
-@query("credibility", f"""WITH {POSTS},
+@query("credibility", f"""WITH {SCORED},
 o AS (SELECT source, score > 0 AS predicted, quality = 1 AS actual, greatest(0.1, abs(score)) AS st FROM posts JOIN labels ON id = doc_id),
 c AS (SELECT source, 5 + sum(CASE WHEN predicted = actual THEN st ELSE 0 END) AS h, 5 + sum(CASE WHEN predicted <> actual THEN st ELSE 0 END) AS m FROM o GROUP BY source)
 SELECT source, round(greatest(5.0, h * 0.95), 4) + 0.0 AS hits, round(greatest(5.0, m * 0.95), 4) + 0.0 AS misses, round(h / (h + m), 4) + 0.0 AS credibility,
@@ -231,7 +229,7 @@ def _cred(spark, sf):
     return se.decay_credibility(se.credibility(o)).select("source", *[tidy(c).alias(c) for c in ("hits", "misses", "credibility", "weight")])
 
 
-@query("dual_path_disagreement", f"""WITH {POSTS}, d AS (SELECT id, abs(score - (engagement / 100 - 1)) AS g, score, engagement FROM posts)
+@query("dual_path_disagreement", f"""WITH {SCORED}, d AS (SELECT id, abs(score - (engagement / 100 - 1)) AS g, score, engagement FROM posts)
 SELECT id, round(g, 4) + 0.0 AS gap, CASE WHEN g > 1 THEN 'severe' WHEN g > 0.5 THEN 'high' WHEN g > 0.3 THEN 'moderate' ELSE 'low' END AS kind, round(0.8 * (1 - g / 2), 4) + 0.0 AS confidence,
   CASE WHEN score > 0.3 AND engagement / 100 < 0.8 THEN 'weak_rise' WHEN score < -0.3 AND engagement / 100 < 0.8 THEN 'weak_fall'
     WHEN score > 0.3 AND engagement / 100 > 1.2 THEN 'confirmed_rise' WHEN score < -0.3 AND engagement / 100 > 1.2 THEN 'confirmed_fall' ELSE 'none' END AS divergence FROM d""")
@@ -241,21 +239,25 @@ def _disagree(spark, sf):
     return p.select("id", d.alias("d"), se.volume_divergence(F.col("score"), F.col("engagement") / 100).alias("divergence")).select("id", tidy("d.gap").alias("gap"), "d.kind", tidy("d.confidence").alias("confidence"), "divergence")
 
 
-@query("sentiment_spillover", f"""WITH {POSTS},
-k(key, coef, lg) AS (VALUES {', '.join(str(x) for x in se.SPILLOVER)}),
+_TARGETS = (*se.SPILLOVER, "LTCUSDT")  # the last one has the default
+
+
+@query("sentiment_spillover", f"""WITH {SCORED},
+k(target, coef, lag) AS (VALUES {', '.join(f"('{k}', {c}, {m})" for k, (c, m) in {**se.SPILLOVER, _TARGETS[-1]: se.SPILLOVER_DEFAULT}.items())}),
 s AS (SELECT id AS sid, ts, score FROM posts WHERE symbol = 'S0'),
-t AS (SELECT key, id, ts - to_minutes(lg) AS at, coef FROM posts JOIN k ON CAST(substr(symbol, 2) AS INT) = key),
-j AS (SELECT t.key, t.id, t.coef, s.score FROM t ASOF LEFT JOIN s ON t.at >= s.ts),
-e AS (SELECT key, id, coalesce(score, (SELECT arg_min(score, (ts, sid)) FROM s)) * coef AS e FROM j)
-SELECT key, id, round(CASE WHEN e < 0 THEN e * 1.3 ELSE e END, 4) + 0.0 AS spill FROM e""")
+t AS (SELECT k.*, p.id, p.ts - to_minutes(lag) AS at FROM posts p JOIN k ON k.target = [{', '.join(f"'{k}'" for k in _TARGETS)}][p.id % {len(_TARGETS)} + 1]),
+j AS (SELECT t.*, s.score FROM t ASOF LEFT JOIN s ON t.at >= s.ts),
+e AS (SELECT *, coalesce(score, (SELECT arg_min(score, (ts, sid)) FROM s)) AS source_score FROM j)
+SELECT target, id, coef::DOUBLE AS coef, lag, round(source_score, 4) + 0.0 AS source_score, round(source_score * coef * CASE WHEN source_score < 0 THEN 1.3 ELSE 1 END, 4) + 0.0 AS spill FROM e""")
 def _spill(spark, sf):
+    """What the source's sentiment does to each target after its lag: seven targets and one that the table lacks."""
     p = _p(spark, sf)
-    k = spark.createDataFrame([(a, float(b), c) for a, b, c in se.SPILLOVER], "key int, coef double, lag int")
-    t = p.join(F.broadcast(k), F.substring("symbol", 2, 9).cast("int") == F.col("key")).select("key", "id", "ts", "coef", "lag")
-    return se.spillover(t, p.where("symbol = 'S0'").select("id", "ts", "score")).select("key", "id", tidy("spill").alias("spill"))
+    target = F.element_at(F.array(*[F.lit(k) for k in _TARGETS]), (F.col("id") % len(_TARGETS) + 1).cast("int"))
+    out = se.spillover(p.select(target.alias("target"), "id", "ts"), p.where("symbol = 'S0'").select("id", "ts", "score"))
+    return out.select("target", "id", "coef", "lag", tidy("source_score").alias("source_score"), tidy("spill").alias("spill"))
 
 
-@query("model_majority", f"""WITH {POSTS},
+@query("model_majority", f"""WITH {SCORED},
 m AS (
   SELECT id, unnest([0, 1, 2]) AS model, unnest([score, engagement / 100 - 1, (id % 21) / 10.0 - 1]) AS score, unnest([0.9, 0.6, 0.5 + (id % 5) / 10.0]) AS confidence FROM posts),
 l AS (SELECT *, CASE WHEN score > 0.3 THEN 'bullish' WHEN score < -0.3 THEN 'bearish' ELSE 'neutral' END AS label FROM m),

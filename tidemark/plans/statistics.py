@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import tidy
+from tidemark.functions.columns import normal_sql, tidy
 from tidemark.plans.collect import collector
-from tidemark.operators import bars as quality, statistics as st
+from tidemark.operators import bars as quality, stationarity as st_, statistics as st
 from tidemark.sources.fixtures import BARS, TICKS, bars, ticks
 
 RETURNS = f"""{BARS},
@@ -158,7 +160,44 @@ def _level1(spark, sf):
     return quality.level1(bars(spark, sf).withColumn("seq", F.unix_micros("ts")))
 
 
-@query("bar_quality_level2", f"""WITH {RETURNS},
+def _solved(name: str, n: int, last: int) -> str:
+    """Elimination of the matrices m (n x n) of table ``name``, column after column up to ``last``: k columns are done."""
+    row, col = f"m[(q // {n}) * {n} + k + 1]", f"m[k * {n} + q % {n} + 1]"
+    pivot = f"m[k * {n} + k + 1]"
+    return f"""{name}e AS (SELECT *, 0 AS k FROM {name} UNION ALL
+  SELECT * EXCLUDE (m, k), CASE WHEN {pivot} > 1e-300 THEN list_transform(range({n * n}), lambda q: m[q + 1] - {row} * {col} / {pivot}) ELSE m END AS m, k + 1 AS k FROM {name}e WHERE k <= {last})"""
+
+
+def _tests_sql(most: int = 10) -> str:
+    n = most + 3
+    e = lambda i, j, size=n: f"m[{i * size + j + 1}]"
+    sums = lambda size: ", ".join(f"sum(v[{i + 1}] * v[{j + 1}])" for i in range(size) for j in range(size))
+    lx, dy = most + 1, most + 2
+    ssr = f"({e(dy, dy)} - {e(lx, dy)} * {e(lx, dy)} / {e(lx, lx)})"
+    p = lambda c: " + ".join(f"{a!r} * pow(t, {i})" for i, a in enumerate(c))
+    half = " + ".join(f"pow(lm / 2, {k}) / {math.factorial(k)}" for k in range(most // 2))
+    return f"""
+zr AS (SELECT symbol, ts, ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY ts)) AS r FROM bars),
+zl AS (SELECT symbol, r, [{', '.join(f'lag(r, {i}) OVER w' for i in range(1, most + 2))}] AS l, [{', '.join(f'lag(r * r, {i}) OVER w' for i in range(1, most + 1))}] AS q FROM zr WHERE r IS NOT NULL WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
+zc AS (SELECT symbol, len(list_filter(l, lambda x: x IS NOT NULL)) AS known, [1.0::DOUBLE, {', '.join(f'coalesce(l[{i}] - l[{i + 1}], 0)' for i in range(1, most + 1))}, coalesce(l[1], 0), coalesce(r - l[1], 0)] AS v FROM zl),
+zs AS (SELECT symbol, v, unnest(range(known)) AS lags FROM zc),
+za AS (SELECT symbol, lags, count(*) AS rows, [{sums(n)}] AS m FROM zs GROUP BY 1, 2),
+{_solved('za', n, most)},
+zf AS (SELECT symbol, lags AS sample, k - 1 AS lags, rows * ln({ssr} / rows) + 2 * (k + 1) AS aic, {e(lx, dy)} / {e(lx, lx)} / sqrt({ssr} / (rows - k - 1) / {e(lx, lx)}) AS t FROM zae WHERE k > 0 AND {e(lx, lx)} > 1e-300 AND {ssr} > 0 AND rows > k + 1),
+zb AS (SELECT symbol, arg_min(lags, (aic, lags)) AS lags FROM zf WHERE sample = {most} GROUP BY symbol),
+zt AS (SELECT symbol, zb.lags AS adf_lags, t FROM zb JOIN zf USING (symbol, lags) WHERE zf.sample = zb.lags),
+zp AS (SELECT symbol, adf_lags, t AS adf_statistic, CASE WHEN t > {st_.TAU_MOST} THEN 1.0 WHEN t < {st_.TAU_LEAST} THEN 0.0 WHEN t <= {st_.TAU_MIDDLE} THEN {normal_sql('(' + p(st_.TAU_SMALL) + ')')} ELSE {normal_sql('(' + p(st_.TAU_LARGE) + ')')} END AS adf_p FROM zt),
+zq AS (SELECT symbol, list_concat(list_concat([1.0::DOUBLE], q), [r * r]) AS v FROM zl WHERE q[{most}] IS NOT NULL),
+zh AS (SELECT symbol, count(*) AS rows, [{sums(most + 2)}] AS m FROM zq GROUP BY 1),
+{_solved('zh', most + 2, most)},
+zm AS (SELECT a.symbol, a.rows * (1 - b.m[{(most + 2) ** 2}] / a.m[{(most + 2) ** 2}]) AS lm FROM zhe a JOIN zhe b ON a.symbol = b.symbol AND a.k = 1 AND b.k = {most + 1} AND a.m[{(most + 2) ** 2}] > 0),
+zz AS (SELECT symbol, adf_lags, adf_statistic, adf_p, lm AS arch_lm, exp(-lm / 2) * ({half}) AS arch_p FROM (SELECT DISTINCT symbol FROM bars) LEFT JOIN zp USING (symbol) LEFT JOIN zm USING (symbol))"""
+
+
+_TESTS = ("adf_statistic", "adf_p", "arch_lm", "arch_p")
+
+
+@query("bar_quality_level2", f"""WITH RECURSIVE {RETURNS}, {_tests_sql()},
 r AS (
   SELECT symbol, ts, ret, lag(ret, 1) OVER w AS r1, lag(ret, 5) OVER w AS r5, epoch(ts) - lag(epoch(ts)) OVER w AS gap
   FROM rets WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
@@ -166,8 +205,24 @@ f AS (SELECT symbol, mode(gap) AS step FROM r GROUP BY symbol),
 m AS (SELECT symbol, avg(ret) AS mu, stddev_pop(ret) AS sd FROM r GROUP BY symbol)
 SELECT r.symbol, count(*) AS n, round(avg(((ret - mu) / sd) ** 3), 4) + 0.0 AS skew, round(avg(((ret - mu) / sd) ** 4) - 3, 4) + 0.0 AS kurtosis,
   round(corr(ret, r1), 4) + 0.0 AS auto1, round(corr(ret, r5), 4) + 0.0 AS auto5,
-  round(count(*) FILTER (gap > step) / count(gap), 4) + 0.0 AS gap_ratio, round(avg(ret) / stddev_samp(ret) * sqrt(525600), 4) + 0.0 AS sharpe
-FROM r JOIN f USING (symbol) JOIN m USING (symbol) GROUP BY r.symbol""")
+  round(count(*) FILTER (gap > step) / count(gap), 4) + 0.0 AS gap_ratio, round(avg(ret) / stddev_samp(ret) * sqrt(525600), 4) + 0.0 AS sharpe,
+  any_value(adf_lags)::INT AS adf_lags, {', '.join(f'round(any_value({c}), 4) + 0.0 AS {c}' for c in _TESTS)}
+FROM r JOIN f USING (symbol) JOIN m USING (symbol) JOIN zz USING (symbol) GROUP BY r.symbol""")
 def _level2(spark, sf):
-    out = quality.level2(st.log_return(bars(spark, sf)))
-    return out.select("symbol", "n", *[tidy(c).alias(c) for c in ("skew", "kurtosis", "auto1", "auto5", "gap_ratio", "sharpe")])
+    """Shape of returns with the Dickey-Fuller and ARCH-LM tests."""
+    b = bars(spark, sf)
+    out = quality.level2(st.log_return(b)).join(quality.level2_tests(b), "symbol")
+    return out.select("symbol", "n", *[tidy(c).alias(c) for c in ("skew", "kurtosis", "auto1", "auto5", "gap_ratio", "sharpe")], "adf_lags", *[tidy(c).alias(c) for c in _TESTS])
+
+
+@query("bar_quality_full", f"""WITH a AS ({ORACLES['bar_quality_level1']}), b AS ({ORACLES['bar_quality_level2']}),
+c AS (
+  SELECT a.symbol, a.n, a.passed AS level1_passed, concat_ws(',', {', '.join(f"CASE WHEN a.{c} > 0 THEN '{c}' END" for c in ("nulls", "high_below_low", "high_below", "low_above", "duplicate_ts", "negative_volume", "non_positive", "jumps", "out_of_order"))}) AS faults,
+    concat_ws(',', CASE WHEN NOT a.passed THEN 'level1_failed' END, CASE WHEN a.passed AND a.n < 100 THEN 'insufficient_data' END, CASE WHEN a.passed AND a.n >= 100 AND gap_ratio > 0.05 THEN 'excessive_gaps' END) AS issues,
+    CASE WHEN a.passed AND a.n >= 100 THEN concat_ws(',', CASE WHEN abs(skew) > 5 THEN 'extreme_skew' END, CASE WHEN kurtosis > 20 THEN 'heavy_tails' WHEN kurtosis < 0 THEN 'light_tails' END, CASE WHEN abs(auto1) < 0.01 AND a.n > 1001 THEN 'no_autocorrelation' END,
+      CASE WHEN adf_p > 0.05 THEN 'not_stationary' END, CASE WHEN arch_p > 0.10 THEN 'no_arch_effects' END, CASE WHEN gap_ratio > 0.01 THEN 'gaps' END) ELSE '' END AS warnings
+  FROM a JOIN b USING (symbol))
+SELECT *, issues = '' AS overall_passed FROM c""")
+def _full(spark, sf):
+    """Both levels; the second is worked out only for symbols that pass the first."""
+    return quality.full(st.log_return(bars(spark, sf)).withColumn("seq", F.unix_micros("ts")))

@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import at, clip, normal_sql, over, tidy
-from tidemark.operators import validation as va
+from tidemark.operators import chunked as ch, validation as va
 from tidemark.operators.statistics import log_return
 from tidemark.plans.collect import collector
 from tidemark.plans.layer import ORACLES as LAYER, QUERIES as LAYER_QUERIES
@@ -170,40 +170,46 @@ def _deflated(spark, sf):
 
 
 def _excess(spark, sf):
-    """Returns of all symbols, each numbered from 0 over its own length, and the lengths."""
-    r = va.numbered(log_return(bars(spark, sf)).select(F.col("symbol").alias("strategy"), "ts", F.col("ret").alias("x")), "strategy")
-    return r.select("strategy", "i", "x"), r.groupBy("strategy").agg(F.first("n").alias("n"))
+    """Returns of all symbols in excess of the mean of those that have one at that time, and the length of their time line."""
+    r = ch.log_return(bars(spark, sf)).select(F.col("symbol").alias("strategy"), "ts", "ret")
+    benchmark = r.groupBy("ts").agg(F.avg("ret").alias("benchmark"))
+    excess = r.join(benchmark, "ts").select("strategy", "ts", (F.col("ret") - F.col("benchmark")).alias("x"))
+    sums = va.running_sums(excess)
+    return sums, excess.agg(F.count_distinct("ts").alias("n"))
 
 
+_EX = """e AS (SELECT symbol AS strategy, ts, ret - avg(ret) OVER (PARTITION BY ts) AS x FROM rets),
+tl AS (SELECT ts, row_number() OVER (ORDER BY ts) AS i FROM (SELECT DISTINCT ts FROM e)), p AS (SELECT count(*) AS n, CAST(floor(sqrt(count(*))) AS BIGINT) AS blk FROM tl),
+pf AS (SELECT y.strategy, tl.i, count(x) OVER w AS k, coalesce(sum(x) OVER w, 0) AS s, coalesce(sum(x * x) OVER w, 0) AS q FROM tl CROSS JOIN (SELECT DISTINCT strategy FROM e) y LEFT JOIN e ON e.ts = tl.ts AND e.strategy = y.strategy WINDOW w AS (PARTITION BY y.strategy ORDER BY tl.i ROWS UNBOUNDED PRECEDING))"""
 _BOOT = """o AS (SELECT strategy, avg(x) AS mean, avg(x) / (stddev_samp(x) / sqrt(count(*))) AS stat FROM e GROUP BY strategy),
-bo AS (SELECT strategy, rep, avg(x) AS m, stddev_samp(x) / sqrt(count(*)) AS se FROM dr JOIN e USING (strategy, i) GROUP BY 1, 2),
+bb AS (SELECT z.strategy, rep, sum(z.k - coalesce(y.k, 0)) AS k, sum(z.s - coalesce(y.s, 0)) AS s, sum(z.q - coalesce(y.q, 0)) AS q FROM sg JOIN pf z ON z.i = sg.stop LEFT JOIN pf y ON y.i = sg.start AND y.strategy = z.strategy GROUP BY 1, 2),
+bo AS (SELECT strategy, rep, s / k AS m, sqrt((q - s * s / k) / (k - 1)) / sqrt(k) AS se FROM bb),
 t AS (SELECT strategy, rep, stat, m / se AS plain, (m - mean) / se AS cen FROM bo JOIN o USING (strategy)),
 b AS (SELECT avg((top >= (SELECT max(stat) FROM o))::INT) AS p_best FROM (SELECT rep, max(cen) AS top FROM t GROUP BY rep))
 SELECT strategy, round(any_value(stat), 4) + 0.0 AS stat, round(avg((plain >= stat)::INT), 4) + 0.0 AS p_white, round(avg((0.0 >= stat)::INT), 4) + 0.0 AS p_spa,
   round(avg((cen >= stat)::INT), 4) + 0.0 AS p_centred, round(any_value(p_best), 4) + 0.0 AS p_best FROM t, b GROUP BY strategy"""
-_EX = "e AS (SELECT symbol AS strategy, ret AS x, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS i FROM rets), p AS (SELECT strategy, count(*) AS n, CAST(floor(sqrt(count(*))) AS BIGINT) AS blk FROM e GROUP BY strategy)"
 _P_COLUMNS = ("stat", "p_white", "p_spa", "p_centred", "p_best")
 
 
 @query("bootstrap_test", f"""WITH {RETURNS}, {_EX},
-g AS (SELECT strategy, rep, b, n, blk FROM (SELECT strategy, unnest(range(200)) AS rep, n, blk FROM p), LATERAL (SELECT unnest(range(n // blk)) AS b)),
-dr AS (SELECT strategy, rep, (rep * 48271 + b * 69621 + 12345 + rep * b * 7919) % (n - blk + 1) + k AS i FROM g, LATERAL (SELECT unnest(range(blk)) AS k)),
+g AS (SELECT rep, b, n, blk FROM (SELECT unnest(range(200)) AS rep, n, blk FROM p), LATERAL (SELECT unnest(range(n // blk)) AS b)),
+sg AS (SELECT rep, (rep * 48271 + b * 69621 + 12345 + rep * b * 7919) % (n - blk + 1) AS start, (rep * 48271 + b * 69621 + 12345 + rep * b * 7919) % (n - blk + 1) + blk AS stop FROM g),
 {_BOOT}""")
 def _bootstrap(spark, sf):
-    excess, lengths = _excess(spark, sf)
-    return va.bootstrap_test(excess, va.block_draws(lengths, 200)).select("strategy", *[tidy(c).alias(c) for c in _P_COLUMNS])
+    sums, length = _excess(spark, sf)
+    return va.bootstrap_test(sums, va.shared_blocks(length, 200)).select("strategy", *[tidy(c).alias(c) for c in _P_COLUMNS])
 
 
 @query("stationary_bootstrap", f"""WITH {RETURNS}, {_EX},
-g AS (SELECT strategy, rep, n, unnest(range(n)) AS place FROM (SELECT strategy, n, unnest(range(100)) AS rep FROM p)),
+g AS (SELECT rep, n, unnest(range(n)) AS place FROM (SELECT n, unnest(range(100)) AS rep FROM p)),
 h AS (SELECT *, (rep * 48271 + place * 69621 + rep * place * 7919 + 12345) % 1000003 AS h FROM g),
-f AS (SELECT *, max(CASE WHEN place = 0 OR h % 10 = 0 THEN place END) OVER (PARTITION BY strategy, rep ORDER BY place) AS begun FROM h),
-dr AS (SELECT f.strategy, f.rep, (z.h % f.n + f.place - f.begun) % f.n AS i FROM f JOIN h z ON z.strategy = f.strategy AND z.rep = f.rep AND z.place = f.begun),
+f AS (SELECT rep, n, h % n AS start, coalesce(lead(place) OVER (PARTITION BY rep ORDER BY place), n) - place AS size FROM h WHERE place = 0 OR h % 10 = 0),
+sg AS (SELECT rep, start, least(n, start + size) AS stop FROM f UNION ALL SELECT rep, 0, start + size - n FROM f WHERE start + size > n),
 {_BOOT}""")
 def _stationary(spark, sf):
     """The same test on blocks of geometric length that wrap around."""
-    excess, lengths = _excess(spark, sf)
-    return va.bootstrap_test(excess, va.geometric_draws(lengths, 100)).select("strategy", *[tidy(c).alias(c) for c in _P_COLUMNS])
+    sums, length = _excess(spark, sf)
+    return va.bootstrap_test(sums, va.geometric_blocks(length, 100)).select("strategy", *[tidy(c).alias(c) for c in _P_COLUMNS])
 
 
 @query("family_wise_error", """WITH p AS (SELECT n_name AS name, (n_nationkey * n_nationkey * 7 % 500) / 5000.0 AS p FROM nation),

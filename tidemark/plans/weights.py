@@ -10,7 +10,7 @@ from tidemark.operators.statistics import log_return
 from tidemark.plans.collect import collector
 from tidemark.plans.recursions import _r, staged
 from tidemark.plans.statistics import RETURNS
-from tidemark.sources.fixtures import POSTS, bars, posts
+from tidemark.sources.fixtures import SCORED, bars, scored_posts
 
 QUERIES, ORACLES, query = collector()
 
@@ -60,21 +60,21 @@ def _weights(spark, sf):
 _MULT = " ".join(f"WHEN market = '{m}' AND source = '{s}' THEN {v}" for m, by in we.MULTIPLIERS.items() for s, v in by.items())
 
 
-@query("session_weights", f"""WITH {POSTS}, m AS (SELECT *, ['Bull', 'Bear', 'Range'][CAST(id % 3 + 1 AS INT)] AS market FROM posts)
+@query("session_weights", f"""WITH {SCORED}, m AS (SELECT *, ['Bull', 'Bear', 'Range'][CAST(id % 3 + 1 AS INT)] AS market FROM posts)
 SELECT id, ([{', '.join(map(str, we.HOURS))}][CAST(hour(ts) + 1 AS INT)])::DOUBLE AS hour_weight, (CASE {_MULT} ELSE 1.0 END)::DOUBLE AS multiplier,
   round(score * [{', '.join(map(str, we.HOURS))}][CAST(hour(ts) + 1 AS INT)] * CASE {_MULT} ELSE 1.0 END, 4) + 0.0 AS weighted FROM m""")
 def _sessions(spark, sf):
     """A post's score by the hour of the day and by how much its source counts in the market."""
     market = F.element_at(F.array(F.lit("Bull"), F.lit("Bear"), F.lit("Range")), (F.col("id") % 3 + 1).cast("int"))
-    p = posts(spark, sf).select("id", "score", we.hour_weight(F.col("ts")).alias("hour_weight"), we.regime_multiplier(market, F.col("source")).alias("multiplier"))
+    p = scored_posts(spark, sf).select("id", "score", we.hour_weight(F.col("ts")).alias("hour_weight"), we.regime_multiplier(market, F.col("source")).alias("multiplier"))
     return p.select("id", "hour_weight", "multiplier", tidy(F.col("score") * F.col("hour_weight") * F.col("multiplier")).alias("weighted"))
 
 
-@query("confidence_weighted", f"""WITH {POSTS}, c AS (
+@query("confidence_weighted", f"""WITH {SCORED}, c AS (
   SELECT symbol, score, 0.4 + (id % 7) / 10.0 AS conf, CASE WHEN source = 'news' THEN 0.65 WHEN source = 'twitter' AND id % 3 = 0 THEN 0.35 ELSE 0.2 END AS base FROM posts)
 SELECT symbol, round(sum(score * base * conf * conf) / sum(base * conf * conf), 4) + 0.0 AS score FROM c GROUP BY symbol""")
 def _confident(spark, sf):
-    p = posts(spark, sf)
+    p = scored_posts(spark, sf)
     source = F.when((F.col("source") == "twitter") & (F.col("id") % 3 == 0), "vader").otherwise(F.col("source"))
     p = p.select("symbol", source.alias("source"), "score", (0.4 + (F.col("id") % 7) / 10).alias("confidence"), F.lit(0.35).alias("w_lexicon"), F.lit(0.65).alias("w_model"), F.lit(0.2).alias("w_social"))
     return we.confidence_weighted(p, "symbol").select("symbol", tidy("score").alias("score"))

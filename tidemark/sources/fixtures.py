@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidemark.operators import valence
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -82,19 +84,31 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "text",
         (F.col("n_chars") % 200).cast("double").alias("engagement"),
         F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 60).alias("ts"),
-        # a stand-in for a model's score: a fixed function of length in [-1, 1]
-        ((F.col("n_chars") * 37 % 201) / 100.0 - 1.0).alias("score"),
     )
 
 
+def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """word and valence: the terms of the trade and what the labelled documents' words tell of their labels."""
+    labelled = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select("text", F.col("quality").alias("label"))
+    return valence.induced_lexicon(labelled).union(valence.trade_terms(spark))
+
+
+def scored_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posts with score, the valence of their whole text."""
+    return valence.scored(posts(spark, sf_dir), lexicon(spark, sf_dir)).withColumnRenamed("compound", "score").drop("pos", "neg", "neu")
+
+
 POSTS = """posts AS (
   SELECT doc_id AS id, 'S' || CAST(doc_id % 5 AS VARCHAR) AS symbol,
          ['twitter', 'reddit', 'news', 'telegram'][CAST(doc_id % 4 + 1 AS INT)] AS source, text,
          CAST(n_chars % 200 AS DOUBLE) AS engagement,
-         TIMESTAMP '2024-01-01' + to_minutes(CAST(doc_id AS INT)) AS ts,
-         (n_chars * 37 % 201) / 100.0 - 1.0 AS score
+         TIMESTAMP '2024-01-01' + to_minutes(CAST(doc_id AS INT)) AS ts
   FROM documents)"""
 
+VALENCE = f"""labelled AS (SELECT doc_id AS id, text, quality AS label FROM documents JOIN labels USING (doc_id)), {valence.lexicon_sql('labelled')},
+texts AS (SELECT doc_id AS id, text FROM documents), {valence.scored_sql('texts')}"""
+SCORED = f"{VALENCE}, {POSTS.replace('posts AS', 'plain AS', 1)}, posts AS (SELECT plain.*, compound AS score FROM plain JOIN valence USING (id))"
+
 
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """book_id with the symbol and the hour (ts) that its book is of."""
