@@ -6,13 +6,14 @@
    their Jaccard similarity, whether bins are filled or not.
 2. ``BANDS`` bands of ``ROWS`` bins hash to buckets. A pair at the threshold of 0.85 shares none of its 32 bands of 5
    with probability below 1e-8.
-3. A bucket's nodes form a star around its node of least hash, which is the same in most buckets of a group: candidate
-   pairs grow with the documents, not with the square of a bucket. Stars are confirmed on full sets, and their links'
-   components need no more comparisons.
-4. The exact rest: buckets that still hold several components may hide links between nodes other than the centre. Their
-   nodes are parted into neighbouring size classes (sizes of a link differ by the threshold at most), buckets of the
-   same nodes count once, and what is left is joined exactly by the metric join of ``jaccard_join``. So no bucket is
-   capped, whatever its size.
+3. A bucket's nodes are parted into neighbouring size classes (sizes of a link differ by the threshold at most), and each
+   part forms a star around its node of least hash, which is the same in most buckets of a group: candidate pairs grow
+   with the documents, not with the square of a bucket. Stars are confirmed on full sets; the components of their links
+   need no more comparisons.
+4. The exact rest: parts that still hold several components may hide links between nodes other than the centre. All
+   nodes of such parts around one centre fall into rings by their confirmed distance from it, as wide as the radius;
+   a link joins nodes of one ring or of neighbours. Rings of several components are joined exactly by the metric join
+   of ``jaccard_join``. So no bucket is capped, whatever its size.
 
 Cases: null, empty and blank texts have no shingle and no link; fewer than k words make one shingle of all; equal sets
 always link; rows are told apart by keys of id and text, so ids may repeat or be null (a null id counts as the largest,
@@ -95,40 +96,43 @@ def _signed(k: int):
     return run
 
 
-def _fits(a: str, b: str, percent: int):
-    """Sizes that a link may join: the smaller is at least the threshold's share of the larger."""
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
-
+def _size_class(n: str, percent: int):
+    """Sizes that a link may join lie in one class or in neighbours."""
+    wide = math.log(100 / percent) * (1 + 1e-9) if percent < 100 else 1e-9
+    return F.floor(F.log(n) / wide).cast("long")
 
-def _open(members: DataFrame, percent: int) -> DataFrame:
-    """region, node and label of the nodes of members(bucket, node, n, label) that a link between components may still join.
 
-    A link's sizes lie in one class or in neighbours, so each node goes to its class and the next.
-    """
-    wide = math.log(100 / percent) * (1 + 1e-9) if percent < 100 else 1e-9
-    size = F.floor(F.log("n") / wide).cast("long")
-    placed = members.select(F.explode(F.array(size, size + 1)).alias("size"), "bucket", "node", "label").select(F.xxhash64("bucket", "size").alias("region"), "node", "label")
+def _open(members: DataFrame) -> DataFrame:
+    """Rows of members(region, node, label) in regions of several components; regions of the same nodes count once."""
     same = [F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y")]
-    ends = placed.groupBy("region").agg(*same, F.min("label").alias("least"), F.max("label").alias("most")).where("least != most")
-    # regions of the same nodes count once
+    ends = members.groupBy("region").agg(*same, F.min("label").alias("least"), F.max("label").alias("most")).where("least != most")
     once = write_and_reread(ends.groupBy("c", "x", "y").agg(F.min("region").alias("region")).select("region"), "open")
-    return placed.join(once, "region")
+    return members.join(once, "region")
 
 
 def _links(buckets: DataFrame, sets, percent: int) -> DataFrame:
     """Links (u, v) that join all linked nodes of each bucket(bucket, node, n), directly or through others; ``sets`` makes the nodes' sets."""
-    centre = F.min(F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("centre"), F.col("n").alias("size"))).alias("x")
-    stars = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("least"), F.max("n").alias("most"), centre).where("c > 1")
-    stars = write_and_reread(stars.select("bucket", "x.centre", "x.size"), "stars")
-    held = write_and_reread(buckets.join(stars, "bucket"), "held")
-    sets = sets(held.select("node").distinct())
-    pairs = held.where((F.col("node") != F.col("centre")) & _fits("n", "size", percent)).select(F.col("centre").alias("u"), F.col("node").alias("v")).distinct()
-    linked = write_and_reread(_verified(pairs, sets, percent).where("linked").select("u", "v"), "linked")
+    many = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("bucket")
+    size = _size_class("n", percent)
+    placed = buckets.join(many, "bucket").select(F.explode(F.array(size, size + 1)).alias("size"), "bucket", "node").select(F.xxhash64("bucket", "size").alias("region"), "node")
+    placed = write_and_reread(placed, "placed")
+    centre = F.min(F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("centre"))).alias("x")
+    centres = write_and_reread(placed.groupBy("region").agg(F.count(F.lit(1)).alias("c"), centre).where("c > 1").select("region", "x.centre"), "centres")
+    held = write_and_reread(placed.join(centres, "region").where("node != centre"), "held")
+    forget(placed, centres)
+    pairs = write_and_reread(held.select(F.col("centre").alias("u"), F.col("node").alias("v")).distinct(), "pairs")
+    sets = sets(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct())
+    stars = write_and_reread(_verified(pairs, sets, percent), "stars")
+    linked = stars.where("linked").select("u", "v")
     label = write_and_reread(connected(linked), "labels")
-    members = held.select("bucket", "node", "n").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    regions = write_and_reread(_open(members, percent), "regions")
+    members = held.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    left = _open(members).select(F.col("centre").alias("u"), F.col("node").alias("v"), "label").distinct()
+    # rings as wide as the radius around a centre: a link joins nodes of one ring or of two neighbours
+    ring = F.floor(F.col("d") * 100 / (100 - percent) + 1e-9).cast("int") if percent < 100 else F.lit(0)
+    rings = left.join(stars, ["u", "v"]).select("u", F.explode(F.array(ring, ring + 1)).alias("ring"), F.col("v").alias("node"), "label")
+    regions = write_and_reread(_open(write_and_reread(rings.select(F.xxhash64("u", "ring").alias("region"), "node", "label"), "rings")), "regions")
     found = write_and_reread(linked.union(_joined(regions, sets, percent)), "links")
-    forget(stars, held, sets, linked, label, regions)
+    forget(held, pairs, sets, stars, label, regions)
     return found
 
 
