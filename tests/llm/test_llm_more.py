@@ -211,7 +211,7 @@ def _changes(spark, rows):
     return spark.createDataFrame(rows, "op string, source string, lang string, version string, n_tokens long, old_tokens long")
 
 
-def test_a_crash_before_publishing_leaves_the_last_version(spark, tmp_path, monkeypatch):
+def test_a_crash_within_publishing_leaves_the_last_version(spark, tmp_path, monkeypatch):
     roll = token_rollups.Rollup(spark, str(tmp_path / "r"))
     assert roll.totals().count() == 0
     roll.commit(1, _changes(spark, [("insert", "a", "en", "v", 5, None)]))
@@ -220,16 +220,28 @@ def test_a_crash_before_publishing_leaves_the_last_version(spark, tmp_path, monk
         raise RuntimeError("lost")
 
     with monkeypatch.context() as m:
-        m.setattr(type(spark), "createDataFrame", crash)
+        m.setattr(token_rollups.Rollup, "_create", crash)
         with pytest.raises(RuntimeError):
-            roll._publish({"version": 1}, 2, roll.totals())
+            roll.commit(2, _changes(spark, [("insert", "a", "en", "v", 7, None)]))
+    # a writer that died within its write leaves a part of a draft, and totals that nothing names
+    (tmp_path / "r/versions/.0123").write_text('{"version": 2, "batch')
+    (tmp_path / "r/totals/lost/_temporary").mkdir(parents=True)
     assert [tuple(r) for r in roll.totals().collect()] == [("a", "en", "v", 1, 5)]
     roll.commit(2, _changes(spark, [("insert", "a", "en", "v", 7, None)]))
     roll.commit(2, _changes(spark, [("insert", "a", "en", "v", 7, None)]))
     assert [tuple(r) for r in roll.totals().collect()] == [("a", "en", "v", 2, 12)]
     assert [r["batch_id"] for r in roll.versions().orderBy("version").collect()] == [1, 2]
-    with pytest.raises(Exception, match="(?i)exist"):  # a second writer of the same version
-        roll._publish({"version": 1}, 9, roll.totals())
+
+
+def test_of_two_writers_of_a_version_one_fails_and_may_commit_again(spark, tmp_path):
+    a, b = (token_rollups.Rollup(spark, str(tmp_path / "r")) for _ in "ab")
+    a.commit(1, _changes(spark, [("insert", "a", "en", "v", 5, None)]))
+    last = b._last()
+    a.commit(2, _changes(spark, [("insert", "a", "en", "v", 7, None)]))
+    with pytest.raises(Exception, match="(?i)exist"):
+        b._publish(last, 3, b._at(last))
+    b.commit(3, _changes(spark, [("delete", "a", "en", "v", 5, None)]))
+    assert [tuple(r) for r in a.totals().collect()] == [("a", "en", "v", 1, 7)] and a.versions().count() == 3
 
 
 def test_feed_takes_nulls(spark, tmp_path):

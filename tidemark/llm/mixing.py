@@ -1,31 +1,32 @@
-"""Mixing sources to target weights by a tree of two-way splits, in DataFrame functions only.
-
-Documents of a source are shuffled by hash and dealt into blocks. Sources lie on a line, each as
-long as its weight, in the order in which they run dry; halving the line again and again until
-each middle is alone makes a binary tree. Of the first j slots of a node its left child, with the
-share r of the node's weight, has floor(j * r + 1/2), the right child the others. So block k of a
-left child sits in its parent's slot ceil((k + 1/2) / r) - 1, of a right child (share r) in slot
-floor((k + 1/2) / r), and a block's slot in the whole mix follows from its number and its source's
-path alone: nothing is scheduled in sequence, and rounding doesn't add up along the run. Against
-its exact target a source deviates by half a block at each split, less those far above it, whose
-share in it is small: by less than a block for three sources or for any number of like ones, and
-by about two at most.
-
-Weights are integers with a sum of about 2 ** 40. Slots go on as if no source ended; those of
-blocks that a source lacks are skipped and the others keep their order, so that the sources that
-last share by their weights. A source whose target is 0 or missing comes after all others. No
-document is dropped or repeated: the weights say how the sources interleave, for as long as each
-lasts.
-
-Cases: a null source is a source of its own; ties of the shuffle are broken by doc_id; rows
-repeated whole keep one place each; an empty table gives an empty result.
+"""Mixing sources to target weights by Pfair scheduling, in DataFrame functions only.
+
+Documents of a source are shuffled by hash and dealt into blocks; a mix is an order of blocks, one a slot. A source with
+weight a of q in all (integers) owes its block k a slot from its release floor(k q / a) to before its deadline
+ceil((k + 1) q / a), and earliest deadline first keeps every deadline, as the weights sum to one: at any slot a source's
+blocks differ from its exact share by less than one. Releases, deadlines and so the schedule repeat with every q slots,
+each source taking a of them. So the schedule of one period, a fold over its slots with one row of counters, gives the
+slot of every block of any run: block k sits in period k div a at the place of the source's block k mod a. Nothing is
+scheduled in sequence beyond the period, and a hot source is joined with one row of the period.
+
+Weights are integers by what they are to stand for: targets that are ratios of small numbers exactly, others to about
+1 / PERIOD, or to a sixteenth of an even share where there are many sources. Slots go on as if no source ended; those of
+blocks that a source lacks are skipped and the others keep their order, so that the sources that last share by their
+weights. A source whose target is 0 or missing comes after all others, those among themselves by their rows. No document
+is dropped or repeated: the weights say how the sources interleave, for as long as each lasts.
+
+Cases: a null source is a source of its own; ties of the shuffle are broken by doc_id (null first); rows repeated whole
+keep one place each; a text of any length is a document like others; an empty table gives an empty result. Extra columns
+pass through; columns of the names mix_unit, mix_slot and mix_at give way to the result's.
 """
 
 from __future__ import annotations
 
+import math
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from tidemark.llm.common import shuffle_partitions
+from tidemark.llm.common import shuffle_partitions, write_and_reread
 
 #: Temperature of the default weights: a source's share is proportional to rows ** ALPHA.
 ALPHA = 0.5
@@ -33,89 +34,85 @@ ALPHA = 0.5
 SLOTS = 200
 #: Documents a block.
 BLOCK = 64
-#: Bits of the weights' sum. Middles of sources are apart by half a weight at least, so some halvings more split all.
-BITS, DEPTH = 40, 44
+#: Slots of a period, about, and the most that exact targets may take; slots of a period for each source, at least.
+PERIOD, MOST_EXACT, EACH = 4096, 1 << 16, 16
+
+MADE = ("mix_unit", "mix_slot", "mix_at")
 
 
-#: The slot of a source's block k: from its own number up to the root.
-_SLOT = """aggregate(path, {k}, (k, x) -> if(x.left,
-    ((2 * cast(k AS decimal(20, 0)) + 1) * x.of + 2 * x.w - 1) div (2 * x.w) - 1,
-    ((2 * cast(k AS decimal(20, 0)) + 1) * x.of) div (2 * x.w)))"""
+def _key(source: Column) -> Column:
+    """Never null; a null source gets a name of its own."""
+    return F.coalesce(source.cast("string"), F.lit("\0"))
 
 
-def source_paths(keyed: DataFrame, target: dict[str | None, float] | None = None, block: int = BLOCK) -> DataFrame:
-    """source_key, path (its splits, from the lowest up) and base (slots before its first).
+def exact_weights(target: dict[str | None, float]) -> dict[str | None, int] | None:
+    """Integers in the ratio of the targets above 0, if a period of at most MOST_EXACT slots holds them to within a double's digits."""
+    some = {s: w for s, w in target.items() if w > 0}
+    total = sum(some.values())
+    parts = {s: Fraction(w / total).limit_denominator(MOST_EXACT) for s, w in some.items()}
+    period = math.lcm(*(p.denominator for p in parts.values())) if parts else 0
+    if not 0 < period <= MOST_EXACT or sum(parts.values()) != 1 or any(abs(p - Fraction(some[s] / total)) > Fraction(1, 10**12) for s, p in parts.items()):
+        return None
+    return {s: int(p * period) for s, p in parts.items()}
 
-    One row a source: what windows over all of them gather is as small as the list of sources.
+
+def weights(sources: DataFrame, target: dict[str | None, float] | None = None) -> DataFrame:
+    """source_key, n, rest (comes after all others) and a, the integer weight within its group, from (source_key, n).
+
+    One row a source. Their sum and number are one row, met by all.
     """
-    counts = keyed.groupBy("source_key").agg(F.count(F.lit(1)).alias("n"))
-    if target is None:
-        share = F.pow(F.col("n").cast("double"), F.lit(ALPHA))
-    else:
+    share, whole = F.pow(F.col("n").cast("double"), F.lit(ALPHA)), None
+    if target is not None:
+        whole = exact_weights(target)
         share = F.lit(0.0)
-        for source, weight in target.items():
+        for source, weight in (whole or target).items():
             share = F.when(F.col("source_key") == _key(F.lit(source)), F.lit(float(weight))).otherwise(share)
-    group = W.partitionBy("rest")
-    line = group.orderBy(F.col("blocks") / F.col("a"), "source_key").rowsBetween(W.unboundedPreceding, 0)
-    sources = counts.select("source_key", "n", F.ceil(F.col("n") / block).cast("long").alias("blocks"), share.alias("share"))
-    sources = sources.withColumn("rest", F.col("share") <= 0).withColumn("share", F.when(F.col("rest"), F.col("n").cast("double")).otherwise(F.col("share")))
-    sources = sources.withColumn("a", F.greatest(F.lit(1), F.round(F.col("share") / F.sum("share").over(group) * (1 << BITS))).cast("long"))
-    sources = sources.withColumn("middle", (F.sum("a").over(line) - F.col("a") / 2) / F.sum("a").over(group))
-    cells = sources.withColumn("depth", F.explode(F.sequence(F.lit(0), F.lit(DEPTH)))).withColumn("cell", F.floor(F.col("middle") * F.pow(F.lit(2.0), F.col("depth"))))
-    cells = cells.withColumn("w", F.sum("a").over(W.partitionBy("rest", "depth", "cell")).cast("decimal(14,0)"))
-    nodes = F.array_sort(F.collect_list(F.struct("depth", (F.col("cell") % 2 == 0).alias("left"), "w"))).alias("nodes")
-    path = "filter(transform(sequence({0}, 1, -1), d -> struct(nodes[d].left AS left, nodes[d].w AS w, nodes[d - 1].w AS of)), x -> x.w < x.of)".format(DEPTH)
-    paths = cells.groupBy("source_key", "rest", "blocks").agg(nodes).withColumn("path", F.expr(path))
-    last = F.max(F.when(~F.col("rest"), F.expr(_SLOT.format(k="blocks - 1")))).over(W.partitionBy(F.lit(0)))
-    return paths.withColumn("last", last).select("source_key", "path", F.when(F.col("rest"), F.coalesce(F.col("last") + 1, F.lit(0))).otherwise(0).cast("long").alias("base"))
+    sources = sources.select("source_key", "n", share.alias("share")).withColumn("rest", F.col("share") <= 0)
+    sources = sources.withColumn("share", F.when(F.col("rest"), F.col("n").cast("double")).otherwise(F.col("share")))
+    sums = sources.groupBy("rest").agg(F.sum("share").alias("all"), F.greatest(F.lit(PERIOD), EACH * F.count(F.lit(1))).alias("slots"))
+    a = F.greatest(F.lit(1), F.round(F.col("share") / F.col("all") * F.col("slots"))).cast("long")
+    if whole is not None:
+        a = F.when(F.col("rest"), a).otherwise(F.col("share").cast("long"))
+    return sources.join(sums, "rest").select("source_key", "n", "rest", a.alias("a"))
 
 
-def _key(source: Column) -> Column:
-    """Never null; a null source gets a name of its own."""
-    return F.coalesce(source.cast("string"), F.lit("\0"))
+def schedules(weighted: DataFrame) -> DataFrame:
+    """source_key, rest, a, q and slots (of its blocks 0 to a - 1 in a period of q slots): earliest deadline first.
 
+    The fold's state is each source's next release and deadline, both in slots. Ties of deadlines go by source_key.
+    """
+    groups = weighted.groupBy("rest").agg(F.array_sort(F.collect_list(F.struct("source_key", "a"))).alias("member"), F.sum("a").alias("q"))
 
-def _earliest(member: Column, done: Column, slot: Column, q: Column) -> Column:
-    """Struct (deadline, at) of the released block due first, after ``done`` blocks of each source."""
-    candidates = F.transform(
-        member,
-        lambda m, i: F.when(
-            (F.element_at(done, i + 1) < m["a"]) & (F.floor(F.element_at(done, i + 1) * q / m["a"]) <= slot),
-            F.struct(F.ceil((F.element_at(done, i + 1) + 1) * q / m["a"]).cast("long").alias("deadline"), i.cast("long").alias("at")),
-        ),
-    )
-    return F.array_min(F.filter(candidates, lambda x: x.isNotNull()))
+    def due(m: Column, done: Column) -> Column:
+        return F.struct(F.floor(done * F.col("q") / m["a"]).alias("release"), F.ceil((done + 1) * F.col("q") / m["a"]).alias("deadline"), done.alias("done"))
 
+    zero = F.lit(0).cast("long")
+    start = F.struct(F.transform("member", lambda m: due(m, zero)).alias("next"), F.array().cast("array<int>").alias("order"))
 
-def schedules(weights: DataFrame) -> DataFrame:
-    """since_unit, source_key, k, mix_slot: slots by Pfair scheduling (earliest deadline first) of one unit of small integer weights.
+    def step(state: Column, slot: Column) -> Column:
+        ready = F.transform(state["next"], lambda x, i: F.when(x["release"] <= slot, F.struct(x["deadline"].alias("deadline"), i.alias("at"))))
+        at = F.array_min(ready)["at"]  # nulls don't count
+        moved = F.transform(state["next"], lambda x, i: F.when(i == at, due(F.get("member", at), x["done"] + 1)).otherwise(x))
+        return F.struct(moved.alias("next"), F.array_append(state["order"], at).alias("order"))
 
-    The mix doesn't need it; its deviation of less than a block is what splits are held against. The set in force from a unit on holds the sources with more units than that.
-    """
-    sets = (
-        weights.select(F.explode(F.filter("begins", lambda b: b < F.col("units"))).alias("since_unit"), F.struct("source_key", "a").alias("m"))
-        .groupBy("since_unit")
-        .agg(F.array_sort(F.collect_list("m")).alias("member"))
-        .withColumn("q", F.aggregate("member", F.lit(0).cast("long"), lambda t, m: t + m["a"]))
-    )
-    start = F.struct(
-        F.transform("member", lambda m: F.lit(0).cast("long")).alias("done"),
-        F.array().cast("array<struct<at:bigint,k:bigint,slot:bigint>>").alias("out"),
-    )
+    order = F.aggregate(F.sequence(zero, F.col("q") - 1), start, step)["order"]
+    placed = groups.select("rest", "member", "q", F.posexplode(order).alias("slot", "at"))
+    placed = placed.select("rest", "q", F.get("member", F.col("at")).alias("m"), F.col("slot").cast("long").alias("slot"))
+    return placed.groupBy(F.col("m.source_key").alias("source_key"), F.col("m.a").alias("a"), "rest", "q").agg(F.array_sort(F.collect_list("slot")).alias("slots"))
+
+
+def source_slots(keyed: DataFrame, target: dict[str | None, float] | None = None, block: int = BLOCK) -> DataFrame:
+    """source_key, a, q, slots and base (slots before the first of its group): a row a source."""
+    counts = keyed.groupBy("source_key").agg(F.count(F.lit(1)).alias("n"))
+    weighted = weights(counts, target)
+    table = write_and_reread(schedules(weighted).join(weighted.select("source_key", "n"), "source_key"), "schedule")  # the fold runs once
+    last = table.where("not rest").agg(F.max(_slot(F.ceil(F.col("n") / block).cast("long") - 1)).alias("last"))
+    return table.join(last).select("source_key", "a", "q", "slots", F.when(F.col("rest"), F.coalesce(F.col("last") + 1, F.lit(0))).otherwise(0).cast("long").alias("base"))
 
-    def step(state: Column, slot: Column) -> Column:
-        best = _earliest(F.col("member"), state["done"], slot, F.col("q"))["at"]
-        return F.struct(
-            F.transform(state["done"], lambda d, i: d + F.when(i == best, F.lit(1)).otherwise(F.lit(0)).cast("long")).alias("done"),
-            F.when(best.isNull(), state["out"])
-            .otherwise(F.array_append(state["out"], F.struct(best.alias("at"), F.element_at(state["done"], (best + 1).cast("int")).alias("k"), slot.alias("slot"))))
-            .alias("out"),
-        )
 
-    folded = F.aggregate(F.sequence(F.lit(0).cast("long"), F.col("q") - 1), start, step)["out"]
-    return sets.select("since_unit", "member", F.explode(folded).alias("x")).select(
-        "since_unit", F.element_at("member", (F.col("x.at") + 1).cast("int"))["source_key"].alias("source_key"), "x.k", F.col("x.slot").alias("mix_slot")
-    )
+def _slot(number: Column) -> Column:
+    """The slot of a source's block of that number."""
+    return F.floor(number / F.col("a")) * F.col("q") + F.get("slots", F.pmod(number, F.col("a")).cast("int"))
 
 
 def _numbered(keyed: DataFrame) -> DataFrame:
@@ -136,17 +133,18 @@ def _numbered(keyed: DataFrame) -> DataFrame:
 def _mixed(docs: DataFrame, target: dict[str | None, float] | None, key: str, slots: int, block: int) -> DataFrame:
     """row (all columns of docs), mix_unit, mix_slot, mix_at."""
     keyed = docs.select(F.struct(*docs.columns).alias("row"), _key(F.col(key)).alias("source_key"))
-    paths = source_paths(docs.select(_key(F.col(key)).alias("source_key")), target, block)
+    slots_of = source_slots(docs.select(_key(F.col(key)).alias("source_key")), target, block)
     # one row a source; Spark broadcasts it while it is small
-    placed = _numbered(keyed).join(paths, "source_key").withColumn("number", F.floor(F.col("place") / block))
-    slot = (F.col("base") + F.expr(_SLOT.format(k="number"))).alias("slot")
+    placed = _numbered(keyed).join(slots_of, "source_key").withColumn("number", F.floor(F.col("place") / block))
+    slot = (F.col("base") + _slot(F.col("number"))).alias("slot")
     placed = placed.select("row", slot, F.pmod("place", F.lit(block)).cast("int").alias("mix_at"))
     return placed.select("row", F.floor(F.col("slot") / slots).alias("mix_unit"), F.pmod("slot", F.lit(slots)).cast("long").alias("mix_slot"), "mix_at")
 
 
 def mix(docs: DataFrame, target: dict[str | None, float] | None = None, key: str = "source", slots: int = SLOTS, block: int = BLOCK) -> DataFrame:
     """docs with mix_unit, mix_slot and mix_at (place in the block): sorted by these, they are the mix."""
-    return _mixed(docs, target, key, slots, block).select("row.*", "mix_unit", "mix_slot", "mix_at")
+    own = [F.col("row")[c].alias(c) for c in docs.columns if c not in MADE]
+    return _mixed(docs, target, key, slots, block).select(*own, *MADE)
 
 
 def in_mixed_order(docs: DataFrame, target: dict[str | None, float] | None = None, key: str = "source") -> DataFrame:

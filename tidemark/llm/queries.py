@@ -148,18 +148,18 @@ FROM w LEFT JOIN s USING (doc_id) GROUP BY w.doc_id
 OP9_SQL = f"""
 WITH RECURSIVE d AS (SELECT doc_id, source, coalesce(source, chr(0)) AS source_key, substr(md5(concat(doc_id, ':9')), 1, 10) AS h FROM documents),
 q AS (SELECT *, row_number() OVER (PARTITION BY source_key ORDER BY h, doc_id) - 1 AS place FROM d),
-c AS (SELECT source_key, count(*) AS n, ceil(count(*) / {mixing.BLOCK})::BIGINT AS blocks, pow(count(*), {mixing.ALPHA}) AS share FROM d GROUP BY 1),
-a AS (SELECT *, greatest(1, round(share / sum(share) OVER () * {1 << mixing.BITS}))::BIGINT AS a FROM c),
-m AS (SELECT *, (sum(a) OVER (ORDER BY blocks / a, source_key) - a / 2) / sum(a) OVER () AS middle FROM a),
-l AS (SELECT source_key, a, depth, floor(middle * pow(2.0, depth))::BIGINT AS cell FROM m, range({mixing.DEPTH + 1}) t(depth)),
-n AS (SELECT source_key, depth, cell, sum(a) OVER (PARTITION BY depth, cell)::HUGEINT AS w FROM l),
-p AS (SELECT x.source_key, row_number() OVER (PARTITION BY x.source_key ORDER BY x.depth DESC) AS step, x.cell % 2 = 0 AS lft, x.w, y.w AS whole FROM n x JOIN n y ON y.source_key = x.source_key AND y.depth = x.depth - 1 WHERE x.w < y.w),
+c AS (SELECT source_key, pow(count(*), {mixing.ALPHA}) AS share FROM d GROUP BY 1),
+w AS (SELECT source_key, greatest(1, round(share / sum(share) OVER () * greatest({mixing.PERIOD}, {mixing.EACH} * count(*) OVER ())))::BIGINT AS a FROM c),
+m AS (SELECT list(source_key ORDER BY source_key) AS names, list(a ORDER BY source_key) AS a, sum(a)::BIGINT AS q FROM w HAVING count(*) > 0),
 r AS (
-  SELECT source_key, b, b::HUGEINT AS k, 0::BIGINT AS step FROM (SELECT source_key, unnest(range(blocks)) AS b FROM c)
+  SELECT 0::BIGINT AS slot, list_transform(a, lambda x: 0::BIGINT) AS done, NULL::BIGINT AS took, a, q FROM m
   UNION ALL
-  SELECT r.source_key, r.b, CASE WHEN lft THEN ((2 * k + 1) * whole + 2 * w - 1) // (2 * w) - 1 ELSE ((2 * k + 1) * whole) // (2 * w) END, p.step FROM r JOIN p ON p.source_key = r.source_key AND p.step = r.step + 1),
-e AS (SELECT source_key, b, arg_max(k, step)::BIGINT AS slot FROM r GROUP BY 1, 2)
-SELECT doc_id, source, slot // {mixing.SLOTS} AS mix_unit, slot % {mixing.SLOTS} AS mix_slot, CAST(place % {mixing.BLOCK} AS INT) AS mix_at FROM q JOIN e ON e.source_key = q.source_key AND e.b = place // {mixing.BLOCK}
+  SELECT slot + 1, list_transform(done, lambda x, i: CASE WHEN i = best.i THEN x + 1 ELSE x END), best.i, a, q
+  FROM (SELECT *, list_min(list_filter(list_transform(done, lambda x, i: CASE WHEN (x * q) // a[i] <= slot THEN {{'deadline': ((x + 1) * q + a[i] - 1) // a[i], 'i': i}} END), lambda x: x IS NOT NULL)) AS best FROM r WHERE slot < q)),
+t AS (SELECT took, list(slot - 1 ORDER BY slot) AS slots FROM r WHERE took IS NOT NULL GROUP BY took),
+s AS (SELECT names[took] AS source_key, m.a[took] AS a, m.q, slots FROM t, m),
+e AS (SELECT doc_id, source, place, (place // {mixing.BLOCK}) // a * s.q + slots[(place // {mixing.BLOCK}) % a + 1] AS slot FROM q JOIN s USING (source_key))
+SELECT doc_id, source, slot // {mixing.SLOTS} AS mix_unit, slot % {mixing.SLOTS} AS mix_slot, CAST(place % {mixing.BLOCK} AS INT) AS mix_at FROM e
 """
 
 OP12_SQL = rf"""
