@@ -51,9 +51,7 @@ def valid(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     inf = F.lit(float("inf"))
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & v.isNotNull())
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != inf)) & F.exists(v, lambda x: x != 0)
-    rows = rows.where(F.coalesce(fine, F.lit(False)))
-    usual = rows.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    return rows.where(F.size("embedding") == (usual[0]["d"] if usual else 0))
+    return rows.where(F.coalesce(fine, F.lit(False)))
 
 
 def centroids(rows: DataFrame, seed: int = 5, rounds: int = 8) -> np.ndarray | None:
@@ -136,10 +134,19 @@ def scan(base: np.ndarray, turned: np.ndarray, ids: np.ndarray, query: np.ndarra
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """query_id, rank (from 1), vec_id, score (Euclidean distance) of each query's k nearest found."""
-    spark = vectors.sparkSession
+    """query_id, rank (from 1), vec_id, score (Euclidean distance) of each query's k nearest found, among vectors of its length."""
+    rows, asked = valid(vectors, id_col, vec_col), valid(queries, id_col, vec_col)
+    found = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for r in asked.select(F.size("embedding").alias("d")).distinct().orderBy("d").collect():  # lengths of queries: one, as a rule
+        of_length = F.size("embedding") == r["d"]
+        found = found.union(_search(rows.where(of_length), asked.where(of_length), k))
+    return found
+
+
+def _search(rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """``search`` among valid vectors of one length."""
+    spark = rows.sparkSession
     out_schema = "query_id long, vec_id long, score double"
-    rows = valid(vectors, id_col, vec_col)
     c = centroids(rows)
     if c is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -199,7 +206,6 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
         return pd.DataFrame({"query_id": np.concatenate([np.full(len(v), o) for o, v, _ in found]), "vec_id": np.concatenate([v for _, v, _ in found]), "score": np.concatenate([s for _, _, s in found])})
 
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
-    asked = valid(queries, id_col, vec_col)
     close = probe(asked.withColumn("carried", F.lit(None).cast("double")))
     close = write_and_reread(close.withColumn("rank", rank).where(F.col("rank") <= k), "close")
     limits = close.where(F.col("rank") == k).select("query_id", F.col("score").alias("carried"))

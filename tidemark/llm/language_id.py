@@ -6,13 +6,13 @@ of its positions to the longest known character n-gram that starts there: 5 lett
 and 1. A document's score is the mean of its words'; the probability is a softmax over languages
 of that mean, sharpened by the square root of the number of words.
 
-Learning reads a bounded sample of labelled rows (about ``sample_rows`` a language, taken by
-hash of the id over all rows); of each language the ``max_words`` commonest words and the
-``max_grams`` commonest n-grams of each length are kept, whatever the other languages hold. Every
-document is predicted from its whole text. The model is a sorted array of 64-bit hashes with a row
+Learning reads a bounded sample of labelled rows (about ``sample_rows`` and 64 MB of text a language,
+taken by hash of id and text over all rows); of their words and n-grams all are kept that a language
+has ``least`` times (1 keeps every one). Every document is predicted from its whole text. The model is a sorted array of 64-bit hashes with a row
 of float32 logs for each, so a task looks all distinct words of a slice up at once.
 
-Cases: null text, empty text and text without a letter give ``und`` with score 0; ties go to
+Cases: ids may repeat or be null; columns besides doc_id, text and lang are ignored, and pass
+through ``keep_identified`` whatever their names; null text, empty text and text without a letter give ``und`` with score 0; ties go to
 the language first in order; no labelled rows at all give ``und`` for every document; a text
 longer than a slice is read in parts that end at spaces.
 """
@@ -90,8 +90,8 @@ def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return distinct, np.bincount(group, weights=n, minlength=len(distinct))
 
 
-def gram_counts(words: list[str], times: np.ndarray, most: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each length the hashes and counts of the ``most`` commonest n-grams of words."""
+def gram_counts(words: list[str], times: np.ndarray, least: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each length the hashes and counts of the n-grams of words that occur ``least`` times."""
     found: list[list[tuple]] = [[(np.zeros(0, np.uint64), np.zeros(0))] for _ in range(LONGEST)]
     for begin in range(0, len(words), AT_ONCE):
         points, ends = _letters(words[begin : begin + AT_ONCE])
@@ -102,8 +102,7 @@ def gram_counts(words: list[str], times: np.ndarray, most: int) -> list[tuple[np
     out = []
     for parts in found:
         keys, n = _summed(*(np.concatenate([p[i] for p in parts]) for i in (0, 1)))
-        top = np.lexsort((keys, -n))[:most]
-        out.append((keys[top], n[top]))
+        out.append((keys[n >= least], n[n >= least]))
     return out
 
 
@@ -117,14 +116,14 @@ def _logs(counts: list[tuple[np.ndarray, np.ndarray]]) -> Logs:
     return Logs(keys, rows.astype(np.float32))
 
 
-def fit(counts: dict[str, tuple[list[str], np.ndarray]], max_words: int, max_grams: int) -> Model:
+def fit(counts: dict[str, tuple[list[str], np.ndarray]], least: int = 2) -> Model:
     """The model of the words and their counts of each language."""
     langs = tuple(sorted(counts))
     words, grams = [], []
     for lang in langs:
         known, times = counts[lang]
-        grams.append(gram_counts(known, times, max_grams))
-        top = sorted(range(len(known)), key=lambda i: (-times[i], known[i]))[:max_words]
+        grams.append(gram_counts(known, times, least))
+        top = np.flatnonzero(times >= least)
         words.append((word_hashes(pa.array([known[i] for i in top], pa.string())), times[top]))
     by_length = [_logs([g[k] for g in grams]) for k in range(LONGEST)] if langs else []
     keys = np.concatenate([x.keys for x in by_length]) if langs else np.zeros(0, np.uint64)
@@ -133,23 +132,26 @@ def fit(counts: dict[str, tuple[list[str], np.ndarray]], max_words: int, max_gra
     return Model(langs, _logs(words) if langs else Logs(keys, rows), Logs(keys[order], rows))
 
 
-def bounded_sample(rows: DataFrame, by: str, most: int) -> DataFrame:
-    """About ``most`` rows of each value of ``by``, chosen by a hash of doc_id over all rows.
+def bounded_sample(rows: DataFrame, by: str, most: int, most_bytes: int = 64 << 20) -> DataFrame:
+    """Of rows(by, doc_id and maybe text) about ``most`` of each value of ``by`` and ``most_bytes`` of their texts, chosen by a hash of the others.
 
-    One pass counts the values; the rate for each then selects rows where they lie, without a shuffle.
+    One pass measures the values; the rate for each then selects rows where they lie, without a shuffle. Equal rows, which
+    the hash can't tell apart, count once.
     """
-    counts = {r[by]: r["n"] for r in rows.groupBy(by).agg(F.count(F.lit(1)).alias("n")).collect()}
+    keys = [c for c in ("doc_id", "text") if c in rows.columns]
+    size = F.sum(F.octet_length("text")) if "text" in keys else F.lit(0)
+    sizes = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"), size.alias("b")).collect()  # a row a value
     rate = F.lit(0.0)
-    for value, n in sorted(counts.items()):
-        rate = F.when(F.col(by) == value, F.lit(min(1.0, most / n))).otherwise(rate)
-    return rows.where(F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1 << 30)) < rate * (1 << 30))
+    for value, n, b in sorted(sizes):
+        rate = F.when(F.col(by) == value, F.lit(min(1.0, most / n, most_bytes / max(1, b or 0)))).otherwise(rate)
+    return rows.where(F.pmod(F.xxhash64(*keys), F.lit(1 << 30)) < rate * (1 << 30)).dropDuplicates([by, *keys])
 
 
 def _split(text: pa.Array) -> pa.Array:
     return pc.split_pattern_regex(pc.utf8_lower(text), _BREAK)
 
 
-def learn(docs: DataFrame, sample_rows: int = 2000, max_words: int = 50_000, max_grams: int = 20_000) -> Model:
+def learn(docs: DataFrame, sample_rows: int = 2000, least: int = 2) -> Model:
     """Fit on rows with a language: whole texts of about ``sample_rows`` rows of each.
 
     The counts come back as one row a language and word; what reaches the driver is bounded by the sample.
@@ -173,7 +175,7 @@ def learn(docs: DataFrame, sample_rows: int = 2000, max_words: int = 50_000, max
     for lang in pc.unique(seen["lang"]).to_pylist():
         part = seen.filter(pc.equal(seen["lang"], lang))
         found[lang] = part["word"].to_pylist(), part["n"].to_numpy().astype(float)
-    return fit(found, max_words, max_grams)
+    return fit(found, least)
 
 
 def _backoff(model: Model, words: list[str]) -> np.ndarray:

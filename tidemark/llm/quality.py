@@ -98,6 +98,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000) -> Rankin
     marked = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "quality")
     sample = bounded_sample(marked, "quality", sample_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # a few thousand ids and labels
+    rows = bounded_sample(rows, "quality", sample_rows)  # an id may have any number of rows
     width = features(pa.array([""])).shape[1]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

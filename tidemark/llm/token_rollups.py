@@ -2,10 +2,11 @@
 
 A change feed of inserts, deletes and revised counts becomes signed rows, pre-aggregated by
 source, language and tokenizer version. A commit adds a batch's deltas to the totals so far and
-writes the new totals to a folder of its own, then publishes it by one row in the folder of the
-next version. Nothing that was published is ever changed or deleted: a crash before that row
-leaves the old version in force, a batch that was committed before changes nothing, and of two
-writers that make the same version the second fails and may commit again. Totals are read from
+writes the new totals to a folder of its own, then a file that names it, and publishes by renaming
+this file to the next version's name. Nothing that was published is ever changed or deleted: a
+crash before the rename, also one within a write, leaves the old version in force, a batch that
+was committed before changes nothing, and of two writers that make the same version the second
+fails and may commit again. Totals are read from
 the last version alone, so their cost doesn't grow with the number of batches.
 
 Change rows: op ('insert', 'delete' or 'revise'), source, lang, version, n_tokens, old_tokens
@@ -16,6 +17,7 @@ a change repeated within a batch counts each time.
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.errors import AnalysisException
@@ -66,7 +68,7 @@ class Rollup:
         """version, batch_id and totals folder of each commit; batch_id is null where ``compact`` began anew."""
         none = self.spark.createDataFrame([], self.VERSION)
         try:
-            return none.union(self.spark.read.schema(self.VERSION).option("recursiveFileLookup", "true").parquet(f"{self.path}/versions"))
+            return none.union(self.spark.read.schema(self.VERSION).json(f"{self.path}/versions"))
         except AnalysisException as missing:
             if missing.getCondition() != "PATH_NOT_FOUND":
                 raise
@@ -83,8 +85,23 @@ class Rollup:
     def _publish(self, last: Row | None, batch_id: int | None, totals: DataFrame) -> None:
         folder, version = uuid.uuid4().hex, 1 if last is None else last["version"] + 1
         totals.write.parquet(f"{self.path}/totals/{folder}")
-        row = self.spark.createDataFrame([(version, batch_id, folder)], self.VERSION)
-        row.coalesce(1).write.mode("error").parquet(f"{self.path}/versions/{version:012d}")
+        self._create(f"{self.path}/versions/{version:012d}.json", json.dumps({"version": version, "batch_id": batch_id, "totals": folder}))
+
+    def _create(self, name: str, text: str) -> None:
+        """A file with that text, whole or not at all; an error if there is one of that name."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        final = jvm.org.apache.hadoop.fs.Path(name)
+        files = final.getFileSystem(conf)
+        # readers skip names that begin with a dot
+        draft = jvm.org.apache.hadoop.fs.Path(final.getParent(), f".{uuid.uuid4().hex}")
+        out = files.create(draft, False)
+        try:
+            out.write(bytearray(text.encode()))
+        finally:
+            out.close()
+        whole = files.makeQualified(draft)
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(whole.toUri(), conf)
+        context.rename(whole, files.makeQualified(final), self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
 
     def commit(self, batch_id: int, changes: DataFrame) -> None:
         """Add a batch, once."""
