@@ -305,3 +305,42 @@ def test_chi2_tail(spark):
     assert got["a"] == pytest.approx(0.05, abs=1e-4)
     with pytest.raises(ValueError):
         sy.chi2_upper(F.lit(1.0), 3)
+
+
+# ---- learned parameters ----
+
+
+def test_sensitivities_are_the_slopes_of_the_values():
+    """With no learning, a state's sensitivity is what finite differences of its parameter give."""
+    from tidemark.operators import adaptive as ad
+
+    draw = random.Random(4)
+    z = [100.0 + draw.gauss(0, 3) for _ in range(40)]
+
+    def end(step):
+        s = None
+        for v in z:
+            s, y = step(s, (v,))
+        return s, y
+
+    h = 1e-5
+    jma = lambda n=20.0, phase=5.0, power=2.0: end(ad.learned_jma(n=n, phase=phase, power=power, rate=0.0).step)
+    s, _ = jma()
+    up, down = math.exp(h), math.exp(-h)
+    for at, pair in ((7, (jma(n=20 * up), jma(n=20 * down))), (11, (jma(phase=5 + h), jma(phase=5 - h))), (15, (jma(power=2 * up), jma(power=2 * down)))):
+        assert s[at] == pytest.approx((pair[0][1][0] - pair[1][1][0]) / (2 * h), rel=1e-4)
+    tr = lambda n=14.0: end(ad.learned_tr(n=n, rate=0.0).step)
+    assert tr()[0][4] == pytest.approx((tr(14 * up)[1][0] - tr(14 * down)[1][0]) / (2 * h), rel=1e-4)
+
+
+def test_learned_parameters_move_and_stay_in_bounds():
+    from tidemark.operators import adaptive as ad
+
+    draw, s, t, price, seen = random.Random(1), None, None, 100.0, []
+    for _ in range(2000):
+        price *= math.exp(draw.gauss(0, 0.05))
+        s, y = ad.learned_jma(rate=0.5).step(s, (price,))
+        t, r = ad.learned_tr(rate=5.0).step(t, (abs(draw.gauss(0, 1)),))
+        seen.append((*y[1:], r[1]))
+    assert len({round(p, 6) for p, *_ in seen}) > 50 and len({round(x[3], 6) for x in seen}) > 50
+    assert all(2 <= p <= 740 and -100 <= f <= 100 and 0.5 <= w <= 7.4 and 2 <= n <= 104 for p, f, w, n in seen)

@@ -328,7 +328,12 @@ def test_kernel_regression_learns_and_prunes():
         state, y = r.step(state, x)
         errors.append(abs(y[1]))
     assert sum(errors[-10:]) < 0.7 * sum(errors[:10]) and len(state[0]) <= 10
-    assert len(le.pruned(state, 3)[0]) == 3
+    assert len(le.pruned(state, 3)[0]) == 3 and len(le.pruned(state)[0]) == int(0.8 * len(state[0])) and le.pruned(state, 99) is state
+    full, state = le.kernel_regression(("x",), "y", novelty=1e-9, most=4), None
+    for x in rows:
+        state, y = full.step(state, x)
+        assert y[2] <= 4
+    assert len(state[0]) == 4
 
 
 def test_centroids_keep_labels_and_move():

@@ -64,6 +64,75 @@ def learned_bands(price: str = "close", period: float = 20, multiplier: float =
     return Recurrence(partial(_bands, rate, multiplier, _share(period)), (price,), ("band_upper", "band_middle", "band_lower", "band_multiplier"))
 
 
+# ---- parameters learned as rows come: a state's sensitivity to each parameter is carried beside it ----
+# A value is held against the next row; the error's slope by each parameter is the error times the value's sensitivity,
+# which moves by the same recursion as the value (real-time recurrent learning). Each step is clamped.
+
+
+def _clip(v: float, low: float, high: float) -> float:
+    return min(high, max(low, v))
+
+
+def _learned_jma(rate: float, n: float, phase: float, power: float, s, x):
+    (z,) = x
+    if s is None:
+        return [z] * 4 + [0.0] * 12 + [math.log(n / 100), phase, math.log(power)], (z, float(n), phase, power)
+    e0, e1, e2, j = s[:4]
+    sens, theta = [s[4 + 4 * i : 8 + 4 * i] for i in range(3)], s[16:]
+    miss = (j - z) / z if z else 0.0
+    moved = [t - rate * _clip(miss * d[3] / z if z else 0.0, -1.0, 1.0) for t, d in zip(theta, sens)]
+    u, f, v = (_clip(t, *limits) for t, limits in zip(moved, ((-2.0, 2.0), (-100.0, 100.0), (-1.0, 2.0))))
+    n, power = max(2.0, 100 * math.exp(u)), max(0.5, math.exp(v))
+    q, lead = 0.45 * (n - 1), f / 100 + 1.5
+    beta = q / (q + 2)
+    alpha = beta**power
+    by_n = 0.9 / (q + 2) ** 2 * (n if n > 2 else 0.0)
+    # slopes of alpha, beta and the lead by each parameter
+    slopes = ((power * alpha / beta * by_n, by_n, 0.0), (0.0, 0.0, 0.01), (alpha * math.log(beta) * (power if power > 0.5 else 0.0), 0.0, 0.0))
+    a0 = (1 - alpha) * z + alpha * e0
+    a1 = (z - a0) * (1 - beta) + beta * e1
+    gap = a0 + lead * a1 - j
+    a2 = gap * (1 - alpha) ** 2 + alpha * alpha * e2
+    out = []
+    for (da, db, dl), (d0, d1, d2, dj) in zip(slopes, sens):
+        b0 = da * (e0 - z) + alpha * d0
+        b1 = db * (e1 - z + a0) - b0 * (1 - beta) + beta * d1
+        b2 = (b0 + dl * a1 + lead * b1 - dj) * (1 - alpha) ** 2 - 2 * (1 - alpha) * da * gap + 2 * alpha * da * e2 + alpha * alpha * d2
+        out += [b0, b1, b2, dj + b2]
+    return [a0, a1, a2, j + a2, *out, u, f, v], (j + a2, n, f, power)
+
+
+def learned_jma(price: str = "close", n: float = 20, phase: float = 0.0, power: float = 2.0, rate: float = 0.01) -> Recurrence:
+    """Jurik average whose period, phase and power follow the slope of its error against the next price."""
+    return Recurrence(partial(_learned_jma, rate, n, phase, power), (price,), ("learned_jma", "jma_period", "jma_phase", "jma_power"))
+
+
+def _learned_tr(rate: float, n: float, s, x):
+    (tr,) = x
+    if s is None:
+        return [1, tr, 0.0, 0.0, 0.0, 0.0, math.log(n / 14)], (None, float(n))
+    count, last, f1, f2, d1, d2, u = s
+    count += 1
+    if count < 3:
+        return [count, tr, f1, f2, d1, d2, u], (None, 14 * math.exp(u))
+    size = max(abs(tr) + abs(f1), 1e-9)
+    u = _clip(u - rate * _clip((f1 - tr) / size * d1 / size, -1.0, 1.0), -1.0, 2.0)
+    n = max(2.0, 14 * math.exp(u))
+    k = 1.414 * math.pi / n
+    a, turn = math.exp(-k), k if n > 2 else 0.0  # turn: -dk/du
+    c2, c3 = 2 * a * math.cos(k), -a * a
+    s2, s3 = 2 * a * turn * (math.cos(k) + math.sin(k)), -2 * a * a * turn
+    mean = (tr + last) / 2
+    f = (1 - c2 - c3) * mean + c2 * f1 + c3 * f2
+    d = -(s2 + s3) * mean + s2 * f1 + c2 * d1 + s3 * f2 + c3 * d2
+    return [count, tr, f, f1, d, d1, u], (f, n)
+
+
+def learned_tr(tr: str = "tr", n: float = 14, rate: float = 0.05) -> Recurrence:
+    """Smoothed true range whose period follows the slope of its error against the next range; null for two rows."""
+    return Recurrence(partial(_learned_tr, rate, n), (tr,), ("learned_tr", "tr_period"))
+
+
 def position_in_bands(price: Column, lower: Column, upper: Column) -> Column:
     """0 at the lower band, 1 at the upper; 0.5 where they meet."""
     return F.when(upper - lower < 1e-10, 0.5).otherwise((price - lower) / (upper - lower))

@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidemark.operators import chunked
 from tidemark.functions.columns import last, over, ratio, running
 
 
@@ -81,6 +82,17 @@ def volume_delta(df: DataFrame) -> DataFrame:
     return out.withColumn("cvd", F.sum("delta").over(running())).withColumn("pressure", F.when(r > 0, 2 * (F.col("close") - F.col("low")) / r - 1).otherwise(0.0))
 
 
+def volume_trend(df: DataFrame, delta_rows: int = 20, pressure_rows: int = 10, span: float = chunked.SPAN) -> DataFrame:
+    """Jurik averages of a bar's delta and pressure, the pressure's direction, and 1 or -1 where the price moves against the delta's average."""
+    d = chunked.with_lags(volume_delta(df), {"before_it": ("close", 1)}, span=span)
+    smooth = [chunked.jma("delta", delta_rows, warm=False, name="delta_trend"), chunked.jma("pressure", pressure_rows, warm=False, name="pressure_trend")]
+    out = d.select("symbol", "ts", "delta", "pressure", (F.col("close") - F.col("before_it")).alias("change")).join(chunked.scan_chunks(d, smooth, span=span), ["symbol", "ts"])
+    p = F.col("pressure_trend")
+    direction = F.when(p > 0.2, "buying").when(p < -0.2, "selling").otherwise("neutral")
+    against = F.when((F.abs("change") >= 1e-10) & (F.signum("change") * F.signum("delta_trend") < 0), -F.signum("change")).otherwise(0.0)
+    return out.select("*", direction.alias("direction"), against.alias("divergence"))
+
+
 def relative_volume(df: DataFrame) -> DataFrame:
     """z of volume among the same minute of the day, itself included; its unusual flag and label."""
     minute = F.hour("ts") * 60 + F.minute("ts")

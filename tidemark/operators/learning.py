@@ -88,8 +88,6 @@ def _krls(kind: str, forget: float, novelty: float, most: int, adapt: float, s,
     y, v = x[-1], np.array(x[:-1], float)
     if s is None:
         return [[v.tolist()], [y], [[1.0]], 1.0, 0.0], (0.0, y, 1.0)
-    if len(s[0]) >= most:  # a full dictionary makes room for new words
-        s = pruned(s, most * 9 // 10, kind)
     words, alpha, inverse, sigma, mean_error = s
     words, alpha, inverse = np.array(words), np.array(alpha), np.array(inverse)
     k = kernel(kind, sigma, words, v)
@@ -117,14 +115,17 @@ def _krls(kind: str, forget: float, novelty: float, most: int, adapt: float, s,
 def kernel_regression(inputs: tuple[str, ...], target: str, kind: str = "rbf", forget: float = 0.99, novelty: float = 0.1, most: int = 200, adapt: float = 0.0) -> Recurrence:
     """Kernel recursive least squares with a novelty dictionary: prediction, error, words; ``adapt`` lets the width follow errors.
 
-    A dictionary of ``most`` words drops its tenth of least weight.
+    A dictionary of ``most`` words takes no more; ``pruned`` makes room when asked.
     """
     return Recurrence(partial(_krls, kind, forget, novelty, most, adapt), (*inputs, target), ("krls", "krls_error", "krls_words"))
 
 
-def pruned(state: list, keep: int, kind: str = "rbf") -> list:
-    """A kernel regression's state cut to the words of largest weight, its inverse rebuilt under the same kernel."""
+def pruned(state: list, keep: int | None = None, kind: str = "rbf") -> list:
+    """A kernel regression's state cut to the words of largest weight (0.8 of them unless told), its inverse rebuilt under the same kernel."""
     words, alpha, _, sigma, mean_error = state
+    keep = int(0.8 * len(words)) if keep is None else keep
+    if len(words) <= keep:
+        return state
     order = sorted(sorted(range(len(alpha)), key=lambda i: -abs(alpha[i]))[:keep])
     w = np.array(words)[order]
     gram = np.array([kernel(kind, sigma, w, v) for v in w]) + 1e-6 * np.eye(len(w))

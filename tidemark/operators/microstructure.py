@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidemark.operators import chunked
 from tidemark.functions.columns import clip, last, over, ratio, running, z_score
 
 TRADE = ("ts", "event_id")
@@ -99,3 +100,19 @@ def order_flow(trades: DataFrame, vpin_rows: int = 50, trend_rows: int = 20) ->
 def sampled_trades(trades: DataFrame, every: int = 10) -> DataFrame:
     """Every n-th trade of a symbol, in order."""
     return trades.withColumn("seq", F.row_number().over(over(*TRADE))).where(F.col("seq") % every == 0)
+
+
+def book_trend(books: DataFrame, n: int = 20, span: float = chunked.SPAN) -> DataFrame:
+    """Running z of a symbol's imbalance and spread, exponential mean of the imbalance and its Jurik average, from ``book_features`` rows (symbol, ts, book_id)."""
+    order = ("ts", "book_id")
+    b = books.select("symbol", *order, "obi", "spread")
+    moved = chunked.running_moments(b, [("obi", "obi"), ("spread", "spread")], order=order, span=span)
+
+    def z(c: str) -> Column:
+        n, mean, about = (F.col(f"{c}_{c}_{k}") for k in ("n", "mean_x", "mxx"))
+        std = F.when(n > 1, F.sqrt(about / (n - 1)))
+        return F.when(std > 1e-10, (F.col(c) - mean) / std).otherwise(0.0)
+
+    scored = moved.select("symbol", *order, "obi", "spread", z("obi").alias("obi_z"), z("spread").alias("spread_z"))
+    smooth = chunked.scan_chunks(b, [chunked.ema("obi", 2 / (n + 1), "obi_ema"), chunked.jma("obi", n, warm=False, name="obi_jma")], order=order, span=span)
+    return scored.join(smooth, ["symbol", *order])

@@ -205,6 +205,10 @@ def rls_channel(price: str = "close", forget: float = 0.99, start: float = 100.0
     return Recurrence(partial(_rls, forget, start, band), (price,), ("rls", "rls_slope", "rls_fit", "rls_upper", "rls_lower", "rls_z", "rls_place"))
 
 
+def trend_direction(slope: Column, least: float = 0.0001) -> Column:
+    return F.when(slope > least, "up").when(slope < -least, "down").otherwise("flat")
+
+
 # ---- smoothers ----
 
 

@@ -118,6 +118,16 @@ def follower_weighted(posts: DataFrame, followers: Column, cap: float = 10.0) ->
     return posts.withColumn("_w", w).groupBy("symbol").agg((F.sum(F.col("score") * F.col("_w")) / F.sum("_w")).alias("score"), F.count(F.lit(1)).alias("n")).withColumn("signal", label(F.col("score")))
 
 
+def vote_balance(up: Column, down: Column) -> Column:
+    """Share of votes for less share against; null without votes."""
+    return F.when(up + down > 0, (up - down) / (up + down))
+
+
+def blended(score: Column, vote: Column, share: float = 0.3) -> Column:
+    """Text score with ``share`` of the votes' balance; the score alone where there are no votes."""
+    return F.when(vote.isNull(), score).otherwise((1 - share) * score + share * vote)
+
+
 def discussion_score(posts: DataFrame) -> DataFrame:
     """Mean of (2 * ratio - 1) * (1 + engagement / 100), clipped, with counts and sums."""
     s = (2 * F.col("ratio") - 1) * (1 + F.col("engagement") / 100)

@@ -88,3 +88,42 @@ def _stability(spark, sf):
     x = b.select("symbol", "ts", ((F.col("close") - F.col("low")) / (F.col("high") - F.col("low") + 1)).alias("p"), F.array(F.least(F.lit(1.0), F.col("trades") / 20), F.col("open") / (F.col("open") + F.col("close"))).alias("o"))
     out = fu.prediction_volatility(x, "p", ("ts",))
     return out.select("symbol", at(), tidy("volatility").alias("volatility"), tidy(fu.agreement_score(F.col("p"), F.col("o"))).alias("agreement"))
+
+
+_P3 = "ufv"  # period, phase and power
+_DJ = [
+    {"miss": "CASE WHEN x_z <> 0 THEN (p_j - x_z) / x_z ELSE 0 END"},
+    {c: f"least({hi}, greatest({lo}, p_{c} - 0.01 * CASE WHEN x_z <> 0 THEN least(1.0, greatest(-1.0, miss * p_dj{c} / x_z)) ELSE 0 END))" for c, lo, hi in (("u", "-2.0", "2.0"), ("f", "-100.0", "100.0"), ("v", "-1.0", "2.0"))},
+    {"per": "greatest(2.0, 100 * exp(u))", "pw": "greatest(0.5, exp(v))", "lead": "f / 100 + 1.5"}, {"q": "0.45 * (per - 1)"}, {"be": "q / (q + 2)", "byn": "0.9 / pow(q + 2, 2) * CASE WHEN per > 2 THEN per ELSE 0 END"}, {"al": "pow(be, pw)"},
+    {"dau": "pw * al / be * byn", "daf": "0.0", "dav": "al * ln(be) * CASE WHEN pw > 0.5 THEN pw ELSE 0 END", "dbu": "byn", "dbf": "0.0", "dbv": "0.0", "dlu": "0.0", "dlf": "0.01", "dlv": "0.0"},
+    {"e0": "(1 - al) * x_z + al * p_e0"} | {f"d0{c}": f"da{c} * (p_e0 - x_z) + al * p_d0{c}" for c in _P3},
+    {"e1": "(x_z - e0) * (1 - be) + be * p_e1"} | {f"d1{c}": f"db{c} * (p_e1 - x_z + e0) - d0{c} * (1 - be) + be * p_d1{c}" for c in _P3}, {"gap": "e0 + lead * e1 - p_j"},
+    {"e2": "gap * pow(1 - al, 2) + al * al * p_e2"} | {f"d2{c}": f"(d0{c} + dl{c} * e1 + lead * d1{c} - p_dj{c}) * pow(1 - al, 2) - 2 * (1 - al) * da{c} * gap + 2 * al * da{c} * p_e2 + al * al * p_d2{c}" for c in _P3},
+    {"j": "p_j + e2"} | {f"dj{c}": f"p_dj{c} + d2{c}" for c in _P3},
+]
+_DJ_TYPES = {c: "DOUBLE" for c in ("e0", "e1", "e2", "j", "u", "f", "v", "per", "pw", *(f"{d}{c}" for d in ("d0", "d1", "d2", "dj") for c in _P3))}
+_DJ_FIRST = {c: "0" for c in _DJ_TYPES} | {c: "z" for c in ("e0", "e1", "e2", "j")} | {"u": "ln(0.2)", "v": "ln(2.0)", "per": "20", "pw": "2"}
+
+
+@query("learned_jma", staged(_STACK_SRC, _DJ_TYPES, _DJ_FIRST, _DJ, ", ".join([_r("j", "learned_jma"), _r("per", "jma_period"), _r("f", "jma_phase"), _r("pw", "jma_power")]), "z"))
+def _ljma(spark, sf):
+    """Jurik average with learned period, phase and power."""
+    out = re_.scan(bars(spark, sf), ad.learned_jma())
+    return out.select("symbol", at(), *[tidy(c).alias(c) for c in ("learned_jma", "jma_period", "jma_phase", "jma_power")])
+
+
+_DT = [
+    {"size": "greatest(abs(x_tr) + abs(p_f1), 1e-9)"}, {"u": "CASE WHEN n < 3 THEN p_u ELSE least(2.0, greatest(-1.0, p_u - 0.05 * least(1.0, greatest(-1.0, (p_f1 - x_tr) / size * p_d1 / size)))) END"},
+    {"per": "greatest(2.0, 14 * exp(u))"}, {"k": "1.414 * pi() / per"}, {"a": "exp(-k)", "turn": "CASE WHEN per > 2 THEN k ELSE 0 END", "mean": "(x_tr + p_t) / 2"},
+    {"c2": "2 * a * cos(k)", "c3": "-a * a", "s2": "2 * a * turn * (cos(k) + sin(k))", "s3": "-2 * a * a * turn"},
+    {"f1": "CASE WHEN n < 3 THEN 0 ELSE (1 - c2 - c3) * mean + c2 * p_f1 + c3 * p_f2 END", "d1": "CASE WHEN n < 3 THEN 0 ELSE -(s2 + s3) * mean + s2 * p_f1 + c2 * p_d1 + s3 * p_f2 + c3 * p_d2 END", "f2": "p_f1", "d2": "p_d1", "t": "x_tr"},
+]
+
+
+@query("learned_range", staged(f"""{RETURNS}, d AS (SELECT symbol, ts, high, low, lag(close) OVER (PARTITION BY symbol ORDER BY ts) AS pc FROM rets),
+  src AS (SELECT symbol, ts, greatest(high - low, coalesce(abs(high - pc), 0), coalesce(abs(low - pc), 0)) AS tr FROM d)""", {c: "DOUBLE" for c in ("u", "per", "f1", "f2", "d1", "d2", "t")},
+    {"u": "0", "per": "14", "f1": "0", "f2": "0", "d1": "0", "d2": "0", "t": "tr"}, _DT, ", ".join([_r("CASE WHEN n >= 3 THEN f1 END", "learned_tr"), _r("per", "tr_period")]), "tr"))
+def _lrange(spark, sf):
+    """Smoothed true range with a learned period."""
+    out = re_.scan(ind.true_range(bars(spark, sf)), ad.learned_tr())
+    return out.select("symbol", at(), tidy("learned_tr").alias("learned_tr"), tidy("tr_period").alias("tr_period"))

@@ -7,11 +7,11 @@ import math
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import at, over, running, tidy, z_score
-from tidemark.operators import chunked as ch, indicators as ind, recursive as re_
+from tidemark.operators import chunked as ch, indicators as ind, microstructure as ms, recursive as re_
 from tidemark.plans.collect import collector
 from tidemark.plans.risk import RISK, _REGIME as RISK_REGIME, _SCORE as RISK_SCORE
 from tidemark.plans.statistics import RETURNS
-from tidemark.sources.fixtures import bars
+from tidemark.sources.fixtures import BOOKS, bars, books, snapshots
 
 QUERIES, ORACLES, query = collector()
 
@@ -204,12 +204,11 @@ _RLS_TYPES = {c: "DOUBLE" for c in ("t", "a", "b", "paa", "pab", "pbb", "mean",
     1.0 AS t, 100.0 / 200.99 * close AS a, 100.0 / 200.99 * close AS b, (100 - 10000 / 200.99) / 0.99 AS paa, -10000 / 200.99 / 0.99 AS pab FROM rets)""", _RLS_TYPES, {
     "t": "1", "a": "a", "b": "b", "paa": "paa", "pab": "pab", "pbb": "paa", "line": "a + b", "res": "z - a - b", "mean": "z - a - b", "m2": "0", "sd": "0.01"}, _RLS_STEP,
     ", ".join([_r("line", "rls"), _r("b", "rls_slope"), _r("line + 2 * sd", "rls_upper"), _r("line - 2 * sd", "rls_lower"), _r("CASE WHEN sd > 0 THEN res / sd ELSE 0 END", "rls_z"),
-               _r("CASE WHEN sd > 0 THEN least(1.0, greatest(0.0, (res + 2 * sd) / (4 * sd))) ELSE 0.5 END", "rls_place"), "CASE WHEN b > 0 THEN 'up' WHEN b < 0 THEN 'down' ELSE 'flat' END AS trend"]), "z"))
+               _r("CASE WHEN sd > 0 THEN least(1.0, greatest(0.0, (res + 2 * sd) / (4 * sd))) ELSE 0.5 END", "rls_place"), "CASE WHEN b > 0.0001 THEN 'up' WHEN b < -0.0001 THEN 'down' ELSE 'flat' END AS trend"]), "z"))
 def _rls(spark, sf):
-    """Two-parameter recursive least squares on time with its channel and the sign of its slope."""
+    """Two-parameter recursive least squares on time with its channel and the direction of its slope."""
     out = re_.scan(_b(spark, sf), re_.rls_channel())
-    trend = F.when(F.col("rls_slope") > 0, "up").when(F.col("rls_slope") < 0, "down").otherwise("flat")
-    return out.select("symbol", at(), *[tidy(n).alias(n) for n in _RLS_COLUMNS], trend.alias("trend"))
+    return out.select("symbol", at(), *[tidy(n).alias(n) for n in _RLS_COLUMNS], re_.trend_direction(F.col("rls_slope")).alias("trend"))
 
 
 _AK_STEP = [
@@ -455,3 +454,45 @@ _WA, _WB = "(p.a + greatest(-0.15, least(0.15, 0.1 * (x.a - p.a))))", "(p.b + gr
 def _weights(spark, sf):
     b = bars(spark, sf).select("symbol", "ts", (F.col("close") / (F.col("close") + F.col("open"))).alias("a"), (F.col("open") / (F.col("close") + F.col("open"))).alias("b"))
     return _out(re_.scan(b, re_.smoothed_weights(("a", "b"))), "a_smooth", "b_smooth")
+
+
+def _jurik(n: int, x: str, p: str = "p_") -> list[dict[str, str]]:
+    """Stages of a Jurik average of x, whose state columns begin with ``p``."""
+    b = 0.45 * (n - 1) / (0.45 * (n - 1) + 2)
+    a, c = b * b, p.removeprefix("p_")
+    return [
+        {f"{c}e0": f"{1 - a!r} * {x} + {a!r} * {p}e0"}, {f"{c}e1": f"({x} - {c}e0) * {1 - b!r} + {b!r} * {p}e1"},
+        {f"{c}e2": f"({c}e0 + 1.5 * {c}e1 - {p}j) * {(1 - a) ** 2!r} + {a * a!r} * {p}e2"}, {f"{c}j": f"{p}j + {c}e2"},
+    ]
+
+
+_TWO = [{**a, **b} for a, b in zip(_jurik(20, "x_delta", "p_d"), _jurik(10, "x_pressure", "p_q"))]
+_TWO_TYPES = {f"{c}{k}": "DOUBLE" for c in "dq" for k in ("e0", "e1", "e2", "j")}
+
+
+@query("volume_trend", staged(f"""{RETURNS}, src AS (SELECT symbol, ts, CASE WHEN high > low THEN volume * (2 * (close - low) - (high - low)) / (high - low) ELSE 0.0 END AS delta, CASE WHEN high > low THEN 2 * (close - low) / (high - low) - 1 ELSE 0.0 END AS pressure,
+    close - lag(close) OVER (PARTITION BY symbol ORDER BY ts) AS change FROM rets)""", _TWO_TYPES | {"change": "DOUBLE"}, {c: "delta" if c[0] == "d" else "pressure" for c in _TWO_TYPES} | {"change": "change"}, [*_TWO, {"change": "x_change"}],
+    ", ".join([_r("dj", "delta_trend"), _r("qj", "pressure_trend"), "CASE WHEN qj > 0.2 THEN 'buying' WHEN qj < -0.2 THEN 'selling' ELSE 'neutral' END AS direction",
+               "CASE WHEN abs(change) >= 1e-10 AND sign(change) * sign(dj) < 0 THEN -sign(change)::DOUBLE ELSE 0.0 END AS divergence"]), "delta pressure change"))
+def _vtrend(spark, sf):
+    """Trends of the bars' delta and pressure, and where price goes against the delta's."""
+    out = ind.volume_trend(bars(spark, sf))
+    return out.select("symbol", at(), tidy("delta_trend").alias("delta_trend"), tidy("pressure_trend").alias("pressure_trend"), "direction", "divergence")
+
+
+_BOOK_SRC = f"""{BOOKS}, names AS (SELECT DISTINCT book_id, ['click', 'error', 'purchase', 'signup', 'view'][CAST(book_id % 5 + 1 AS INT)] AS symbol, TIMESTAMP '2024-01-01' + to_hours(CAST(book_id // 5 % 720 AS INT)) AS ts FROM levels),
+k AS (SELECT book_id, sum(qty) FILTER (side = 'O' AND lvl <= 5) AS b5, sum(qty) FILTER (side = 'F' AND lvl <= 5) AS a5 FROM ranked GROUP BY 1),
+v AS (SELECT symbol, ts, book_id, CASE WHEN coalesce(b5, 0) + coalesce(a5, 0) > 0 THEN (coalesce(b5, 0) - coalesce(a5, 0)) / (coalesce(b5, 0) + coalesce(a5, 0)) ELSE 0 END::DOUBLE AS obi, (best_ask - best_bid) AS spread FROM names JOIN k USING (book_id) JOIN tops USING (book_id))"""
+_ZED = lambda c: f"CASE WHEN {c} IS NOT NULL AND count({c}) OVER w >= 2 AND stddev_samp({c}) OVER w > 1e-10 THEN ({c} - avg({c}) OVER w) / stddev_samp({c}) OVER w WHEN {c} IS NULL AND count({c}) OVER w >= 2 AND stddev_samp({c}) OVER w > 1e-10 THEN NULL ELSE 0.0 END"
+_OBI = [{"ema": "2.0 / 21 * x_obi + 19.0 / 21 * p_ema", "oz": "x_oz", "sz": "x_sz", "book": "x_book_id"}, *_jurik(20, "x_obi", "p_o")]
+
+
+@query("book_trend", staged(f"""{_BOOK_SRC}, s AS (SELECT *, {_ZED('obi')} AS oz, {_ZED('spread')} AS sz FROM v WINDOW w AS (PARTITION BY symbol ORDER BY ts, book_id ROWS UNBOUNDED PRECEDING)),
+    src AS (SELECT symbol, ts + to_microseconds(row_number() OVER (PARTITION BY symbol, ts ORDER BY book_id)) AS ts, book_id, obi, oz, sz FROM s)""",
+    {"ema": "DOUBLE", "oz": "DOUBLE", "sz": "DOUBLE", "book": "BIGINT", "oe0": "DOUBLE", "oe1": "DOUBLE", "oe2": "DOUBLE", "oj": "DOUBLE"}, {"ema": "obi", "oz": "oz", "sz": "sz", "book": "book_id", **{c: "obi" for c in ("oe0", "oe1", "oe2", "oj")}}, _OBI,
+    ", ".join(["book AS book_id", _r("oz", "obi_z"), _r("sz", "spread_z"), _r("ema", "obi_ema"), _r("oj", "obi_jma")]), "obi oz sz book_id").replace("SELECT symbol, epoch_us(ts) AS ts_us,", "SELECT"))
+def _btrend(spark, sf):
+    """A symbol's books in order of time: running z of imbalance and spread, and two averages of the imbalance."""
+    b = ms.book_features(books(spark, sf)).join(snapshots(spark, sf), "book_id")
+    out = ms.book_trend(b)
+    return out.select("book_id", *[tidy(c).alias(c) for c in ("obi_z", "spread_z", "obi_ema", "obi_jma")])

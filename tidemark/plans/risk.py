@@ -89,6 +89,15 @@ def _latest(spark, sf):
     return out.select("symbol", at(), tidy("score").alias("score"), "regime")
 
 
+@query("risk_history", f"""WITH {RISK}, {_REGIME}, {_SCORE}
+SELECT symbol, epoch_us(ts) AS ts_us, round(score, 4) + 0.0 AS score, regime FROM ss WHERE ts > (SELECT max(ts) FROM ss) - INTERVAL 24 HOUR""")
+def _history(spark, sf):
+    """Each symbol's rows of the last 24 hours."""
+    s = scored(spark, sf).select("symbol", "ts", "score", "regime")
+    now = s.agg(F.max(F.unix_seconds("ts")).alias("now"))
+    return s.join(F.broadcast(now)).where(F.unix_seconds("ts") > F.col("now") - 24 * 3600).select("symbol", at(), tidy("score").alias("score"), "regime")
+
+
 @query("risk_alerts", f"""WITH {RISK}, {_REGIME}, {_SCORE}
 SELECT symbol, epoch_us(ts) AS ts_us, rank FROM (
   SELECT symbol, ts, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS rank FROM ss WHERE score >= 0.5) WHERE rank <= 100""")

@@ -212,6 +212,24 @@ def _followers(spark, sf):
     return se.follower_weighted(_p(spark, sf), F.col("engagement") * 50).select("symbol", tidy("score").alias("score"), "n", "signal")
 
 
+@query("view_weighted", f"""WITH {SCORED}, w AS (SELECT *, 1 + least(engagement * 500 / 1000, 50.0) AS w FROM posts WHERE source = 'telegram')
+SELECT symbol, round(sum(score * w) / sum(w), 4) + 0.0 AS score, count(*) AS n, CASE WHEN sum(score * w) / sum(w) > 0.3 THEN 'bullish' WHEN sum(score * w) / sum(w) < -0.3 THEN 'bearish' ELSE 'neutral' END AS signal FROM w GROUP BY symbol""")
+def _views(spark, sf):
+    """Channel messages by their views, a weight of 51 at most."""
+    p = _p(spark, sf).where("source = 'telegram'")
+    return se.follower_weighted(p, F.col("engagement") * 500, cap=50.0).select("symbol", tidy("score").alias("score"), "n", "signal")
+
+
+@query("voted_sentiment", f"""WITH {SCORED}, v AS (SELECT id, symbol, score, CASE WHEN up + down > 0 THEN (up - down) / (up + down) END AS vote FROM (SELECT *, id % 7 AS up, id % 5 AS down FROM posts WHERE source = 'news'))
+SELECT symbol, round(avg(CASE WHEN vote IS NULL THEN score ELSE 0.7 * score + 0.3 * vote END), 4) + 0.0 AS score, count(*) AS n, round(avg(vote), 4) + 0.0 AS mean_vote FROM v GROUP BY symbol""")
+def _voted(spark, sf):
+    """News whose text score and readers' votes are blended; without votes the text alone."""
+    p = _p(spark, sf).where("source = 'news'").withColumns({"up": F.col("id") % 7, "down": F.col("id") % 5})
+    vote = se.vote_balance(F.col("up"), F.col("down"))
+    p = p.withColumn("vote", vote).withColumn("blend", se.blended(F.col("score"), F.col("vote")))
+    return p.groupBy("symbol").agg(tidy(F.avg("blend")).alias("score"), F.count(F.lit(1)).alias("n"), tidy(F.avg("vote")).alias("mean_vote"))
+
+
 @query("discussion_score", f"""WITH {SCORED}, r AS (SELECT *, (score + 1) / 2 AS ratio FROM posts)
 SELECT symbol, round(greatest(-1.0, least(1.0, avg((2 * ratio - 1) * (1 + engagement / 100)))), 4) + 0.0 AS score, count(*) AS mentions, sum(engagement) AS engagement,
   round(avg(ratio), 4) + 0.0 AS mean_ratio FROM r GROUP BY symbol""")

@@ -49,14 +49,16 @@ _ROLE = """role AS (
   FROM st JOIN p USING (symbol) GROUP BY symbol, path, i, ts, x)"""
 
 
-def _roles(spark, sf, paths=va.combinatorial_paths):
+def _role_moments(spark, sf, paths=va.combinatorial_paths):
+    """Sums of each path's roles, merged from intervals."""
     s = series(spark, sf)
-    return va.assign_paths(s, paths(_lengths(s)))
+    p = paths(_lengths(s))
+    return va.role_moments(va.interval_moments(s, p), p)
 
 
 @query("cpcv_split", f"WITH {SERIES}, p AS ({_CP}), {_ROLE} SELECT symbol, path, role, count(*) AS n, sum(i)::BIGINT AS sum_i FROM role GROUP BY 1, 2, 3")
 def _split(spark, sf):
-    return _roles(spark, sf).groupBy("symbol", "path", "role").agg(F.count(F.lit(1)).alias("n"), F.sum("i").alias("sum_i"))
+    return _role_moments(spark, sf).select("symbol", "path", "role", "n", F.col("rows").alias("sum_i"))
 
 
 _SP = " UNION ALL ".join(
@@ -68,7 +70,17 @@ _SP = " UNION ALL ".join(
 @query("span_split", f"WITH {SERIES}, p AS ({_SP}), {_ROLE} SELECT symbol, path, role, count(*) AS n, sum(i)::BIGINT AS sum_i FROM role GROUP BY 1, 2, 3")
 def _span(spark, sf):
     """Paths whose purge and embargo lie around the span of their test folds."""
-    return _roles(spark, sf, va.span_paths).groupBy("symbol", "path", "role").agg(F.count(F.lit(1)).alias("n"), F.sum("i").alias("sum_i"))
+    return _role_moments(spark, sf, va.span_paths).select("symbol", "path", "role", "n", F.col("rows").alias("sum_i"))
+
+
+@query("span_validate", f"""WITH {SERIES}, p AS ({_SP}), {_ROLE},
+s AS (SELECT symbol, path, CASE WHEN stddev_pop(x) > 0 THEN avg(x) / stddev_pop(x) * sqrt(252) ELSE 0.0 END AS sh, avg((x > 0)::INT) AS wr FROM role WHERE role = 'test' GROUP BY symbol, path)
+SELECT symbol, count(*) AS n_folds, round(avg(sh), 4) + 0.0 AS mean, round(stddev_pop(sh), 4) + 0.0 AS std, round(min(sh), 4) + 0.0 AS least, round(max(sh), 4) + 0.0 AS most,
+  round(avg((sh > 0)::INT), 4) + 0.0 AS consistency, round(avg(wr), 4) + 0.0 AS win_rate FROM s GROUP BY symbol""")
+def _span_validate(spark, sf):
+    """Sharpe, win rate and consistency over the test folds of the span paths."""
+    out = va.span_summary(_role_moments(spark, sf, va.span_paths))
+    return out.select("symbol", "n_folds", *[tidy(c).alias(c) for c in ("mean", "std", "least", "most", "consistency", "win_rate")])
 
 
 _SH = "CASE WHEN stddev_samp(x) > 1e-10 THEN avg(x) / stddev_samp(x) * sqrt(252) ELSE 0.0 END"
@@ -81,7 +93,7 @@ SELECT symbol, n_paths, round(mean, 4) + 0.0 AS mean, round(std, 4) + 0.0 AS std
   round(pos, 4) + 0.0 AS pct_positive, CASE WHEN abs(mean) > 0.01 THEN round(std / abs(mean), 4) + 0.0 END AS consistency,
   mean >= 0.5 AND coalesce(CASE WHEN abs(mean) > 0.01 THEN std / abs(mean) END <= 0.5, false) AS passed FROM a""")
 def _validate(spark, sf):
-    scores = _roles(spark, sf).where("role = 'test'").groupBy("symbol", "path").agg(va.sharpe(F.col("x"), 252).alias("sharpe"))
+    scores = _role_moments(spark, sf).where("role = 'test'").select("symbol", "path", va.sharpe_of(F.col("mean"), F.col("std_samp"), 252).alias("sharpe"))
     out = va.path_summary(scores)
     return out.select("symbol", "n_paths", *[tidy(c).alias(c) for c in ("mean", "std", "least", "most", "pct_positive", "consistency")], "passed")
 
@@ -93,8 +105,8 @@ s AS (
 r AS (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY ins, path) AS a, row_number() OVER (PARTITION BY symbol ORDER BY outs, path) AS b FROM s)
 SELECT symbol, count(*) AS n, round(avg((b > a)::INT), 4) + 0.0 AS pbo FROM r GROUP BY symbol""")
 def _pbo(spark, sf):
-    by = lambda role: F.when(F.col("role") == role, F.col("x"))
-    score = _roles(spark, sf).groupBy("symbol", "path").agg((F.avg(by("train")) / F.stddev_samp(by("train"))).alias("in_sample"), (F.avg(by("test")) / F.stddev_samp(by("test"))).alias("out_sample"))
+    ratio = F.when(F.col("std_samp") > 0, F.col("mean") / F.col("std_samp"))
+    score = _role_moments(spark, sf).groupBy("symbol", "path").agg(F.max(F.when(F.col("role") == "train", ratio)).alias("in_sample"), F.max(F.when(F.col("role") == "test", ratio)).alias("out_sample"))
     return va.overfitting_probability(score).select("symbol", "n", tidy("pbo").alias("pbo"))
 
 
@@ -105,7 +117,9 @@ SELECT symbol, path, count(*) AS n, round(CASE WHEN stddev_pop(x) > 1e-10 THEN a
   round(avg((x > 0)::INT), 4) + 0.0 AS win_rate, round(max(dd), 4) + 0.0 AS max_drawdown, round(arg_max(eq, ts) - 1, 4) + 0.0 AS total_return,
   round(sum(greatest(x, 0)) / sum(greatest(-x, 0)), 4) + 0.0 AS profit_factor FROM d GROUP BY symbol, path""")
 def _kfold(spark, sf):
-    test = _roles(spark, sf, va.adjacent_folds).where("role = 'test'")
+    # a row is tested on one path, that of its fold
+    fold = F.least(F.floor(F.col("i") / F.greatest(F.lit(1), F.floor(F.col("n") / 5))), F.lit(4)).cast("int")
+    test = series(spark, sf).withColumn("path", fold)
     out = va.fold_metrics(test, "x", ("symbol", "path"))
     return out.select("symbol", "path", "n", *[tidy(c).alias(c) for c in ("sharpe", "win_rate", "max_drawdown", "total_return", "profit_factor")])
 
@@ -224,13 +238,14 @@ def _family(spark, sf):
 @query("transaction_costs", """WITH c AS (
   SELECT o_orderkey, 20.0 + CASE WHEN o_orderstatus = 'F' THEN 5.0 ELSE 0.0 END + 10.0 * greatest(1.0, (o_orderkey % 8) / 100.0 / 0.02) + sqrt(o_totalprice / 10000) AS bps, o_totalprice AS size FROM orders)
 SELECT o_orderkey, round(bps, 4) + 0.0 AS total_bps, round(bps / 10000 * size, 4) + 0.0 AS dollars, round(0.3 - bps / 10000 * 12, 4) + 0.0 AS net_return,
-  round(1.5 + bps / 10000 * 12 / 0.15, 4) + 0.0 AS min_gross_sharpe, CAST(greatest(1, ceil(size / (100000 * 0.1))) AS BIGINT) AS pieces, 120.0 AS breakeven FROM c""")
+  round(1.5 + bps / 10000 * 12 / 0.15, 4) + 0.0 AS min_gross_sharpe, CAST(greatest(1, ceil(size / (100000 * 0.1))) AS BIGINT) AS pieces, 120.0 AS breakeven,
+  round(1.6 - bps / 10000 * 12 / 0.15, 4) + 0.0 AS net_sharpe, 1.6 - bps / 10000 * 12 / 0.15 >= 1.5 AS survives FROM c""")
 def _costs(spark, sf):
     o = table(spark, sf, "orders")
     bps = va.trade_cost_bps(F.col("o_totalprice"), (F.col("o_orderkey") % 8) / 100.0, F.col("o_orderstatus") == "F")
     o = o.select("o_orderkey", bps.alias("bps"), F.col("o_totalprice").alias("size"))
     yearly = F.col("bps") / 10000 * 12
-    return o.select("o_orderkey", tidy("bps").alias("total_bps"), tidy(F.col("bps") / 10000 * F.col("size")).alias("dollars"), tidy(0.3 - yearly).alias("net_return"), tidy(1.5 + yearly / 0.15).alias("min_gross_sharpe"), va.order_pieces(F.col("size"), F.lit(100000)).alias("pieces"), va.breakeven_seconds(F.lit(5.0)).alias("breakeven"))
+    return o.select("o_orderkey", tidy("bps").alias("total_bps"), tidy(F.col("bps") / 10000 * F.col("size")).alias("dollars"), tidy(0.3 - yearly).alias("net_return"), tidy(1.5 + yearly / 0.15).alias("min_gross_sharpe"), va.order_pieces(F.col("size"), F.lit(100000)).alias("pieces"), va.breakeven_seconds(F.lit(5.0)).alias("breakeven"), tidy(va.net_sharpe(F.lit(1.6), F.col("bps"), F.lit(12))).alias("net_sharpe"), (va.net_sharpe(F.lit(1.6), F.col("bps"), F.lit(12)) >= 1.5).alias("survives"))
 
 
 _LAT = "l AS (SELECT event_type AS component, ts, event_id, value AS ms, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS age FROM events)"
