@@ -333,7 +333,7 @@ def test_kernel_regression_learns_and_prunes():
     for x in rows:
         state, y = full.step(state, x)
         assert y[2] <= 4
-    assert len(state[0]) == 4
+    assert 1 <= len(state[0]) <= 4
 
 
 def test_centroids_keep_labels_and_move():
