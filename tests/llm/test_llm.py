@@ -383,9 +383,9 @@ def test_word_and_byte_counts(docs):
 def brute_schedule(weights: list[int]) -> list[tuple[int, int]]:
     q, done, out = sum(weights), [0] * len(weights), []
     for slot in range(q):
-        ready = [(-(-(done[i] + 1) * q // a), i) for i, a in enumerate(weights) if done[i] < a and done[i] * q // a <= slot]
+        ready = [(-(-(done[i] + 1) * q // a), -a, i) for i, a in enumerate(weights) if done[i] < a and done[i] * q // a <= slot]
         if ready:
-            i = min(ready)[1]
+            i = min(ready)[2]
             out.append((i, done[i]))
             done[i] += 1
     return out

@@ -59,7 +59,8 @@ def exact_weights(target: dict[str | None, float]) -> dict[str | None, int] | No
 def weights(sources: DataFrame, target: dict[str | None, float] | None = None) -> DataFrame:
     """source_key, n, rest (comes after all others) and a, the integer weight within its group, from (source_key, n).
 
-    One row a source. Their sum and number are one row, met by all.
+    One row a source: what windows over all of them hold is as small as the list of sources. Shares of the period's
+    slots are rounded down, to 1 at least, and what is left goes to the largest remainders.
     """
     share, whole = F.pow(F.col("n").cast("double"), F.lit(ALPHA)), None
     if target is not None:
@@ -69,36 +70,49 @@ def weights(sources: DataFrame, target: dict[str | None, float] | None = None) -
             share = F.when(F.col("source_key") == _key(F.lit(source)), F.lit(float(weight))).otherwise(share)
     sources = sources.select("source_key", "n", share.alias("share")).withColumn("rest", F.col("share") <= 0)
     sources = sources.withColumn("share", F.when(F.col("rest"), F.col("n").cast("double")).otherwise(F.col("share")))
-    sums = sources.groupBy("rest").agg(F.sum("share").alias("all"), F.greatest(F.lit(PERIOD), EACH * F.count(F.lit(1))).alias("slots"))
-    a = F.greatest(F.lit(1), F.round(F.col("share") / F.col("all") * F.col("slots"))).cast("long")
+    group = W.partitionBy("rest")
+    slots = F.greatest(F.lit(PERIOD), EACH * F.count(F.lit(1)).over(group))
+    sources = sources.withColumn("exact", F.col("share") / F.sum("share").over(group) * slots).withColumn("slots", slots)
+    sources = sources.withColumn("least", F.greatest(F.lit(1), F.floor("exact")).cast("long"))
+    place = F.row_number().over(group.orderBy((F.floor("exact") - F.col("exact")), "source_key"))
+    sources = sources.withColumn("more", place <= F.col("slots") - F.sum("least").over(group))
+    a = F.col("least") + F.col("more").cast("long")
     if whole is not None:
         a = F.when(F.col("rest"), a).otherwise(F.col("share").cast("long"))
-    return sources.join(sums, "rest").select("source_key", "n", "rest", a.alias("a"))
+    return sources.select("source_key", "n", "rest", a.alias("a"))
 
 
 def schedules(weighted: DataFrame) -> DataFrame:
     """source_key, rest, a, q and slots (of its blocks 0 to a - 1 in a period of q slots): earliest deadline first.
 
-    The fold's state is each source's next release and deadline, both in slots. Ties of deadlines go by source_key.
+    Sources of one weight owe their k-th blocks at the same times, so they take turns in order of source_key: the fold has
+    a counter for each different weight, of which integers that sum to q can have sqrt(2 q) at most. Ties of deadlines go
+    to the larger weight.
     """
-    groups = weighted.groupBy("rest").agg(F.array_sort(F.collect_list(F.struct("source_key", "a"))).alias("member"), F.sum("a").alias("q"))
+    alike = weighted.groupBy("rest", "a").agg(F.array_sort(F.collect_list("source_key")).alias("keys"))
+    group = F.array_sort(F.collect_list(F.struct((-F.col("a")).alias("less"), F.size("keys").cast("long").alias("m"), "keys"))).alias("member")
+    groups = alike.groupBy("rest").agg(group, F.sum(F.col("a") * F.size("keys")).cast("long").alias("q"))
 
     def due(m: Column, done: Column) -> Column:
-        return F.struct(F.floor(done * F.col("q") / m["a"]).alias("release"), F.ceil((done + 1) * F.col("q") / m["a"]).alias("deadline"), done.alias("done"))
+        """When the next block of the sources of one weight may and must run, after ``done`` of theirs."""
+        k = F.floor(done / m["m"])
+        return F.struct(F.floor(k * F.col("q") / -m["less"]).alias("release"), F.ceil((k + 1) * F.col("q") / -m["less"]).alias("deadline"), done.alias("done"))
 
     zero = F.lit(0).cast("long")
-    start = F.struct(F.transform("member", lambda m: due(m, zero)).alias("next"), F.array().cast("array<int>").alias("order"))
+    start = F.struct(F.transform("member", lambda m: due(m, zero)).alias("next"), F.array().cast("array<struct<at:int,done:bigint>>").alias("order"))
 
     def step(state: Column, slot: Column) -> Column:
-        ready = F.transform(state["next"], lambda x, i: F.when(x["release"] <= slot, F.struct(x["deadline"].alias("deadline"), i.alias("at"))))
-        at = F.array_min(ready)["at"]  # nulls don't count
-        moved = F.transform(state["next"], lambda x, i: F.when(i == at, due(F.get("member", at), x["done"] + 1)).otherwise(x))
-        return F.struct(moved.alias("next"), F.array_append(state["order"], at).alias("order"))
+        ready = F.transform(state["next"], lambda x, i: F.when(x["release"] <= slot, F.struct(x["deadline"].alias("deadline"), i.alias("at"), x["done"].alias("done"))))
+        best = F.array_min(ready)  # nulls don't count
+        moved = F.transform(state["next"], lambda x, i: F.when(i == best["at"], due(F.get("member", i), x["done"] + 1)).otherwise(x))
+        return F.struct(moved.alias("next"), F.array_append(state["order"], F.struct(best["at"].alias("at"), best["done"].alias("done"))).alias("order"))
 
     order = F.aggregate(F.sequence(zero, F.col("q") - 1), start, step)["order"]
-    placed = groups.select("rest", "member", "q", F.posexplode(order).alias("slot", "at"))
-    placed = placed.select("rest", "q", F.get("member", F.col("at")).alias("m"), F.col("slot").cast("long").alias("slot"))
-    return placed.groupBy(F.col("m.source_key").alias("source_key"), F.col("m.a").alias("a"), "rest", "q").agg(F.array_sort(F.collect_list("slot")).alias("slots"))
+    placed = groups.select("rest", "member", "q", F.posexplode(order).alias("slot", "took"))
+    m = F.get("member", F.col("took.at"))
+    key = F.get(m["keys"], (F.col("took.done") % m["m"]).cast("int"))
+    placed = placed.select("rest", "q", key.alias("source_key"), (-m["less"]).alias("a"), F.col("slot").cast("long").alias("slot"))
+    return placed.groupBy("source_key", "a", "rest", "q").agg(F.array_sort(F.collect_list("slot")).alias("slots"))
 
 
 def source_slots(keyed: DataFrame, target: dict[str | None, float] | None = None, block: int = BLOCK) -> DataFrame:

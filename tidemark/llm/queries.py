@@ -149,13 +149,15 @@ OP9_SQL = f"""
 WITH RECURSIVE d AS (SELECT doc_id, source, coalesce(source, chr(0)) AS source_key, substr(md5(concat(doc_id, ':9')), 1, 10) AS h FROM documents),
 q AS (SELECT *, row_number() OVER (PARTITION BY source_key ORDER BY h, doc_id) - 1 AS place FROM d),
 c AS (SELECT source_key, pow(count(*), {mixing.ALPHA}) AS share FROM d GROUP BY 1),
-w AS (SELECT source_key, greatest(1, round(share / sum(share) OVER () * greatest({mixing.PERIOD}, {mixing.EACH} * count(*) OVER ())))::BIGINT AS a FROM c),
+x AS (SELECT source_key, greatest({mixing.PERIOD}, {mixing.EACH} * count(*) OVER ()) AS slots, share / sum(share) OVER () * slots AS exact FROM c),
+y AS (SELECT *, greatest(1, floor(exact))::BIGINT AS low, row_number() OVER (ORDER BY floor(exact) - exact, source_key) AS place FROM x),
+w AS (SELECT source_key, low + (place <= slots - sum(low) OVER ())::BIGINT AS a FROM y),
 m AS (SELECT list(source_key ORDER BY source_key) AS names, list(a ORDER BY source_key) AS a, sum(a)::BIGINT AS q FROM w HAVING count(*) > 0),
 r AS (
   SELECT 0::BIGINT AS slot, list_transform(a, lambda x: 0::BIGINT) AS done, NULL::BIGINT AS took, a, q FROM m
   UNION ALL
   SELECT slot + 1, list_transform(done, lambda x, i: CASE WHEN i = best.i THEN x + 1 ELSE x END), best.i, a, q
-  FROM (SELECT *, list_min(list_filter(list_transform(done, lambda x, i: CASE WHEN (x * q) // a[i] <= slot THEN {{'deadline': ((x + 1) * q + a[i] - 1) // a[i], 'i': i}} END), lambda x: x IS NOT NULL)) AS best FROM r WHERE slot < q)),
+  FROM (SELECT *, list_min(list_filter(list_transform(done, lambda x, i: CASE WHEN (x * q) // a[i] <= slot THEN {{'deadline': ((x + 1) * q + a[i] - 1) // a[i], 'less': -a[i], 'i': i}} END), lambda x: x IS NOT NULL)) AS best FROM r WHERE slot < q)),
 t AS (SELECT took, list(slot - 1 ORDER BY slot) AS slots FROM r WHERE took IS NOT NULL GROUP BY took),
 s AS (SELECT names[took] AS source_key, m.a[took] AS a, m.q, slots FROM t, m),
 e AS (SELECT doc_id, source, place, (place // {mixing.BLOCK}) // a * s.q + slots[(place // {mixing.BLOCK}) % a + 1] AS slot FROM q JOIN s USING (source_key))
