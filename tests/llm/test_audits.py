@@ -271,3 +271,22 @@ def test_manifest_of_few_rows(spark, rows):
     got = manifest.manifest(docs, F.crc32(F.col("doc_id").cast("string")) % 3 == 0)
     assert Counter(tuple(r) for r in got.collect()) == (slow_manifest(rows, chosen) if rows else Counter()) and got.schema["doc_id"].dataType == docs.schema["doc_id"].dataType
     assert all(r["verified"] for r in manifest.manifest(docs).collect())
+
+
+# ---- vectors of several lengths ----
+
+
+def test_vectors_are_compared_within_their_length(spark):
+    from tidemark.llm import ann
+
+    draw = np.random.default_rng(8)
+    rows = [(i, draw.normal(size=3 if i % 3 else 5).tolist()) for i in range(240)] + [(300, [1.0]), (400, None), (500, [0.0, 0.0, 0.0]), (600, [])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got: dict = {}
+    for r in ann.search(vectors, vectors.where("vec_id % 100 = 0")).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    known = {i: np.array(v) for i, v in rows[:240]}
+    for q in (0, 100, 200):
+        near = sorted((float(np.sqrt(((known[q] - v) ** 2).sum())), i) for i, v in known.items() if i != q and len(v) == len(known[q]))[:10]
+        assert [i for i, _ in got[q]] == [i for _, i in near] and [s for _, s in got[q]] == pytest.approx([d for d, _ in near])
+    assert 300 not in got  # alone of its length

@@ -17,10 +17,11 @@ that copies of the query and of those ten always survive and ties go by id.
 Long lists (a hot vector) are cut into blocks of about ``LIST_ROWS`` rows and queries visit
 each block, so no task holds a whole list.
 
-Cases: vectors that are null, zero, of another length than most, or hold null or non-finite
-components take no part, as queries or candidates; equal distances rank by id; fewer
-candidates than asked for give all of them (all lists are nearest lists then); repeated ids count as
-rows of their own but a query never meets its own id.
+Cases: vectors that are null, zero, or hold null or non-finite components take no part, as queries
+or candidates; vectors are compared within their length, each length with lists of its own; equal
+distances rank by id; fewer candidates than asked for give all of them (all lists are nearest lists
+then); repeated ids count as rows of their own but a query never meets its own id; an empty table
+gives an empty result; columns besides id and vector are ignored.
 """
 
 from __future__ import annotations
