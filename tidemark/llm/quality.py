@@ -5,11 +5,12 @@ differences; Newton steps fit the weights. The threshold is a quantile of the tr
 scores, the one that separates the labels best, and scores map to 0..1 so that it falls on
 ``THRESHOLD``.
 
-Learning uses about ``sample_rows`` labelled rows of each label (chosen by hash of the id) and
-``pairs`` pairs drawn from them with a fixed seed; every document is scored.
+Learning uses about ``sample_rows`` labelled rows and 64 MB of text of each label (chosen by hash of
+the id, then of id and text) and ``pairs`` pairs drawn from them with a fixed seed; every document is scored.
 
 Cases: null and empty texts are scored as texts without words; without rows of both labels
-every score is 0.5; labels other than 0 and 1 are left out; repeated label rows count again.
+every score is 0.5; labels other than 0 and 1 are left out; repeated label rows count once, documents that share a
+labelled id each count; texts of any length are read whole; other columns are ignored.
 """
 
 from __future__ import annotations
