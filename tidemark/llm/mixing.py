@@ -37,6 +37,9 @@ BLOCK = 64
 #: Slots of a period, about, and the most that exact targets may take; slots of a period for each source, at least.
 PERIOD, MOST_EXACT, EACH = 4096, 1 << 16, 16
 
+#: Slots worked out at a time within a period.
+STRETCH = 512
+
 MADE = ("mix_unit", "mix_slot", "mix_at")
 
 
@@ -107,7 +110,12 @@ def schedules(weighted: DataFrame) -> DataFrame:
         moved = F.transform(state["next"], lambda x, i: F.when(i == best["at"], due(F.get("member", i), x["done"] + 1)).otherwise(x))
         return F.struct(moved.alias("next"), F.array_append(state["order"], F.struct(best["at"].alias("at"), best["done"].alias("done"))).alias("order"))
 
-    order = F.aggregate(F.sequence(zero, F.col("q") - 1), start, step)["order"]
+    # stretch after stretch, as an array that grows by a slot is copied each time
+    none = F.array().cast("array<struct<at:int,done:bigint>>").alias("order")
+    stretch = lambda c: F.sequence(c * STRETCH, F.least(F.col("q"), (c + 1) * STRETCH) - 1)
+    onward = lambda done, c: F.array_append(done, F.aggregate(stretch(c), F.struct(F.element_at(done, -1)["next"].alias("next"), none), step))
+    folded = F.aggregate(F.sequence(zero, F.floor((F.col("q") - 1) / STRETCH)), F.array(start), onward)
+    order = F.flatten(F.transform(folded, lambda x: x["order"]))
     placed = groups.select("rest", "member", "q", F.posexplode(order).alias("slot", "took"))
     m = F.get("member", F.col("took.at"))
     key = F.get(m["keys"], (F.col("took.done") % m["m"]).cast("int"))
