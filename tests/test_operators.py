@@ -370,6 +370,25 @@ def test_feature_vector_slots(spark):
     assert fe.vector_report(v).where("faults like '%nan%' or faults like '%inf%'").count() == 0
 
 
+def test_shadow_queries_with_prices_of_0(spark, tmp_path):
+    """Bars that open, close or lie at 0: moves from 0 are infinite or undefined, and no error."""
+    import duckdb
+
+    from tidemark.plans.validation import ORACLES, QUERIES
+
+    con = duckdb.connect()
+    values = [(0, 5.0), (0, 0.0), (0, 2.0), (1, 0.0), (1, 3.0), (2, 0.0), (3, 4.0), (3, 0.0), (4, 1.0)]
+    rows = ", ".join(f"({i}, TIMESTAMP '2024-01-01' + INTERVAL {h} HOUR + INTERVAL {i} MINUTE, 'view', {v}::DOUBLE)" for i, (h, v) in enumerate(values))
+    con.execute(f"CREATE TABLE events AS SELECT * FROM (VALUES {rows}) t(event_id, ts, event_type, value)")
+    con.execute(f"COPY events TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    plain = lambda v: None if isinstance(v, float) and math.isnan(v) else v
+    for name in ("shadow_comparison", "shadow_report"):
+        found = con.execute(ORACLES[name])
+        columns = [d[0] for d in found.description]
+        want = {tuple(map(plain, r)) for r in found.fetchall()}
+        assert {tuple(r[c] for c in columns) for r in QUERIES[name](spark, str(tmp_path)).collect()} == want
+
+
 def test_model_paths_and_classes(spark):
     from tidemark.operators import models as mo
 

@@ -339,11 +339,11 @@ def bottlenecks(stats: DataFrame, share: float = 0.2, by: str = "component") ->
     return stats.join(F.broadcast(total)).withColumn("share", ratio(F.col("mean"), F.col("total"))).where(F.col("share") >= share).select(by, "mean", "share")
 
 
-def shadow_comparison(legacy: DataFrame, enhanced: DataFrame, on: list[str]) -> DataFrame:
-    """Signal difference, regime match, latency ratio and alerts of each pair; running mismatch rate."""
+def shadow_comparison(legacy: DataFrame, enhanced: DataFrame, on: list[str], flat: Column | float = 1.0) -> DataFrame:
+    """Signal difference, regime match, latency ratio (``flat`` where the old latency is 0) and alerts of each pair; running mismatch rate."""
     a = legacy.select(*on, F.col("signal").alias("legacy_signal"), F.col("regime").alias("legacy_regime"), F.col("latency").alias("legacy_latency"))
     j = a.join(enhanced, on)
-    j = j.select("*", F.abs(F.col("signal") - F.col("legacy_signal")).alias("diff"), (F.col("regime") == F.col("legacy_regime")).alias("match"), ratio(F.col("latency"), F.col("legacy_latency"), 1.0).alias("latency_ratio"))
+    j = j.select("*", F.abs(F.col("signal") - F.col("legacy_signal")).alias("diff"), (F.col("regime") == F.col("legacy_regime")).alias("match"), ratio(F.col("latency"), F.col("legacy_latency"), flat).alias("latency_ratio"))
     n, miss = F.count(F.lit(1)).over(running()), F.avg((~F.col("match")).cast("double")).over(running())
     alerts = F.array_compact(F.array(F.when(F.col("diff") > 0.1, F.lit("signal_diff")), F.when(F.col("latency_ratio") > 2, F.lit("latency")), F.when((n >= 100) & (miss > 0.05), F.lit("regime_mismatch"))))
     return j.withColumn("mismatch", miss).withColumn("alerts", F.array_join(alerts, ","))
