@@ -409,6 +409,18 @@ def test_model_paths_and_classes(spark):
     assert [r["score"] for r in mo.lexicon_join(posts, none).collect()] == [0.0] * 4
 
 
+def test_scores_on_a_limit_are_neutral(spark):
+    from tidemark.operators import models as mo
+    from tidemark.plans.models import by_length
+
+    weights = by_length(13, 4, 31)(["x" * n for n in range(1612)])
+    on = [n for n, (a, b, c) in enumerate(weights) if 10 * abs(c - a) == 3 * (a + b + c)]
+    posts = spark.createDataFrame([(n, "A", s, "x" * n) for n in on for s in ("news", "reddit")], "id long, symbol string, source string, text string")
+    assert len(on) > 3
+    for out, column in ((mo.analyze(posts, by_length(13, 4, 31), by_length(13, 4, 31)), "label"), (mo.analyze_by_asset(posts, {}, by_length(13, 4, 31)), "label"), (mo.analyze_dual(posts, by_length(13, 4, 31), by_length(13, 4, 31)), "recommended_label")):
+        assert {r[column] for r in out.collect()} == {"neutral"}
+
+
 def test_as_of_join_carries_over_spans(spark):
     from tidemark.operators.sentiment import as_of
 
