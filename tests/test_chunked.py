@@ -6,6 +6,8 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -300,6 +302,22 @@ def test_induced_lexicon_and_its_bound(spark, monkeypatch):
         valence.scored(spark.createDataFrame([("a",)], "text string"), spark.createDataFrame([(str(i), 1.0) for i in range(4)], "word string, valence double"))
 
 
+def test_texts_are_judged_where_they_lie_and_once(spark, sf, monkeypatch):
+    from tidemark.plans import feeds, signals
+
+    for queries, name in ((signals.QUERIES, "decayed_sentiment"), (signals.QUERIES, "sentiment_momentum"), (signals.QUERIES, "producer_signal"), (signals.QUERIES, "discussion_score"), (signals.QUERIES, "trailing_sentiment"), (feeds.QUERIES, "symbol_sentiment")):
+        plan = queries[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1 and "lambda" not in plan, name
+    draw = random.Random(3)
+    texts = pa.array([None, "", *[" ".join(draw.choice(["good", "bad", "not", "VERY", "but", "the", "é!"]) for _ in range(draw.randrange(60))) for _ in range(50)]])
+    terms = pa.table({"word": ["good", "bad", "very", "not"], "v": [1.9, -2.5, None, None], "b": [None, None, valence.BOOST, None], "no": [False, False, False, True]})
+    whole = valence._judge(pc.fill_null(texts, ""), terms)
+    for size in (1, 100, 1000):
+        monkeypatch.setattr(valence, "PIECE", size)
+        parts = list(valence._pieces(texts))
+        assert len(parts) > 3 and pa.concat_arrays([valence._judge(part, terms) for part in parts]).equals(whole)
+
+
 def test_chi2_tail(spark):
     got = spark.range(1).select(sy.chi2_upper(F.lit(18.307), 10).alias("a"), normal_cdf(F.lit(0.0)).alias("b")).first()
     assert got["a"] == pytest.approx(0.05, abs=1e-4)
