@@ -421,6 +421,39 @@ def test_scores_on_a_limit_are_neutral(spark):
         assert {r[column] for r in out.collect()} == {"neutral"}
 
 
+def test_a_stream_steps_through_a_key_in_little_memory(monkeypatch, spark):
+    """A micro-batch of one key is handed on in stretches, and takes bytes, not objects, a row."""
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+
+    from tidemark.streaming import live
+
+    class Held:
+        exists = hasTimedOut = False
+
+        def update(self, new):
+            self.exists, self.get = True, new
+
+    made = {}
+    df = spark.createDataFrame([("a", 0, 0, 1.0)], "symbol string, s long, event_id long, price double").select("symbol", F.timestamp_seconds("s").alias("ts"), "event_id", "price")
+    monkeypatch.setattr("pyspark.sql.GroupedData.applyInPandasWithState", lambda self, step, *a: made.setdefault("step", step))
+    live.scan_stream(df, [rec.kalman("price")], order=("ts", "event_id"))
+    n, draw = 300_000, np.random.default_rng(1)
+    rows = pd.DataFrame({"symbol": "a", "ts": pd.to_datetime(draw.integers(0, 1000, n), unit="s"), "event_id": draw.permutation(n), "price": draw.random(n)})
+    batches = [rows.iloc[i : i + 10_000] for i in range(0, n, 10_000)]
+    state, seen, longest = Held(), 0, 0
+    tracemalloc.start()
+    for part in made["step"](("a",), iter(batches), state):
+        seen, longest = seen + len(part), max(longest, len(part))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen == n and longest <= 20_000 and peak < 130 * n
+    late = pd.concat([rows.tail(5), rows.tail(1).assign(ts=pd.Timestamp("2001-01-01"))])
+    assert sum(len(p) for p in made["step"](("a",), iter([late]), state)) == 1
+
+
 def test_as_of_join_carries_over_spans(spark):
     from tidemark.operators.sentiment import as_of
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import bisect
 import json
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -35,10 +37,22 @@ def route(messages: DataFrame, text: str = "value") -> dict[str, DataFrame]:
     return {k: good.where(kind == k) for k in ("ohlcv", "orderbook", "trade")}
 
 
+#: Rows of a key that are stepped through before they are handed on.
+STRETCH = 20_000
+
+
+def _in_order(rows: pd.DataFrame, order: Sequence[str]) -> pd.DataFrame:
+    keys = [rows[c].to_numpy() for c in reversed(order)]
+    if any(k.dtype == object for k in keys):
+        return rows.sort_values(list(order), kind="stable")
+    return rows.take(np.lexsort(keys))
+
+
 def scan_stream(df: DataFrame, recurrences: Sequence[Recurrence], by: str = "symbol", order: Sequence[str] = ("ts",), idle: int | None = None) -> DataFrame:
     """The recurrences of ``scan_all`` over a stream: the same step functions on keyed state.
 
-    Rows of a micro-batch are put in order by key; state survives restarts in the checkpoint. A
+    Rows of a micro-batch are put in order by key, as columns of numbers, and stepped through in stretches, so a row of
+    the micro-batch takes some tens of bytes of its task's memory; state survives restarts in the checkpoint. A
     row that comes before one that was already stepped through (by ``order``) is late: a
     recurrence can't take it back, so it is left out. With ``idle`` a key
     that has had no row for so many seconds of processing time forgets its state and begins anew; such a stream
@@ -47,6 +61,7 @@ def scan_stream(df: DataFrame, recurrences: Sequence[Recurrence], by: str = "sym
     need = list(dict.fromkeys(c for r in recurrences for c in r.inputs))
     keep = [by, *order]
     part = df.select(*keep, *[c for c in need if c not in keep])
+    columns = [c for c in part.columns if c != by]
     schema = T.StructType([part.schema[c] for c in keep] + [T.StructField(o, T.DoubleType()) for r in recurrences for o in r.outputs])
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -54,24 +69,24 @@ def scan_stream(df: DataFrame, recurrences: Sequence[Recurrence], by: str = "sym
             state.remove()
             return
         held, last = json.loads(state.get[0]) if state.exists else ([None] * len(recurrences), None)
-        rows = pd.concat(list(batches)).sort_values(list(order), kind="stable")
-        places = [[v.value if isinstance(v, pd.Timestamp) else v for v in row] for row in rows[list(order)].itertuples(index=False)]
-        if last is not None:
-            fresh = [p > last for p in places]
-            rows, places = rows[fresh], [p for p, ok in zip(places, fresh) if ok]
+        rows = _in_order(pd.concat([batch[columns] for batch in batches], ignore_index=True), order)
+        stamps = rows[list(order)]
+        place = lambda i: [v.value if isinstance(v, pd.Timestamp) else v for v in next(stamps.iloc[i : i + 1].itertuples(index=False))]
+        first = bisect.bisect_right(range(len(rows)), last, key=place) if last is not None else 0
         if idle is not None:
             state.setTimeoutDuration(idle * 1000)
-        if not len(rows):
-            return
-        out = {c: rows[c] for c in keep}
-        for i, r in enumerate(recurrences):
-            made = []
-            for x in zip(*[rows[c].tolist() for c in r.inputs]):
-                held[i], y = r.step(held[i], x)
-                made.append(y)
-            out.update({o: [None if v is None else float(v) for v in column] for o, column in zip(r.outputs, zip(*made))})
-        state.update((json.dumps([held, places[-1]]),))
-        yield pd.DataFrame(out)
+        for at in range(first, len(rows), STRETCH):
+            some = rows.iloc[at : at + STRETCH]
+            out = {by: [key[0]] * len(some), **{c: some[c] for c in order}}
+            for i, r in enumerate(recurrences):
+                made = []
+                for x in zip(*[some[c].tolist() for c in r.inputs]):
+                    held[i], y = r.step(held[i], x)
+                    made.append(y)
+                out.update({o: [None if v is None else float(v) for v in column] for o, column in zip(r.outputs, zip(*made))})
+            if at + STRETCH >= len(rows):
+                state.update((json.dumps([held, place(len(rows) - 1)]),))
+            yield pd.DataFrame(out)
 
     timeout = GroupStateTimeout.NoTimeout if idle is None else GroupStateTimeout.ProcessingTimeTimeout
     return part.groupBy(by).applyInPandasWithState(step, schema, "state string", "append", timeout)
