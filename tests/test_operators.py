@@ -421,6 +421,16 @@ def test_scores_on_a_limit_are_neutral(spark):
         assert {r[column] for r in out.collect()} == {"neutral"}
 
 
+def test_majority_reads_its_predictions_once(spark):
+    rows = [(1, 0, "bullish", 0.9, 0.9), (1, 1, "neutral", 0.1, 0.6), (1, 2, "bullish", 0.5, 0.5), (2, 0, "bearish", -0.5, 0.9), (2, 1, "neutral", 0.0, 0.6), (None, 0, "neutral", 0.0, 1.0)]
+    p = spark.createDataFrame(rows, "id long, model int, label string, score double, confidence double")
+    out = sentiment.majority(p)
+    got = {r["id"]: r for r in out.collect()}
+    assert set(got) == {1, 2} and (got[1]["label"], got[1]["action"], got[2]["label"]) == ("bullish", "REDUCED", "bearish")
+    assert got[1]["score"] == pytest.approx((0.81 + 0.06 + 0.25) / 2.0) and got[2]["agreement"] == 0.5
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_a_stream_steps_through_a_key_in_little_memory(monkeypatch, spark):
     """A micro-batch of one key is handed on in stretches, and takes bytes, not objects, a row."""
     import tracemalloc
