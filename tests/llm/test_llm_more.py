@@ -337,3 +337,20 @@ def test_repeated_and_null_vector_ids(spark):
     for r in got:
         by.setdefault(r["query_id"], []).append(r["rank"])
     assert set(by) == {0, 100, 200} and all(sorted(v) == list(range(1, 11)) for v in by.values()) and all(r["vec_id"] != r["query_id"] for r in got)
+
+
+def test_blocks_of_one_component_do_not_meet(spark, monkeypatch):
+    """60 nodes of one component and 5 others: all links between components are found, from few replicas."""
+    import pandas as pd
+
+    from tidemark.llm import jaccard_join as jj
+
+    sets = {i: sorted({*range(20), *([100 + i] if i % 3 else [])}) for i in range(65)}
+    s = spark.createDataFrame(list(sets.items()), "node long, s array<long>")
+    regions = spark.createDataFrame([(7, i, 0 if i < 60 else i) for i in sets] + [(8, 1, 0), (8, 64, 64)], "region long, node long, label long")
+    monkeypatch.setattr(jj, "BLOCK", 8)
+    got = {tuple(sorted(r)) for r in jj._in_blocks(regions, jj._sizes(regions), s, 92).collect()}
+    near = lambda x, y: 100 * len({*sets[x]} & {*sets[y]}) >= 92 * len({*sets[x]} | {*sets[y]})
+    assert got == {(x, y) for x in sets for y in range(max(x + 1, 60), 65) if near(x, y)} and 0 < len(got) < 310
+    monkeypatch.setattr(jj, "_compare", lambda percent: lambda rows: pd.DataFrame({"u": [len(rows)], "v": [0]}))
+    assert sum(r["u"] for r in jj._in_blocks(regions, jj._sizes(regions), s, 92).collect()) < 65 * 9 / 4

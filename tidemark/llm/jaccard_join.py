@@ -337,10 +337,23 @@ def _sizes(regions: DataFrame) -> DataFrame:
 
 
 def _in_blocks(regions: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links within regions: all at once up to BLOCK nodes, else by pairs of blocks."""
-    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
-    placed = regions.join(sizes, "region").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(sets, "node")
+    """Links within regions: all at once up to BLOCK nodes, else by pairs of blocks.
+
+    Nodes of a region's commonest component have blocks of their own, which meet the others' blocks only: nodes of one
+    component need no comparison.
+    """
+    held = regions.join(sizes, "region")
+    most = held.groupBy("region", "label").agg(F.count(F.lit(1)).alias("m")).groupBy("region").agg(F.max(F.struct("m", "label")).alias("x"))
+    whole, ours = F.col("c") <= BLOCK, F.col("label") == F.col("x.label")
+    k1 = F.when(whole, 0).otherwise(F.ceil(F.col("x.m") / BLOCK)).cast("int")
+    k2 = F.when(whole, 1).otherwise(F.ceil((F.col("c") - F.col("x.m")) / BLOCK)).cast("int")
+    placed = held.join(most, "region").select("region", "node", "label", (ours & ~whole).alias("ours"), k1.alias("k1"), k2.alias("k2"))
+    part = F.pmod(F.xxhash64("node"), F.when(F.col("ours"), F.col("k1")).otherwise(F.col("k2"))).cast("int")
+    placed = placed.withColumn("block", part + F.when(F.col("ours"), 0).otherwise(F.col("k1")))
+    # a block's own pairs are compared wherever it meets another
+    met = F.when(F.col("ours"), F.sequence("k1", F.col("k1") + F.col("k2") - 1)).when(F.col("k1") == 0, F.array(F.lit(0)))
+    met = met.otherwise(F.filter(F.sequence(F.lit(0), F.col("k1") + F.col("k2") - 1), lambda o: o != F.col("block")))
+    placed = placed.join(sets, "node").withColumn("other", F.explode(met))
     placed = placed.select("region", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "node", "label", "s")
     return placed.groupBy("region", "b1", "b2").applyInPandas(_compare(percent), "u long, v long")
 
