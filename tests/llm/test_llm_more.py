@@ -354,3 +354,22 @@ def test_blocks_of_one_component_do_not_meet(spark, monkeypatch):
     assert got == {(x, y) for x in sets for y in range(max(x + 1, 60), 65) if near(x, y)} and 0 < len(got) < 310
     monkeypatch.setattr(jj, "_compare", lambda percent: lambda rows: pd.DataFrame({"u": [len(rows)], "v": [0]}))
     assert sum(r["u"] for r in jj._in_blocks(regions, jj._sizes(regions), s, 92).collect()) < 65 * 9 / 4
+
+
+def test_buckets_of_the_same_nodes_are_joined_once(spark, monkeypatch):
+    """Two near copies share many bands, whose buckets hold the same two nodes: a pair costs one row, not one a band and size class."""
+    from tidemark.llm import minhash
+
+    rows, write = {}, minhash.write_and_reread
+
+    def counted(df, name):
+        made = write(df, name)
+        rows[name] = made.count()
+        return made
+
+    monkeypatch.setattr(minhash, "write_and_reread", counted)
+    texts = [[f"w{i}x{j}" for j in range(200)] for i in range(20)]
+    docs = [(2 * i + k, " ".join(t[:-1] + ["z"] if k else t)) for i, t in enumerate(texts) for k in (0, 1)]
+    got = minhash.near_copies(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {d: d - d % 2 for d, _ in docs}
+    assert rows["held"] == 20

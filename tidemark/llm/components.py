@@ -8,15 +8,16 @@ from tidemark.llm.common import forget, write_and_reread
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One round: neighbours of a node move to the least of them."""
-    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    if not large:
-        both = both.where("v < u")
+    """One round over edges of u > v, which it keeps so: neighbours of a node, in a small round the lesser ones, move to the least of them."""
+    both = edges.select("u", "v")
+    if large:
+        both = both.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     # written, so that a hub's neighbours meet their minimum in a join that Spark can split
     least = write_and_reread(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
     met = both.join(least, "u")
     if large:
-        return met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        # not distinct yet: the small round that follows takes the minimum and drops what repeats
+        return met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return met.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u != v").distinct()
 
 

@@ -6,14 +6,13 @@
    their Jaccard similarity, whether bins are filled or not.
 2. ``BANDS`` bands of ``ROWS`` bins hash to buckets. A pair at the threshold of 0.85 shares none of its 32 bands of 5
    with probability below 1e-8.
-3. A bucket's nodes are parted into neighbouring size classes (sizes of a link differ by the threshold at most), and each
-   part forms a star around its node of least hash, which is the same in most buckets of a group: candidate pairs grow
-   with the documents, not with the square of a bucket. Stars are confirmed on full sets; the components of their links
-   need no more comparisons.
-4. The exact rest: parts that still hold several components may hide links between nodes other than the centre. All
-   nodes of such parts around one centre fall into rings by their confirmed distance from it, as wide as the radius;
-   a link joins nodes of one ring or of neighbours. Rings of several components are joined exactly by the metric join
-   of ``jaccard_join``. So no bucket is capped, whatever its size.
+3. Buckets of the same nodes count once. A bucket forms a star around its node of least hash, which is the same in most
+   buckets of a group: candidate pairs grow with the documents, not with the square of a bucket. Stars are confirmed on
+   full sets; nodes that two steps towards the least centre bring together need no more comparisons.
+4. The exact rest: buckets that still hold several components may hide links between nodes other than the centre. All
+   nodes of such buckets around one centre fall into rings by their confirmed distance from it, as wide as the radius;
+   a link joins nodes of one ring or of neighbours, whatever their sizes. Rings of several components are joined exactly by
+   the metric join of ``jaccard_join``. So no bucket is capped, whatever its size.
 
 Cases: null, empty and blank texts have no shingle and no link; fewer than k words make one shingle of all; equal sets
 always link; rows are told apart by keys of id and text, so ids may repeat or be null (a null id counts as the largest,
@@ -23,7 +22,6 @@ empty table gives an empty result; other columns are ignored, whatever their nam
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +29,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tidemark.llm.common import column, forget, give_back, mix64, slices, write_and_reread
-from tidemark.llm.components import connected
 from tidemark.llm.jaccard_join import KNOWN, _digest, _joined, _verified, keyed_rows, known_schema, labelled, sets_of, told_apart, with_components
 from tidemark.llm.shingles import shingle_sets
 
@@ -96,43 +93,46 @@ def _signed(k: int):
     return run
 
 
-def _size_class(n: str, percent: int):
-    """Sizes that a link may join lie in one class or in neighbours."""
-    wide = math.log(100 / percent) * (1 + 1e-9) if percent < 100 else 1e-9
-    return F.floor(F.log(n) / wide).cast("long")
+def _held(buckets: DataFrame) -> DataFrame:
+    """bucket, centre (its node of least hash) and node of buckets of several nodes; buckets of the same nodes count once."""
+    same = [F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y")]
+    centre = F.min(F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("centre"))).alias("least")
+    many = buckets.groupBy("bucket").agg(*same, centre).where("c > 1")
+    once = many.groupBy("c", "x", "y").agg(F.min(F.struct("bucket", "least.centre")).alias("one")).select("one.*")
+    return buckets.join(write_and_reread(once, "centres"), "bucket").where("node != centre")
 
 
 def _open(members: DataFrame) -> DataFrame:
-    """Rows of members(region, node, label) in regions of several components; regions of the same nodes count once."""
-    same = [F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y")]
-    ends = members.groupBy("region").agg(*same, F.min("label").alias("least"), F.max("label").alias("most")).where("least != most")
-    once = write_and_reread(ends.groupBy("c", "x", "y").agg(F.min("region").alias("region")).select("region"), "open")
-    return members.join(once, "region")
+    """Rows of members(bucket, label, ...) in buckets of several components."""
+    ends = members.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least != most")
+    return members.join(write_and_reread(ends.select("bucket"), "open"), "bucket")
+
+
+def _near_label(linked: DataFrame) -> DataFrame:
+    """node and label of every node that linked(u: centre, v) has as v: its least centre by hash, or that one's own."""
+    least = linked.groupBy("v").agg(F.min(F.struct(F.xxhash64("u").alias("h"), F.col("u").alias("up"))).alias("x")).select(F.col("v").alias("node"), "x.up")
+    least = write_and_reread(least, "least")
+    above = least.select(F.col("node").alias("up"), F.col("up").alias("top"))
+    return least.join(above, "up", "left").select("node", F.coalesce("top", "up").alias("label"))
 
 
 def _links(buckets: DataFrame, sets, percent: int) -> DataFrame:
-    """Links (u, v) that join all linked nodes of each bucket(bucket, node, n), directly or through others; ``sets`` makes the nodes' sets."""
-    many = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("bucket")
-    size = _size_class("n", percent)
-    placed = buckets.join(many, "bucket").select(F.explode(F.array(size, size + 1)).alias("size"), "bucket", "node").select(F.xxhash64("bucket", "size").alias("region"), "node")
-    placed = write_and_reread(placed, "placed")
-    centre = F.min(F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("centre"))).alias("x")
-    centres = write_and_reread(placed.groupBy("region").agg(F.count(F.lit(1)).alias("c"), centre).where("c > 1").select("region", "x.centre"), "centres")
-    held = write_and_reread(placed.join(centres, "region").where("node != centre"), "held")
-    forget(placed, centres)
+    """Links (u, v) that join all linked nodes of each bucket(bucket, node), directly or through others; ``sets`` makes the nodes' sets."""
+    held = write_and_reread(_held(buckets), "held")
     pairs = write_and_reread(held.select(F.col("centre").alias("u"), F.col("node").alias("v")).distinct(), "pairs")
     sets = sets(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct())
     stars = write_and_reread(_verified(pairs, sets, percent), "stars")
     linked = stars.where("linked").select("u", "v")
-    label = write_and_reread(connected(linked), "labels")
+    # two steps towards the least centre tell most components; what they leave apart costs comparisons, no link
+    label = write_and_reread(_near_label(linked), "labels")
     members = held.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     left = _open(members).select(F.col("centre").alias("u"), F.col("node").alias("v"), "label").distinct()
     # rings as wide as the radius around a centre: a link joins nodes of one ring or of two neighbours
     ring = F.floor(F.col("d") * 100 / (100 - percent) + 1e-9).cast("int") if percent < 100 else F.lit(0)
     rings = left.join(stars, ["u", "v"]).select("u", F.explode(F.array(ring, ring + 1)).alias("ring"), F.col("v").alias("node"), "label")
-    regions = write_and_reread(_open(write_and_reread(rings.select(F.xxhash64("u", "ring").alias("region"), "node", "label"), "rings")), "regions")
-    found = write_and_reread(linked.union(_joined(regions, sets, percent)), "links")
-    forget(held, pairs, sets, stars, label, regions)
+    rings = write_and_reread(rings.select(F.xxhash64("u", "ring").alias("region"), "node", "label"), "rings")
+    found = write_and_reread(linked.union(_joined(rings, sets, percent)), "links")
+    forget(held, pairs, sets, stars, label, rings)
     return found
 
 
@@ -142,7 +142,7 @@ def _grouped(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str)
     nodes = write_and_reread(rows.mapInArrow(_signed(k), known_schema(rows, T.StructField("bands", T.ArrayType(T.LongType())))), "signed")
     chosen = nodes.where("n_shingles > 0").groupBy("node", "other").agg(F.min(F.struct("k1", "k2")).alias("key"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     nodes, chosen = told_apart(nodes.drop("bands"), write_and_reread(chosen, "chosen"))
-    buckets = chosen.select(F.explode("bands").alias("bucket"), "node", "n")
+    buckets = chosen.select(F.explode("bands").alias("bucket"), "node")
     links = _links(buckets, lambda alive: sets_of(rows, chosen.drop("bands", "n").join(alive, "node"), k), percent)
     made = labelled(nodes, links)
     forget(links)
